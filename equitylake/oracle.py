@@ -171,4 +171,27 @@ def oracle_sql() -> dict[str, str]:
         "view_request_empty_params": view_sql("si.isin ILIKE ('ma' || '%')"),
         "stale_set": stale_sql(C.STALE_AS_OF, C.STALE_MIN_AGE),
         "nested_share_json": nested,
+        "number_parse": "SELECT l_orderkey, l_linenumber, l_extendedprice AS price_it, "
+                        "l_extendedprice AS price_us, -l_extendedprice AS price_neg, "
+                        "CAST(NULL AS DOUBLE) AS junk FROM lineitem",
+        "int_parse": "SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS parsed, "
+                     "CAST(NULL AS INTEGER) AS negative FROM orders",
+        "datetime_parse": "SELECT event_id, date_trunc('second', ts) AS dt1, "
+                          "date_trunc('second', ts) AS dt2, CAST(NULL AS TIMESTAMP) AS trailing FROM events",
+        "date_parse": "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS ship_date FROM lineitem",
+        "price_date_split": "SELECT o_orderkey, o_totalprice AS price, CAST(o_orderdate AS DATE) AS date, "
+                            "TRUE AS no_separator_is_null FROM orders",
+        "price_datetime_split": "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS price, "
+                                "CASE WHEN event_type = 'error' THEN NULL ELSE date_trunc('second', ts) END AS datetime, "
+                                "TRUE AS present FROM events",
+        "isin_parse": (
+            f"WITH si AS ({HUB}), v AS (SELECT isin AS raw FROM si UNION ALL "
+            "SELECT isin || 'X' FROM si UNION ALL SELECT substr(isin, 1, 11) || 'Z' FROM si) "
+            "SELECT raw, CASE WHEN ok THEN substr(raw, 1, 2) END AS country, "
+            "CASE WHEN ok THEN substr(raw, 3, 9) END AS nna, "
+            "CASE WHEN ok THEN CAST(substr(raw, 12, 1) AS INTEGER) END AS check_digit, "
+            "CASE WHEN strlen(raw) <> 12 THEN 'invalid_length' "
+            "WHEN NOT regexp_matches(substr(raw, 12, 1), '^[0-9]$') THEN 'invalid_check_digit' END AS error, "
+            "CASE WHEN ok THEN raw END AS formatted FROM (SELECT raw, strlen(raw) = 12 AND "
+            "regexp_matches(substr(raw, 12, 1), '^[0-9]$') AS ok FROM v)"),
     }

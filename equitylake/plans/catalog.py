@@ -12,7 +12,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parsers as P
 from ..sources import adapter
+from ..sources.tables import read_input
 from . import views
 
 # Lookup parameters of the registered view queries.
@@ -86,6 +88,91 @@ def nested_share_json(spark, sf_dir):
     )
 
 
+# ---- typed value parsers ---------------------------------------------------
+
+def it_number(c, decimals: int = 2):
+    """Render a number the Italian way: dots for thousands, comma for decimals."""
+    return F.translate(F.format_number(c, decimals), ",.", ".,")
+
+
+def number_parse(spark, sf_dir):
+    """Every lineitem price rendered as '1.234,56', '1,234.56' and
+    '-1.234,56 %' and parsed back."""
+    li = read_input(spark, sf_dir, "lineitem")
+    it = it_number(F.col("l_extendedprice"))
+    us = F.format_number(F.col("l_extendedprice"), 2)
+    neg = F.concat(F.lit("  -"), it, F.lit(" %"))
+    return li.select("l_orderkey", "l_linenumber",
+                     P.parse_float(it).alias("price_it"),
+                     P.parse_float(us).alias("price_us"),
+                     P.parse_float(neg).alias("price_neg"),
+                     P.parse_float(F.concat(F.lit("+"), F.col("l_returnflag"))).alias("junk"))
+
+
+def int_parse(spark, sf_dir):
+    """Every order key rendered with dot thousands separators and parsed back."""
+    o = read_input(spark, sf_dir, "orders")
+    dotted = F.translate(F.format_number(F.col("o_orderkey"), 0), ",", ".")
+    return o.select("o_orderkey",
+                    P.parse_int(dotted).alias("parsed"),
+                    P.parse_int(F.concat(F.lit("-"), dotted)).alias("negative"))
+
+
+def datetime_parse(spark, sf_dir):
+    """Every event time rendered 'dd/MM/yy HH.mm.ss' and 'd/M/yy - H.m.s'."""
+    e = read_input(spark, sf_dir, "events")
+    f1 = F.date_format("ts", "dd/MM/yy HH.mm.ss")
+    f2 = F.date_format("ts", "d/M/yy - H.m.s")
+    return e.select("event_id",
+                    P.parse_datetime(f1).alias("dt1"),
+                    P.parse_datetime(f2).alias("dt2"),
+                    P.parse_datetime(F.concat(f1, F.lit(" x"))).alias("trailing"))
+
+
+def date_parse(spark, sf_dir):
+    """Every ship date rendered 'd/M/yy' (years 1995-2001 cross the
+    two-digit-year pivot) and parsed back."""
+    li = read_input(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber",
+                     P.parse_date(F.date_format("l_shipdate", "d/M/yy")).alias("ship_date"))
+
+
+def price_date_split(spark, sf_dir):
+    """Every order as 'price - dd/MM/yy' split into {price, date}."""
+    o = read_input(spark, sf_dir, "orders")
+    s = P.price_date(F.concat(it_number(F.col("o_totalprice")), F.lit(" - "),
+                              F.date_format("o_orderdate", "dd/MM/yy")))
+    nosep = P.price_date(it_number(F.col("o_totalprice")))
+    return o.select("o_orderkey", s["price"].alias("price"), s["date"].alias("date"),
+                    nosep.isNull().alias("no_separator_is_null"))
+
+
+def price_datetime_split(spark, sf_dir):
+    """Every event as 'value - dd/MM/yy HH.mm.ss' split into {price,
+    datetime}; error events carry a leading minus, which is taken as the
+    separator (both fields NULL, struct present)."""
+    e = read_input(spark, sf_dir, "events")
+    sign = F.when(F.col("event_type") == "error", F.lit("-")).otherwise(F.lit(""))
+    s = P.price_datetime(F.concat(sign, it_number(F.col("value")), F.lit(" - "),
+                                  F.date_format("ts", "dd/MM/yy HH.mm.ss")))
+    return e.select("event_id", s["price"].alias("price"), s["datetime"].alias("datetime"),
+                    s.isNotNull().alias("present"))
+
+
+def isin_parse(spark, sf_dir):
+    """Every stored ISIN plus two corrupted copies (13 bytes; letter as
+    check digit) parsed into {country, nna, check} and formatted back."""
+    hub = adapter.hub(spark, sf_dir)
+    variants = hub.select(F.explode(F.array(
+        F.col("isin"), F.concat("isin", F.lit("X")),
+        F.concat(F.substring("isin", 1, 11), F.lit("Z")))).alias("raw"))
+    parsed = variants.select("raw", P.parse_isin(F.col("raw")).alias("p"),
+                             P.isin_error(F.col("raw")).alias("error"))
+    return parsed.select("raw", F.col("p.country").alias("country"), F.col("p.nna").alias("nna"),
+                         F.col("p.check").cast("int").alias("check_digit"), "error",
+                         P.format_isin(F.col("p")).alias("formatted"))
+
+
 QUERIES = {
     "current_view": current_view,
     "view_by_isin": view_by_isin,
@@ -96,4 +183,11 @@ QUERIES = {
     "view_request_empty_params": view_request_empty_params,
     "stale_set": stale_set,
     "nested_share_json": nested_share_json,
+    "number_parse": number_parse,
+    "int_parse": int_parse,
+    "datetime_parse": datetime_parse,
+    "date_parse": date_parse,
+    "price_date_split": price_date_split,
+    "price_datetime_split": price_datetime_split,
+    "isin_parse": isin_parse,
 }
