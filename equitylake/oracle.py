@@ -147,6 +147,60 @@ def stale_sql(as_of: dt.datetime, min_age: dt.timedelta) -> str:
             f"JOIN lu ON si.isin = lu.isin WHERE lu.last_update <= {ts(as_of)} - to_microseconds({us})")
 
 
+def collapse_sql(table: str, batch_sql: str) -> str:
+    """Per column, the last non-NULL value by updated_at."""
+    cols = schemas.non_key_columns(table)
+    aggs = ", ".join(f"arg_max({c}, updated_at) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in cols)
+    return f"SELECT isin, {aggs}, max(updated_at) AS updated_at FROM ({batch_sql}) GROUP BY isin"
+
+
+def merge_sql(table: str, stored_sql: str, batch_sql: str) -> str:
+    cols = schemas.non_key_columns(table) + ["updated_at"]
+    sel = ", ".join(f"COALESCE(b.{c}, t.{c}) AS {c}" for c in cols)
+    return (f"SELECT COALESCE(b.isin, t.isin) AS isin, {sel} FROM ({stored_sql}) t "
+            f"FULL OUTER JOIN ({batch_sql}) b ON t.isin = b.isin")
+
+
+LISTED_HUB = (f"SELECT {ISIN} AS isin, c_name AS share_name, {_mins('c_custkey')} AS updated_at "
+              "FROM customer WHERE c_acctbal >= 0")
+
+PAYLOADS = {
+    "share_details": collapse_sql("share_details", DETAILS_BATCH),
+    "market_information": collapse_sql("market_information", MARKET_BATCH),
+    "price_data": collapse_sql("price_data", PRICE_BATCH),
+    "performance_metrics": collapse_sql("performance_metrics", PERF_BATCH),
+}
+
+
+def _rejects_sql() -> str:
+    parts = []
+    for t, q in PAYLOADS.items():
+        for c, n in schemas.VARCHAR_LIMITS[t].items():
+            parts.append(f"SELECT isin, '{t}' AS \"table\", '{c}_too_long' AS reason "
+                         f"FROM ({q}) WHERE length({c}) > {n}")
+    keys = " UNION ".join(f"SELECT isin FROM ({q})" for q in PAYLOADS.values())
+    parts.append(f"SELECT isin, 'share_isins' AS \"table\", 'unknown_isin' AS reason FROM ({keys}) k "
+                 f"WHERE isin NOT IN (SELECT isin FROM ({LISTED_HUB}))")
+    return " UNION ALL ".join(parts)
+
+
+def _keys_sql() -> str:
+    return " UNION ".join(f"SELECT isin FROM ({q})" for q in PAYLOADS.values())
+
+
+def _accepted_sql() -> str:
+    return f"SELECT isin FROM ({_keys_sql()}) WHERE isin NOT IN (SELECT isin FROM ({_rejects_sql()}))"
+
+
+def _insert_outcome_sql() -> str:
+    return (f"WITH c AS ({HUB}), f AS (SELECT isin, min(struct_pack(u := updated_at, n := share_name)) AS fst "
+            "FROM c WHERE isin IS NOT NULL AND share_name IS NOT NULL AND length(isin) <= 12 "
+            "AND length(share_name) <= 50 GROUP BY isin) "
+            "SELECT c.isin, c.share_name, c.updated_at, "
+            f"(c.isin NOT IN (SELECT isin FROM ({LISTED_HUB})) AND f.fst.u = c.updated_at "
+            "AND f.fst.n = c.share_name) AS inserted FROM c LEFT JOIN f ON c.isin = f.isin")
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -194,4 +248,18 @@ def oracle_sql() -> dict[str, str]:
             "WHEN NOT regexp_matches(substr(raw, 12, 1), '^[0-9]$') THEN 'invalid_check_digit' END AS error, "
             "CASE WHEN ok THEN raw END AS formatted FROM (SELECT raw, strlen(raw) = 12 AND "
             "regexp_matches(substr(raw, 12, 1), '^[0-9]$') AS ok FROM v)"),
+        "upsert_price": merge_sql("price_data", PRICE_AT_CUT, PAYLOADS["price_data"]),
+        "upsert_performance": merge_sql("performance_metrics", PERF_AT_CUT, PAYLOADS["performance_metrics"]),
+        "upsert_details": merge_sql("share_details", DETAILS, PAYLOADS["share_details"]),
+        "upsert_market": merge_sql("market_information", MARKET, PAYLOADS["market_information"]),
+        "fk_rejects": _rejects_sql(),
+        "share_write_accepted": merge_sql(
+            "price_data", PRICE_AT_CUT,
+            f"SELECT * FROM ({PAYLOADS['price_data']}) WHERE isin IN ({_accepted_sql()})"),
+        "write_metrics": (f"SELECT CAST((SELECT count(*) FROM ({_keys_sql()})) AS INTEGER) AS total, "
+                          f"CAST((SELECT count(*) FROM ({_accepted_sql()})) AS INTEGER) AS successful"),
+        "insert_absent": f"SELECT isin, share_name, updated_at FROM ({_insert_outcome_sql()}) WHERE inserted",
+        "insert_metrics": (f"SELECT CAST(count(*) AS INTEGER) AS total, "
+                           f"CAST(count(*) FILTER (WHERE inserted) AS INTEGER) AS successful "
+                           f"FROM ({_insert_outcome_sql()})"),
     }

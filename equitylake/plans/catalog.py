@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsers as P
+from ..operators import merge as M
+from ..operators import metrics as MT
 from ..sources import adapter
 from ..sources.tables import read_input
 from . import views
@@ -173,6 +175,91 @@ def isin_parse(spark, sf_dir):
                          P.format_isin(F.col("p")).alias("formatted"))
 
 
+# ---- write path -------------------------------------------------------------
+
+def upsert_price(spark, sf_dir):
+    """Price snapshot at the cut date, then every later yearly snapshot of
+    each instrument collapsed in order (last non-NULL per column) and
+    merged null-preservingly."""
+    stored = adapter.price(spark, sf_dir, adapter.CUT)
+    batch = M.collapse_batch(adapter.price_batch(spark, sf_dir), "price_data")
+    return M.merge_satellite(stored, batch, "price_data")
+
+
+def upsert_performance(spark, sf_dir):
+    stored = adapter.performance(spark, sf_dir, adapter.CUT)
+    batch = M.collapse_batch(adapter.performance_batch(spark, sf_dir), "performance_metrics")
+    return M.merge_satellite(stored, batch, "performance_metrics")
+
+
+def upsert_details(spark, sf_dir):
+    batch = M.collapse_batch(adapter.details_batch(spark, sf_dir), "share_details")
+    return M.merge_satellite(adapter.details(spark, sf_dir), batch, "share_details")
+
+
+def upsert_market(spark, sf_dir):
+    batch = M.collapse_batch(adapter.market_batch(spark, sf_dir), "market_information")
+    return M.merge_satellite(adapter.market(spark, sf_dir), batch, "market_information")
+
+
+def _listed_hub(spark, sf_dir):
+    """Hub as known before the batch: instruments with a non-negative
+    balance are listed, the others are not yet."""
+    c = read_input(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)
+    return adapter.hub(spark, sf_dir).join(
+        c.select(adapter.isin_of(F.col("c_mktsegment"), F.col("c_custkey")).alias("isin")),
+        "isin", "left_semi")
+
+
+def _share_payloads(spark, sf_dir):
+    return {
+        "share_details": M.collapse_batch(adapter.details_batch(spark, sf_dir), "share_details"),
+        "market_information": M.collapse_batch(adapter.market_batch(spark, sf_dir), "market_information"),
+        "price_data": M.collapse_batch(adapter.price_batch(spark, sf_dir), "price_data"),
+        "performance_metrics": M.collapse_batch(adapter.performance_batch(spark, sf_dir),
+                                                "performance_metrics"),
+    }
+
+
+def fk_rejects(spark, sf_dir):
+    """Share payloads whose ISIN is not in the hub (all four tables refused)."""
+    _, rejects = M.validate_shares(_share_payloads(spark, sf_dir), _listed_hub(spark, sf_dir))
+    return rejects
+
+
+def share_write_accepted(spark, sf_dir):
+    """All-or-nothing per share: the accepted ISINs' merged price rows."""
+    payloads = _share_payloads(spark, sf_dir)
+    accepted, _ = M.validate_shares(payloads, _listed_hub(spark, sf_dir))
+    batch = M.accepted_only(payloads["price_data"], accepted, "price_data")
+    return M.merge_satellite(adapter.price(spark, sf_dir, adapter.CUT), batch, "price_data")
+
+
+def write_metrics(spark, sf_dir):
+    """Insertion metrics of a share batch: total ISINs, committed ISINs."""
+    payloads = _share_payloads(spark, sf_dir)
+    accepted, _ = M.validate_shares(payloads, _listed_hub(spark, sf_dir))
+    keys = payloads["price_data"].select("isin").unionByName(
+        payloads["share_details"].select("isin")).unionByName(
+        payloads["market_information"].select("isin")).unionByName(
+        payloads["performance_metrics"].select("isin")).distinct()
+    outcome = keys.join(accepted.withColumn("inserted", F.lit(True)), "isin", "left") \
+        .select(F.coalesce("inserted", F.lit(False)).alias("inserted"))
+    return MT.insertion_metrics(outcome)
+
+
+def insert_absent(spark, sf_dir):
+    """Hub insert of every instrument into the listed hub: only the absent
+    ones become new rows."""
+    new_rows, _ = M.insert_absent(_listed_hub(spark, sf_dir), adapter.hub(spark, sf_dir))
+    return new_rows
+
+
+def insert_metrics(spark, sf_dir):
+    _, outcome = M.insert_absent(_listed_hub(spark, sf_dir), adapter.hub(spark, sf_dir))
+    return MT.insertion_metrics(outcome)
+
+
 QUERIES = {
     "current_view": current_view,
     "view_by_isin": view_by_isin,
@@ -190,4 +277,13 @@ QUERIES = {
     "price_date_split": price_date_split,
     "price_datetime_split": price_datetime_split,
     "isin_parse": isin_parse,
+    "upsert_price": upsert_price,
+    "upsert_performance": upsert_performance,
+    "upsert_details": upsert_details,
+    "upsert_market": upsert_market,
+    "fk_rejects": fk_rejects,
+    "share_write_accepted": share_write_accepted,
+    "write_metrics": write_metrics,
+    "insert_absent": insert_absent,
+    "insert_metrics": insert_metrics,
 }
