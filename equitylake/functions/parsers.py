@@ -52,18 +52,18 @@ def utrim(c) -> Column:
     return F.regexp_replace(_c(c), _WS, "")
 
 
+# trim, leading '+' run, trim, trailing '%' run, trim -- in one pass
+_FLOAT_CLEAN = r"(?sU)^\s*\+*\s*(.*?)\s*%*\s*$"
+
+
 def parse_float(c) -> Column:
-    s = utrim(c)
-    s = F.regexp_replace(s, r"^\++", "")
-    s = F.regexp_replace(s, r"%+$", "")
-    s = utrim(s)
-    neg = s.startswith("-")
-    s = F.regexp_replace(s, r"^-+", "")
-    norm = F.when(s.rlike(_IT_NUMBER),
-                  F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-                  ).otherwise(F.replace(s, F.lit(","), F.lit("")))
-    val = F.when(norm.rlike(_FLOAT_LITERAL), norm.try_cast("double"))
-    return F.when(neg, -val).otherwise(val)
+    s = F.regexp_extract(_c(c), _FLOAT_CLEAN, 1)
+    sign = F.when(s.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    body = F.regexp_replace(s, r"^-+", "")
+    norm = F.when(body.rlike(_IT_NUMBER), F.translate(body, ",.", ".")) \
+        .otherwise(F.translate(body, ",", ""))
+    val = F.when(norm.rlike(_FLOAT_LITERAL), norm).try_cast("double")
+    return val * sign
 
 
 def parse_uint(c) -> Column:

@@ -149,15 +149,13 @@ def insert_absent(hub: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Dat
 
 
 def flatten_price(df: DataFrame) -> DataFrame:
-    """Nested price record -> flat store columns (price pairs split)."""
-    cols = []
-    for f in schemas.PRICE.fields:
-        hit = [(k, v) for k, v in schemas.PRICE_STRUCTS.items() if f.name in v[:2]]
-        if hit:
-            k, (pcol, tcol, tname) = hit[0]
-            src = F.col(k)["price"] if f.name == pcol else F.col(k)[tname]
-            cols.append(src.alias(f.name))
+    """Nested price pairs -> flat store columns, in place: a struct column
+    ``max_anno{price, date}`` becomes ``max_anno`` and ``max_anno_date``."""
+    out = []
+    for c in df.columns:
+        if c in schemas.PRICE_STRUCTS:
+            pcol, tcol, tname = schemas.PRICE_STRUCTS[c]
+            out += [F.col(c)["price"].alias(pcol), F.col(c)[tname].alias(tcol)]
         else:
-            cols.append(F.col(f.name))
-    extra = [c for c in df.columns if c.startswith("_")]
-    return df.select(*cols, *extra)
+            out.append(F.col(c))
+    return df.select(*out)

@@ -201,6 +201,68 @@ def _insert_outcome_sql() -> str:
             "AND f.fst.n = c.share_name) AS inserted FROM c LEFT JOIN f ON c.isin = f.isin")
 
 
+_LINK_RE = """'<a href="([^"]*)">([^<]*)</a>'"""
+
+
+def _unescape(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), "
+            f"""'&quot;', '"'), '&#39;', ''''), '&amp;', '&')""")
+
+
+NAV_LINKS = (f"SELECT page_id, CAST(link_ord AS INTEGER) AS link_ord, {_unescape('href')} AS href, "
+             f"nullif({_unescape('name')}, '') AS name FROM (SELECT page_id, "
+             "unnest(range(len(h))) AS link_ord, unnest(h) AS href, unnest(n) AS name FROM ("
+             f"SELECT page_id, regexp_extract_all(html, {_LINK_RE}, 1) AS h, "
+             f"regexp_extract_all(html, {_LINK_RE}, 2) AS n "
+             "FROM pages WHERE html IS NOT NULL AND html <> ''))")
+
+_HREF_ISIN = "split_part(regexp_extract(href, '[^/]*$'), '.', 1)"
+
+
+def _link_class_sql() -> str:
+    ok_isin = (f"(octet_length(encode({_HREF_ISIN})) = 12 "
+               f"AND regexp_matches(right({_HREF_ISIN}, 1), '^[0-9]$'))")
+    return (f"SELECT *, {_HREF_ISIN} AS isin, CASE WHEN href IS NULL OR name IS NULL THEN 'invalid_page' "
+            f"WHEN name = '' OR NOT {ok_isin} THEN 'parsing_error' END AS error FROM ({NAV_LINKS})")
+
+
+def _detail_expected() -> str:
+    cols = [c for t in ("price_data", "share_details", "market_information", "performance_metrics")
+            for c in schemas.non_key_columns(t)]
+    return (f"SELECT isin, {', '.join(cols)} FROM ({view_sql()}) "
+            "WHERE (mercato_segmento IS NULL OR mercato_segmento <> 'AUTOMOBILE') "
+            "AND id_strumento IS NOT NULL")
+
+
+def _extraction_sql(C) -> dict[str, str]:
+    return {
+        "detail_extract": _detail_expected(),
+        "scrape_metrics": (
+            "SELECT CAST(count(*) AS INTEGER) AS total, "
+            "CAST(count(*) FILTER (WHERE NOT auto AND has_details) AS INTEGER) AS successful, "
+            "CAST(count(*) FILTER (WHERE auto) AS INTEGER) AS network_error, "
+            "CAST(count(*) FILTER (WHERE NOT auto AND NOT has_details) AS INTEGER) AS invalid_page, "
+            "0 AS timeout, 0 AS max_retries, 0 AS parsing_error FROM ("
+            "SELECT coalesce(mercato_segmento = 'AUTOMOBILE', FALSE) AS auto, "
+            "id_strumento IS NOT NULL AS has_details FROM (" + view_sql() + "))"),
+        "link_extract": NAV_LINKS,
+        "link_dedupe": (f"SELECT isin, name AS share_name, min({ts(C.RUN_AS_OF)}) AS updated_at "
+                        f"FROM ({_link_class_sql()}) WHERE (error IS NULL OR error = 'parsing_error') "
+                        "AND name IS NOT NULL GROUP BY name, isin"),
+        "listing_metrics": (
+            "SELECT CAST(count(*) AS INTEGER) AS total, "
+            "CAST(count(*) FILTER (WHERE error IS NULL) AS INTEGER) AS successful, "
+            "0 AS network_error, "
+            "CAST(count(*) FILTER (WHERE error = 'invalid_page') + "
+            "(SELECT count(*) FROM pages WHERE html IS NULL OR html = '') AS INTEGER) AS invalid_page, "
+            "0 AS timeout, 0 AS max_retries, "
+            "CAST(count(*) FILTER (WHERE error = 'parsing_error') AS INTEGER) AS parsing_error "
+            f"FROM ({_link_class_sql()})"),
+        "detail_urls": ("SELECT isin, 'https://www.borsaitaliana.it/borsa/azioni/dati-completi.html?isin=' "
+                        f"|| isin || '&lang=it' AS url FROM ({HUB})"),
+    }
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -215,6 +277,7 @@ def oracle_sql() -> dict[str, str]:
         "updated_at AS market_stamp, TRUE AS has_perf_object, "
         "performance_1_mese IS NULL AS perf_1m_null FROM (" + view_sql() + ")")
     return {
+        **_extraction_sql(C),
         "current_view": view_sql(),
         "view_by_isin": view_sql(f"si.isin = {_q(C.LOOKUP_ISIN)}"),
         "view_by_prefix": view_sql(f"si.isin ILIKE ({_q(C.LOOKUP_LANG)} || '%')"),

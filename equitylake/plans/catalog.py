@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import parsers as P
 from ..operators import merge as M
 from ..operators import metrics as MT
+from ..operators import extract as X
+from ..operators import html_scan
 from ..sources import adapter
+from ..sources.pages import detail_url
 from ..sources.tables import read_input
-from . import views
+from . import jobs, views
 
 # Lookup parameters of the registered view queries.
 LOOKUP_ISIN = "MA0000000011"
@@ -25,6 +28,7 @@ LOOKUP_LANG = "fu"
 LOOKUP_NAME = "r#00000001"
 STALE_AS_OF = dt.datetime(2001, 9, 1, 12, 0, 0)
 STALE_MIN_AGE = dt.timedelta(days=120)
+RUN_AS_OF = dt.datetime(2002, 1, 15, 9, 30, 0)
 
 
 def _store(spark, sf_dir):
@@ -260,6 +264,58 @@ def insert_metrics(spark, sf_dir):
     return MT.insertion_metrics(outcome)
 
 
+# ---- page extraction --------------------------------------------------------
+
+def _detail_run(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    pages = adapter.render_detail_pages(views.current_view(store))
+    return jobs.extract_shares(store["share_isins"], pages, RUN_AS_OF)
+
+
+def detail_extract(spark, sf_dir):
+    """Detail pages of every instrument scanned, labelled rows assigned to
+    the 27 properties (last match wins), values parsed into the four
+    satellite records (flat store columns)."""
+    wide, _, _ = _detail_run(spark, sf_dir)
+    return wide.drop("page_id", "updated_at", "_numero_contratti_overflow")
+
+
+def scrape_metrics(spark, sf_dir):
+    """Metrics of the detail run: requested, fetched, error kinds."""
+    _, _, metrics = _detail_run(spark, sf_dir)
+    return metrics
+
+
+def _nav_links(spark, sf_dir):
+    pages = read_input(spark, sf_dir, "pages")
+    return X.scan_links(pages, html_scan.NAV_LINKS, None)
+
+
+def link_extract(spark, sf_dir):
+    """Every 'nav a' link of every page: href and first text node."""
+    return _nav_links(spark, sf_dir)
+
+
+def link_dedupe(spark, sf_dir):
+    """Instrument-set semantics over link candidates: (name, last path
+    segment of the href) pairs, duplicates collapsed, earliest stamp kept."""
+    c = X.classify_links(_nav_links(spark, sf_dir), F.lit(RUN_AS_OF).cast("timestamp_ntz"))
+    return M.dedupe_instruments(c.where(F.col("error").isNull() | (F.col("error") == "parsing_error"))
+                                .where(F.col("share_name").isNotNull()))
+
+
+def listing_metrics(spark, sf_dir):
+    """Discovery metrics over all pages read as listing pages ('nav a')."""
+    _, _, metrics = jobs.extract_instruments(read_input(spark, sf_dir, "pages"), RUN_AS_OF,
+                                             html_scan.NAV_LINKS, None)
+    return metrics
+
+
+def detail_urls(spark, sf_dir):
+    """The detail-page URL of every instrument."""
+    return adapter.hub(spark, sf_dir).select("isin", detail_url(F.col("isin")).alias("url"))
+
+
 QUERIES = {
     "current_view": current_view,
     "view_by_isin": view_by_isin,
@@ -286,4 +342,10 @@ QUERIES = {
     "write_metrics": write_metrics,
     "insert_absent": insert_absent,
     "insert_metrics": insert_metrics,
+    "detail_extract": detail_extract,
+    "scrape_metrics": scrape_metrics,
+    "link_extract": link_extract,
+    "link_dedupe": link_dedupe,
+    "listing_metrics": listing_metrics,
+    "detail_urls": detail_urls,
 }

@@ -223,3 +223,74 @@ def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "market_information": market(spark, sf_dir),
             "price_data": price(spark, sf_dir),
             "performance_metrics": performance(spark, sf_dir)}
+
+
+# ---- stand-in detail pages -------------------------------------------------
+
+def _esc(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
+                               F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _label(term: str) -> str:
+    # the site's row labels: title-cased terms, accented letters as entities
+    return term.title().replace("à", "&agrave;")
+
+
+def _it(c: Column, decimals: int = 20) -> Column:
+    return F.translate(F.format_number(c, decimals), ",.", ".,")
+
+
+def _rendered_value(name: str, kind: str) -> Column:
+    from ..schemas import PRICE_STRUCTS
+    c = F.col(name)
+    if kind == "float":
+        return _it(c)
+    if kind == "text":
+        return _esc(c)
+    if kind == "datetime":
+        return F.date_format(c, "dd/MM/yy HH.mm.ss")
+    if kind == "int":
+        return F.translate(F.format_number(c, 0), ",", ".")
+    _, tcol, tname = PRICE_STRUCTS[name]
+    fmt = "dd/MM/yy" if tname == "date" else "dd/MM/yy HH.mm.ss"
+    both_null = c.isNull() & F.col(tcol).isNull()
+    return F.when(~both_null, F.concat(F.coalesce(_it(c), F.lit("")), F.lit(" - "),
+                                       F.coalesce(F.date_format(tcol, fmt), F.lit(""))))
+
+
+def _row(label: str, value: Column) -> Column:
+    head = f"<tr><td><strong>{label}</strong></td><td>"
+    return F.when(value.isNull(), F.lit(head + "</td></tr>")).otherwise(
+        F.concat(F.lit(head + '<span class="t-text -right">'), value, F.lit("</span></td></tr>")))
+
+
+def render_detail_pages(view: DataFrame) -> DataFrame:
+    """One site-like detail page per instrument of the current view.
+
+    Stand-in fetch results: instruments of the AUTOMOBILE segment have no
+    page (never fetched), instruments without a details record have an
+    empty body. The page lists every property as a labelled row (a row
+    without a value when the stored value is NULL), starts with an older
+    duplicate of the last-price row, has a row without a label and keeps
+    the three performance rows in a nested table.
+    """
+    from ..schemas import PROPERTIES
+    from .pages import detail_url
+    main = [_row(_label(term), _rendered_value(name, kind))
+            for name, term, table, kind in PROPERTIES if table != "performance_metrics"]
+    perf = [_row(_label(term), _rendered_value(name, kind))
+            for name, term, table, kind in PROPERTIES if table == "performance_metrics"]
+    html = F.concat(
+        F.lit('<!DOCTYPE html><html><head><title>Scheda</title><script>var t="</td>";</script>'
+              '</head><body><div class="l-box"><table class="m-table">'),
+        _row(_label("prezzo ultimo contratto"), F.lit("0,00")),
+        *main,
+        F.lit('<tr><td>Nota</td><td><span class="t-text -right">n/d</span></td></tr>'
+              '<tr><td colspan="2"><table class="m-table -nested">'),
+        *perf,
+        F.lit("</table></td></tr></table></div></body></html>"))
+    return (view.where(F.col("mercato_segmento").isNull() | (F.col("mercato_segmento") != "AUTOMOBILE"))
+            .select(F.substring("isin", 3, 9).cast("bigint").alias("page_id"),
+                    detail_url(F.col("isin")).alias("url"),
+                    F.when(F.col("id_strumento").isNull(), F.lit("")).otherwise(html).alias("html")))
