@@ -120,19 +120,31 @@ def text_or_na(c) -> Column:
     return F.coalesce(_c(c), F.lit("N/A"))
 
 
+def price_date_fields(c) -> tuple[Column, Column]:
+    """(price, date) of ``price_date`` as two columns (both NULL when the
+    separator is missing), without building the struct."""
+    _, left, right = _split_once(text_or_na(c), " - ")
+    return parse_float(left), parse_date(right)
+
+
+def price_datetime_fields(c) -> tuple[Column, Column]:
+    _, left, right = _split_once(text_or_na(c), "-")
+    return parse_float(utrim(left)), parse_datetime(utrim(right))
+
+
 def price_date(c) -> Column:
     s = text_or_na(c)
-    pos, left, right = _split_once(s, " - ")
-    return F.when(pos > 0, F.struct(parse_float(left).alias("price"),
-                                    parse_date(right).alias("date")))
+    price, date = price_date_fields(s)
+    return F.when(F.instr(s, " - ") > 0, F.struct(price.alias("price"), date.alias("date")))
 
 
 def price_datetime(c) -> Column:
     s = text_or_na(c)
-    pos, left, right = _split_once(s, "-")
-    return F.when(pos > 0, F.struct(parse_float(utrim(left)).alias("price"),
-                                    parse_datetime(utrim(right)).alias("datetime")))
+    price, dtm = price_datetime_fields(s)
+    return F.when(F.instr(s, "-") > 0, F.struct(price.alias("price"), dtm.alias("datetime")))
+
 
+FIELD_PARSERS = {"price_date": price_date_fields, "price_datetime": price_datetime_fields}
 
 PARSERS = {
     "float": parse_float,

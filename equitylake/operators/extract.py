@@ -68,15 +68,18 @@ def assign_properties(rows: DataFrame) -> DataFrame:
 def typed_wide(raw: DataFrame, keep: tuple = ("isin",)) -> DataFrame:
     """Raw property strings -> one typed row per page with the flat store
     columns of all four satellites (``updated_at`` must be on ``raw``),
-    plus ``_numero_contratti_overflow`` for the write validation."""
-    from .merge import flatten_price
-    cols = [P.PARSERS[kind](F.col(name)).alias(name) for name, _, _, kind in schemas.PROPERTIES]
-    typed = raw.select(*keep, *cols, F.col("updated_at"),
-                       P.int_overflow(F.col("numero_contratti")).alias("_numero_contratti_overflow"))
-    others = [c for t in ("share_details", "market_information", "performance_metrics")
-              for c in schemas.non_key_columns(t)]
-    return flatten_price(typed).select(*keep, *schemas.non_key_columns("price_data"), *others,
-                                       "updated_at", "_numero_contratti_overflow")
+    plus ``_numero_contratti_overflow`` for the write validation. Price
+    pairs are parsed straight into their two flat columns."""
+    typed = {}
+    for name, _, _, kind in schemas.PROPERTIES:
+        if kind in P.FIELD_PARSERS:
+            pcol, tcol, _ = schemas.PRICE_STRUCTS[name]
+            typed[pcol], typed[tcol] = P.FIELD_PARSERS[kind](F.col(name))
+        else:
+            typed[name] = P.PARSERS[kind](F.col(name))
+    cols = [c for t in schemas.SATELLITES for c in schemas.non_key_columns(t)]
+    return raw.select(*keep, *[typed[c].alias(c) for c in cols], "updated_at",
+                      P.int_overflow(F.col("numero_contratti")).alias("_numero_contratti_overflow"))
 
 
 def nested_price(price: DataFrame) -> Column:
