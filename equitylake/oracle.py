@@ -278,6 +278,8 @@ def oracle_sql() -> dict[str, str]:
         "performance_1_mese IS NULL AS perf_1m_null FROM (" + view_sql() + ")")
     return {
         **_extraction_sql(C),
+        "fetch_outcome": FETCH_RESOLVED,
+        "fetch_metrics": FETCH_METRICS,
         "current_view": view_sql(),
         "view_by_isin": view_sql(f"si.isin = {_q(C.LOOKUP_ISIN)}"),
         "view_by_prefix": view_sql(f"si.isin ILIKE ({_q(C.LOOKUP_LANG)} || '%')"),
@@ -326,3 +328,51 @@ def oracle_sql() -> dict[str, str]:
                            f"CAST(count(*) FILTER (WHERE inserted) AS INTEGER) AS successful "
                            f"FROM ({_insert_outcome_sql()})"),
     }
+
+
+FETCH_LOG = """WITH a0 AS (
+  SELECT 'https://fetch.example.org/u/' || CAST(event_id // 8 AS VARCHAR) AS url,
+         CAST(event_id % 8 + 1 AS INTEGER) AS attempt_no,
+         event_type = 'signup' AND value < 50 AS net_error,
+         CASE WHEN event_type = 'signup' AND value < 50 THEN NULL
+              WHEN event_type = 'view' THEN 200 WHEN event_type = 'click' THEN 503
+              WHEN event_type = 'error' THEN 500 WHEN event_type = 'purchase' THEN 429
+              ELSE 404 END AS status,
+         value, props, CAST(round(value * 100) AS BIGINT) AS dur_ms, ts FROM events),
+a1 AS (SELECT *, min(ts) OVER (PARTITION BY url) AS base,
+         coalesce(sum(dur_ms) OVER (PARTITION BY url ORDER BY attempt_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM a0),
+log AS (SELECT url, attempt_no, status, net_error,
+         CASE WHEN status = 200 THEN CASE WHEN value < 5 THEN '' ELSE props END END AS body,
+         base + to_milliseconds(prev + ((1 << attempt_no) - 2) * 1000) AS started_at,
+         base + to_milliseconds(prev + ((1 << attempt_no) - 2) * 1000 + dur_ms) AS ended_at FROM a1)"""
+
+FETCH_RESOLVED = FETCH_LOG + """,
+a AS (SELECT *, CASE WHEN net_error THEN 'exit' WHEN status = 200 THEN 'return'
+         WHEN status IN (429, 502, 503, 504, 500) THEN 'retry' ELSE 'exit' END AS cls
+      FROM log WHERE attempt_no BETWEEN 1 AND 8),
+g AS (SELECT url,
+         min(struct_pack(n := attempt_no, cls := cls, e := ended_at, status := status,
+                         empty := (body IS NULL OR body = ''))) FILTER (WHERE cls <> 'retry') AS d,
+         count(*) FILTER (WHERE cls = 'retry') AS n_retry,
+         max(ended_at) FILTER (WHERE attempt_no = 8) AS end_last,
+         min(started_at) AS start, max(ended_at) AS end_seen, count(*) AS attempts
+      FROM a GROUP BY url),
+h AS (SELECT *, d IS NULL AND n_retry >= 8 AS exhausted,
+         CASE WHEN d IS NOT NULL THEN d.e WHEN d IS NULL AND n_retry >= 8 THEN end_last
+              ELSE end_seen END AS fin FROM g),
+o AS (SELECT *, CASE WHEN fin > start + INTERVAL 256 SECOND THEN 'timeout'
+                     WHEN d IS NOT NULL THEN d.cls WHEN exhausted THEN 'max_retries'
+                     ELSE 'pending' END AS outcome FROM h)
+SELECT url, CAST(attempts AS INTEGER) AS attempts, outcome,
+       CASE WHEN outcome = 'exit' THEN 'network_error'
+            WHEN outcome IN ('timeout', 'max_retries') THEN outcome
+            WHEN outcome = 'return' AND d.empty THEN 'invalid_page' END AS error,
+       d.n AS decisive_attempt, d.status AS status,
+       date_diff('millisecond', start, fin) AS elapsed_ms FROM o"""
+
+FETCH_METRICS = ("SELECT CAST(count(*) AS INTEGER) AS total, "
+                 "CAST(count(*) FILTER (WHERE error IS NULL) AS INTEGER) AS successful, "
+                 + ", ".join(f"CAST(count(*) FILTER (WHERE error = '{k}') AS INTEGER) AS {k}"
+                             for k in schemas.ERROR_KINDS)
+                 + f" FROM ({FETCH_RESOLVED}) WHERE outcome <> 'pending'")

@@ -16,6 +16,7 @@ from ..functions import parsers as P
 from ..operators import merge as M
 from ..operators import metrics as MT
 from ..operators import extract as X
+from ..operators import fetchlog as FL
 from ..operators import html_scan
 from ..sources import adapter
 from ..sources.pages import detail_url
@@ -316,6 +317,18 @@ def detail_urls(spark, sf_dir):
     return adapter.hub(spark, sf_dir).select("isin", detail_url(F.col("isin")).alias("url"))
 
 
+# ---- fetch log --------------------------------------------------------------
+
+def fetch_outcome(spark, sf_dir):
+    """Every URL of the attempt log resolved by the retry rules."""
+    return FL.resolve(adapter.fetch_attempts(spark, sf_dir))
+
+
+def fetch_metrics(spark, sf_dir):
+    """Error histogram of the resolved fetches."""
+    return FL.fetch_metrics(FL.resolve(adapter.fetch_attempts(spark, sf_dir)))
+
+
 QUERIES = {
     "current_view": current_view,
     "view_by_isin": view_by_isin,
@@ -348,4 +361,6 @@ QUERIES = {
     "link_dedupe": link_dedupe,
     "listing_metrics": listing_metrics,
     "detail_urls": detail_urls,
+    "fetch_outcome": fetch_outcome,
+    "fetch_metrics": fetch_metrics,
 }

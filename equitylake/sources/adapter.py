@@ -294,3 +294,40 @@ def render_detail_pages(view: DataFrame) -> DataFrame:
             .select(F.substring("isin", 3, 9).cast("bigint").alias("page_id"),
                     detail_url(F.col("isin")).alias("url"),
                     F.when(F.col("id_strumento").isNull(), F.lit("")).otherwise(html).alias("html")))
+
+
+# ---- stand-in fetch log ------------------------------------------------------
+
+def fetch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawler's attempt log shaped from ``events``: each run of eight
+    consecutive event ids is one URL and its attempts 1-8; the event type
+    gives the HTTP answer (view 200, click 503, error 500, purchase 429,
+    signup 404, or a transport error when its value is below 50); a 200
+    with a value below 5 has an empty body. An attempt lasts value/10 s and
+    the crawler waits 2^(k-1) s before attempt k; the first attempt starts
+    at the earliest event time of the URL.
+    """
+    from pyspark.sql import Window
+    e = read_input(spark, sf_dir, "events")
+    url = F.format_string("https://fetch.example.org/u/%d", F.expr("event_id div 8"))
+    net = (F.col("event_type") == "signup") & (F.col("value") < 50)
+    status = (F.when(net, F.lit(None))
+              .when(F.col("event_type") == "view", F.lit(200))
+              .when(F.col("event_type") == "click", F.lit(503))
+              .when(F.col("event_type") == "error", F.lit(500))
+              .when(F.col("event_type") == "purchase", F.lit(429))
+              .otherwise(F.lit(404))).cast("int")
+    a = e.select(url.alias("url"), (F.col("event_id") % 8 + 1).cast("int").alias("attempt_no"),
+                 status.alias("status"), net.alias("net_error"),
+                 F.when(status == 200, F.when(F.col("value") < 5, F.lit("")).otherwise(F.col("props")))
+                 .alias("body"),
+                 F.round(F.col("value") * 100).cast("bigint").alias("dur_ms"), "ts")
+    # each URL has at most eight attempts: these windows are bounded
+    w = Window.partitionBy("url")
+    prev = F.coalesce(F.sum("dur_ms").over(
+        w.orderBy("attempt_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    waits = (F.expr("shiftleft(1, attempt_no)") - 2) * 1000
+    start = F.timestamp_add("MILLISECOND", prev + waits, F.min("ts").over(w))
+    return a.select("url", "attempt_no", "status", "net_error", "body",
+                    start.alias("started_at"),
+                    F.timestamp_add("MILLISECOND", F.col("dur_ms"), start).alias("ended_at"))
