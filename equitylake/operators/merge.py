@@ -66,7 +66,8 @@ def merge_satellite(stored: DataFrame, batch: DataFrame, table: str,
     # batch ISINs not stored yet: find the stored ones among the batch keys
     # with a broadcast semi join (reads only the isin column)
     known = stored.select("isin").join(F.broadcast(new.select("isin")), "isin", "left_semi")
-    inserted = new.join(known, "isin", "left_anti").select(
+    # ``known`` is a subset of the (size-checked) batch keys
+    inserted = new.join(F.broadcast(known), "isin", "left_anti").select(
         "isin", *[F.col(f"_new_{c}").alias(c) for c in cols])
     return updated.unionByName(inserted).select(*out_cols)
 
