@@ -20,7 +20,7 @@ from ..operators import extract as X
 from ..operators import html_scan
 from ..operators import merge as M
 from ..operators import metrics as MT
-from ..session import staging_path
+from ..session import staging_path, utc_now
 from ..sources.pages import detail_url, page_error
 from ..sources.store import Store
 from . import views
@@ -142,7 +142,7 @@ def refresh(store: Store, pages: DataFrame, min_age: dt.timedelta = DEFAULT_REFR
     """Incremental (or, with ``all_shares``, full) refresh of the satellites
     from detail pages. Returns the run record."""
     spark = store.spark
-    start = dt.datetime.utcnow()
+    start = utc_now()
     as_of = as_of or start
     current = store.tables()
     todo = (current["share_isins"] if all_shares
@@ -154,7 +154,7 @@ def refresh(store: Store, pages: DataFrame, min_age: dt.timedelta = DEFAULT_REFR
     scrape = _stage(scrape, "scrape-metrics")
     _, insert, _ = write_shares(store, wide, current["share_isins"], current)
     run = MT.run_record(spark, "refresh_all" if all_shares else "refresh", scrape, insert,
-                        start, dt.datetime.utcnow())
+                        start, utc_now())
     store.append_run(run)
     return run
 
@@ -167,7 +167,7 @@ def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None =
              chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME) -> DataFrame:
     """Listing pages -> new hub rows (known ISINs untouched). Returns the run record."""
     spark = store.spark
-    start = dt.datetime.utcnow()
+    start = utc_now()
     instruments, _, scrape = extract_instruments(listing_pages, as_of or start, chain, name)
     instruments = _stage(instruments, "instruments")
     scrape = _stage(scrape, "scrape-metrics")
@@ -178,6 +178,6 @@ def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None =
         "isin", "share_name", "updated_at"))
     store.write({"share_isins": hub})
     run = MT.run_record(spark, "discover", scrape, MT.insertion_metrics(outcome),
-                        start, dt.datetime.utcnow())
+                        start, utc_now())
     store.append_run(run)
     return run

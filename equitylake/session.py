@@ -81,3 +81,9 @@ def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/equitylake-staging/{name}-{uuid.uuid4().hex}"
+
+
+def utc_now():
+    """Current UTC wall-clock time without zone (the store's stamp type)."""
+    import datetime as dt
+    return dt.datetime.now(dt.UTC).replace(tzinfo=None)

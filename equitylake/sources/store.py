@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import utc_now
 from .tables import read_store_table
 
 _COMMIT_COLS = ["version", "committed_at", *schemas.TABLES]
@@ -63,7 +64,7 @@ class Store:
             # lookups on isin skip row groups
             df.select(*cols).sortWithinPartitions("isin").write.mode("errorifexists").parquet(path)
             paths[t] = path
-        row = {"version": version, "committed_at": dt.datetime.utcnow(), **paths}
+        row = {"version": version, "committed_at": utc_now(), **paths}
         schema = ("version BIGINT, committed_at TIMESTAMP_NTZ, "
                   + ", ".join(f"{t} STRING" for t in schemas.TABLES))
         (self.spark.createDataFrame([tuple(row[c] for c in _COMMIT_COLS)], schema)
