@@ -41,11 +41,23 @@ def _page_iter(fn, out_cols):
     return run
 
 
-def scan_detail_rows(pages: DataFrame) -> DataFrame:
-    """Labelled table rows of every page (schema ``schemas.PAGE_ROWS``)."""
+def _detail_iter(batches):
     cols = [f.name for f in schemas.PAGE_ROWS.fields]
-    return pages.select("page_id", "html").mapInPandas(
-        _page_iter(html_scan.detail_rows, cols), schemas.PAGE_ROWS)
+    for pdf in batches:
+        rows = []
+        for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+            empty = html is None or html == ""
+            rows.append((pid, url, -1, -1, None, None, empty))
+            if not empty:
+                rows.extend((pid, url, t, r, lab, val, None)
+                            for t, r, lab, val in html_scan.detail_rows(html))
+        yield pd.DataFrame(rows, columns=cols)
+
+
+def scan_detail_rows(pages: DataFrame) -> DataFrame:
+    """One marker row per page plus its labelled table rows (schema
+    ``schemas.PAGE_ROWS``). Pages are read once; html goes no further."""
+    return pages.select("page_id", "url", "html").mapInPandas(_detail_iter, schemas.PAGE_ROWS)
 
 
 def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
@@ -57,12 +69,13 @@ def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
 
 
 def assign_properties(rows: DataFrame) -> DataFrame:
-    """(page_id, one raw string column per property)."""
+    """(page_id, url, empty_page, one raw string column per property)."""
     label = F.lower(F.col("label"))
     ord_ = F.struct(F.col("table_ord"), F.col("row_ord"))
     aggs = [F.max_by(F.col("value"), F.when(F.contains(label, F.lit(term)), ord_)).alias(name)
             for name, term, _, _ in schemas.PROPERTIES]
-    return rows.groupBy("page_id").agg(*aggs)
+    return rows.groupBy("page_id", "url").agg(
+        F.coalesce(F.max("empty_page"), F.lit(False)).alias("empty_page"), *aggs)
 
 
 def typed_wide(raw: DataFrame, keep: tuple = ("isin",)) -> DataFrame:

@@ -1,6 +1,6 @@
 """Per-page HTML scanning for ``mapInPandas`` (the only Python-side step).
 
-A page is tokenised once with the standard-library ``html.parser`` into a
+A page is tokenised once (one compiled regular expression) into a
 flat, document-ordered list of elements (tag, attributes, parent, and the
 span of sequence numbers its subtree covers) plus text nodes. HTML5's
 usual leniency is applied where the pages need it: void elements have no
@@ -21,9 +21,10 @@ Two outputs, both small per page:
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset(("script", "style"))
@@ -48,17 +49,23 @@ DETAIL_VALUE = Compound("span", ("t-text", "-right"))
 NAV_LINKS = (Compound("nav"), Compound("a"))
 
 
-class Document(HTMLParser):
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)"                                  # comment
+    r"|<[!?][^>]*>?"                                     # doctype / processing
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # tag
+    r"|<|[^<]+", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+
+
+class Document:
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tag, self.attrs, self.parent, self.start, self.end = [], [], [], [], []
         self.text_seq, self.texts = [], []
         self._stack: list[int] = []
         self._seq = 0
         self._buf: list[str] = []
         self._raw = 0
-        self.feed(html)
-        self.close()
+        self._tokenize(html)
         self._flush()
         while self._stack:
             self._pop()
@@ -66,6 +73,36 @@ class Document(HTMLParser):
         for i, t in enumerate(self.tag):
             self._by_tag.setdefault(t, []).append(i)
 
+    def _tokenize(self, html: str):
+        pos, n = 0, len(html)
+        while pos < n:
+            m = _TOKEN.match(html, pos)
+            tok = m.group(0)
+            pos = m.end()
+            name = m.group(2)
+            if name is None:
+                if tok.startswith("<!--"):
+                    self.handle_comment(tok)
+                elif tok == "<" or tok[0] != "<":
+                    self.handle_data(unescape(tok) if "&" in tok else tok)
+                continue
+            name = name.lower()
+            if m.group(1):
+                self.handle_endtag(name)
+                continue
+            rest = m.group(3)
+            # findall gives '' for the quote styles not used
+            attrs = [(a.lower(), unescape(v1 or v2 or v3))
+                     for a, v1, v2, v3 in _ATTR.findall(rest)]
+            if rest.rstrip().endswith("/"):
+                self.handle_startendtag(name, attrs)
+                continue
+            self.handle_starttag(name, attrs)
+            if name in RAW_TEXT:  # raw text up to the matching end tag
+                close = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
+                pos = close.end() if close else n
+                self.handle_endtag(name)
+
     # ---- tree building
     def _flush(self):
         if self._buf:

@@ -270,7 +270,8 @@ def insert_metrics(spark, sf_dir):
 def _detail_run(spark, sf_dir):
     store = _store(spark, sf_dir)
     pages = adapter.render_detail_pages(views.current_view(store))
-    return jobs.extract_shares(store["share_isins"], pages, RUN_AS_OF)
+    hub = store["share_isins"]
+    return jobs.extract_shares(hub, pages, RUN_AS_OF, broadcast_requests=M.fits_broadcast(hub))
 
 
 def detail_extract(spark, sf_dir):

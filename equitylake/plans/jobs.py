@@ -60,41 +60,55 @@ def extract_instruments(pages: DataFrame, as_of: dt.datetime | None = None,
 
 # ---- detail pages -----------------------------------------------------------
 
-def extract_shares(instruments: DataFrame, pages: DataFrame, as_of: dt.datetime | None = None,
-                   broadcast_requests: bool = False):
-    """Detail pages of the requested instruments -> (wide typed records,
-    per-instrument outcome, metrics row).
-
-    ``instruments``: (isin, share_name, ...). Each is looked up by its
-    detail URL; a missing page is a network error, an empty one an invalid
-    page; every fetched page yields a record (absent properties NULL).
-    Several pages for one URL yield several records (collapsed at write).
-    ``broadcast_requests``: the caller has checked the request set is
-    small; then pages are filtered map-side and never shuffled.
+def scan_requested(instruments: DataFrame, pages: DataFrame,
+                   broadcast_requests: bool = False) -> DataFrame:
+    """One row per (requested ISIN, page of its detail URL) with the raw
+    property strings; a requested ISIN without a page has a NULL page_id.
+
+    Pages are filtered to the requested URLs before the scan (map-side when
+    ``broadcast_requests`` -- the caller has checked the request set is
+    small) and read exactly once; only small rows are shuffled after it.
     """
     req = instruments.select("isin", detail_url(F.col("isin")).alias("url"))
     req_urls = req.select("url").distinct()
     if broadcast_requests:
         req_urls = F.broadcast(req_urls)
-    # only (page_id, url, status) travel through joins; html stays in the scan
-    meta = pages.select("page_id", "url", page_error(F.col("html")).alias("error"))
-    wanted = pages.join(req_urls, "url", "left_semi")
-    rows = X.scan_detail_rows(wanted.where(page_error(F.col("html")).isNull()))
-    props = X.assign_properties(rows)
-    ok = meta.where(F.col("error").isNull()).join(req, "url")
-    raw = (ok.join(props, "page_id", "left")
-           .withColumn("updated_at", _as_of(as_of)))
-    records = X.typed_wide(raw, keep=("isin", "page_id"))
-    per_isin = (req.join(meta, "url", "left")
-                .groupBy("isin").agg(
-                    F.count_if(F.col("page_id").isNotNull() & F.col("error").isNull()).alias("n_ok"),
-                    F.count_if(F.col("error").isNotNull()).alias("n_bad")))
-    outcome = per_isin.select(
+    props = X.assign_properties(X.scan_detail_rows(pages.join(req_urls, "url", "left_semi")))
+    return req.join(props, "url", "left")
+
+
+def records_of(scanned: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
+    """Typed wide records of every fetched (non-empty) page."""
+    ok = scanned.where(F.col("page_id").isNotNull() & ~F.col("empty_page"))
+    return X.typed_wide(ok.withColumn("updated_at", _as_of(as_of)), keep=("isin", "page_id"))
+
+
+def outcomes_of(scanned: DataFrame) -> DataFrame:
+    """Per requested ISIN: fetched, empty body (invalid_page) or no page
+    (network_error)."""
+    per_isin = scanned.groupBy("isin").agg(
+        F.count_if(F.col("page_id").isNotNull() & ~F.col("empty_page")).alias("n_ok"),
+        F.count_if(F.col("empty_page")).alias("n_bad"))
+    return per_isin.select(
         "isin", F.lit(True).alias("counted"), (F.col("n_ok") > 0).alias("ok"),
         F.when(F.col("n_ok") > 0, F.lit(None))
          .when(F.col("n_bad") > 0, F.lit("invalid_page"))
          .otherwise(F.lit("network_error")).alias("error"))
-    return records, outcome, MT.scrape_metrics(outcome)
+
+
+def extract_shares(instruments: DataFrame, pages: DataFrame, as_of: dt.datetime | None = None,
+                   broadcast_requests: bool = False):
+    """Detail pages of the requested instruments -> (wide typed records,
+    per-instrument outcome, metrics row).
+
+    ``instruments``: (isin, ...). Each is looked up by its detail URL; a
+    missing page is a network error, an empty one an invalid page; every
+    fetched page yields a record (absent properties NULL). Several pages
+    for one URL yield several records (collapsed at write).
+    """
+    scanned = scan_requested(instruments, pages, broadcast_requests)
+    outcome = outcomes_of(scanned)
+    return records_of(scanned, as_of), outcome, MT.scrape_metrics(outcome)
 
 
 def split_records(wide: DataFrame) -> dict[str, DataFrame]:
@@ -148,10 +162,10 @@ def refresh(store: Store, pages: DataFrame, min_age: dt.timedelta = DEFAULT_REFR
     todo = (current["share_isins"] if all_shares
             else views.stale_set(current, min_age, as_of))
     todo = _stage(todo.select("isin", "share_name"), "requested")
-    wide, outcome, scrape = extract_shares(todo, pages, as_of,
-                                           broadcast_requests=M.fits_broadcast(todo))
-    wide = _stage(wide, "extracted")
-    scrape = _stage(scrape, "scrape-metrics")
+    scanned = _stage(scan_requested(todo, pages, broadcast_requests=M.fits_broadcast(todo)),
+                     "scanned")
+    wide = _stage(records_of(scanned, as_of), "extracted")
+    scrape = _stage(MT.scrape_metrics(outcomes_of(scanned)), "scrape-metrics")
     _, insert, _ = write_shares(store, wide, current["share_isins"], current)
     run = MT.run_record(spark, "refresh_all" if all_shares else "refresh", scrape, insert,
                         start, utc_now())

@@ -128,10 +128,11 @@ METRICS = T.StructType([
 ])
 INSERT_METRICS = T.StructType([_f("total", I, False), _f("successful", I, False)])
 
-# Raw detail-page rows produced by the page scanner.
+# Raw detail-page rows produced by the page scanner: one marker row per
+# page (table_ord -1, ``empty_page`` set) plus one row per labelled row.
 PAGE_ROWS = T.StructType([
-    _f("page_id", T.LongType(), False), _f("table_ord", I, False),
-    _f("row_ord", I, False), _f("label", S), _f("value", S),
+    _f("page_id", T.LongType(), False), _f("url", S), _f("table_ord", I, False),
+    _f("row_ord", I, False), _f("label", S), _f("value", S), _f("empty_page", T.BooleanType()),
 ])
 # Raw listing links produced by the page scanner.
 PAGE_LINKS = T.StructType([

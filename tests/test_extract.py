@@ -53,7 +53,9 @@ def test_assign_and_type(spark):
     pages = _pages(spark, PAGE, "<p>no tables</p>", "")
     rows = X.scan_detail_rows(pages)
     props = X.assign_properties(rows)
-    raw = (pages.select("page_id").join(props, "page_id", "left")
+    empties = {r.page_id: r.empty_page for r in props.collect()}
+    assert empties == {1: False, 2: False, 3: True}  # every page has a marker row
+    raw = (props.drop("url")
            .withColumn("updated_at", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
            .withColumn("isin", F.lit("IT0001233417")))
     wide = {r.page_id: r for r in X.typed_wide(raw, keep=("isin", "page_id")).collect()}
