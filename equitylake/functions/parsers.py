@@ -226,3 +226,25 @@ def nan_to_null(c) -> Column:
     """JSON writers emit "NaN"/"Infinity" strings; the store's JSON gives null."""
     x = _c(c)
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
+
+
+# ---- default parses ------------------------------------------------------
+# The "default" flavour of every parser: a value that does not parse gives
+# the type's default instead of NULL (0, "N/A", 1970-01-01 00:00:00, or a
+# pair whose fields are NULL).
+
+def parse_or_default(kind: str, c) -> Column:
+    import datetime as dt
+    v = PARSERS[kind](_c(c))
+    if kind == "float":
+        return F.coalesce(v, F.lit(0.0))
+    if kind == "int":
+        return F.coalesce(v, F.lit(0))
+    if kind == "text":
+        return text_or_na(c)
+    if kind == "datetime":
+        return F.coalesce(v, F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"))
+    second = "date" if kind == "price_date" else "datetime"
+    typ = "date" if kind == "price_date" else "timestamp_ntz"
+    return F.coalesce(v, F.struct(F.lit(None).cast("double").alias("price"),
+                                  F.lit(None).cast(typ).alias(second)))

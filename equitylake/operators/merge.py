@@ -160,3 +160,11 @@ def flatten_price(df: DataFrame) -> DataFrame:
         else:
             out.append(F.col(c))
     return df.select(*out)
+
+
+def empty_records(instruments: DataFrame, table: str, as_of: Column) -> DataFrame:
+    """An all-NULL record of ``table`` for every instrument: key and stamp
+    set, every other column NULL."""
+    cols = [F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schemas.TABLES[table].fields if f.name not in ("isin", "updated_at")]
+    return instruments.select("isin", *cols, as_of.cast("timestamp_ntz").alias("updated_at"))

@@ -279,6 +279,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         **_extraction_sql(C),
         "fetch_outcome": FETCH_RESOLVED,
+        "isins_json": (f"SELECT share_name, substr(isin, 1, 2) AS country, substr(isin, 3, 9) AS nna, "
+                       f"CAST(substr(isin, 12, 1) AS INTEGER) AS check_digit, updated_at FROM ({HUB})"),
         "fetch_metrics": FETCH_METRICS,
         "current_view": view_sql(),
         "view_by_isin": view_sql(f"si.isin = {_q(C.LOOKUP_ISIN)}"),

@@ -74,27 +74,47 @@ def stale_set(spark, sf_dir):
     return views.stale_set(_store(spark, sf_dir), STALE_MIN_AGE, STALE_AS_OF)
 
 
+_JSON_BACK = ("share_id STRUCT<share_name STRING, isin STRUCT<country STRING, nna STRING, "
+              "`check` INT>>, share_details STRUCT<codice_alfanumerico STRING>, "
+              "price_data STRUCT<max_anno STRUCT<price DOUBLE, date DATE>, "
+              "prezzo_riferimento STRUCT<price DOUBLE, datetime TIMESTAMP_NTZ>, "
+              "numero_contratti BIGINT>, performance_metrics STRUCT<performance_1_anno DOUBLE>, "
+              "market_information STRUCT<updated_at TIMESTAMP_NTZ>")
+
+
 def nested_share_json(spark, sf_dir):
-    """Nested JSON of every share, read back field by field."""
+    """Nested JSON of every share (null fields written), read back."""
     j = views.shares_json(views.current_view(_store(spark, sf_dir)))
-    g = lambda p: F.get_json_object("json", p)
-    return j.select(
-        g("$.share_id.isin.country").alias("country"),
-        g("$.share_id.isin.nna").alias("nna"),
-        g("$.share_id.isin.check").cast("int").alias("check_digit"),
-        g("$.share_id.share_name").alias("share_name"),
-        g("$.share_details.codice_alfanumerico").alias("codice_alfanumerico"),
-        g("$.price_data.max_anno.price").cast("double").alias("max_anno_price"),
-        g("$.price_data.max_anno.date").cast("date").alias("max_anno_date"),
-        g("$.price_data.prezzo_riferimento.datetime").cast("timestamp_ntz").alias("rif_datetime"),
-        g("$.price_data.numero_contratti").cast("bigint").alias("numero_contratti"),
-        g("$.performance_metrics.performance_1_anno").cast("double").alias("perf_1_anno"),
-        g("$.market_information.updated_at").cast("timestamp_ntz").alias("market_stamp"),
-        F.get_json_object("json", "$.performance_metrics").isNotNull().alias("has_perf_object"),
+    r = j.select(F.from_json("json", _JSON_BACK).alias("r"), "json")
+    return r.select(
+        F.col("r.share_id.isin.country").alias("country"),
+        F.col("r.share_id.isin.nna").alias("nna"),
+        F.col("r.share_id.isin.check").alias("check_digit"),
+        F.col("r.share_id.share_name").alias("share_name"),
+        F.col("r.share_details.codice_alfanumerico").alias("codice_alfanumerico"),
+        F.col("r.price_data.max_anno.price").alias("max_anno_price"),
+        F.col("r.price_data.max_anno.date").alias("max_anno_date"),
+        F.col("r.price_data.prezzo_riferimento.datetime").alias("rif_datetime"),
+        F.col("r.price_data.numero_contratti").alias("numero_contratti"),
+        F.col("r.performance_metrics.performance_1_anno").alias("perf_1_anno"),
+        F.col("r.market_information.updated_at").alias("market_stamp"),
+        F.col("r.performance_metrics").isNotNull().alias("has_perf_object"),
         (F.locate('"performance_1_mese":null', F.col("json")) > 0).alias("perf_1m_null"),
     )
 
 
+def isins_json(spark, sf_dir):
+    """Instrument list as JSON ({share_name, isin{country, nna, check},
+    updated_at}), read back."""
+    j = views.isins_json(adapter.hub(spark, sf_dir))
+    r = j.select(F.from_json("json", "share_name STRING, isin STRUCT<country STRING, nna STRING, "
+                                     "`check` INT>, updated_at TIMESTAMP_NTZ").alias("r"))
+    return r.select(F.col("r.share_name").alias("share_name"),
+                    F.col("r.isin.country").alias("country"), F.col("r.isin.nna").alias("nna"),
+                    F.col("r.isin.check").alias("check_digit"),
+                    F.col("r.updated_at").alias("updated_at"))
+
+
 # ---- typed value parsers ---------------------------------------------------
 
 def it_number(c, decimals: int = 2):
@@ -340,6 +360,7 @@ QUERIES = {
     "view_request_empty_params": view_request_empty_params,
     "stale_set": stale_set,
     "nested_share_json": nested_share_json,
+    "isins_json": isins_json,
     "number_parse": number_parse,
     "int_parse": int_parse,
     "datetime_parse": datetime_parse,

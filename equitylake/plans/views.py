@@ -203,3 +203,15 @@ def isins_json(hub: DataFrame) -> DataFrame:
                    F.col("updated_at")).where(F.col("isin").isNotNull())
     return h.select(F.to_json(F.struct("share_name", "isin", "updated_at"),
                               {"ignoreNullFields": "false"}).alias("json"))
+
+
+def result_summary(df: DataFrame) -> int:
+    """Row count of a lookup, logged; a warning when nothing matched."""
+    import logging
+    log = logging.getLogger("equitylake")
+    n = df.count()
+    if n == 0:
+        log.warning("found no share")
+    else:
+        log.info("got a total of %d shares", n)
+    return n

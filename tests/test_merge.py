@@ -90,3 +90,10 @@ def test_broadcast_plan_does_not_shuffle_stored(spark):
     plan = M.merge_satellite(stored, batch, "share_details", broadcast_batch=True) \
         ._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_empty_records(spark):
+    inst = spark.createDataFrame([("A",)], "isin string")
+    r = M.empty_records(inst, "price_data", F.lit(T0)).collect()[0].asDict()
+    assert r["isin"] == "A" and r["updated_at"] == T0
+    assert all(v is None for k, v in r.items() if k not in ("isin", "updated_at"))

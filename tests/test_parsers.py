@@ -109,3 +109,13 @@ def test_like_literal():
     assert P.like_literal_py("a\\\\b") == "a\\\\b"
     assert P.like_literal_py("end\\") == "end"
     assert P.like_literal_py("x_y%") == "x_y%"
+
+
+def test_default_parses(spark):
+    got = run(spark, lambda c: P.parse_or_default("float", c), ["x", "1,5"])
+    assert got == [0.0, 1.5]
+    assert run(spark, lambda c: P.parse_or_default("text", c), [None, "a"]) == ["N/A", "a"]
+    assert run(spark, lambda c: P.parse_or_default("int", c), ["-1"]) == [0]
+    pd_ = run(spark, lambda c: P.parse_or_default("price_date", c), ["12,5"])[0]
+    assert pd_.price is None and pd_.date is None
+    assert run(spark, lambda c: P.parse_or_default("datetime", c), ["?"]) == [dt.datetime(1970, 1, 1)]
