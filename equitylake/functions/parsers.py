@@ -248,3 +248,14 @@ def parse_or_default(kind: str, c) -> Column:
     typ = "date" if kind == "price_date" else "timestamp_ntz"
     return F.coalesce(v, F.struct(F.lit(None).cast("double").alias("price"),
                                   F.lit(None).cast(typ).alias(second)))
+
+
+def iso_ntz(c) -> Column:
+    """ISO-8601 text of a zone-less timestamp with the fraction only when
+    non-zero, in 3 or 6 digits (2024-11-29T16:07:46, ...46.120, ...46.123456)."""
+    ts = _c(c)
+    frac = F.date_format(ts, "SSSSSS")
+    tail = (F.when(frac == "000000", F.lit(""))
+            .when(frac.endswith("000"), F.concat(F.lit("."), F.substring(frac, 1, 3)))
+            .otherwise(F.concat(F.lit("."), frac)))
+    return F.when(ts.isNotNull(), F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), tail))

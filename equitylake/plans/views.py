@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.parsers import like_literal_py, nan_to_null, parse_isin
+from ..functions.parsers import iso_ntz, like_literal_py, nan_to_null, parse_isin
 
 EPOCH = dt.datetime(1970, 1, 1)
 I64_MAX = 2 ** 63 - 1
@@ -166,25 +166,23 @@ def nested_rejects(view: DataFrame) -> DataFrame:
     return view.where(parse_isin(F.col("isin")).isNull()).select("isin", "share_name")
 
 
+def _json_value(c: Column, typ) -> Column:
+    """Value as a standard JSON encoder of the records writes it: NaN and
+    infinities become null, zone-less timestamps ISO text."""
+    name = typ.typeName()
+    if name == "double":
+        return nan_to_null(c)
+    if name == "timestamp_ntz":
+        return iso_ntz(c)
+    if name == "struct":
+        return F.when(c.isNotNull(), F.struct(*[_json_value(c[f.name], f.dataType).alias(f.name)
+                                                for f in typ.fields]))
+    return c
+
+
 def _json_safe(df: DataFrame) -> DataFrame:
-    """NaN / +-Infinity -> null, as a standard JSON encoder writes them."""
-    fixed = []
-    for f in df.schema.fields:
-        if f.name == "price_data" or f.name == "market_information" \
-                or f.name == "share_details" or f.name == "performance_metrics":
-            inner = []
-            for g in f.dataType.fields:
-                c = F.col(f"{f.name}.{g.name}")
-                if g.dataType.typeName() == "double":
-                    c = nan_to_null(c)
-                elif g.dataType.typeName() == "struct":
-                    c = F.struct(nan_to_null(c["price"]).alias("price"),
-                                 c[g.dataType.fields[1].name].alias(g.dataType.fields[1].name))
-                inner.append(c.alias(g.name))
-            fixed.append(F.struct(*inner).alias(f.name))
-        else:
-            fixed.append(F.col(f.name))
-    return df.select(*fixed)
+    return df.select(*[_json_value(F.col(f.name), f.dataType).alias(f.name)
+                       for f in df.schema.fields])
 
 
 def shares_json(view: DataFrame, strict: bool = False) -> DataFrame:
@@ -192,15 +190,13 @@ def shares_json(view: DataFrame, strict: bool = False) -> DataFrame:
     n = _json_safe(nested_shares(view, strict))
     return n.select(F.col("share_id.isin").alias("_isin"),
                     F.to_json(F.struct(*[F.col(c) for c in n.columns]),
-                              {"ignoreNullFields": "false",
-                               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
-                              ).alias("json"))
+                              {"ignoreNullFields": "false"}).alias("json"))
 
 
 def isins_json(hub: DataFrame) -> DataFrame:
     """Instrument list as JSON, ``isin`` as a {country, nna, check} object."""
     h = hub.select(F.col("share_name"), parse_isin(F.col("isin")).alias("isin"),
-                   F.col("updated_at")).where(F.col("isin").isNotNull())
+                   iso_ntz(F.col("updated_at")).alias("updated_at")).where(F.col("isin").isNotNull())
     return h.select(F.to_json(F.struct("share_name", "isin", "updated_at"),
                               {"ignoreNullFields": "false"}).alias("json"))
 

@@ -96,3 +96,16 @@ def test_nested_bad_isin(spark):
     v = views.current_view(s)
     assert views.nested_shares(v).count() == 4
     assert [r.isin for r in views.nested_rejects(v).collect()] == ["BAD"]
+
+
+def test_json_timestamp_text(spark):
+    import json
+    s = store(spark)
+    docs = [json.loads(r.json) for r in views.shares_json(views.current_view(s)).collect()]
+    a = [d for d in docs if d["share_id"]["share_name"] == "A2A"][0]
+    assert a["updated_at"] == "2024-03-01T00:00:00"
+    from pyspark.sql import functions as F
+    from equitylake.functions.parsers import iso_ntz
+    got = spark.sql("select timestamp_ntz'2024-11-29 16:07:46.12' a, timestamp_ntz'2024-11-29 16:07:46.123456' b") \
+        .select(iso_ntz(F.col("a")).alias("a"), iso_ntz(F.col("b")).alias("b")).first()
+    assert (got.a, got.b) == ("2024-11-29T16:07:46.120", "2024-11-29T16:07:46.123456")
