@@ -11,7 +11,7 @@ unreferenced directories behind.
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +57,11 @@ class Store:
         head = self.head() or {}
         version = int(head.get("version") or 0) + 1
         paths = {t: head.get(t) for t in schemas.TABLES}
+        attempt = uuid.uuid4().hex[:12]
         for t, df in new.items():
-            path = f"{self.root}/{t}/v={version}"
+            # unique per attempt: an uncommitted directory left by a failed
+            # run is never reused, only ignored
+            path = f"{self.root}/{t}/v={version}-{attempt}"
             cols = [f.name for f in schemas.TABLES[t].fields]
             # clustered by isin within files: min/max stats let point
             # lookups on isin skip row groups

@@ -19,7 +19,12 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
+
 def norm(v):
+    if STRICT and isinstance(v, float):
+        return repr(v)
     if v is None:
         return "∅"
     if isinstance(v, float):
