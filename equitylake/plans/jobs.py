@@ -83,17 +83,26 @@ def records_of(scanned: DataFrame, as_of: dt.datetime | None = None) -> DataFram
     return X.typed_wide(ok.withColumn("updated_at", _as_of(as_of)), keep=("isin", "page_id"))
 
 
-def outcomes_of(scanned: DataFrame) -> DataFrame:
-    """Per requested ISIN: fetched, empty body (invalid_page) or no page
-    (network_error)."""
-    per_isin = scanned.groupBy("isin").agg(
+def outcomes_of(scanned: DataFrame, fetch_errors: DataFrame | None = None) -> DataFrame:
+    """Per requested ISIN: fetched, empty body (invalid_page) or no page.
+
+    Without a fetch log a missing page is a network error; with one
+    (``fetch_errors``: url, error from ``fetchlog.resolve``) it is the
+    error kind the crawler's retry rules give its URL.
+    """
+    per_isin = scanned.groupBy("isin", "url").agg(
         F.count_if(F.col("page_id").isNotNull() & ~F.col("empty_page")).alias("n_ok"),
         F.count_if(F.col("empty_page")).alias("n_bad"))
+    missing = F.lit("network_error")
+    if fetch_errors is not None:
+        per_isin = per_isin.join(fetch_errors.select("url", F.col("error").alias("_fetch_error")),
+                                 "url", "left")
+        missing = F.coalesce(F.col("_fetch_error"), missing)
     return per_isin.select(
         "isin", F.lit(True).alias("counted"), (F.col("n_ok") > 0).alias("ok"),
         F.when(F.col("n_ok") > 0, F.lit(None))
          .when(F.col("n_bad") > 0, F.lit("invalid_page"))
-         .otherwise(F.lit("network_error")).alias("error"))
+         .otherwise(missing).alias("error"))
 
 
 def extract_shares(instruments: DataFrame, pages: DataFrame, as_of: dt.datetime | None = None,
@@ -151,13 +160,23 @@ def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[st
     return version, MT.insertion_metrics(outcome), rejects
 
 
-def refresh(store: Store, pages: DataFrame, min_age: dt.timedelta = DEFAULT_REFRESH_AGE,
-            as_of: dt.datetime | None = None, all_shares: bool = False) -> DataFrame:
+def refresh(store: Store, pages: DataFrame | None = None,
+            min_age: dt.timedelta = DEFAULT_REFRESH_AGE,
+            as_of: dt.datetime | None = None, all_shares: bool = False,
+            attempts: DataFrame | None = None) -> DataFrame:
     """Incremental (or, with ``all_shares``, full) refresh of the satellites
-    from detail pages. Returns the run record."""
+    from detail pages -- or from a crawler's attempt log, whose resolved
+    fetches supply both the pages and the fetch errors. Returns the run
+    record."""
+    from ..operators import fetchlog as FL
     spark = store.spark
     start = utc_now()
     as_of = as_of or start
+    fetch_errors = None
+    if attempts is not None:
+        resolved = _stage(FL.resolve(attempts), "fetch-resolved")
+        pages = FL.fetched_pages(attempts, resolved)
+        fetch_errors = resolved.where(F.col("error").isNotNull())
     current = store.tables()
     todo = (current["share_isins"] if all_shares
             else views.stale_set(current, min_age, as_of))
@@ -165,7 +184,7 @@ def refresh(store: Store, pages: DataFrame, min_age: dt.timedelta = DEFAULT_REFR
     scanned = _stage(scan_requested(todo, pages, broadcast_requests=M.fits_broadcast(todo)),
                      "scanned")
     wide = _stage(records_of(scanned, as_of), "extracted")
-    scrape = _stage(MT.scrape_metrics(outcomes_of(scanned)), "scrape-metrics")
+    scrape = _stage(MT.scrape_metrics(outcomes_of(scanned, fetch_errors)), "scrape-metrics")
     _, insert, _ = write_shares(store, wide, current["share_isins"], current)
     run = MT.run_record(spark, "refresh_all" if all_shares else "refresh", scrape, insert,
                         start, utc_now())
@@ -173,8 +192,9 @@ def refresh(store: Store, pages: DataFrame, min_age: dt.timedelta = DEFAULT_REFR
     return run
 
 
-def refresh_all(store: Store, pages: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
-    return refresh(store, pages, as_of=as_of, all_shares=True)
+def refresh_all(store: Store, pages: DataFrame | None = None, as_of: dt.datetime | None = None,
+                attempts: DataFrame | None = None) -> DataFrame:
+    return refresh(store, pages, as_of=as_of, all_shares=True, attempts=attempts)
 
 
 def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None = None,

@@ -67,3 +67,34 @@ def test_discover_then_refresh(spark, tmp_dir):
     assert t["price_data"].collect()[0].prezzo_ultimo_contratto == 2.0
     assert store.runs().count() == 4
     assert store.head()["version"] == 4
+
+
+def test_refresh_from_attempt_log(spark, tmp_dir):
+    from equitylake import schemas
+    from equitylake.plans import api
+    store = Store(spark, f"{tmp_dir}/store2")
+    isins = ["IT0001233417", "IT0005218380", "IT0003128367", "IT0000062072"]
+    hub = spark.createDataFrame([(i, f"n{i}", dt.datetime(2024, 1, 1)) for i in isins], schemas.HUB)
+    store.write({"share_isins": hub})
+    t0 = dt.datetime(2024, 1, 2)
+    sec = lambda s: t0 + dt.timedelta(seconds=s)
+    url = lambda i: (f"https://www.borsaitaliana.it/borsa/azioni/dati-completi.html?isin={i}&lang=it")
+    rows = [
+        (url(isins[0]), 1, 503, False, None, sec(0), sec(1)),
+        (url(isins[0]), 2, 200, False, detail("1,50", "10", "2"), sec(3), sec(4)),
+        (url(isins[1]), 1, 404, False, None, sec(0), sec(1)),          # exit
+        (url(isins[2]), 1, 200, False, "", sec(0), sec(1)),            # empty body
+        (url(isins[3]), 1, 500, False, None, sec(0), sec(1)),
+        (url(isins[3]), 2, 200, False, detail("3", "1", "1"), sec(300), sec(301)),  # too late
+    ]
+    log = spark.createDataFrame(rows, "url string, attempt_no int, status int, net_error boolean, "
+                                      "body string, started_at timestamp_ntz, ended_at timestamp_ntz")
+    run = api.run_scrape_and_insert(store, attempts=log).collect()[0]
+    assert (run.scrape.total, run.scrape.successful, run.scrape.network_error,
+            run.scrape.invalid_page, run.scrape.timeout) == (4, 1, 1, 1, 1)
+    p = store.tables()["price_data"].collect()
+    assert [(r.isin, r.prezzo_ultimo_contratto) for r in p] == [(isins[0], 1.5)]
+    import json
+    docs = [json.loads(r.json) for r in api.share(store, isin=isins[0]).collect()]
+    assert docs[0]["price_data"]["prezzo_ultimo_contratto"] == 1.5
+    assert api.all_isins(store).count() == 4 and api.all_shares(store).count() == 4
