@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 RETRY_STATUSES = (429, 502, 503, 504, 500)
 MAX_ATTEMPTS = 8              # 1 try + 7 retries
 FETCH_BUDGET_S = 256          # overall timeout per URL
-SHARE_BUDGET_S = 300          # fetch + parse budget per share
 
 
 def attempt_class(status: Column, net_error: Column) -> Column:

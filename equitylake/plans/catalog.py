@@ -228,12 +228,7 @@ def upsert_market(spark, sf_dir):
 
 
 def _listed_hub(spark, sf_dir):
-    """Hub as known before the batch: instruments with a non-negative
-    balance are listed, the others are not yet."""
-    c = read_input(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)
-    return adapter.hub(spark, sf_dir).join(
-        c.select(adapter.isin_of(F.col("c_mktsegment"), F.col("c_custkey")).alias("isin")),
-        "isin", "left_semi")
+    return adapter.listed_hub(spark, sf_dir)
 
 
 def _share_payloads(spark, sf_dir):

@@ -53,6 +53,15 @@ def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _minutes_after_1995(F.col("c_custkey")).alias("updated_at"))
 
 
+def listed_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hub as known before a write batch: instruments with a
+    non-negative balance are listed, the others not yet."""
+    c = read_input(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)
+    return c.select(isin_of(F.col("c_mktsegment"), F.col("c_custkey")).alias("isin"),
+                    F.col("c_name").alias("share_name"),
+                    _minutes_after_1995(F.col("c_custkey")).alias("updated_at"))
+
+
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_input(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)
     return c.select(
