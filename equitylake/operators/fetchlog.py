@@ -75,11 +75,18 @@ def fetch_metrics(resolved: DataFrame) -> DataFrame:
                                       F.col("error").isNull().alias("ok"), "error"))
 
 
-def fetched_pages(log: DataFrame, resolved: DataFrame) -> DataFrame:
+def fetched_pages(log: DataFrame, resolved: DataFrame, broadcast_ok: bool = False) -> DataFrame:
     """Pages of URLs whose fetch succeeded: the body of the deciding attempt.
-    ``page_id`` is a hash of the URL."""
+    ``page_id`` is a hash of the URL.
+
+    Only HTTP-200 attempts can carry a page, so the log is cut to those
+    before it meets the (url, attempt) keys; with ``broadcast_ok`` (the
+    caller checked the resolved set is small) the log is never shuffled.
+    """
     ok = resolved.where(F.col("error").isNull() & (F.col("outcome") == "return")) \
         .select("url", F.col("decisive_attempt").alias("attempt_no"))
-    return (log.join(ok, ["url", "attempt_no"], "left_semi")
+    if broadcast_ok:
+        ok = F.broadcast(ok)
+    answered = log.where((F.col("status") == 200) & ~F.coalesce(F.col("net_error"), F.lit(False)))
+    return (answered.join(ok, ["url", "attempt_no"], "left_semi")
             .select(F.xxhash64("url").alias("page_id"), "url", F.col("body").alias("html")))
-

@@ -85,7 +85,18 @@ def _payload_violations(df: DataFrame, table: str) -> DataFrame:
             .withColumn("table", F.lit(table)))
 
 
-def validate_shares(payloads: dict[str, DataFrame], hub: DataFrame) -> tuple[DataFrame, DataFrame]:
+def known_keys(stored: DataFrame, keys: DataFrame, broadcast_keys: bool) -> DataFrame:
+    """The ``keys`` (isin) that ``stored`` has. With ``broadcast_keys`` (the
+    caller checked ``keys`` is small) the stored table is only scanned --
+    its isin column, map-side -- never shuffled."""
+    k = keys.select("isin")
+    if broadcast_keys:
+        return stored.select("isin").join(F.broadcast(k), "isin", "left_semi")
+    return k.join(stored.select("isin"), "isin", "left_semi")
+
+
+def validate_shares(payloads: dict[str, DataFrame], hub: DataFrame,
+                    broadcast_keys: bool = False) -> tuple[DataFrame, DataFrame]:
     """Returns (accepted ISINs, rejects(isin, table, reason)).
 
     A share is accepted only when its ISIN is in the hub and none of its
@@ -93,16 +104,19 @@ def validate_shares(payloads: dict[str, DataFrame], hub: DataFrame) -> tuple[Dat
     four. Payloads are keyed by table name (any subset of the satellites).
     """
     keys = reduce(DataFrame.unionByName,
-                  [df.select("isin") for df in payloads.values()]).distinct()
+                  [df.select("isin") for df in payloads.values()]).distinct() \
+        .where(F.col("isin").isNotNull())
     viol = reduce(DataFrame.unionByName,
                   [_payload_violations(df, t).select("isin", "table", "reason")
                    for t, df in payloads.items()])
-    unknown = (keys.where(F.col("isin").isNotNull())
-               .join(hub.select("isin"), "isin", "left_anti")
+    known = known_keys(hub, keys, broadcast_keys)
+    if broadcast_keys:  # known is a subset of the checked keys
+        known = F.broadcast(known)
+    unknown = (keys.join(known, "isin", "left_anti")
                .select("isin", F.lit("share_isins").alias("table"),
                        F.lit("unknown_isin").alias("reason")))
     rejects = viol.unionByName(unknown)
-    accepted = keys.where(F.col("isin").isNotNull()).join(rejects.select("isin"), "isin", "left_anti")
+    accepted = keys.join(rejects.select("isin"), "isin", "left_anti")
     return accepted, rejects
 
 
@@ -118,14 +132,17 @@ def dedupe_instruments(found: DataFrame) -> DataFrame:
         .select("isin", "share_name", "updated_at")
 
 
-def insert_absent(hub: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def insert_absent(hub: DataFrame, candidates: DataFrame,
+                  broadcast_candidates: bool = False) -> tuple[DataFrame, DataFrame]:
     """Hub insert of (isin, share_name, updated_at) candidates.
 
     A candidate is inserted when its ISIN is not stored yet, its values fit
     the hub's constraints, and it is the first candidate of its ISIN in
     (updated_at, share_name) order (a second one would hit the primary
     key). Stored rows never change. Returns (new rows, per-candidate
-    outcome with ``inserted`` and ``reason``).
+    outcome with ``inserted`` and ``reason``). With ``broadcast_candidates``
+    (the caller checked the candidate set is small) the hub is only
+    scanned, never shuffled.
     """
     c = candidates.select("isin", "share_name", "updated_at")
     bad = (F.when(F.col("isin").isNull() | F.col("share_name").isNull() | F.col("updated_at").isNull(),
@@ -135,7 +152,10 @@ def insert_absent(hub: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Dat
     c = c.withColumn("_bad", bad)
     first = (c.where(F.col("_bad").isNull()).groupBy("isin")
              .agg(F.min(F.struct("updated_at", "share_name")).alias("_first")))
-    stored = hub.select("isin").withColumn("_stored", F.lit(True))
+    stored = known_keys(hub, c.select("isin").distinct(), broadcast_candidates) \
+        .withColumn("_stored", F.lit(True))
+    if broadcast_candidates:  # both are bounded by the checked candidates
+        first, stored = F.broadcast(first), F.broadcast(stored)
     o = (c.join(first, "isin", "left").join(stored, "isin", "left")
          .withColumn("reason", F.coalesce(
              F.col("_bad"),

@@ -147,7 +147,8 @@ def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[st
             .agg(F.max("_numero_contratti_overflow").alias("_numero_contratti_overflow")))
     payloads["price_data"] = payloads["price_data"].join(over, "isin", "left")
     staged = {t: _stage(df, f"payload-{t}") for t, df in payloads.items()}
-    accepted, rejects = M.validate_shares(staged, hub)
+    accepted, rejects = M.validate_shares(staged, hub,
+                                          broadcast_keys=M.fits_broadcast(staged["price_data"]))
     accepted = _stage(accepted, "accepted")
     small = M.fits_broadcast(accepted)
     new = {t: M.merge_satellite(current[t], M.accepted_only(staged[t], accepted, t), t,
@@ -175,7 +176,7 @@ def refresh(store: Store, pages: DataFrame | None = None,
     fetch_errors = None
     if attempts is not None:
         resolved = _stage(FL.resolve(attempts), "fetch-resolved")
-        pages = FL.fetched_pages(attempts, resolved)
+        pages = FL.fetched_pages(attempts, resolved, broadcast_ok=M.fits_broadcast(resolved))
         fetch_errors = resolved.where(F.col("error").isNotNull())
     current = store.tables()
     todo = (current["share_isins"] if all_shares
@@ -206,7 +207,8 @@ def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None =
     instruments = _stage(instruments, "instruments")
     scrape = _stage(scrape, "scrape-metrics")
     current = store.tables()
-    new_rows, outcome = M.insert_absent(current["share_isins"], instruments)
+    new_rows, outcome = M.insert_absent(current["share_isins"], instruments,
+                                        broadcast_candidates=M.fits_broadcast(instruments))
     outcome = _stage(outcome, "insert-outcome")
     hub = current["share_isins"].unionByName(outcome.where("inserted").select(
         "isin", "share_name", "updated_at"))

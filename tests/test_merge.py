@@ -97,3 +97,14 @@ def test_empty_records(spark):
     r = M.empty_records(inst, "price_data", F.lit(T0)).collect()[0].asDict()
     assert r["isin"] == "A" and r["updated_at"] == T0
     assert all(v is None for k, v in r.items() if k not in ("isin", "updated_at"))
+
+
+def test_insert_absent_broadcast_plan_same_result(spark):
+    hub = spark.createDataFrame([("A", "a", T0)], schemas.HUB)
+    cand = spark.createDataFrame([("A", "x", T1), ("B", "b", T1)],
+                                 "isin string, share_name string, updated_at timestamp_ntz")
+    a = sorted(map(tuple, M.insert_absent(hub, cand)[1].collect()))
+    b_new, b_out = M.insert_absent(hub, cand, broadcast_candidates=True)
+    assert a == sorted(map(tuple, b_out.collect()))
+    plan = b_out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
