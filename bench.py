@@ -35,9 +35,12 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     from equitylake.session import ensure_checkpoint_dir, get_spark
     from equitylake.plans.catalog import QUERIES
+    extra = {"spark.driver.memory": "8g"}
+    if os.environ.get("BENCH_EVENT_LOG_DIR"):  # stage/task times for later reading
+        extra.update({"spark.eventLog.enabled": "true",
+                      "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG_DIR"]})
     spark = get_spark(f"local[{cpus}]", app="equitylake-bench",
-                      shuffle_partitions=max(2 * cpus, 8),
-                      extra={"spark.driver.memory": "8g"})
+                      shuffle_partitions=max(2 * cpus, 8), extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="equitylake-bench-ckpt-"))
 

@@ -28,19 +28,6 @@ from ..functions import parsers as P
 from . import html_scan
 
 
-def _page_iter(fn, out_cols):
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
-                if html is None or html == "":
-                    continue
-                for r in fn(html):
-                    rows.append((pid, *r))
-            yield pd.DataFrame(rows, columns=out_cols)
-    return run
-
-
 def _detail_iter(batches):
     cols = [f.name for f in schemas.PAGE_ROWS.fields]
     for pdf in batches:
@@ -62,10 +49,25 @@ def scan_detail_rows(pages: DataFrame) -> DataFrame:
 
 def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
                name=html_scan.LISTING_NAME) -> DataFrame:
-    """Links matching ``chain`` on every page (schema ``schemas.PAGE_LINKS``)."""
+    """One marker row per page plus the links matching ``chain`` (schema
+    ``schemas.PAGE_LINKS``); ``links_only`` drops the markers."""
     cols = [f.name for f in schemas.PAGE_LINKS.fields]
-    fn = lambda html: html_scan.links(html, chain, name)
-    return pages.select("page_id", "html").mapInPandas(_page_iter(fn, cols), schemas.PAGE_LINKS)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for pid, html in zip(pdf["page_id"], pdf["html"]):
+                empty = html is None or html == ""
+                rows.append((pid, -1, None, None, empty))
+                if not empty:
+                    rows.extend((pid, k, href, nm, None)
+                                for k, href, nm in html_scan.links(html, chain, name))
+            yield pd.DataFrame(rows, columns=cols)
+    return pages.select("page_id", "html").mapInPandas(run, schemas.PAGE_LINKS)
+
+
+def links_only(scanned: DataFrame) -> DataFrame:
+    return scanned.where(F.col("link_ord") >= 0).drop("empty_page")
 
 
 def assign_properties(rows: DataFrame) -> DataFrame:
@@ -100,15 +102,16 @@ def nested_price(price: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in price.columns])
 
 
+def link_error(href: Column, name: Column) -> Column:
+    """No ``href`` or no name text -> invalid_page; empty name or an ISIN
+    that does not parse -> parsing_error; else NULL (a valid instrument)."""
+    return (F.when(href.isNull() | name.isNull(), F.lit("invalid_page"))
+            .when((name == "") | P.isin_error(P.isin_from_href(href)).isNotNull(),
+                  F.lit("parsing_error")))
+
+
 def classify_links(links: DataFrame, as_of: Column) -> DataFrame:
-    """Listing link -> (isin, share_name, updated_at, error).
-
-    No ``href`` or no name text -> invalid_page; empty name or an ISIN that
-    does not parse -> parsing_error; else a valid instrument.
-    """
-    isin_str = P.isin_from_href(F.col("href"))
-    err = (F.when(F.col("href").isNull() | F.col("name").isNull(), F.lit("invalid_page"))
-           .when((F.col("name") == "") | P.isin_error(isin_str).isNotNull(), F.lit("parsing_error")))
-    return links.select("page_id", "link_ord", isin_str.alias("isin"),
+    """Listing link -> (isin, share_name, updated_at, error)."""
+    return links.select("page_id", "link_ord", P.isin_from_href(F.col("href")).alias("isin"),
                         F.col("name").alias("share_name"), as_of.alias("updated_at"),
-                        err.alias("error"))
+                        link_error(F.col("href"), F.col("name")).alias("error"))

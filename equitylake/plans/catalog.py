@@ -305,7 +305,7 @@ def scrape_metrics(spark, sf_dir):
 
 def _nav_links(spark, sf_dir):
     pages = read_input(spark, sf_dir, "pages")
-    return X.scan_links(pages, html_scan.NAV_LINKS, None)
+    return X.links_only(X.scan_links(pages, html_scan.NAV_LINKS, None))
 
 
 def link_extract(spark, sf_dir):

@@ -21,7 +21,7 @@ from ..operators import html_scan
 from ..operators import merge as M
 from ..operators import metrics as MT
 from ..session import staging_path, utc_now
-from ..sources.pages import detail_url, page_error
+from ..sources.pages import detail_url
 from ..sources.store import Store
 from . import views
 
@@ -36,25 +36,26 @@ def _as_of(as_of: dt.datetime | None) -> Column:
 # ---- listing pages ----------------------------------------------------------
 
 def extract_instruments(pages: DataFrame, as_of: dt.datetime | None = None,
-                        chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME):
+                        chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME,
+                        scanned: DataFrame | None = None):
     """Listing pages -> (instrument set, link outcomes, metrics row).
 
     ``total`` and ``successful`` count link elements before the set
     de-duplication (the same link on two pages counts twice); a page that
     could not be fetched adds an ``invalid_page`` error but nothing to
-    ``total``.
+    ``total``. Pages are scanned once (pass ``scanned`` to reuse a staged
+    scan).
     """
-    ok_pages = pages.where(page_error(F.col("html")).isNull())
-    links = X.scan_links(ok_pages, chain, name)
-    outcome = X.classify_links(links, _as_of(as_of))
-    found = outcome.where(F.col("error").isNull())
-    instruments = M.dedupe_instruments(found)
-    link_rows = outcome.select(F.lit(True).alias("counted"), F.col("error").isNull().alias("ok"),
-                               "error")
-    page_rows = (pages.where(page_error(F.col("html")).isNotNull())
-                 .select(F.lit(False).alias("counted"), F.lit(False).alias("ok"),
-                         page_error(F.col("html")).alias("error")))
-    metrics = MT.scrape_metrics(link_rows.unionByName(page_rows))
+    if scanned is None:
+        scanned = X.scan_links(pages, chain, name)
+    outcome = X.classify_links(X.links_only(scanned), _as_of(as_of))
+    instruments = M.dedupe_instruments(outcome.where(F.col("error").isNull()))
+    # links and page markers in one projection of the scan
+    is_link = F.col("link_ord") >= 0
+    err = F.when(is_link, X.link_error(F.col("href"), F.col("name"))) \
+        .when(F.col("empty_page"), F.lit("invalid_page"))
+    metrics = MT.scrape_metrics(scanned.select(
+        is_link.alias("counted"), (is_link & err.isNull()).alias("ok"), err.alias("error")))
     return instruments, outcome, metrics
 
 
@@ -203,7 +204,9 @@ def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None =
     """Listing pages -> new hub rows (known ISINs untouched). Returns the run record."""
     spark = store.spark
     start = utc_now()
-    instruments, _, scrape = extract_instruments(listing_pages, as_of or start, chain, name)
+    scanned = _stage(X.scan_links(listing_pages, chain, name), "listing-links")
+    instruments, _, scrape = extract_instruments(listing_pages, as_of or start, chain, name,
+                                                 scanned=scanned)
     instruments = _stage(instruments, "instruments")
     scrape = _stage(scrape, "scrape-metrics")
     current = store.tables()

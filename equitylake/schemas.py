@@ -134,10 +134,11 @@ PAGE_ROWS = T.StructType([
     _f("page_id", T.LongType(), False), _f("url", S), _f("table_ord", I, False),
     _f("row_ord", I, False), _f("label", S), _f("value", S), _f("empty_page", T.BooleanType()),
 ])
-# Raw listing links produced by the page scanner.
+# Raw listing links produced by the page scanner: one marker row per page
+# (link_ord -1, ``empty_page`` set) plus one row per matching link.
 PAGE_LINKS = T.StructType([
     _f("page_id", T.LongType(), False), _f("link_ord", I, False),
-    _f("href", S), _f("name", S),
+    _f("href", S), _f("name", S), _f("empty_page", T.BooleanType()),
 ])
 
 
