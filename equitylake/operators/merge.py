@@ -41,12 +41,19 @@ def _order(df: DataFrame, cols: list[str]) -> Column:
                     F.xxhash64(*[F.col(c) for c in cols]).alias("h"))
 
 
-def collapse_batch(batch: DataFrame, table: str) -> DataFrame:
-    cols = schemas.non_key_columns(table)
+def collapse_records(batch: DataFrame, cols: list[str], flags: tuple = ()) -> DataFrame:
+    """(isin, cols..., updated_at, flags...): per column the last non-NULL
+    value in (updated_at, content hash) order; ``flags`` (booleans) are
+    OR-ed."""
     b = batch.withColumn("_ord", _order(batch, cols))
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_ord"))).alias(c)
             for c in cols]
-    return b.groupBy("isin").agg(*aggs, F.max("updated_at").alias("updated_at")) \
+    return b.groupBy("isin").agg(*aggs, F.max("updated_at").alias("updated_at"),
+                                 *[F.max(f).alias(f) for f in flags])
+
+
+def collapse_batch(batch: DataFrame, table: str) -> DataFrame:
+    return collapse_records(batch, schemas.non_key_columns(table)) \
         .select(*[f.name for f in schemas.TABLES[table].fields])
 
 

@@ -278,6 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "performance_1_mese IS NULL AS perf_1m_null FROM (" + view_sql() + ")")
     return {
         **_extraction_sql(C),
+        **refresh_sql(C),
         "fetch_outcome": FETCH_RESOLVED,
         "isins_json": (f"SELECT share_name, substr(isin, 1, 2) AS country, substr(isin, 3, 9) AS nna, "
                        f"CAST(substr(isin, 12, 1) AS INTEGER) AS check_digit, updated_at FROM ({HUB})"),
@@ -378,3 +379,30 @@ FETCH_METRICS = ("SELECT CAST(count(*) AS INTEGER) AS total, "
                  + ", ".join(f"CAST(count(*) FILTER (WHERE error = '{k}') AS INTEGER) AS {k}"
                              for k in schemas.ERROR_KINDS)
                  + f" FROM ({FETCH_RESOLVED}) WHERE outcome <> 'pending'")
+
+
+def _refreshed_sql(C) -> str:
+    """ISINs the registered refresh updates: due for refresh and with a
+    fetched, non-empty detail page (stand-in page rules)."""
+    return (f"SELECT v.isin FROM ({view_sql()}) v JOIN ({stale_sql(C.RUN_AS_OF, C.REFRESH_MIN_AGE)}) s "
+            "ON v.isin = s.isin WHERE (v.mercato_segmento IS NULL OR v.mercato_segmento <> 'AUTOMOBILE') "
+            "AND v.id_strumento IS NOT NULL")
+
+
+def refresh_sql(C) -> dict[str, str]:
+    cols = ["isin", "share_name"] + [c for t in _ALIAS for c in schemas.non_key_columns(t)]
+    view_after = (f"SELECT {', '.join(cols)}, CASE WHEN isin IN ({_refreshed_sql(C)}) "
+                  f"THEN {ts(C.RUN_AS_OF)} ELSE updated_at END AS updated_at FROM ({view_sql()})")
+    due = (f"SELECT v.* FROM ({view_sql()}) v JOIN ({stale_sql(C.RUN_AS_OF, C.REFRESH_MIN_AGE)}) s "
+           "ON v.isin = s.isin")
+    n_ok = f"(SELECT count(*) FROM ({_refreshed_sql(C)}))"
+    metrics = (
+        "SELECT CAST(count(*) AS INTEGER) AS scrape_total, "
+        f"CAST({n_ok} AS INTEGER) AS scrape_successful, "
+        "CAST(count(*) FILTER (WHERE mercato_segmento = 'AUTOMOBILE') AS INTEGER) AS scrape_network_error, "
+        "CAST(count(*) FILTER (WHERE (mercato_segmento IS NULL OR mercato_segmento <> 'AUTOMOBILE') "
+        "AND id_strumento IS NULL) AS INTEGER) AS scrape_invalid_page, "
+        "0 AS scrape_timeout, 0 AS scrape_max_retries, 0 AS scrape_parsing_error, "
+        f"CAST({n_ok} AS INTEGER) AS insert_total, CAST({n_ok} AS INTEGER) AS insert_successful "
+        f"FROM ({due})")
+    return {"refresh_view": view_after, "refresh_metrics": metrics}

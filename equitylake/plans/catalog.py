@@ -30,6 +30,7 @@ LOOKUP_NAME = "r#00000001"
 STALE_AS_OF = dt.datetime(2001, 9, 1, 12, 0, 0)
 STALE_MIN_AGE = dt.timedelta(days=120)
 RUN_AS_OF = dt.datetime(2002, 1, 15, 9, 30, 0)
+REFRESH_MIN_AGE = dt.timedelta(days=120)
 
 
 def _store(spark, sf_dir):
@@ -303,6 +304,31 @@ def scrape_metrics(spark, sf_dir):
     return metrics
 
 
+def _refresh_run(spark, sf_dir):
+    # staged like the job: intermediate results are written under
+    # spark.checkpoint.dir, which keeps the plan (and its lineage) small
+    store = _store(spark, sf_dir)
+    pages = adapter.render_detail_pages(views.current_view(store))
+    return store, jobs.refresh_frames(store, pages, REFRESH_MIN_AGE, RUN_AS_OF,
+                                      stage=jobs._stage, check=M.fits_broadcast)
+
+
+def refresh_view(spark, sf_dir):
+    """Incremental refresh end to end: instruments not updated for 120
+    days are looked up on their detail pages, scanned, typed, validated
+    and merged into the four satellites; the current view after it."""
+    store, (new, _, _) = _refresh_run(spark, sf_dir)
+    return views.current_view({"share_isins": store["share_isins"], **new})
+
+
+def refresh_metrics(spark, sf_dir):
+    """Run metrics of that refresh: scrape counts and insertion counts."""
+    _, (_, scrape, insert) = _refresh_run(spark, sf_dir)
+    run = MT.run_record(spark, "refresh", scrape, insert, RUN_AS_OF, RUN_AS_OF)
+    return run.select(*[F.col(f"scrape.{c}").alias(f"scrape_{c}") for c in scrape.columns],
+                      *[F.col(f"insert.{c}").alias(f"insert_{c}") for c in insert.columns])
+
+
 def _nav_links(spark, sf_dir):
     pages = read_input(spark, sf_dir, "pages")
     return X.links_only(X.scan_links(pages, html_scan.NAV_LINKS, None))
@@ -374,6 +400,8 @@ QUERIES = {
     "insert_metrics": insert_metrics,
     "detail_extract": detail_extract,
     "scrape_metrics": scrape_metrics,
+    "refresh_view": refresh_view,
+    "refresh_metrics": refresh_metrics,
     "link_extract": link_extract,
     "link_dedupe": link_dedupe,
     "listing_metrics": listing_metrics,

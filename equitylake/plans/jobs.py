@@ -139,37 +139,74 @@ def _stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[str, DataFrame]):
-    """Validate once per ISIN over all four payloads, merge the accepted
-    ones into all four satellites, commit. Returns (version, insert metrics)."""
-    payloads = {t: M.collapse_batch(df, t) for t, df in split_records(wide).items()}
-    # overflow flags travel with the collapsed price payload
-    over = (split_records(wide)["price_data"].groupBy("isin")
-            .agg(F.max("_numero_contratti_overflow").alias("_numero_contratti_overflow")))
-    payloads["price_data"] = payloads["price_data"].join(over, "isin", "left")
-    staged = {t: _stage(df, f"payload-{t}") for t, df in payloads.items()}
-    accepted, rejects = M.validate_shares(staged, hub,
-                                          broadcast_keys=M.fits_broadcast(staged["price_data"]))
-    accepted = _stage(accepted, "accepted")
-    small = M.fits_broadcast(accepted)
+def _no_stage(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def merge_shares(wide: DataFrame, hub: DataFrame, current: dict[str, DataFrame],
+                 stage=_no_stage, check=None):
+    """Core of a share write, without side effects: collapse the records
+    per ISIN, validate once per ISIN over all four payloads, merge the
+    accepted ones into all four satellites.
+
+    ``stage(df, name)`` cuts lineage at the points a job materialises
+    (identity by default); ``check(df) -> bool`` is the size check that
+    allows the broadcast plans (none by default: shuffle plans).
+    Returns (new satellites, per-ISIN insert outcome, rejects).
+    """
+    check = check or (lambda df: False)
+    # one collapse for all four payloads: every column belongs to one
+    # satellite and all of them share the record's order
+    cols = [c for t in schemas.SATELLITES for c in schemas.non_key_columns(t)]
+    collapsed = stage(M.collapse_records(wide, cols, flags=("_numero_contratti_overflow",)),
+                      "payloads")
+    staged = split_records(collapsed)
+    accepted, rejects = M.validate_shares(staged, hub, broadcast_keys=check(collapsed))
+    accepted = stage(accepted, "accepted")
+    small = check(accepted)
     new = {t: M.merge_satellite(current[t], M.accepted_only(staged[t], accepted, t), t,
                                 broadcast_batch=small)
            for t in schemas.SATELLITES}
+    outcome = staged["price_data"].select("isin").join(
+        accepted.withColumn("inserted", F.lit(True)), "isin", "left") \
+        .select("isin", F.coalesce("inserted", F.lit(False)).alias("inserted"))
+    return new, outcome, rejects
+
+
+def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[str, DataFrame]):
+    """Validate, merge and commit one version. Returns (version, insert
+    metrics, rejects)."""
+    new, outcome, rejects = merge_shares(wide, hub, current, stage=_stage, check=M.fits_broadcast)
     version = store.write(new)
-    keys = staged["price_data"].select("isin")
-    outcome = keys.join(accepted.withColumn("inserted", F.lit(True)), "isin", "left") \
-        .select(F.coalesce("inserted", F.lit(False)).alias("inserted"))
     return version, MT.insertion_metrics(outcome), rejects
 
 
+def refresh_frames(current: dict[str, DataFrame], pages: DataFrame, min_age: dt.timedelta,
+                   as_of: dt.datetime, all_shares: bool = False,
+                   fetch_errors: DataFrame | None = None, stage=_no_stage, check=None):
+    """One refresh as DataFrames: the instruments due (or all), their
+    detail pages scanned and typed, merged into the satellites.
+    Returns (new satellites, scrape metrics row, insertion metrics row)."""
+    chk = check or (lambda df: False)
+    todo = (current["share_isins"] if all_shares
+            else views.stale_set(current, min_age, as_of))
+    todo = stage(todo.select("isin", "share_name"), "requested")
+    scanned = stage(scan_requested(todo, pages, broadcast_requests=chk(todo)), "scanned")
+    wide = stage(records_of(scanned, as_of), "extracted")
+    scrape = stage(MT.scrape_metrics(outcomes_of(scanned, fetch_errors)), "scrape-metrics")
+    new, outcome, _ = merge_shares(wide, current["share_isins"], current, stage, check)
+    return new, scrape, MT.insertion_metrics(outcome)
+
+
 def refresh(store: Store, pages: DataFrame | None = None,
             min_age: dt.timedelta = DEFAULT_REFRESH_AGE,
             as_of: dt.datetime | None = None, all_shares: bool = False,
             attempts: DataFrame | None = None) -> DataFrame:
     """Incremental (or, with ``all_shares``, full) refresh of the satellites
     from detail pages -- or from a crawler's attempt log, whose resolved
-    fetches supply both the pages and the fetch errors. Returns the run
-    record."""
+    fetches supply both the pages and the fetch errors. Stages every
+    intermediate result in the shared checkpoint folder, commits one store
+    version and returns the run record."""
     from ..operators import fetchlog as FL
     spark = store.spark
     start = utc_now()
@@ -180,14 +217,9 @@ def refresh(store: Store, pages: DataFrame | None = None,
         pages = FL.fetched_pages(attempts, resolved, broadcast_ok=M.fits_broadcast(resolved))
         fetch_errors = resolved.where(F.col("error").isNotNull())
     current = store.tables()
-    todo = (current["share_isins"] if all_shares
-            else views.stale_set(current, min_age, as_of))
-    todo = _stage(todo.select("isin", "share_name"), "requested")
-    scanned = _stage(scan_requested(todo, pages, broadcast_requests=M.fits_broadcast(todo)),
-                     "scanned")
-    wide = _stage(records_of(scanned, as_of), "extracted")
-    scrape = _stage(MT.scrape_metrics(outcomes_of(scanned, fetch_errors)), "scrape-metrics")
-    _, insert, _ = write_shares(store, wide, current["share_isins"], current)
+    new, scrape, insert = refresh_frames(current, pages, min_age, as_of, all_shares,
+                                         fetch_errors, stage=_stage, check=M.fits_broadcast)
+    store.write(new)
     run = MT.run_record(spark, "refresh_all" if all_shares else "refresh", scrape, insert,
                         start, utc_now())
     store.append_run(run)

@@ -65,11 +65,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Set the checkpoint dir only when the session has none (tests, bench)."""
+def ensure_checkpoint_dir(spark: SparkSession, fallback=None) -> str:
+    """Set the checkpoint dir only when the session has none (tests, bench,
+    a bare local session). ``fallback``: a path, or None for a fresh
+    scratch folder."""
     d = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getCheckpointDir()
     if not d:
+        if fallback is None:
+            import tempfile
+            fallback = tempfile.mkdtemp(prefix="equitylake-ckpt-")
         os.makedirs(fallback, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", fallback)
         spark.sparkContext.setCheckpointDir(fallback)
