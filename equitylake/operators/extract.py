@@ -97,11 +97,6 @@ def typed_wide(raw: DataFrame, keep: tuple = ("isin",)) -> DataFrame:
                       P.int_overflow(F.col("numero_contratti")).alias("_numero_contratti_overflow"))
 
 
-def nested_price(price: DataFrame) -> Column:
-    """Flat price record -> the nested struct with price pairs."""
-    return F.struct(*[F.col(c) for c in price.columns])
-
-
 def link_error(href: Column, name: Column) -> Column:
     """No ``href`` or no name text -> invalid_page; empty name or an ISIN
     that does not parse -> parsing_error; else NULL (a valid instrument)."""
