@@ -45,3 +45,35 @@ def test_stale_set_reads_only_stamps(spark, stored):
     p = plan(spark, views.stale_set(stored, dt.timedelta(days=1), dt.datetime(2002, 1, 1)))
     schemas = re.findall(r"ReadSchema: (struct<[^\n]*?>)", p)
     assert sorted(schemas).count("struct<isin:string,updated_at:timestamp_ntz>") == 4
+
+
+def _partial_before_exchange(p: str) -> bool:
+    # physical plans print top-down: the partial aggregate sits below
+    # (after) the exchange it feeds
+    ex = p.find("Exchange hashpartitioning")
+    return ex >= 0 and "partial_" in p[ex:]
+
+
+def test_keyed_aggregations_combine_map_side(spark):
+    """A key holding a third of all rows is reduced in every map task."""
+    from pyspark.sql import functions as F
+    from equitylake.operators import extract as X
+    from equitylake.operators import fetchlog as FL
+    from equitylake.operators import merge as M
+    from equitylake import schemas
+    hot = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("K"), F.col("id").cast("string"))).alias("isin"),
+        F.lit(1.0).alias("id_strumento"), F.lit("c").alias("codice_alfanumerico"),
+        F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("updated_at"))
+    assert _partial_before_exchange(plan(spark, M.collapse_batch(hot, "share_details")))
+    rows = spark.createDataFrame([(1, "u", 0, 0, "Max Anno", "1", None)], schemas.PAGE_ROWS)
+    assert _partial_before_exchange(plan(spark, X.assign_properties(rows)))
+    log = spark.createDataFrame(
+        [("u", 1, 200, False, "b", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1))],
+        "url string, attempt_no int, status int, net_error boolean, body string, "
+        "started_at timestamp_ntz, ended_at timestamp_ntz")
+    assert _partial_before_exchange(plan(spark, FL.resolve(log)))
+    found = hot.select("isin", F.lit("n").alias("share_name"), "updated_at")
+    assert _partial_before_exchange(plan(spark, M.dedupe_instruments(found)))
+    r = M.collapse_batch(hot, "share_details").where("isin = 'HOT'").collect()
+    assert len(r) == 1
