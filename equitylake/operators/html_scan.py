@@ -27,7 +27,13 @@ from dataclasses import dataclass
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset(("script", "style"))
+# start tags that close an open sibling first: tag -> (closes, search stops at)
+_CLOSES = {"td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+           "tr": (("tr",), ("table",)),
+           "tbody": (("tbody", "thead", "tfoot"), ("table",)),
+           "thead": (("tbody", "thead", "tfoot"), ("table",)),
+           "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
+           "li": (("li",), ("ul", "ol", "table"))}
 CLOSES_P = frozenset(("address article aside blockquote div dl fieldset footer form h1 h2 h3 "
                       "h4 h5 h6 header hr main nav ol p pre section table ul").split())
 
@@ -55,16 +61,20 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # tag
     r"|<|[^<]+", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+# script/style bodies are raw text up to their end tag: blanked before
+# tokenising, so markup-like text inside them is never read as tags
+_RAW_BODY = re.compile(r"(<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>).*?(</\2\s*>)",
+                       re.S | re.I)
 
 
 class Document:
     def __init__(self, html: str):
-        self.tag, self.attrs, self.parent, self.start, self.end = [], [], [], [], []
+        self.tag, self._attr_src, self.parent, self.start, self.end = [], [], [], [], []
+        self._attrs: dict[int, dict] = {}
         self.text_seq, self.texts = [], []
         self._stack: list[int] = []
         self._seq = 0
         self._buf: list[str] = []
-        self._raw = 0
         self._tokenize(html)
         self._flush()
         while self._stack:
@@ -74,34 +84,38 @@ class Document:
             self._by_tag.setdefault(t, []).append(i)
 
     def _tokenize(self, html: str):
-        pos, n = 0, len(html)
-        while pos < n:
-            m = _TOKEN.match(html, pos)
-            tok = m.group(0)
-            pos = m.end()
+        if "<s" in html or "<S" in html:
+            html = _RAW_BODY.sub(r"\1\3", html)
+        for m in _TOKEN.finditer(html):
             name = m.group(2)
             if name is None:
+                tok = m.group(0)
                 if tok.startswith("<!--"):
-                    self.handle_comment(tok)
+                    self._flush()
                 elif tok == "<" or tok[0] != "<":
-                    self.handle_data(unescape(tok) if "&" in tok else tok)
+                    self._buf.append(unescape(tok) if "&" in tok else tok)
                 continue
             name = name.lower()
             if m.group(1):
                 self.handle_endtag(name)
                 continue
             rest = m.group(3)
-            # findall gives '' for the quote styles not used
-            attrs = [(a.lower(), unescape(v1 or v2 or v3))
-                     for a, v1, v2, v3 in _ATTR.findall(rest)]
-            if rest.rstrip().endswith("/"):
-                self.handle_startendtag(name, attrs)
-                continue
-            self.handle_starttag(name, attrs)
-            if name in RAW_TEXT:  # raw text up to the matching end tag
-                close = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
-                pos = close.end() if close else n
-                self.handle_endtag(name)
+            if rest.endswith("/") or rest.rstrip().endswith("/"):
+                self._open(name, rest, push=name not in VOID)
+            else:
+                self._open(name, rest)
+
+    def attrs(self, i: int) -> dict:
+        """Attributes of element ``i`` (parsed on first use; the first of
+        duplicate names wins, entities decoded)."""
+        a = self._attrs.get(i)
+        if a is None:
+            a = {}
+            for k, v1, v2, v3 in _ATTR.findall(self._attr_src[i]):
+                # findall gives '' for the quote styles not used
+                a.setdefault(k.lower(), unescape(v1 or v2 or v3))
+            self._attrs[i] = a
+        return a
 
     # ---- tree building
     def _flush(self):
@@ -114,8 +128,6 @@ class Document:
     def _pop(self):
         i = self._stack.pop()
         self.end[i] = self._seq
-        if self.tag[i] in RAW_TEXT:
-            self._raw -= 1
 
     def _close_to(self, names, stop=("table",)):
         for k in range(len(self._stack) - 1, -1, -1):
@@ -127,57 +139,35 @@ class Document:
             if t in stop:
                 return
 
-    def _open(self, tag, attrs, push=True):
+    def _open(self, tag, attr_src, push=True):
         self._flush()
-        if tag in ("td", "th"):
-            self._close_to(("td", "th"), stop=("tr", "table"))
-        elif tag == "tr":
-            self._close_to(("tr",), stop=("table",))
-        elif tag in ("tbody", "thead", "tfoot"):
-            self._close_to(("tbody", "thead", "tfoot"), stop=("table",))
-        elif tag == "li":
-            self._close_to(("li",), stop=("ul", "ol", "table"))
+        if tag in _CLOSES:
+            names, stop = _CLOSES[tag]
+            self._close_to(names, stop)
         if tag in CLOSES_P:
             self._close_to(("p",), stop=("table", "td", "th", "button"))
-        a = {}
-        for k, v in attrs:
-            a.setdefault(k, v if v is not None else "")
         i = len(self.tag)
         self.tag.append(tag)
-        self.attrs.append(a)
+        self._attr_src.append(attr_src)
         self.parent.append(self._stack[-1] if self._stack else -1)
         self.start.append(self._seq)
         self.end.append(self._seq + 1)
         self._seq += 1
         if push and tag not in VOID:
             self._stack.append(i)
-            if tag in RAW_TEXT:
-                self._raw += 1
-
-    def handle_starttag(self, tag, attrs):
-        self._open(tag, attrs)
-
-    def handle_startendtag(self, tag, attrs):
-        # a self-closing flag only counts on void elements
-        self._open(tag, attrs, push=tag not in VOID)
 
     def handle_endtag(self, tag):
         self._flush()
         # an end tag closes back to its open element, never across a table
         self._close_to((tag,), stop=() if tag == "table" else ("table",))
 
-    def handle_data(self, data):
-        if not self._raw and data:
-            self._buf.append(data)
-
-    def handle_comment(self, data):
-        self._flush()
-
     # ---- queries
     def matches(self, i: int, c: Compound) -> bool:
         if self.tag[i] != c.tag:
             return False
-        a = self.attrs[i]
+        if not c.classes and not c.attrs:
+            return True
+        a = self.attrs(i)
         if c.classes:
             have = set(a.get("class", "").split())
             if not all(x in have for x in c.classes):
@@ -254,5 +244,5 @@ def links(html: str, chain: tuple = LISTING_LINKS, name: Compound | None = LISTI
         else:
             j = d.first_descendant(i, name)
             nm = d.first_text(j) if j is not None else None
-        out.append((k, d.attrs[i].get("href"), nm))
+        out.append((k, d.attrs(i).get("href"), nm))
     return out
