@@ -92,3 +92,24 @@ def utc_now():
     """Current UTC wall-clock time without zone (the store's stamp type)."""
     import datetime as dt
     return dt.datetime.now(dt.UTC).replace(tzinfo=None)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``equitylake`` importable in Python workers (what ``--py-files``
+    does on spark-submit): zip the package once per SparkContext and add it
+    with ``addPyFile``. Workers need it for the page scanner."""
+    import tempfile
+    import zipfile
+    sc = spark.sparkContext
+    if getattr(sc, "_equitylake_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="equitylake-pyfiles-"), "equitylake.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._equitylake_shipped = True
