@@ -1,12 +1,17 @@
-"""Versioned Parquet store for the hub and the four satellites.
+"""Versioned, bucketed Parquet store for the hub and the four satellites.
 
 Each write puts a table's new contents in a fresh version directory
-(``<root>/<table>/v=<n>``); Spark never overwrites a table it is reading.
-A write becomes visible only when its commit row (the version directory of
-every table) is appended to ``<root>/_commits`` -- the last step of a job.
-Readers take the newest commit, so the four satellites of one refresh
-appear together or not at all, and an interrupted job leaves only
-unreferenced directories behind.
+(``<root>/<table>/v=<n>-<attempt>``); Spark never overwrites a table it is
+reading. A write becomes visible only when its commit row (the version
+directory of every table, and the bucket count) is appended to
+``<root>/_commits`` -- the last step of a job. Readers take the newest
+commit, so the four satellites of one refresh appear together or not at
+all, and an interrupted job leaves only unreferenced directories behind.
+
+Every table version is written bucketed (and sorted) by ``isin`` into the
+same number of buckets, and registered on read as an external bucketed
+table over its directory. The five-table join of the current view then
+needs no shuffle, and a merge shuffles only the batch side.
 """
 
 from __future__ import annotations
@@ -18,15 +23,28 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..session import utc_now
-from .tables import read_store_table
 
-_COMMIT_COLS = ["version", "committed_at", *schemas.TABLES]
+_COMMIT_COLS = ["version", "committed_at", "buckets", *schemas.TABLES]
+DEFAULT_BUCKETS = 16
+
+
+def _ddl(table: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.TABLES[table].fields)
+
+
+def _catalog_name(path: str) -> str:
+    import hashlib
+    return "equitylake_" + hashlib.sha1(path.encode()).hexdigest()[:16]
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS):
+        """``buckets``: bucket count of a new store (an existing store keeps
+        the count of its commits). Size it so a bucket of the largest
+        table stays around a few hundred MB."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     def _commits(self) -> DataFrame | None:
         try:
@@ -42,13 +60,21 @@ class Store:
         rows = c.orderBy(F.col("version").desc()).limit(1).collect()
         return rows[0].asDict() if rows else None
 
+    def _bucketed(self, path: str, table: str, buckets: int) -> DataFrame:
+        name = _catalog_name(path)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({_ddl(table)}) USING parquet "
+            f"CLUSTERED BY (isin) SORTED BY (isin) INTO {int(buckets)} BUCKETS "
+            f"LOCATION '{path}'")
+        return self.spark.table(name)
+
     def tables(self) -> dict[str, DataFrame]:
         """Current contents of all five tables (empty ones if never written)."""
         head = self.head() or {}
         out = {}
         for t, schema in schemas.TABLES.items():
             path = head.get(t)
-            out[t] = (read_store_table(self.spark, path, t) if path
+            out[t] = (self._bucketed(path, t, head["buckets"]) if path
                       else self.spark.createDataFrame([], schema))
         return out
 
@@ -56,6 +82,7 @@ class Store:
         """Write the given tables as a new version and commit it."""
         head = self.head() or {}
         version = int(head.get("version") or 0) + 1
+        buckets = int(head.get("buckets") or self.buckets)
         paths = {t: head.get(t) for t in schemas.TABLES}
         attempt = uuid.uuid4().hex[:12]
         for t, df in new.items():
@@ -63,12 +90,14 @@ class Store:
             # run is never reused, only ignored
             path = f"{self.root}/{t}/v={version}-{attempt}"
             cols = [f.name for f in schemas.TABLES[t].fields]
-            # clustered by isin within files: min/max stats let point
-            # lookups on isin skip row groups
-            df.select(*cols).sortWithinPartitions("isin").write.mode("errorifexists").parquet(path)
+            # one file per bucket, sorted by isin: bucketed joins on read, and
+            # min/max statistics let point lookups on isin skip row groups
+            (df.select(*cols).repartition(buckets, "isin").write
+             .bucketBy(buckets, "isin").sortBy("isin").option("path", path)
+             .mode("errorifexists").saveAsTable(_catalog_name(path)))
             paths[t] = path
-        row = {"version": version, "committed_at": utc_now(), **paths}
-        schema = ("version BIGINT, committed_at TIMESTAMP_NTZ, "
+        row = {"version": version, "committed_at": utc_now(), "buckets": buckets, **paths}
+        schema = ("version BIGINT, committed_at TIMESTAMP_NTZ, buckets INT, "
                   + ", ".join(f"{t} STRING" for t in schemas.TABLES))
         (self.spark.createDataFrame([tuple(row[c] for c in _COMMIT_COLS)], schema)
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_commits"))

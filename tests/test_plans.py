@@ -28,9 +28,10 @@ def plan(spark, df):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_view_shuffles_each_table_once(spark, stored):
+def test_view_joins_without_shuffle(spark, stored):
+    # all five tables are bucketed by isin into the same buckets
     p = plan(spark, views.current_view(stored))
-    assert len(re.findall("Exchange hashpartitioning", p)) == 5
+    assert len(re.findall("Exchange hashpartitioning", p)) == 0
     assert len(re.findall("SortMergeJoin", p)) == 4
 
 
@@ -39,6 +40,16 @@ def test_isin_lookup_reaches_every_scan(spark, stored):
     scans = re.findall(r"FileScan parquet [^\n]*", p)
     assert len(scans) == 5
     assert all("EqualTo(isin,MA0000000011)" in s for s in scans)
+    # and only the one bucket that can hold the ISIN is read
+    assert all("SelectedBucketsCount: 1 out of" in s for s in scans)
+
+
+def test_merge_shuffles_only_the_batch(spark, stored):
+    from equitylake.operators import merge as M
+    batch = stored["share_details"].limit(5)
+    p = plan(spark, M.merge_satellite(stored["share_details"], batch, "share_details"))
+    # the stored table's scan feeds the join directly; only the batch moves
+    assert len(re.findall("Exchange hashpartitioning", p)) == 1
 
 
 def test_stale_set_reads_only_stamps(spark, stored):
