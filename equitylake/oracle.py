@@ -284,6 +284,7 @@ def oracle_sql() -> dict[str, str]:
                        f"CAST(substr(isin, 12, 1) AS INTEGER) AS check_digit, updated_at FROM ({HUB})"),
         "fetch_metrics": FETCH_METRICS,
         "current_view": view_sql(),
+        "stored_view": view_sql(),
         "view_by_isin": view_sql(f"si.isin = {_q(C.LOOKUP_ISIN)}"),
         "view_by_prefix": view_sql(f"si.isin ILIKE ({_q(C.LOOKUP_LANG)} || '%')"),
         "view_by_name": view_sql(f"si.share_name ILIKE ('%' || {_q(C.LOOKUP_NAME)} || '%')"),

@@ -38,22 +38,38 @@ def _store(spark, sf_dir):
 
 
 def current_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every instrument with all attributes and its newest update time."""
     return views.current_view(_store(spark, sf_dir))
 
 
+def stored_view(spark, sf_dir):
+    """The store written as a new version of a bucketed, versioned store
+    (under spark.checkpoint.dir), read back and joined into the current
+    view -- the five joins run without a shuffle."""
+    from ..session import staging_path
+    from ..sources.store import Store
+    st = Store(spark, staging_path(spark, "store"), buckets=8)
+    st.write(_store(spark, sf_dir))
+    return views.current_view(st.tables())
+
+
 def view_by_isin(spark, sf_dir):
+    """Lookup by exact ISIN."""
     return views.query_shares(_store(spark, sf_dir), views.ShareQuery(isin=LOOKUP_ISIN))
 
 
 def view_by_prefix(spark, sf_dir):
+    """Lookup by case-insensitive ISIN prefix (country)."""
     return views.query_shares(_store(spark, sf_dir), views.ShareQuery(lang=LOOKUP_LANG))
 
 
 def view_by_name(spark, sf_dir):
+    """Lookup by case-insensitive name substring."""
     return views.query_shares(_store(spark, sf_dir), views.ShareQuery(name=LOOKUP_NAME))
 
 
 def view_by_prefix_and_name(spark, sf_dir):
+    """Lookup by ISIN prefix and name substring together."""
     return views.query_shares(_store(spark, sf_dir),
                               views.ShareQuery(name=LOOKUP_NAME, lang="Ho"))
 
@@ -72,6 +88,7 @@ def view_request_empty_params(spark, sf_dir):
 
 
 def stale_set(spark, sf_dir):
+    """Instruments whose newest satellite stamp is 120 days old or more."""
     return views.stale_set(_store(spark, sf_dir), STALE_MIN_AGE, STALE_AS_OF)
 
 
@@ -373,6 +390,7 @@ def fetch_metrics(spark, sf_dir):
 
 QUERIES = {
     "current_view": current_view,
+    "stored_view": stored_view,
     "view_by_isin": view_by_isin,
     "view_by_prefix": view_by_prefix,
     "view_by_name": view_by_name,
