@@ -279,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         **_extraction_sql(C),
         **refresh_sql(C),
+        **discovery_sql(C),
         "fetch_outcome": FETCH_RESOLVED,
         "isins_json": (f"SELECT share_name, substr(isin, 1, 2) AS country, substr(isin, 3, 9) AS nna, "
                        f"CAST(substr(isin, 12, 1) AS INTEGER) AS check_digit, updated_at FROM ({HUB})"),
@@ -407,3 +408,27 @@ def refresh_sql(C) -> dict[str, str]:
         f"CAST({n_ok} AS INTEGER) AS insert_total, CAST({n_ok} AS INTEGER) AS insert_successful "
         f"FROM ({due})")
     return {"refresh_view": view_after, "refresh_metrics": metrics}
+
+
+def discovery_sql(C) -> dict[str, str]:
+    # link rows of the stand-in listing pages, the last page of each
+    # initial counted twice
+    links = (f"SELECT {ISIN} AS isin, c_name, c_acctbal, c_nationkey, "
+             "upper(substr(c_mktsegment, 1, 1)) AS letter, c_custkey // 50 + 1 AS page FROM customer")
+    last = "SELECT letter, max(page) AS page FROM l GROUP BY letter"
+    counted = (f"WITH l AS ({links}), last AS ({last}) "
+               "SELECT l.*, CASE WHEN last.page IS NULL THEN 1 ELSE 2 END AS copies "
+               "FROM l LEFT JOIN last ON l.letter = last.letter AND l.page = last.page")
+    return {
+        "discovery_instruments": (
+            f"SELECT {ISIN} AS isin, c_name AS share_name, {ts(C.RUN_AS_OF)} AS updated_at FROM customer "
+            "WHERE c_acctbal >= 0 AND c_nationkey <> 0"),
+        "discovery_metrics": (
+            "SELECT CAST(sum(copies) AS INTEGER) AS total, "
+            "CAST(coalesce(sum(copies) FILTER (WHERE c_acctbal >= 0 AND c_nationkey <> 0), 0) AS INTEGER) AS successful, "
+            "0 AS network_error, "
+            "CAST(coalesce(sum(copies) FILTER (WHERE c_nationkey = 0), 0) AS INTEGER) AS invalid_page, "
+            "0 AS timeout, 0 AS max_retries, "
+            "CAST(coalesce(sum(copies) FILTER (WHERE c_acctbal < 0 AND c_nationkey <> 0), 0) AS INTEGER) AS parsing_error "
+            f"FROM ({counted})"),
+    }

@@ -371,6 +371,24 @@ def listing_metrics(spark, sf_dir):
     return metrics
 
 
+def _discovery(spark, sf_dir):
+    return jobs.extract_instruments(adapter.render_listing_pages(spark, sf_dir), RUN_AS_OF)
+
+
+def discovery_instruments(spark, sf_dir):
+    """Listing pages in the site's layout scanned with its selector, links
+    turned into instruments, invalid ones dropped, repeats collapsed."""
+    instruments, _, _ = _discovery(spark, sf_dir)
+    return instruments
+
+
+def discovery_metrics(spark, sf_dir):
+    """Discovery metrics: link elements before de-duplication, successes,
+    invalid links, parsing errors."""
+    _, _, metrics = _discovery(spark, sf_dir)
+    return metrics
+
+
 def detail_urls(spark, sf_dir):
     """The detail-page URL of every instrument."""
     return adapter.hub(spark, sf_dir).select("isin", detail_url(F.col("isin")).alias("url"))
@@ -424,6 +442,8 @@ QUERIES = {
     "link_dedupe": link_dedupe,
     "listing_metrics": listing_metrics,
     "detail_urls": detail_urls,
+    "discovery_instruments": discovery_instruments,
+    "discovery_metrics": discovery_metrics,
     "fetch_outcome": fetch_outcome,
     "fetch_metrics": fetch_metrics,
 }

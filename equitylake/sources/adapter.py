@@ -343,3 +343,49 @@ def fetch_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("url", "attempt_no", "status", "net_error", "body",
                     start.alias("started_at"),
                     F.timestamp_add("MILLISECOND", F.col("dur_ms"), start).alias("ended_at"))
+
+
+# ---- stand-in listing pages -------------------------------------------------
+
+LINKS_PER_PAGE = 50
+
+
+def render_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site-like A-Z listing pages of every customer-instrument.
+
+    A page holds the instruments of one initial (first letter of the market
+    segment) among 50 consecutive keys, so at most 50 links. Instruments
+    with a negative balance link to an 11-character ISIN (a parsing
+    error), those of nation 0 have no name span (an invalid link). Every
+    page also carries a decoy link outside the listing block, and the last
+    page of each initial is served twice (as the site does for pages past
+    the end).
+    """
+    from .pages import LISTING_URL
+    c = read_input(spark, sf_dir, "customer")
+    isin = isin_of(F.col("c_mktsegment"), F.col("c_custkey"))
+    href = F.concat(F.lit("/borsa/azioni/scheda/"),
+                    F.when(F.col("c_acctbal") >= 0, isin).otherwise(F.substring(isin, 1, 11)),
+                    F.lit(".html?lang=it"))
+    name = F.when(F.col("c_nationkey") != 0,
+                  F.concat(F.lit('<span class="t-text">'), _esc(F.col("c_name")), F.lit("</span>")))
+    link = F.concat(F.lit('<a class="u-hidden -xs" href="'), href, F.lit('">'),
+                    F.coalesce(name, F.lit("")), F.lit("</a>"))
+    keyed = c.select(F.upper(F.substring("c_mktsegment", 1, 1)).alias("letter"),
+                     (F.expr("c_custkey div 50") + 1).cast("int").alias("page"),
+                     F.struct(F.col("c_custkey").alias("k"), link.alias("html")).alias("l"))
+    # at most 50 links per (letter, page) by construction
+    pages = keyed.groupBy("letter", "page").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    body = F.concat(
+        F.lit('<html><body><nav><a class="u-hidden -xs" href="/borsa/azioni/scheda/IT0000000000.html">'
+              '<span class="t-text">Fuori lista</span></a></nav>'
+              '<div data-bb-view="list-aZ-stream"><table class="m-table -firstlevel"><tr><td>'),
+        F.array_join(F.transform("ls", lambda x: x["html"]), ""),
+        F.lit("</td></tr></table></div></body></html>"))
+    out = pages.select("letter", "page", body.alias("html"))
+    last = out.groupBy("letter").agg(F.max("page").alias("page"))
+    repeat = out.join(last, ["letter", "page"]).withColumn("page", F.col("page") + 1)
+    both = out.unionByName(repeat)
+    return both.select(
+        (F.ascii("letter").cast("bigint") * 1_000_000 + F.col("page")).alias("page_id"),
+        F.format_string(LISTING_URL, F.col("letter"), F.col("page")).alias("url"), "html")
