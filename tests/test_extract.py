@@ -105,3 +105,23 @@ def test_listing_links(spark):
     # counted before de-duplication; the empty page adds an error, not a total
     assert m["total"] == 10 and m["successful"] == 2
     assert m["invalid_page"] == 5 and m["parsing_error"] == 4
+
+
+def test_scanner_leniency():
+    html = ("<TABLE><TBODY><TR><TD><STRONG>Max <!-- x -->Oggi</STRONG>"
+            "<TD><SPAN CLASS=t-text -right class='ignored'>5<br>6</SPAN>"
+            "<tr><td><strong>Min Oggi</strong><script>var s='</td><td><strong>Bad</strong>';</script>"
+            "<td><span class=\"x t-text -right y\">&#55;,5</span></td></tr></tbody></table>")
+    rows = H.detail_rows(html)
+    labels = [r[2] for r in rows]
+    assert labels == ["Max Oggi", "Min Oggi"]          # comment splits text, label joins it
+    assert rows[1][3] == "7,5"                         # numeric entity, classes in any order
+    # an unquoted class value ends at the blank (and the first of two class
+    # attributes wins): the first span lacks -right, so that row has no value
+    assert rows[0][3] is None
+
+
+def test_first_text_node_stops_at_tag():
+    rows = H.detail_rows('<table><tr><td><strong>Max Anno</strong></td>'
+                         '<td><span class="t-text -right">12,5<br> - 29/11/24</span></td></tr></table>')
+    assert rows[0][3] == "12,5"
