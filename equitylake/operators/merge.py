@@ -6,10 +6,10 @@
   partial-aggregatable ``max_by`` so a hot ISIN is combined map-side.
 * ``merge_satellite``: null-preserving upsert. A NULL in the batch never
   erases a stored value; an older stamp still overwrites (no monotonic
-  check). Two physical plans: a full outer join on ``isin`` (both sides
-  shuffled once), or -- when the caller has checked the batch is small --
-  a broadcast of the batch so the stored table is only scanned, never
-  shuffled.
+  check). Two physical plans: a full outer join on ``isin`` (each side
+  shuffled at most once; a stored table bucketed by ``isin`` not at all),
+  or -- when the caller has checked the batch is small -- a broadcast of
+  the batch so the stored table is only scanned, never shuffled.
 * ``validate_shares``: one accept/reject decision per ISIN across all four
   payloads (foreign key to the hub, VARCHAR limits, NOT NULL, INT range),
   so the four merges apply the same ISIN set: all four or none.
@@ -25,13 +25,29 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Bounded size check: stops counting after ``max_rows + 1`` rows.
-    Run it on staged (materialised) data, where it is a cheap scan."""
-    return df.limit(max_rows + 1).count() <= max_rows
+BROADCAST_MAX_BYTES = 256 << 20
+_WIDTH = {"string": 48, "binary": 48, "boolean": 1, "byte": 1, "short": 2, "integer": 4,
+          "date": 4, "float": 4}
+
+
+def approx_row_bytes(df: DataFrame) -> int:
+    """Rough in-memory width of a row (8 bytes for other scalars, nested
+    types by their fields) plus row overhead."""
+    def width(t) -> int:
+        if t.typeName() == "struct":
+            return sum(width(f.dataType) for f in t.fields)
+        if t.typeName() in ("array", "map"):
+            return 256
+        return _WIDTH.get(t.typeName(), 8)
+    return 16 + sum(width(f.dataType) for f in df.schema.fields)
+
+
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Bounded size check before a broadcast: counts at most one row past
+    the budget's row cap (``max_bytes`` / estimated row width). Run it on
+    staged (materialised) data, where it is a cheap scan."""
+    cap = max(1, max_bytes // approx_row_bytes(df))
+    return df.limit(cap + 1).count() <= cap
 
 
 def _order(df: DataFrame, cols: list[str]) -> Column:

@@ -108,3 +108,10 @@ def test_insert_absent_broadcast_plan_same_result(spark):
     assert a == sorted(map(tuple, b_out.collect()))
     plan = b_out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_fits_broadcast_is_byte_bounded(spark):
+    df = spark.range(1000).selectExpr("cast(id as string) isin", "id * 1.0 as v")
+    assert M.fits_broadcast(df)
+    assert not M.fits_broadcast(df, max_bytes=M.approx_row_bytes(df) * 999)
+    assert M.fits_broadcast(df, max_bytes=M.approx_row_bytes(df) * 1000)
