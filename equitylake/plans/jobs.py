@@ -183,10 +183,12 @@ def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[st
 
 def refresh_frames(current: dict[str, DataFrame], pages: DataFrame, min_age: dt.timedelta,
                    as_of: dt.datetime, all_shares: bool = False,
-                   fetch_errors: DataFrame | None = None, stage=_no_stage, check=None):
+                   fetch_errors: DataFrame | None = None, stage=_no_stage, check=None,
+                   rejects_out: list | None = None):
     """One refresh as DataFrames: the instruments due (or all), their
     detail pages scanned and typed, merged into the satellites.
-    Returns (new satellites, scrape metrics row, insertion metrics row)."""
+    Returns (new satellites, scrape metrics row, insertion metrics row);
+    the rejected rows are appended to ``rejects_out`` when given."""
     chk = check or (lambda df: False)
     todo = (current["share_isins"] if all_shares
             else views.stale_set(current, min_age, as_of))
@@ -194,7 +196,9 @@ def refresh_frames(current: dict[str, DataFrame], pages: DataFrame, min_age: dt.
     scanned = stage(scan_requested(todo, pages, broadcast_requests=chk(todo)), "scanned")
     wide = stage(records_of(scanned, as_of), "extracted")
     scrape = stage(MT.scrape_metrics(outcomes_of(scanned, fetch_errors)), "scrape-metrics")
-    new, outcome, _ = merge_shares(wide, current["share_isins"], current, stage, check)
+    new, outcome, rejects = merge_shares(wide, current["share_isins"], current, stage, check)
+    if rejects_out is not None:
+        rejects_out.append(rejects)
     return new, scrape, MT.insertion_metrics(outcome)
 
 
@@ -217,11 +221,14 @@ def refresh(store: Store, pages: DataFrame | None = None,
         pages = FL.fetched_pages(attempts, resolved, broadcast_ok=M.fits_broadcast(resolved))
         fetch_errors = resolved.where(F.col("error").isNotNull())
     current = store.tables()
+    job = "refresh_all" if all_shares else "refresh"
+    rejected: list = []
     new, scrape, insert = refresh_frames(current, pages, min_age, as_of, all_shares,
-                                         fetch_errors, stage=_stage, check=M.fits_broadcast)
+                                         fetch_errors, stage=_stage, check=M.fits_broadcast,
+                                         rejects_out=rejected)
     store.write(new)
-    run = MT.run_record(spark, "refresh_all" if all_shares else "refresh", scrape, insert,
-                        start, utc_now())
+    store.append_rejects(rejected[0], job, start)
+    run = MT.run_record(spark, job, scrape, insert, start, utc_now())
     store.append_run(run)
     return run
 
@@ -248,6 +255,8 @@ def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None =
     hub = current["share_isins"].unionByName(outcome.where("inserted").select(
         "isin", "share_name", "updated_at"))
     store.write({"share_isins": hub})
+    store.append_rejects(outcome.where(~F.col("inserted")).withColumn("table", F.lit("share_isins")),
+                         "discover", start)
     run = MT.run_record(spark, "discover", scrape, MT.insertion_metrics(outcome),
                         start, utc_now())
     store.append_run(run)

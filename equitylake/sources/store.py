@@ -103,6 +103,16 @@ class Store:
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_commits"))
         return version
 
+    def append_rejects(self, rejects: DataFrame, job: str, at) -> None:
+        """Route refused rows: (isin, table, reason) plus job and time."""
+        (rejects.select(F.col("isin"), F.col("table"), F.col("reason"),
+                        F.lit(job).alias("job"),
+                        F.lit(at).cast("timestamp_ntz").alias("rejected_at"))
+         .write.mode("append").parquet(f"{self.root}/_rejects"))
+
+    def rejects(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/_rejects")
+
     def append_run(self, run: DataFrame) -> None:
         run.coalesce(1).write.mode("append").parquet(f"{self.root}/_runs")
 

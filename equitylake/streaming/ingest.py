@@ -58,7 +58,8 @@ def refresh_batch(store: Store, pages: DataFrame, batch_id: int,
     scanned = scanned.where(F.col("page_id").isNotNull())
     wide = jobs._stage(jobs.records_of(scanned, as_of or start), f"stream-{batch_id}-extracted")
     scrape = MT.scrape_metrics(jobs.outcomes_of(scanned))
-    _, insert, _ = jobs.write_shares(store, wide, current["share_isins"], current)
+    _, insert, rejects = jobs.write_shares(store, wide, current["share_isins"], current)
+    store.append_rejects(rejects, "stream_refresh", start)
     store.append_run(MT.run_record(spark, "stream_refresh", scrape, insert, start, utc_now()))
     (spark.createDataFrame([(batch_id, utc_now())], "batch_id BIGINT, committed_at TIMESTAMP_NTZ")
      .coalesce(1).write.mode("append").parquet(f"{store.root}/_stream_batches"))
@@ -77,9 +78,9 @@ def start_page_ingest(store: Store, pages_dir: str, checkpoint_location: str,
 
 
 def parse_stream(pages: DataFrame) -> DataFrame:
-    """Typed property rows of a (streaming or batch) page DataFrame: the
-    labelled rows of each page with every value parsed as a number, a
-    date-time and a price pair -- row-local, no state."""
+    """Typed rows of a (streaming or batch) page DataFrame: the labelled
+    rows of each page with every value parsed as a number and as a
+    date-time -- row-local, no state."""
     from ..functions import parsers as P
     from ..operators import extract as X
     rows = X.scan_detail_rows(pages).where(F.col("table_ord") >= 0)

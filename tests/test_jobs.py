@@ -35,6 +35,8 @@ def test_discover_then_refresh(spark, tmp_dir):
     # rediscovery: known ISINs are refused, the hub is unchanged
     run2 = jobs.discover(store, lp, dt.datetime(2024, 1, 2)).collect()[0]
     assert (run2.insert.total, run2.insert.successful) == (2, 0)
+    rej = sorted((r.isin, r.reason, r.job) for r in store.rejects().collect())
+    assert rej == [("IT0001233417", "isin_exists", "discover"), ("IT0005218380", "isin_exists", "discover")]
     hub = {r.isin: r for r in store.tables()["share_isins"].collect()}
     assert sorted(hub) == ["IT0001233417", "IT0005218380"]
     assert hub["IT0001233417"].updated_at == dt.datetime(2024, 1, 1)
