@@ -142,7 +142,8 @@ def it_number(c, decimals: int = 2):
 
 def number_parse(spark, sf_dir):
     """Every lineitem price rendered as '1.234,56', '1,234.56' and
-    '-1.234,56 %' and parsed back."""
+    '-1.234,56 %' and parsed back, plus the return flag as '+R' (not a
+    number: NULL)."""
     li = read_input(spark, sf_dir, "lineitem")
     it = it_number(F.col("l_extendedprice"))
     us = F.format_number(F.col("l_extendedprice"), 2)
@@ -155,7 +156,8 @@ def number_parse(spark, sf_dir):
 
 
 def int_parse(spark, sf_dir):
-    """Every order key rendered with dot thousands separators and parsed back."""
+    """Every order key rendered with dot thousands separators and parsed
+    back, plus the same with a minus sign (unsigned: NULL)."""
     o = read_input(spark, sf_dir, "orders")
     dotted = F.translate(F.format_number(F.col("o_orderkey"), 0), ",", ".")
     return o.select("o_orderkey",
@@ -164,7 +166,8 @@ def int_parse(spark, sf_dir):
 
 
 def datetime_parse(spark, sf_dir):
-    """Every event time rendered 'dd/MM/yy HH.mm.ss' and 'd/M/yy - H.m.s'."""
+    """Every event time rendered 'dd/MM/yy HH.mm.ss' and 'd/M/yy - H.m.s'
+    and parsed back, plus the first form with trailing text (NULL)."""
     e = read_input(spark, sf_dir, "events")
     f1 = F.date_format("ts", "dd/MM/yy HH.mm.ss")
     f2 = F.date_format("ts", "d/M/yy - H.m.s")
@@ -183,7 +186,8 @@ def date_parse(spark, sf_dir):
 
 
 def price_date_split(spark, sf_dir):
-    """Every order as 'price - dd/MM/yy' split into {price, date}."""
+    """Every order as 'price - dd/MM/yy' split into {price, date}, plus
+    the price alone (no separator: NULL pair)."""
     o = read_input(spark, sf_dir, "orders")
     s = P.price_date(F.concat(it_number(F.col("o_totalprice")), F.lit(" - "),
                               F.date_format("o_orderdate", "dd/MM/yy")))
