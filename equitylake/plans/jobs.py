@@ -74,8 +74,17 @@ def scan_requested(instruments: DataFrame, pages: DataFrame,
     req_urls = req.select("url").distinct()
     if broadcast_requests:
         req_urls = F.broadcast(req_urls)
-    props = X.assign_properties(X.scan_detail_rows(pages.join(req_urls, "url", "left_semi")))
-    return req.join(props, "url", "left")
+    wanted = pages.join(req_urls, "url", "left_semi")
+    props = X.assign_properties(X.scan_detail_rows(wanted))
+    # inner join: AQE may split a URL with very many page copies on either
+    # side (a left outer join could only split the request side)
+    found = props.join(req, "url")
+    # requested ISINs without any page, from the pages' url column alone
+    seen = wanted.select("url").distinct()
+    if broadcast_requests:  # a subset of the checked request URLs
+        seen = F.broadcast(seen)
+    missing = req.join(seen, "url", "left_anti")
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def records_of(scanned: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:

@@ -100,3 +100,21 @@ def test_refresh_from_attempt_log(spark, tmp_dir):
     docs = [json.loads(r.json) for r in api.share(store, isin=isins[0]).collect()]
     assert docs[0]["price_data"]["prezzo_ultimo_contratto"] == 1.5
     assert api.all_isins(store).count() == 4 and api.all_shares(store).count() == 4
+
+
+def test_page_copies_and_missing_pages(spark):
+    from pyspark.sql import functions as F
+    inst = spark.createDataFrame([("IT0001233417",), ("IT0005218380",)], "isin string")
+    url = detail_url(F.lit("IT0001233417"))
+    copies = spark.range(30).select((F.col("id") + 1).alias("page_id"), url.alias("url"),
+                                    F.lit(detail("1,50", "10", "2")).alias("html"))
+    for bc in (False, True):
+        scanned = jobs.scan_requested(inst, copies, broadcast_requests=bc)
+        rows = scanned.collect()
+        assert sum(1 for r in rows if r.isin == "IT0001233417") == 30
+        missing = [r for r in rows if r.isin == "IT0005218380"]
+        assert len(missing) == 1 and missing[0].page_id is None
+        out = {r.isin: r.error for r in jobs.outcomes_of(scanned).collect()}
+        assert out == {"IT0001233417": None, "IT0005218380": "network_error"}
+        recs = jobs.records_of(scanned, dt.datetime(2024, 1, 5))
+        assert recs.count() == 30 and recs.select("isin").distinct().count() == 1
