@@ -79,8 +79,9 @@ def scan_requested(instruments: DataFrame, pages: DataFrame,
     # inner join: AQE may split a URL with very many page copies on either
     # side (a left outer join could only split the request side)
     found = props.join(req, "url")
-    # requested ISINs without any page, from the pages' url column alone
-    seen = wanted.select("url").distinct()
+    # requested ISINs without any page; the URLs come from the same
+    # aggregation (its shuffle is reused), not from a second page read
+    seen = props.select("url").distinct()
     if broadcast_requests:  # a subset of the checked request URLs
         seen = F.broadcast(seen)
     missing = req.join(seen, "url", "left_anti")
