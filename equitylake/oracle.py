@@ -419,7 +419,20 @@ def discovery_sql(C) -> dict[str, str]:
     counted = (f"WITH l AS ({links}), last AS ({last}) "
                "SELECT l.*, CASE WHEN last.page IS NULL THEN 1 ELSE 2 END AS copies "
                "FROM l LEFT JOIN last ON l.letter = last.letter AND l.page = last.page")
+    grid_counted = (f"WITH l AS ({links}), last AS ({last}), g AS ("
+                    "SELECT l.*, CASE WHEN last.page IS NOT NULL AND l.page + 1 <= 9 THEN 2 ELSE 1 END "
+                    "AS copies FROM l LEFT JOIN last ON l.letter = last.letter AND l.page = last.page) "
+                    "SELECT * FROM g WHERE page <= 9")
+    metrics = lambda src: (
+        "SELECT CAST(coalesce(sum(copies), 0) AS INTEGER) AS total, "
+        "CAST(coalesce(sum(copies) FILTER (WHERE c_acctbal >= 0 AND c_nationkey <> 0), 0) AS INTEGER) AS successful, "
+        "0 AS network_error, "
+        "CAST(coalesce(sum(copies) FILTER (WHERE c_nationkey = 0), 0) AS INTEGER) AS invalid_page, "
+        "0 AS timeout, 0 AS max_retries, "
+        "CAST(coalesce(sum(copies) FILTER (WHERE c_acctbal < 0 AND c_nationkey <> 0), 0) AS INTEGER) AS parsing_error "
+        f"FROM ({src})")
     return {
+        "discovery_grid_metrics": metrics(grid_counted),
         "discovery_instruments": (
             f"SELECT {ISIN} AS isin, c_name AS share_name, {ts(C.RUN_AS_OF)} AS updated_at FROM customer "
             "WHERE c_acctbal >= 0 AND c_nationkey <> 0"),

@@ -393,6 +393,14 @@ def discovery_metrics(spark, sf_dir):
     return metrics
 
 
+def discovery_grid_metrics(spark, sf_dir):
+    """Discovery metrics of a run that reads only the listing grid's pages
+    (initials A-Z, pages 1-9)."""
+    pages = jobs.grid_pages(adapter.render_listing_pages(spark, sf_dir))
+    _, _, metrics = jobs.extract_instruments(pages, RUN_AS_OF)
+    return metrics
+
+
 def detail_urls(spark, sf_dir):
     """The detail-page URL of every instrument."""
     return adapter.hub(spark, sf_dir).select("isin", detail_url(F.col("isin")).alias("url"))
@@ -448,6 +456,7 @@ QUERIES = {
     "detail_urls": detail_urls,
     "discovery_instruments": discovery_instruments,
     "discovery_metrics": discovery_metrics,
+    "discovery_grid_metrics": discovery_grid_metrics,
     "fetch_outcome": fetch_outcome,
     "fetch_metrics": fetch_metrics,
 }

@@ -35,6 +35,14 @@ def _as_of(as_of: dt.datetime | None) -> Column:
 
 # ---- listing pages ----------------------------------------------------------
 
+def grid_pages(pages: DataFrame) -> DataFrame:
+    """The pages of a discovery run: those at the A-Z x 1-9 listing URLs
+    (a fixed 234-row set, broadcast)."""
+    from ..sources.pages import listing_grid
+    grid = listing_grid(pages.sparkSession).select("url")
+    return pages.join(F.broadcast(grid), "url", "left_semi")
+
+
 def extract_instruments(pages: DataFrame, as_of: dt.datetime | None = None,
                         chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME,
                         scanned: DataFrame | None = None):
