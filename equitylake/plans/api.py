@@ -46,6 +46,8 @@ def run_scrape_and_insert(store: Store, pages: DataFrame | None = None,
     return jobs.refresh(store, pages, all_shares=True, attempts=attempts)
 
 
-def run_scrape_and_insert_isins(store: Store, listing_pages: DataFrame) -> DataFrame:
-    """Discover instruments from listing pages and insert the new ones."""
-    return jobs.discover(store, listing_pages)
+def run_scrape_and_insert_isins(store: Store, listing_pages: DataFrame,
+                                grid_only: bool = True) -> DataFrame:
+    """Discover instruments from the listing grid's pages (A-Z x 1-9) and
+    insert the new ones."""
+    return jobs.discover(store, listing_pages, grid_only=grid_only)

@@ -257,10 +257,15 @@ def refresh_all(store: Store, pages: DataFrame | None = None, as_of: dt.datetime
 
 
 def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None = None,
-             chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME) -> DataFrame:
-    """Listing pages -> new hub rows (known ISINs untouched). Returns the run record."""
+             chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME,
+             grid_only: bool = False) -> DataFrame:
+    """Listing pages -> new hub rows (known ISINs untouched). With
+    ``grid_only`` only the pages at the listing grid's URLs are read.
+    Returns the run record."""
     spark = store.spark
     start = utc_now()
+    if grid_only:
+        listing_pages = grid_pages(listing_pages)
     scanned = _stage(X.scan_links(listing_pages, chain, name), "listing-links")
     instruments, _, scrape = extract_instruments(listing_pages, as_of or start, chain, name,
                                                  scanned=scanned)
