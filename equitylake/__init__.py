@@ -1,0 +1,10 @@
+"""equitylake: a Spark-native store and query engine for equity market data.
+
+Modules: ``functions.parsers`` (typed value parsers as Columns),
+``operators`` (page scanning, property assignment, merges, metrics, fetch
+log), ``sources`` (page and table sources, the versioned bucketed store),
+``plans`` (views, jobs, API entry points, registered queries) and
+``streaming`` (page ingest, live fetch-log resolution).
+"""
+
+__version__ = "0.1.0"
