@@ -195,7 +195,7 @@ def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[st
     """Validate, merge and commit one version. Returns (version, insert
     metrics, rejects)."""
     new, outcome, rejects = merge_shares(wide, hub, current, stage=_stage, check=M.fits_broadcast)
-    version = store.write(new)
+    version = store.write(new, clustered=True)
     return version, MT.insertion_metrics(outcome), rejects
 
 
@@ -244,7 +244,7 @@ def refresh(store: Store, pages: DataFrame | None = None,
     new, scrape, insert = refresh_frames(current, pages, min_age, as_of, all_shares,
                                          fetch_errors, stage=_stage, check=M.fits_broadcast,
                                          rejects_out=rejected)
-    store.write(new)
+    store.write(new, clustered=True)  # merged against the bucketed tables
     store.append_rejects(rejected[0], job, start)
     run = MT.run_record(spark, job, scrape, insert, start, utc_now())
     store.append_run(run)

@@ -78,8 +78,14 @@ class Store:
                       else self.spark.createDataFrame([], schema))
         return out
 
-    def write(self, new: dict[str, DataFrame]) -> int:
-        """Write the given tables as a new version and commit it."""
+    def write(self, new: dict[str, DataFrame], clustered: bool = False) -> int:
+        """Write the given tables as a new version and commit it.
+
+        ``clustered``: the inputs are already hash-clustered by ``isin`` (a
+        merge against this store's bucketed tables is): each task then
+        writes its buckets' files directly instead of the data being
+        shuffled into buckets first.
+        """
         head = self.head() or {}
         version = int(head.get("version") or 0) + 1
         buckets = int(head.get("buckets") or self.buckets)
@@ -92,8 +98,10 @@ class Store:
             cols = [f.name for f in schemas.TABLES[t].fields]
             # one file per bucket, sorted by isin: bucketed joins on read, and
             # min/max statistics let point lookups on isin skip row groups
-            (df.select(*cols).repartition(buckets, "isin").write
-             .bucketBy(buckets, "isin").sortBy("isin").option("path", path)
+            out = df.select(*cols)
+            if not clustered:
+                out = out.repartition(buckets, "isin")
+            (out.write.bucketBy(buckets, "isin").sortBy("isin").option("path", path)
              .mode("errorifexists").saveAsTable(_catalog_name(path)))
             paths[t] = path
         row = {"version": version, "committed_at": utc_now(), "buckets": buckets, **paths}
