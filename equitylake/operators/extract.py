@@ -2,7 +2,7 @@
 
 Detail pages -> typed share records:
 
-1. ``scan_detail_rows``: ``mapInPandas`` over (page_id, html) emits small
+1. ``scan_detail_rows``: ``mapInArrow`` over (page_id, html) emits small
    long rows (page_id, table_ord, row_ord, label, value). The wide ``html``
    column is dropped right after; nothing else runs in Python.
 2. ``assign_properties``: one aggregation per page. For each of the 27
@@ -19,7 +19,7 @@ Listing pages -> instruments: ``scan_links`` + ``classify_links``.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,24 +27,39 @@ from .. import schemas
 from ..functions import parsers as P
 from . import html_scan
 
+_ROWS_ARROW = pa.schema([("page_id", pa.int64(), False), ("url", pa.string()),
+                         ("table_ord", pa.int32(), False), ("row_ord", pa.int32(), False),
+                         ("label", pa.string()), ("value", pa.string()),
+                         ("empty_page", pa.bool_())])
+_LINKS_ARROW = pa.schema([("page_id", pa.int64(), False), ("link_ord", pa.int32(), False),
+                          ("href", pa.string()), ("name", pa.string()),
+                          ("empty_page", pa.bool_())])
+
 
 def _detail_iter(batches):
     cols = [f.name for f in schemas.PAGE_ROWS.fields]
-    for pdf in batches:
-        rows = []
-        for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+    for batch in batches:
+        out = {c: [] for c in cols}
+        pids, urls, htmls = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
+        for pid, url, html in zip(pids, urls, htmls):
             empty = html is None or html == ""
-            rows.append((pid, url, -1, -1, None, None, empty))
-            if not empty:
-                rows.extend((pid, url, t, r, lab, val, None)
-                            for t, r, lab, val in html_scan.detail_rows(html))
-        yield pd.DataFrame(rows, columns=cols)
+            rows = [(-1, -1, None, None)] if empty else \
+                [(-1, -1, None, None)] + html_scan.detail_rows(html)
+            for t, r, lab, val in rows:
+                out["page_id"].append(pid)
+                out["url"].append(url)
+                out["table_ord"].append(t)
+                out["row_ord"].append(r)
+                out["label"].append(lab)
+                out["value"].append(val)
+                out["empty_page"].append(empty if t < 0 else None)
+        yield pa.RecordBatch.from_pydict(out, schema=_ROWS_ARROW)
 
 
 def scan_detail_rows(pages: DataFrame) -> DataFrame:
     """One marker row per page plus its labelled table rows (schema
     ``schemas.PAGE_ROWS``). Pages are read once; html goes no further."""
-    return pages.select("page_id", "url", "html").mapInPandas(_detail_iter, schemas.PAGE_ROWS)
+    return pages.select("page_id", "url", "html").mapInArrow(_detail_iter, schemas.PAGE_ROWS)
 
 
 def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
@@ -54,16 +69,20 @@ def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
     cols = [f.name for f in schemas.PAGE_LINKS.fields]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
+        for batch in batches:
+            out = {c: [] for c in cols}
+            pids, htmls = (batch.column(c).to_pylist() for c in ("page_id", "html"))
+            for pid, html in zip(pids, htmls):
                 empty = html is None or html == ""
-                rows.append((pid, -1, None, None, empty))
-                if not empty:
-                    rows.extend((pid, k, href, nm, None)
-                                for k, href, nm in html_scan.links(html, chain, name))
-            yield pd.DataFrame(rows, columns=cols)
-    return pages.select("page_id", "html").mapInPandas(run, schemas.PAGE_LINKS)
+                found = [] if empty else html_scan.links(html, chain, name)
+                for k, href, nm in [(-1, None, None)] + found:
+                    out["page_id"].append(pid)
+                    out["link_ord"].append(k)
+                    out["href"].append(href)
+                    out["name"].append(nm)
+                    out["empty_page"].append(empty if k < 0 else None)
+            yield pa.RecordBatch.from_pydict(out, schema=_LINKS_ARROW)
+    return pages.select("page_id", "html").mapInArrow(run, schemas.PAGE_LINKS)
 
 
 def links_only(scanned: DataFrame) -> DataFrame:
