@@ -59,7 +59,7 @@ _FLOAT_CLEAN = r"(?sU)^\s*\+*\s*(.*?)\s*%*\s*$"
 def parse_float(c) -> Column:
     s = F.regexp_extract(_c(c), _FLOAT_CLEAN, 1)
     sign = F.when(s.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    body = F.regexp_replace(s, r"^-+", "")
+    body = F.ltrim(s, F.lit("-"))
     norm = F.when(body.rlike(_IT_NUMBER), F.translate(body, ",.", ".")) \
         .otherwise(F.translate(body, ",", ""))
     val = F.when(norm.rlike(_FLOAT_LITERAL), norm).try_cast("double")
