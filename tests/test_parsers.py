@@ -1,7 +1,6 @@
 import datetime as dt
 import math
 
-import pytest
 from pyspark.sql import functions as F
 
 from equitylake.functions import parsers as P
