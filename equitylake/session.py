@@ -27,6 +27,20 @@ SESSION_CONF = {
 }
 
 
+# Settings for a large cluster (~100 TB inputs): start shuffles wide and let
+# AQE coalesce them to ~256 MB partitions, split skewed join partitions,
+# and keep input splits and Arrow batches of raw HTML bounded.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "128",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_spark(master: str | None = None, app: str = "equitylake",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
