@@ -195,7 +195,7 @@ def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[st
     """Validate, merge and commit one version. Returns (version, insert
     metrics, rejects)."""
     new, outcome, rejects = merge_shares(wide, hub, current, stage=_stage, check=M.fits_broadcast)
-    version = store.write(new, clustered=True)
+    version = store.write(new, shuffle=False)
     return version, MT.insertion_metrics(outcome), rejects
 
 
@@ -244,7 +244,7 @@ def refresh(store: Store, pages: DataFrame | None = None,
     new, scrape, insert = refresh_frames(current, pages, min_age, as_of, all_shares,
                                          fetch_errors, stage=_stage, check=M.fits_broadcast,
                                          rejects_out=rejected)
-    store.write(new, clustered=True)  # merged against the bucketed tables
+    store.write(new, shuffle=False)  # merged against the bucketed tables
     store.append_rejects(rejected[0], job, start)
     run = MT.run_record(spark, job, scrape, insert, start, utc_now())
     store.append_run(run)
@@ -277,7 +277,8 @@ def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None =
     outcome = _stage(outcome, "insert-outcome")
     hub = current["share_isins"].unionByName(outcome.where("inserted").select(
         "isin", "share_name", "updated_at"))
-    store.write({"share_isins": hub})
+    # stored hub (bucketed scan) plus the few new rows: no shuffle needed
+    store.write({"share_isins": hub}, shuffle=False)
     store.append_rejects(outcome.where(~F.col("inserted")).withColumn("table", F.lit("share_isins")),
                          "discover", start)
     run = MT.run_record(spark, "discover", scrape, MT.insertion_metrics(outcome),

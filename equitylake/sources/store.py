@@ -78,13 +78,14 @@ class Store:
                       else self.spark.createDataFrame([], schema))
         return out
 
-    def write(self, new: dict[str, DataFrame], clustered: bool = False) -> int:
+    def write(self, new: dict[str, DataFrame], shuffle: bool = True) -> int:
         """Write the given tables as a new version and commit it.
 
-        ``clustered``: the inputs are already hash-clustered by ``isin`` (a
-        merge against this store's bucketed tables is): each task then
-        writes its buckets' files directly instead of the data being
-        shuffled into buckets first.
+        ``shuffle``: hash the rows into their buckets first (one file per
+        bucket). Without it each task writes the bucket files of the rows
+        it holds -- no shuffle, more files; the right choice when the input
+        is mostly a scan or merge of this store's bucketed tables, whose
+        tasks already hold whole buckets.
         """
         head = self.head() or {}
         version = int(head.get("version") or 0) + 1
@@ -99,7 +100,7 @@ class Store:
             # one file per bucket, sorted by isin: bucketed joins on read, and
             # min/max statistics let point lookups on isin skip row groups
             out = df.select(*cols)
-            if not clustered:
+            if shuffle:
                 out = out.repartition(buckets, "isin")
             (out.write.bucketBy(buckets, "isin").sortBy("isin").option("path", path)
              .mode("errorifexists").saveAsTable(_catalog_name(path)))
