@@ -51,3 +51,13 @@ def run_scrape_and_insert_isins(store: Store, listing_pages: DataFrame,
     """Discover instruments from the listing grid's pages (A-Z x 1-9) and
     insert the new ones."""
     return jobs.discover(store, listing_pages, grid_only=grid_only)
+
+
+def export_shares(store: Store, path: str) -> None:
+    """All shares as JSON lines (one document per line, nulls written)."""
+    all_shares(store).select("json").write.mode("errorifexists").text(path)
+
+
+def export_isins(store: Store, path: str) -> None:
+    """All instruments as JSON lines."""
+    all_isins(store).select("json").write.mode("errorifexists").text(path)

@@ -100,6 +100,9 @@ def test_refresh_from_attempt_log(spark, tmp_dir):
     docs = [json.loads(r.json) for r in api.share(store, isin=isins[0]).collect()]
     assert docs[0]["price_data"]["prezzo_ultimo_contratto"] == 1.5
     assert api.all_isins(store).count() == 4 and api.all_shares(store).count() == 4
+    api.export_shares(store, f"{tmp_dir}/export-shares")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_dir}/export-shares").collect()]
+    assert len(lines) == 4 and all("price_data" in d and "share_id" in d for d in lines)
 
 
 def test_page_copies_and_missing_pages(spark):
