@@ -74,15 +74,21 @@ def scan_requested(instruments: DataFrame, pages: DataFrame,
     """One row per (requested ISIN, page of its detail URL) with the raw
     property strings; a requested ISIN without a page has a NULL page_id.
 
-    Pages are filtered to the requested URLs before the scan (map-side when
-    ``broadcast_requests`` -- the caller has checked the request set is
-    small) and read exactly once; only small rows are shuffled after it.
+    Pages are read exactly once and their HTML is never shuffled: with
+    ``broadcast_requests`` (the caller checked the request set is small)
+    they are filtered to the requested URLs map-side before the scan;
+    otherwise every page is scanned and unrequested ones drop out at the
+    join of the small property rows.
     """
     req = instruments.select("isin", detail_url(F.col("isin")).alias("url"))
-    req_urls = req.select("url").distinct()
     if broadcast_requests:
-        req_urls = F.broadcast(req_urls)
-    wanted = pages.join(req_urls, "url", "left_semi")
+        # map-side filter before the scan: only requested pages are parsed
+        urls = F.broadcast(req.select("url").distinct())
+        wanted = pages.join(urls, "url", "left_semi")
+    else:
+        # a request set this large covers most pages: parse them all where
+        # they are rather than shuffle HTML; the join below drops the rest
+        wanted = pages
     props = X.assign_properties(X.scan_detail_rows(wanted))
     # inner join: AQE may split a URL with very many page copies on either
     # side (a left outer join could only split the request side)

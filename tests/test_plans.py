@@ -88,3 +88,33 @@ def test_keyed_aggregations_combine_map_side(spark):
     assert _partial_before_exchange(plan(spark, M.dedupe_instruments(found)))
     r = M.collapse_batch(hot, "share_details").where("isin = 'HOT'").collect()
     assert len(r) == 1
+
+
+def _ancestors(plan_text: str, marker: str) -> list[str]:
+    """Operators above the first plan line containing ``marker``."""
+    lines = plan_text.splitlines()
+    depth = lambda ln: len(ln) - len(ln.lstrip(" :+-"))
+    i = next(k for k, ln in enumerate(lines) if marker in ln)
+    out, d = [], depth(lines[i])
+    for ln in reversed(lines[:i]):
+        if depth(ln) < d:
+            out.append(ln.strip(" :+-"))
+            d = depth(ln)
+    return out
+
+
+def test_html_is_never_shuffled(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from equitylake.plans import jobs
+    from equitylake.sources.pages import detail_url
+    p = str(tmp_path / "pages")
+    (spark.range(50).select(F.col("id").alias("page_id"),
+                            detail_url(F.format_string("IT%010d", F.col("id"))).alias("url"),
+                            F.lit("<table></table>").alias("html")).write.parquet(p))
+    pages = spark.read.parquet(p)
+    inst = spark.range(10).select(F.format_string("IT%010d", F.col("id")).alias("isin"))
+    for bc in (True, False):
+        plan_text = plan(spark, jobs.scan_requested(inst, pages, broadcast_requests=bc))
+        up = _ancestors(plan_text, "html:string")  # the scan that reads the HTML
+        scan_to_arrow = up[:next(k for k, op in enumerate(up) if op.startswith("MapInArrow")) + 1]
+        assert not any("Exchange" in op for op in scan_to_arrow), (bc, scan_to_arrow)
