@@ -21,3 +21,14 @@ def test_versions_and_uncommitted_leftovers(spark, tmp_dir):
     assert store.tables()["share_isins"].count() == 2
     # unchanged tables keep pointing at their earlier version
     assert store.head()["share_details"] is None
+
+
+def test_empty_table_version(spark, tmp_dir):
+    store = Store(spark, f"{tmp_dir}/e")
+    empty = spark.createDataFrame([], schemas.DETAILS)
+    store.write({"share_details": empty}, shuffle=False)
+    assert store.tables()["share_details"].count() == 0
+    hub = spark.createDataFrame([("IT0001233417", "A2A", T0)], schemas.HUB)
+    store.write({"share_isins": hub})
+    t = store.tables()
+    assert t["share_isins"].count() == 1 and t["share_details"].count() == 0
