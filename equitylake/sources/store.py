@@ -12,6 +12,11 @@ Every table version is written bucketed (and sorted) by ``isin`` into the
 same number of buckets, and registered on read as an external bucketed
 table over its directory. The five-table join of the current view then
 needs no shuffle, and a merge shuffles only the batch side.
+
+A store has one writer at a time (its jobs run in sequence); readers may
+run concurrently with it. Should two commits ever carry the same version
+number, the later ``committed_at`` wins, so every reader sees the same
+head.
 """
 
 from __future__ import annotations
@@ -57,7 +62,7 @@ class Store:
         c = self._commits()
         if c is None:
             return None
-        rows = c.orderBy(F.col("version").desc()).limit(1).collect()
+        rows = c.orderBy(F.col("version").desc(), F.col("committed_at").desc()).limit(1).collect()
         return rows[0].asDict() if rows else None
 
     def _bucketed(self, path: str, table: str, buckets: int) -> DataFrame:
