@@ -59,6 +59,7 @@ def get_spark(master: str | None = None, app: str = "equitylake",
               "spark.sql.timestampType",
               "spark.sql.execution.arrow.maxRecordsPerBatch"):
         spark.conf.set(k, conf[k])
+    ship_package(spark)
     return spark
 
 
