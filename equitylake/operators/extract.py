@@ -2,9 +2,10 @@
 
 Detail pages -> typed share records:
 
-1. ``scan_detail_rows``: ``mapInArrow`` over (page_id, html) emits small
-   long rows (page_id, table_ord, row_ord, label, value). The wide ``html``
-   column is dropped right after; nothing else runs in Python.
+1. ``scan_detail_rows``: ``mapInArrow`` over (page_id, url, html) emits
+   one marker row per page (with its empty-body flag) and small long rows
+   (page_id, url, table_ord, row_ord, label, value). The wide ``html``
+   column goes no further; nothing else runs in Python.
 2. ``assign_properties``: one aggregation per page. For each of the 27
    properties, the value of the LAST row (in (table_ord, row_ord) order)
    whose lower-cased label contains the property's term -- even when that

@@ -1,4 +1,4 @@
-"""Per-page HTML scanning for ``mapInArrow`` (the only Python-side step).
+"""Per-page HTML scanning for ``mapInArrow`` (the batch path's only Python step).
 
 A page is tokenised once (one compiled regular expression) into a
 flat, document-ordered list of elements (tag, attributes, parent, and the
