@@ -8,3 +8,26 @@ log), ``sources`` (page and table sources, the versioned bucketed store),
 """
 
 __version__ = "0.1.0"
+
+_EXPORTS = {
+    "get_spark": ("equitylake.session", "get_spark"),
+    "CLUSTER_CONF": ("equitylake.session", "CLUSTER_CONF"),
+    "Store": ("equitylake.sources.store", "Store"),
+    "ShareQuery": ("equitylake.plans.views", "ShareQuery"),
+    "current_view": ("equitylake.plans.views", "current_view"),
+    "query_shares": ("equitylake.plans.views", "query_shares"),
+    "stale_set": ("equitylake.plans.views", "stale_set"),
+    "discover": ("equitylake.plans.jobs", "discover"),
+    "refresh": ("equitylake.plans.jobs", "refresh"),
+    "refresh_all": ("equitylake.plans.jobs", "refresh_all"),
+}
+__all__ = sorted(_EXPORTS)
+
+
+def __getattr__(name):
+    # lazy: importing the package does not start or touch Spark
+    if name in _EXPORTS:
+        import importlib
+        module, attr = _EXPORTS[name]
+        return getattr(importlib.import_module(module), attr)
+    raise AttributeError(name)
