@@ -73,6 +73,7 @@ class Document:
         self._attrs: dict[int, dict] = {}
         self.text_seq, self.texts = [], []
         self._stack: list[int] = []
+        self._open_p = 0
         self._seq = 0
         self._buf: list[str] = []
         self._tokenize(html)
@@ -128,6 +129,8 @@ class Document:
     def _pop(self):
         i = self._stack.pop()
         self.end[i] = self._seq
+        if self.tag[i] == "p":
+            self._open_p -= 1
 
     def _close_to(self, names, stop=("table",)):
         for k in range(len(self._stack) - 1, -1, -1):
@@ -144,7 +147,7 @@ class Document:
         if tag in _CLOSES:
             names, stop = _CLOSES[tag]
             self._close_to(names, stop)
-        if tag in CLOSES_P:
+        if self._open_p and tag in CLOSES_P:
             self._close_to(("p",), stop=("table", "td", "th", "button"))
         i = len(self.tag)
         self.tag.append(tag)
@@ -155,9 +158,15 @@ class Document:
         self._seq += 1
         if push and tag not in VOID:
             self._stack.append(i)
+            if tag == "p":
+                self._open_p += 1
 
     def handle_endtag(self, tag):
         self._flush()
+        st = self._stack
+        if st and self.tag[st[-1]] == tag:  # well-formed: closes the top
+            self._pop()
+            return
         # an end tag closes back to its open element, never across a table
         self._close_to((tag,), stop=() if tag == "table" else ("table",))
 
