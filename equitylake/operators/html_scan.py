@@ -88,19 +88,18 @@ class Document:
         if "<s" in html or "<S" in html:
             html = _RAW_BODY.sub(r"\1\3", html)
         for m in _TOKEN.finditer(html):
-            name = m.group(2)
+            slash, name, rest = m.groups()
             if name is None:
-                tok = m.group(0)
+                tok = m.group()
                 if tok.startswith("<!--"):
                     self._flush()
                 elif tok == "<" or tok[0] != "<":
                     self._buf.append(unescape(tok) if "&" in tok else tok)
                 continue
             name = name.lower()
-            if m.group(1):
+            if slash:
                 self.handle_endtag(name)
                 continue
-            rest = m.group(3)
             if rest.endswith("/") or rest.rstrip().endswith("/"):
                 self._open(name, rest, push=name not in VOID)
             else:
