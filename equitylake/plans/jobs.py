@@ -219,7 +219,8 @@ def refresh_frames(current: dict[str, DataFrame], pages: DataFrame, min_age: dt.
     todo = stage(todo.select("isin", "share_name"), "requested")
     scanned = stage(scan_requested(todo, pages, broadcast_requests=chk(todo)), "scanned")
     wide = stage(records_of(scanned, as_of), "extracted")
-    scrape = stage(MT.scrape_metrics(outcomes_of(scanned, fetch_errors)), "scrape-metrics")
+    # one small aggregate over the staged scan: no lineage worth cutting
+    scrape = MT.scrape_metrics(outcomes_of(scanned, fetch_errors))
     new, outcome, rejects = merge_shares(wide, current["share_isins"], current, stage, check)
     if rejects_out is not None:
         rejects_out.append(rejects)
