@@ -109,3 +109,27 @@ def test_json_timestamp_text(spark):
     got = spark.sql("select timestamp_ntz'2024-11-29 16:07:46.12' a, timestamp_ntz'2024-11-29 16:07:46.123456' b") \
         .select(iso_ntz(F.col("a")).alias("a"), iso_ntz(F.col("b")).alias("b")).first()
     assert (got.a, got.b) == ("2024-11-29T16:07:46.120", "2024-11-29T16:07:46.123456")
+
+
+def test_result_summary_logs(spark, caplog):
+    import logging
+    s = store(spark)
+    with caplog.at_level(logging.INFO, logger="equitylake"):
+        assert views.result_summary(views.query_shares(s, views.ShareQuery(isin="none"))) == 0
+        assert views.result_summary(views.query_shares(s)) == 4
+    assert "found no share" in caplog.text and "got a total of 4 shares" in caplog.text
+
+
+def test_cluster_conf_is_valid(spark):
+    from equitylake.session import CLUSTER_CONF
+    old = {k: spark.conf.get(k, None) for k in CLUSTER_CONF}
+    try:
+        for k, v in CLUSTER_CONF.items():
+            spark.conf.set(k, v)
+            assert spark.conf.get(k) == v
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
