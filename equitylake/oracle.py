@@ -281,6 +281,7 @@ def oracle_sql() -> dict[str, str]:
         **refresh_sql(C),
         **discovery_sql(C),
         "fetch_outcome": FETCH_RESOLVED,
+        "fetch_outcome_stream": FETCH_RESOLVED,
         "isins_json": (f"SELECT share_name, substr(isin, 1, 2) AS country, substr(isin, 3, 9) AS nna, "
                        f"CAST(substr(isin, 12, 1) AS INTEGER) AS check_digit, updated_at FROM ({HUB})"),
         "fetch_metrics": FETCH_METRICS,

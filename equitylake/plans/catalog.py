@@ -413,6 +413,23 @@ def fetch_outcome(spark, sf_dir):
     return FL.resolve(adapter.fetch_attempts(spark, sf_dir))
 
 
+def fetch_outcome_stream(spark, sf_dir):
+    """The attempt log replayed as a stream (file source) through the
+    stateful streaming resolver into a Parquet sink under
+    spark.checkpoint.dir, read back: one row per decided URL."""
+    from ..session import staging_path
+    from ..streaming.fetch_stream import OUTPUT, resolve_stream
+    log_path = staging_path(spark, "attempt-log")
+    log = adapter.fetch_attempts(spark, sf_dir)
+    log.write.parquet(log_path)
+    out, ck = staging_path(spark, "resolved-stream"), staging_path(spark, "resolved-ckpt")
+    q = (resolve_stream(spark.readStream.schema(log.schema).parquet(log_path))
+         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(out)
+
+
 def fetch_metrics(spark, sf_dir):
     """Error histogram of the resolved fetches."""
     return FL.fetch_metrics(FL.resolve(adapter.fetch_attempts(spark, sf_dir)))
@@ -458,5 +475,6 @@ QUERIES = {
     "discovery_metrics": discovery_metrics,
     "discovery_grid_metrics": discovery_grid_metrics,
     "fetch_outcome": fetch_outcome,
+    "fetch_outcome_stream": fetch_outcome_stream,
     "fetch_metrics": fetch_metrics,
 }
