@@ -392,6 +392,15 @@ def _refreshed_sql(C) -> str:
             "AND v.id_strumento IS NOT NULL")
 
 
+def stream_refresh_sql(C) -> str:
+    """Every instrument with a fetched, non-empty page is refreshed."""
+    cols = ["isin", "share_name"] + [c for t in _ALIAS for c in schemas.non_key_columns(t)]
+    ok = (f"SELECT isin FROM ({view_sql()}) WHERE (mercato_segmento IS NULL OR "
+          "mercato_segmento <> 'AUTOMOBILE') AND id_strumento IS NOT NULL")
+    return (f"SELECT {', '.join(cols)}, CASE WHEN isin IN ({ok}) THEN {ts(C.RUN_AS_OF)} "
+            f"ELSE updated_at END AS updated_at FROM ({view_sql()})")
+
+
 def refresh_sql(C) -> dict[str, str]:
     cols = ["isin", "share_name"] + [c for t in _ALIAS for c in schemas.non_key_columns(t)]
     view_after = (f"SELECT {', '.join(cols)}, CASE WHEN isin IN ({_refreshed_sql(C)}) "
@@ -408,7 +417,8 @@ def refresh_sql(C) -> dict[str, str]:
         "0 AS scrape_timeout, 0 AS scrape_max_retries, 0 AS scrape_parsing_error, "
         f"CAST({n_ok} AS INTEGER) AS insert_total, CAST({n_ok} AS INTEGER) AS insert_successful "
         f"FROM ({due})")
-    return {"refresh_view": view_after, "refresh_metrics": metrics}
+    return {"refresh_view": view_after, "refresh_metrics": metrics,
+            "stream_refresh_view": stream_refresh_sql(C)}
 
 
 def discovery_sql(C) -> dict[str, str]:

@@ -350,6 +350,23 @@ def refresh_metrics(spark, sf_dir):
                       *[F.col(f"insert.{c}").alias(f"insert_{c}") for c in insert.columns])
 
 
+def stream_refresh_view(spark, sf_dir):
+    """Detail pages arriving as files refresh a stored, bucketed store
+    through the streaming ingest (scan, validate, merge, commit per
+    micro-batch); the current view afterwards."""
+    from ..session import staging_path
+    from ..sources.store import Store
+    from ..streaming import ingest
+    st = Store(spark, staging_path(spark, "stream-store"), buckets=8)
+    st.write(_store(spark, sf_dir))
+    pages_dir = staging_path(spark, "stream-pages")
+    adapter.render_detail_pages(views.current_view(_store(spark, sf_dir))).write.parquet(pages_dir)
+    q = ingest.start_page_ingest(st, pages_dir, staging_path(spark, "stream-ckpt"),
+                                 available_now=True, as_of=RUN_AS_OF)
+    q.awaitTermination()
+    return views.current_view(st.tables())
+
+
 def _nav_links(spark, sf_dir):
     pages = read_input(spark, sf_dir, "pages")
     return X.links_only(X.scan_links(pages, html_scan.NAV_LINKS, None))
@@ -467,6 +484,7 @@ QUERIES = {
     "scrape_metrics": scrape_metrics,
     "refresh_view": refresh_view,
     "refresh_metrics": refresh_metrics,
+    "stream_refresh_view": stream_refresh_view,
     "link_extract": link_extract,
     "link_dedupe": link_dedupe,
     "listing_metrics": listing_metrics,

@@ -67,11 +67,14 @@ def refresh_batch(store: Store, pages: DataFrame, batch_id: int,
 
 def start_page_ingest(store: Store, pages_dir: str, checkpoint_location: str,
                       available_now: bool = False,
-                      processing_time: str = "1 minute") -> StreamingQuery:
+                      processing_time: str = "1 minute",
+                      as_of: dt.datetime | None = None) -> StreamingQuery:
     """Start the streaming refresh. ``checkpoint_location`` must be on the
-    cluster's shared storage (the query restarts from it after a failure)."""
+    cluster's shared storage (the query restarts from it after a failure).
+    ``as_of``: stamp for the refreshed records (default: each batch's
+    start time)."""
     w = (page_stream(store.spark, pages_dir).writeStream
-         .foreachBatch(lambda df, bid: refresh_batch(store, df, bid))
+         .foreachBatch(lambda df, bid: refresh_batch(store, df, bid, as_of))
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
