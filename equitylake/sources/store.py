@@ -37,6 +37,11 @@ def _ddl(table: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.TABLES[table].fields)
 
 
+def _sql_str(text: str) -> str:
+    """Body of a SQL string literal (backslash and quote escaped)."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def _catalog_name(path: str) -> str:
     import hashlib
     return "equitylake_" + hashlib.sha1(path.encode()).hexdigest()[:16]
@@ -70,7 +75,7 @@ class Store:
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({_ddl(table)}) USING parquet "
             f"CLUSTERED BY (isin) SORTED BY (isin) INTO {int(buckets)} BUCKETS "
-            f"LOCATION '{path}'")
+            f"LOCATION '{_sql_str(path)}'")
         return self.spark.table(name)
 
     def tables(self) -> dict[str, DataFrame]:

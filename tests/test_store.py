@@ -32,3 +32,10 @@ def test_empty_table_version(spark, tmp_dir):
     store.write({"share_isins": hub})
     t = store.tables()
     assert t["share_isins"].count() == 1 and t["share_details"].count() == 0
+
+
+def test_path_with_quote(spark, tmp_dir):
+    store = Store(spark, f"{tmp_dir}/it's here")
+    hub = spark.createDataFrame([("IT0001233417", "A2A", T0)], schemas.HUB)
+    store.write({"share_isins": hub})
+    assert store.tables()["share_isins"].count() == 1
