@@ -243,7 +243,7 @@ def parse_or_default(kind: str, c) -> Column:
     if kind == "text":
         return text_or_na(c)
     if kind == "datetime":
-        return F.coalesce(v, F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"))
+        return F.coalesce(v, ntz_lit(dt.datetime(1970, 1, 1)))
     second = "date" if kind == "price_date" else "datetime"
     typ = "date" if kind == "price_date" else "timestamp_ntz"
     return F.coalesce(v, F.struct(F.lit(None).cast("double").alias("price"),
@@ -259,3 +259,9 @@ def iso_ntz(c) -> Column:
             .when(frac.endswith("000"), F.concat(F.lit("."), F.substring(frac, 1, 3)))
             .otherwise(F.concat(F.lit("."), frac)))
     return F.when(ts.isNotNull(), F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), tail))
+
+
+def ntz_lit(x) -> Column:
+    """A zone-less timestamp literal from a naive ``datetime``, built from
+    its ISO text so no time zone (driver's or session's) is applied."""
+    return F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")

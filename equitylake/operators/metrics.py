@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.parsers import ntz_lit
 
 
 def scrape_metrics(outcomes: DataFrame, counted: str = "counted", ok: str = "ok",
@@ -52,5 +53,5 @@ def run_record(spark: SparkSession, job: str, scrape: DataFrame, insert: DataFra
     return both.agg(F.first("scrape", ignorenulls=True).alias("scrape"),
                     F.first("insert", ignorenulls=True).alias("insert")).select(
         F.lit(job).alias("job"), "scrape", "insert",
-        F.lit(start).cast("timestamp_ntz").alias("start_time"),
+        ntz_lit(start).alias("start_time"),
         F.lit(ms).cast("bigint").alias("duration_millis"))

@@ -380,7 +380,7 @@ def link_extract(spark, sf_dir):
 def link_dedupe(spark, sf_dir):
     """Instrument-set semantics over link candidates: (name, last path
     segment of the href) pairs, duplicates collapsed, earliest stamp kept."""
-    c = X.classify_links(_nav_links(spark, sf_dir), F.lit(RUN_AS_OF).cast("timestamp_ntz"))
+    c = X.classify_links(_nav_links(spark, sf_dir), P.ntz_lit(RUN_AS_OF))
     return M.dedupe_instruments(c.where(F.col("error").isNull() | (F.col("error") == "parsing_error"))
                                 .where(F.col("share_name").isNotNull()))
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import parsers as P
 from ..operators import extract as X
 from ..operators import html_scan
 from ..operators import merge as M
@@ -29,7 +30,7 @@ DEFAULT_REFRESH_AGE = dt.timedelta(minutes=15)
 
 
 def _as_of(as_of: dt.datetime | None) -> Column:
-    return (F.lit(as_of).cast("timestamp_ntz") if as_of is not None
+    return (P.ntz_lit(as_of) if as_of is not None
             else F.current_timestamp().cast("timestamp_ntz"))
 
 

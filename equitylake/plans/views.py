@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.parsers import iso_ntz, like_literal_py, nan_to_null, parse_isin
+from ..functions.parsers import ntz_lit
 
 EPOCH = dt.datetime(1970, 1, 1)
 I64_MAX = 2 ** 63 - 1
@@ -101,13 +102,13 @@ def stale_set(tables: dict[str, DataFrame], min_age: dt.timedelta,
     """Instruments whose newest satellite stamp (missing = 1970-01-01) is
     at least ``min_age`` before ``as_of`` (inclusive). ``as_of`` defaults
     to the current UTC time."""
-    now = (F.lit(as_of).cast("timestamp_ntz") if as_of is not None
+    now = (ntz_lit(as_of) if as_of is not None
            else F.current_timestamp().cast("timestamp_ntz"))
     cutoff = F.timestamp_add("MICROSECOND", F.lit(-_min_age_micros(min_age)), now)
     out = tables["share_isins"].select("isin", "share_name")
     for t in schemas.SATELLITES:
         out = out.join(_satellite(tables[t], t, []), "isin", "left")
-    epoch = F.lit(EPOCH).cast("timestamp_ntz")
+    epoch = ntz_lit(EPOCH)
     last = F.greatest(*[F.coalesce(F.col(_stamp(t)), epoch) for t in schemas.SATELLITES])
     return (out.select("isin", "share_name", last.alias("updated_at"))
             .where(F.col("updated_at") <= cutoff))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import read_input
+from ..functions.parsers import ntz_lit
 
 EPOCH_1995 = dt.datetime(1995, 1, 1)
 SNAPSHOT_AS_OF = dt.datetime(2001, 12, 31)
@@ -33,7 +34,7 @@ CUT = dt.datetime(2000, 1, 1)
 
 
 def _ts(x: dt.datetime) -> Column:
-    return F.lit(x).cast("timestamp_ntz")
+    return ntz_lit(x)
 
 
 def isin_of(segment: Column, key: Column) -> Column:

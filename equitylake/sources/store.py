@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.parsers import ntz_lit
 from ..session import utc_now
 
 _COMMIT_COLS = ["version", "committed_at", "buckets", *schemas.TABLES]
@@ -126,7 +127,7 @@ class Store:
         """Route refused rows: (isin, table, reason) plus job and time."""
         (rejects.select(F.col("isin"), F.col("table"), F.col("reason"),
                         F.lit(job).alias("job"),
-                        F.lit(at).cast("timestamp_ntz").alias("rejected_at"))
+                        ntz_lit(at).alias("rejected_at"))
          .write.mode("append").parquet(f"{self.root}/_rejects"))
 
     def rejects(self) -> DataFrame:
