@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.parsers import iso_ntz, like_literal_py, nan_to_null, parse_isin
+from ..functions.parsers import format_isin, iso_ntz, like_literal_py, nan_to_null, parse_isin
 from ..functions.parsers import ntz_lit
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -187,9 +187,9 @@ def _json_safe(df: DataFrame) -> DataFrame:
 
 
 def shares_json(view: DataFrame, strict: bool = False) -> DataFrame:
-    """One JSON document per share, null fields included."""
+    """(isin, json): one JSON document per share, null fields included."""
     n = _json_safe(nested_shares(view, strict))
-    return n.select(F.col("share_id.isin").alias("_isin"),
+    return n.select(format_isin(F.col("share_id.isin")).alias("isin"),
                     F.to_json(F.struct(*[F.col(c) for c in n.columns]),
                               {"ignoreNullFields": "false"}).alias("json"))
 
