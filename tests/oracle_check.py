@@ -2,6 +2,7 @@
 row count, column names and an order-insensitive hash of the values.
 
 usage: python tests/oracle_check.py [sf_dir] [query ...]
+       ORACLE_STRICT=1 compares doubles by their exact repr (default: 6 decimals)
 """
 import hashlib
 import math
