@@ -92,9 +92,12 @@ def links_only(scanned: DataFrame) -> DataFrame:
 
 def assign_properties(rows: DataFrame) -> DataFrame:
     """(page_id, url, empty_page, one raw string column per property)."""
-    label = F.lower(F.col("label"))
-    ord_ = F.struct(F.col("table_ord"), F.col("row_ord"))
-    aggs = [F.max_by(F.col("value"), F.when(F.contains(label, F.lit(term)), ord_)).alias(name)
+    # lower-cased label and row order once per row, not once per property
+    rows = rows.select("page_id", "url", "value", "empty_page",
+                       F.lower(F.col("label")).alias("_label"),
+                       F.struct(F.col("table_ord"), F.col("row_ord")).alias("_ord"))
+    aggs = [F.max_by(F.col("value"),
+                     F.when(F.contains(F.col("_label"), F.lit(term)), F.col("_ord"))).alias(name)
             for name, term, _, _ in schemas.PROPERTIES]
     return rows.groupBy("page_id", "url").agg(
         F.coalesce(F.max("empty_page"), F.lit(False)).alias("empty_page"), *aggs)
