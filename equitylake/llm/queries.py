@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing
-from .common import table
+from . import langid, mixing, packing, secrets
+from .common import fold, table
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (secrets.scan(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +25,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken", "source", "copies"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return (langid.identify(docs)
+            .select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "n_langs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_packing, op8_mixing)
+    f.__name__: f for f in (op2_secrets, op7_packing, op8_mixing, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {
