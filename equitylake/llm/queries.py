@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, secrets
+from . import langid, mixing, packing, secrets, toxicity
 from .common import fold, table
 
 
@@ -16,6 +16,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return (toxicity.score(docs, model)
+            .select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,7 +39,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secrets, op7_packing, op8_mixing, op10_langid)
+    f.__name__: f for f in (op2_secrets, op5_toxicity, op7_packing, op8_mixing, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -16,6 +16,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, dtype=bool)  # letter runs: ASCII letters and all bytes beyond ASCII
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -67,10 +69,11 @@ class Words:
 
     ``hash``: 64-bit hash of each word, in order; ``doc``: index of its text;
     ``start``/``end``: its bytes in ``raw``; ``first``: n+1 word offsets, so
-    text i has the words ``first[i]:first[i + 1]``.
+    text i has the words ``first[i]:first[i + 1]``. ``lower`` hashes A-Z as a-z;
+    ``letters`` takes runs of letters for words.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, letters: bool = False):
         self.raw, self.offsets = utf8(texts)
         raw, off = self.raw, self.offsets
         n = len(off) - 1
@@ -80,7 +83,7 @@ class Words:
             self.first = np.zeros(n + 1, np.int64)
             self.doc = np.zeros(0, np.int64)
             return
-        inside = ~_SPACE[raw]
+        inside = _LETTER[raw] if letters else ~_SPACE[raw]
         head = np.zeros(len(raw) + 1, bool)  # a text begins here
         head[off] = True
         before = np.empty(len(raw), bool)
