@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, secrets, toxicity
+from . import langid, mixing, packing, secrets, substring, toxicity
 from .common import fold, table
 
 
@@ -16,6 +16,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (substring.dedup(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -39,10 +44,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secrets, op5_toxicity, op7_packing, op8_mixing, op10_langid)
+    f.__name__: f for f in (op2_secrets, op4_substring, op5_toxicity, op7_packing, op8_mixing, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words FROM documents),
+s AS (SELECT r, doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM d),
+w AS (SELECT r, doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM s),
+l AS (SELECT win, min(doc_id) AS least FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT w.r, unnest(range(w.i, w.i + 13)) AS p FROM w JOIN l USING (win) WHERE l.least < w.doc_id),
+gone AS (SELECT r, list(p) AS ps FROM g GROUP BY r),
+k AS (SELECT doc_id, words, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, len(words)::BIGINT AS n_words, len(ps)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(ps, i)), ' ')) AS kept_sha256 FROM k
+""",
     "op8_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, source IS NULL AS no_src, coalesce(source, '') AS src,

@@ -123,3 +123,11 @@ def run_starts(first: np.ndarray, n_words: int, k: int) -> np.ndarray:
         cut = first[1:-1] - back
         ok[cut[(cut >= 0) & (cut < len(ok))]] = False
     return ok
+
+
+def span_hash(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the entries ``start:end`` of each span."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power("up", len(words)), out=sums[1:])
+    h = (sums[end] - sums[start]) * _power("down", len(words) + 1)[start]
+    return mix(h ^ (end - start).astype(np.uint64))
