@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, secrets, substring, toxicity
+from . import langid, lm, mixing, packing, secrets, substring, toxicity
 from .common import fold, table
 
 
@@ -16,6 +16,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (substring.dedup(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
@@ -44,7 +48,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secrets, op4_substring, op5_toxicity, op7_packing, op8_mixing, op10_langid)
+    f.__name__: f for f in (op2_secrets, op3_lm, op4_substring, op5_toxicity, op7_packing, op8_mixing, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {
