@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, mixing, packing, secrets, substring, toxicity
+from . import jaccard, langid, lm, mixing, packing, secrets, substring, toxicity
 from .common import fold, table
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (jaccard.join(table(spark, sf_dir, "documents"))
+            .select("doc_id", "class_id", "n_links", "n_class_links", "component_id"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (secrets.scan(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"))
@@ -48,10 +53,33 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secrets, op3_lm, op4_substring, op5_toxicity, op7_packing, op8_mixing, op10_langid)
+    f.__name__: f for f in (op1_jaccard, op2_secrets, op3_lm, op4_substring, op5_toxicity, op7_packing, op8_mixing, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words FROM documents),
+k AS (SELECT array_to_string(words, ' ') AS key, min(doc_id) AS class_id, count(*)::BIGINT AS copies,
+             any_value(words) AS words
+      FROM d WHERE len(words) > 0 GROUP BY 1),
+s AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(words) < 5 THEN [key]
+        ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS gram FROM k),
+n AS (SELECT class_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS inter FROM s a JOIN s b USING (gram)
+      WHERE a.class_id <> b.class_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.class_id = a JOIN n y ON y.class_id = b
+      WHERE 5 * inter >= 4 * (x.n + y.n - inter)),
+r AS (SELECT class_id AS a, class_id AS b FROM k UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY 1),
+e AS (SELECT a AS class_id, count(*)::BIGINT AS n_class_links, sum(k.copies)::BIGINT AS linked
+      FROM l JOIN k ON k.class_id = l.b GROUP BY 1)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id,
+       coalesce(coalesce(e.linked, 0) + k.copies - 1, 0)::BIGINT AS n_links,
+       coalesce(e.n_class_links, 0)::BIGINT AS n_class_links, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN k ON len(d.words) > 0 AND k.key = array_to_string(d.words, ' ')
+LEFT JOIN c ON c.class_id = k.class_id LEFT JOIN e ON e.class_id = k.class_id
+""",
     "op4_substring": r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,

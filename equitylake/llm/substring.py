@@ -24,12 +24,13 @@ keeps all its words; a null id counts as larger than all others, and equal ids
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import chunks, long_texts_ok, n_partitions, staged_by
 from .exchange import answers, bounds, bucket_of, joined, requests, whole, with_answers
@@ -40,16 +41,22 @@ NO_ID = np.iinfo(np.int64).max
 CHUNK = "chunk long, ids array<long>, texts array<string>"
 
 
-def chunked(docs: DataFrame, name: str) -> DataFrame:
-    """(chunk, ids, texts), bucketed by chunk."""
+def chunked(docs: DataFrame, name: str, rest: Sequence[str] = ()) -> DataFrame:
+    """(chunk, ids, texts), bucketed by chunk; with ``rest``, these columns too,
+    as an array of structs with the fields c0, c1, ..."""
+    columns = ["id", "text"] + ["rest"] * bool(rest)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, t in chunks(batches):
             one = np.array([0, t.num_rows], np.int32)
-            lists = [pa.ListArray.from_arrays(one, t.column(c).combine_chunks()) for c in ("id", "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists], names=["chunk", "ids", "texts"])
+            lists = [pa.ListArray.from_arrays(one, t.column(c).combine_chunks()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists],
+                                             names=["chunk", "ids", "texts", "rest"][:len(lists) + 1])
     long_texts_ok(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
-    return staged_by(rows.mapInArrow(run, CHUNK), name, "chunk")
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), *(
+        [F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(rest)]).alias("rest")] if rest else []))
+    kind = rows.schema["rest"].dataType.simpleString() if rest else ""
+    return staged_by(rows.mapInArrow(run, CHUNK + (f", rest array<{kind}>" if rest else "")), name, "chunk")
 
 
 def each_chunk(fn):
