@@ -9,6 +9,7 @@ end when a round changes no edge.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def forest(link: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node it reaches over ``link`` (left x
+    right, both index arrays into the nodes; links hold both ways)."""
+    label = np.arange(n)
+    while True:
+        now = label.copy()
+        np.minimum.at(now, left, np.where(link, now[right][None, :], n).min(axis=1, initial=n))
+        np.minimum.at(now, right, np.where(link, now[left][:, None], n).min(axis=0, initial=n))
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now

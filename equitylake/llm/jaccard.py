@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_texts_ok, staged
-from .components import components
+from .components import components, forest
 from .exchange import with_answers
 from .substring import chunked, each_chunk, spread
 from .words import Words, mix, run_hash, run_starts, span_hash
@@ -166,19 +166,7 @@ def verify(key: list[bytes], copies: np.ndarray, side: np.ndarray, grams: list[n
     if cross:
         classes[right] = link.sum(axis=0)
         docs[right] = copies[left] @ link
-    # spanning forest: smallest label over links until nothing changes
-    label = np.arange(len(key))
-    while True:
-        now = label.copy()
-        lower = np.where(link, now[right][None, :], len(key)).min(axis=1, initial=len(key))
-        now[left] = np.minimum(now[left], lower)
-        if cross:
-            lower = np.where(link, now[left][:, None], len(key)).min(axis=0, initial=len(key))
-            now[right] = np.minimum(now[right], lower)
-        now = now[now]
-        if (now == label).all():
-            break
-        label = now
+    label = forest(link, left, right, len(key))
     count, tree = np.flatnonzero(classes), np.flatnonzero(label != np.arange(len(key)))
     take = lambda at: [key[i] for i in at]
     return pa.table({"key": pa.array(take(count) + take(tree), pa.binary()),

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,33 +137,36 @@ def select(word_ll: np.ndarray, first: np.ndarray, theta: np.ndarray, steps: int
     return pred, share, size
 
 
-def predict(docs: DataFrame, langs: Sequence[str], table: np.ndarray, steps: int = 6,
-            most: int = 3, penalty: float = 2.0) -> DataFrame:
-    """doc_id, lang_pred, score, n_langs (size of the selected set)."""
+def infer(ids: pa.Array, texts: pa.Array, langs: Sequence[str], table: np.ndarray, steps: int = 6,
+          most: int = 3, penalty: float = 2.0) -> pa.Table:
+    """doc_id, lang_pred, score, n_langs (size of the selected set) of a batch."""
+    raw, off = utf8(texts)
+    n = len(off) - 1
+    pred = np.full(n, -1)
+    score, size = np.zeros(n), np.zeros(n, np.int64)
+    lettered = has_letter(raw, off)
+    if len(raw) and len(langs):
+        codes, word = trigrams(raw, off)
+        inside = np.flatnonzero(_FOLD[raw])
+        begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
+        if len(begin):
+            word_ll = np.add.reduceat(table[codes], begin, axis=0)
+            owner = np.searchsorted(off, inside[begin], side="right") - 1
+            own, first = np.unique(owner, return_index=True)
+            first = np.append(first, len(begin))
+            theta, _ = mixtures(word_ll, first, steps)
+            pred[own], score[own], size[own] = select(word_ll, first, theta, steps, most, penalty)
+    pred[~lettered], score[~lettered], size[~lettered] = -1, 0.0, 0
+    return pa.table({"doc_id": ids, "lang_pred": pa.array([langs[p] if p >= 0 else UNKNOWN for p in pred], pa.string()),
+                     "score": pa.array(np.clip(score, 0.0, 1.0)), "n_langs": pa.array(size)})
+
+
+def predict(docs: DataFrame, langs: Sequence[str], table: np.ndarray, **options) -> DataFrame:
+    """doc_id, lang_pred, score, n_langs for every row."""
     langs = list(langs)
 
     def run(_: int, t: pa.Table) -> pa.Table:
-        raw, off = utf8(t.column("text"))
-        n = t.num_rows
-        pred = np.full(n, -1)
-        score, size = np.zeros(n), np.zeros(n, np.int64)
-        lettered = has_letter(raw, off)
-        if len(raw) and langs:
-            codes, word = trigrams(raw, off)
-            inside = np.flatnonzero(_FOLD[raw])
-            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, int)
-            if len(begin):
-                word_ll = np.add.reduceat(table[codes], begin, axis=0)
-                owner = np.searchsorted(off, inside[begin], side="right") - 1
-                own, first = np.unique(owner, return_index=True)
-                first = np.append(first, len(begin))
-                theta, _ = mixtures(word_ll, first, steps)
-                p, s, z = select(word_ll, first, theta, steps, most, penalty)
-                pred[own], score[own], size[own] = p, s, z
-        pred[~lettered], score[~lettered], size[~lettered] = -1, 0.0, 0
-        return pa.table({"doc_id": t.column("doc_id"),
-                         "lang_pred": pa.array([langs[p] if p >= 0 else UNKNOWN for p in pred], pa.string()),
-                         "score": pa.array(np.clip(score, 0.0, 1.0)), "n_langs": pa.array(size)})
+        return infer(t.column("doc_id"), t.column("text"), langs, table, **options)
 
     long_texts_ok(docs)
     return (docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
@@ -189,3 +193,21 @@ def identify(docs: DataFrame, learn: Column | None = None, **options) -> DataFra
     and predict every row."""
     learn = fold(docs["doc_id"], 5) != 0 if learn is None else learn
     return predict(docs, *train(docs, learn), **options)
+
+
+def keep_identified(docs: DataFrame, learn: Column | None = None, **options) -> DataFrame:
+    """The documents that are in some language, with all their columns; those
+    predicted ``und`` go. Rows stay where they are: nothing is joined."""
+    learn = fold(docs["doc_id"], 5) != 0 if learn is None else learn
+    langs, table = train(docs, learn)
+    columns = docs.columns
+    inner = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(columns)])
+    text, doc_id = (f"c{columns.index(c)}" for c in ("text", "doc_id"))
+
+    def keep(_: int, t: pa.Table) -> pa.Table:
+        got = infer(t.column(doc_id), t.column(text), langs, table, **options)
+        return t.filter(pc.not_equal(got.column("lang_pred"), UNKNOWN))
+
+    long_texts_ok(docs)
+    kept = inner.mapInArrow(per_chunk(keep, text), inner.schema)
+    return kept.select(*[kept[f"c{k}"].alias(c) for k, c in enumerate(columns)])

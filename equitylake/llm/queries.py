@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, lm, mixing, packing, secrets, substring, toxicity
+from . import ann, jaccard, langid, lm, mixing, neardup, packing, secrets, substring, toxicity
 from .common import fold, table
 
 
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken", "source", "copies"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return (langid.identify(docs)
@@ -53,7 +61,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard, op2_secrets, op3_lm, op4_substring, op5_toxicity, op7_packing, op8_mixing, op10_langid)
+    f.__name__: f for f in (op1_jaccard, op2_secrets, op3_lm, op4_substring, op5_toxicity, op6_ann, op7_packing, op8_mixing,
+                                op9_neardup, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,6 +101,30 @@ gone AS (SELECT r, list(p) AS ps FROM g GROUP BY r),
 k AS (SELECT doc_id, words, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (r))
 SELECT doc_id, len(words)::BIGINT AS n_words, len(ps)::BIGINT AS n_removed,
        sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(ps, i)), ' ')) AS kept_sha256 FROM k
+""",
+    "op9_neardup": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT r, vec_id, label, x, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS norm FROM v
+      WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+      WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+n AS (SELECT a, count(*)::BIGINT AS n FROM l GROUP BY a),
+c AS (SELECT r AS a, r AS b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT c.a, min(v.vec_id) AS component_id FROM c JOIN v ON c.b = v.r GROUP BY c.a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON v.r = m.a LEFT JOIN n ON n.a = v.r
+""",
+    "op6_ann": r"""
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda e: e[1] * e[2])) AS score
+      FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.x) = len(q.x) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
     "op8_mixing": r"""
 WITH d AS (

@@ -164,36 +164,62 @@ def train(docs: DataFrame, smooth: float = 1.0) -> np.ndarray:
     return ratio.ravel()
 
 
-def scan(docs: DataFrame, min_length: int = 16, per_char: float = 0.5, total: float = 16.0,
-         ratio: np.ndarray | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans; with
-    ``keep_text`` also the redacted text."""
+def scan(docs: DataFrame, ratio: np.ndarray | None = None, **limits) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
     ratio = train(docs) if ratio is None else ratio
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "redacted"]
-    schema = ("doc_id long, n_assign long, n_access long, n_hex long, n_markov long, "
-              "base_sha256 string, spans string, redacted string")
-    names, schema = (names, schema) if keep_text else (names[:-1], schema.rpartition(",")[0])
+    names = ["n_assign", "n_access", "n_hex", "n_markov"]
 
     def find(_: int, t: pa.Table) -> pa.Table:
-        s = Scan(t.column("text"))
-        added = _markov(s, ratio, min_length, per_char, total)
-        out = {c: [] for c in names}
-        for i, doc_id in enumerate(t.column("doc_id").to_pylist()):
-            base = s.base.get(i, [])
-            spans = sorted(base + added.get(i, []))
-            count = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
-            row = [doc_id, *count, hashlib.sha256(written(base).encode()).hexdigest(), written(spans)]
-            if keep_text:
-                whole = t.column("text")[i].as_py()
-                row.append(redact(whole, spans) if whole is not None else None)
-            for c, v in zip(names, row):
-                out[c].append(v)
-        types = [pa.int64()] * 5 + [pa.string()] * 3
-        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), types)})
+        out: dict[str, list] = {c: [] for c in [*names, "base_sha256", "spans"]}
+        for base, spans in spans_of(t.column("text"), ratio, **limits):
+            for kind, c in enumerate(names):
+                out[c].append(sum(k == kind for _, k, _ in spans))
+            out["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
+            out["spans"].append(written(spans))
+        return pa.table({"doc_id": t.column("doc_id")} | {
+            c: pa.array(v, pa.int64() if c in names else pa.string()) for c, v in out.items()})
 
     long_texts_ok(docs)
     return (docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-            .mapInArrow(per_chunk(find), schema))
+            .mapInArrow(per_chunk(find), "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, "
+                                         "base_sha256 string, spans string"))
+
+
+def redacted(docs: DataFrame, ratio: np.ndarray | None = None, mark: str = "[REDACTED]", **limits) -> DataFrame:
+    """All documents with all columns, every span in ``text`` replaced by
+    ``mark``; a column ``n_chars`` follows where the text changes."""
+    ratio = train(docs) if ratio is None else ratio
+    columns = docs.columns
+    inner = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(columns)])
+    at = columns.index("text")
+    chars = columns.index("n_chars") if "n_chars" in columns else None
+
+    def clean(_: int, t: pa.Table) -> pa.Table:
+        whole, changed = t.column(at).to_pylist(), {}
+        for i, (_, spans) in enumerate(spans_of(t.column(at), ratio, **limits)):
+            if spans:
+                changed[i] = whole[i] = redact(whole[i], spans, mark)
+        t = t.set_column(at, t.schema.field(at), pa.array(whole, t.schema.field(at).type))
+        if chars is not None and changed:
+            n = t.column(chars).to_pylist()
+            for i, text in changed.items():
+                n[i] = len(text)
+            t = t.set_column(chars, t.schema.field(chars), pa.array(n, t.schema.field(chars).type))
+        return t
+
+    long_texts_ok(docs)
+    out = inner.mapInArrow(per_chunk(clean, f"c{at}"), inner.schema)
+    return out.select(*[out[f"c{k}"].alias(c) for k, c in enumerate(columns)])
+
+
+def spans_of(texts: pa.Array, ratio: np.ndarray, min_length: int = 16, per_char: float = 0.5,
+             total: float = 16.0) -> Iterator[tuple[list, list]]:
+    """The base spans and all spans of each text, in order."""
+    s = Scan(texts)
+    added = _markov(s, ratio, min_length, per_char, total)
+    for i in range(s.n):
+        base = s.base.get(i, [])
+        yield base, sorted(base + added.get(i, []))
 
 
 def _markov(s: Scan, ratio: np.ndarray, min_length: int, per_char: float,
