@@ -37,8 +37,8 @@ _IT_NUMBER = r"^([0-9]{1,3})(\.?[0-9]{3})*(,[0-9]+)?$"
 _FLOAT_LITERAL = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
 # d/m/yy with optional blanks before each numeric field
 _D = r"\s*([0-9]{1,2})"
-_DATE_RE = rf"(?U)^{_D}/{_D}/{_D}$"
-_DATETIME_RE = rf"(?U)^{_D}/{_D}/{_D}\s*(-\s*)?{_D}\.{_D}\.{_D}$"
+_DATE_RE = rf"(?U)^{_D}/{_D}/{_D}\z"
+_DATETIME_RE = rf"(?U)^{_D}/{_D}/{_D}\s*(-\s*)?{_D}\.{_D}\.{_D}\z"
 
 U64_MAX = "18446744073709551615"
 
@@ -204,20 +204,20 @@ def isin_from_href(c) -> Column:
 
 # ---- LIKE patterns ------------------------------------------------------
 
-_LIKE_ESC = r"(?s)(\\[%_\\])|\\(.)|\\$"
+_LIKE_ESC = r"(?s)(\\[%_\\])|\\(.)"
 
 
-def like_literal(c) -> Column:
-    """User text for a LIKE pattern: '%' and '_' stay wildcards (as in the
-    store); a backslash escapes '%', '_' or '\\'; before any other
-    character it is dropped and the character kept (Spark would reject
-    such an escape), and a trailing backslash is dropped."""
-    return F.regexp_replace(_c(c), _LIKE_ESC, "$1$2")
-
-
-def like_literal_py(s: str) -> str:
+def like_pattern(text: str, before: str = "", after: str = "") -> str:
+    """The LIKE pattern ``before`` + user text + ``after``: '%' and '_' stay
+    wildcards (as in the store); a backslash escapes '%', '_' or '\\', also
+    across the seam (a trailing backslash makes the '%' of ``after`` a literal
+    percent sign, as in the store); before any other character it is dropped
+    and the character kept (Spark would reject such an escape)."""
     import re
-    return re.sub(_LIKE_ESC, lambda m: m.group(1) or m.group(2) or "", s)
+    pattern = re.sub(_LIKE_ESC, lambda m: m.group(1) or m.group(2), before + text + after)
+    # what is left of an unpaired backslash at the very end escapes nothing
+    tail = len(pattern) - len(pattern.rstrip("\\"))
+    return pattern[:-1] if tail % 2 else pattern
 
 
 # ---- output helpers -----------------------------------------------------

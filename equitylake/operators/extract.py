@@ -2,16 +2,13 @@
 
 Detail pages -> typed share records:
 
-1. ``scan_detail_rows``: ``mapInArrow`` over (page_id, url, html) emits
-   one marker row per page (with its empty-body flag) and small long rows
-   (page_id, url, table_ord, row_ord, label, value). The wide ``html``
-   column goes no further; nothing else runs in Python.
-2. ``assign_properties``: one aggregation per page. For each of the 27
-   properties, the value of the LAST row (in (table_ord, row_ord) order)
-   whose lower-cased label contains the property's term -- even when that
-   row has no value (then the property is NULL). ``max_by`` over a
-   conditional ordering is partial-aggregatable, so even a page with a
-   huge number of rows is combined map-side before the shuffle.
+1. ``scan_detail_pages``: ``mapInArrow`` over (page_id, url, html) emits one
+   row per page, with its labelled rows as an array in document order. The
+   wide ``html`` column goes no further; nothing else runs in Python.
+2. ``assign_properties``: row-local. For each of the 27 properties, the value
+   of the LAST row whose lower-cased label contains the property's term --
+   even when that row has no value (then the property is NULL). No shuffle
+   and no sort: a page's rows never leave its row.
 3. ``typed_wide``: the property parsers (Column expressions) turn the
    raw strings into the four satellite records.
 
@@ -28,39 +25,42 @@ from .. import schemas
 from ..functions import parsers as P
 from . import html_scan
 
-_ROWS_ARROW = pa.schema([("page_id", pa.int64(), False), ("url", pa.string()),
-                         ("table_ord", pa.int32(), False), ("row_ord", pa.int32(), False),
-                         ("label", pa.string()), ("value", pa.string()),
-                         ("empty_page", pa.bool_())])
+_LABELLED = pa.list_(pa.struct([("table_ord", pa.int32()), ("row_ord", pa.int32()),
+                                ("label", pa.string()), ("value", pa.string())]))
+_PAGES_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("fetched_at", pa.timestamp("us")),
+                          ("empty_page", pa.bool_()), ("rows", _LABELLED)])
 _LINKS_ARROW = pa.schema([("page_id", pa.int64(), False), ("link_ord", pa.int32(), False),
                           ("href", pa.string()), ("name", pa.string()),
                           ("empty_page", pa.bool_())])
 
 
+def _with_fetch_time(pages: DataFrame) -> DataFrame:
+    """Pages with ``fetched_at``, when the page was read; NULL if unknown."""
+    at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None)
+    return pages.select("page_id", "url", "html", at.cast("timestamp_ntz").alias("fetched_at"))
+
+
 def _detail_iter(batches):
-    cols = [f.name for f in schemas.PAGE_ROWS.fields]
     for batch in batches:
-        out = {c: [] for c in cols}
-        pids, urls, htmls = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
-        for pid, url, html in zip(pids, urls, htmls):
-            empty = html is None or html == ""
-            rows = [(-1, -1, None, None)] if empty else \
-                [(-1, -1, None, None)] + html_scan.detail_rows(html)
-            for t, r, lab, val in rows:
-                out["page_id"].append(pid)
-                out["url"].append(url)
-                out["table_ord"].append(t)
-                out["row_ord"].append(r)
-                out["label"].append(lab)
-                out["value"].append(val)
-                out["empty_page"].append(empty if t < 0 else None)
-        yield pa.RecordBatch.from_pydict(out, schema=_ROWS_ARROW)
+        htmls = [h.as_py() for h in batch.column("html")]
+        rows = [html_scan.detail_rows(h) if h else [] for h in htmls]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url").cast(pa.string()),
+             batch.column("fetched_at").cast(pa.timestamp("us")), pa.array([not h for h in htmls], pa.bool_()),
+             pa.array([[dict(zip(("table_ord", "row_ord", "label", "value"), r)) for r in page] for page in rows],
+                      _LABELLED)], schema=_PAGES_ARROW)
+
+
+def scan_detail_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, fetched_at, empty_page, rows): one row per page, its
+    labelled table rows in (table, row) order. Pages are read once."""
+    return _with_fetch_time(pages).mapInArrow(_detail_iter, schemas.DETAIL_PAGES)
 
 
 def scan_detail_rows(pages: DataFrame) -> DataFrame:
-    """One marker row per page plus its labelled table rows (schema
-    ``schemas.PAGE_ROWS``). Pages are read once; html goes no further."""
-    return pages.select("page_id", "url", "html").mapInArrow(_detail_iter, schemas.PAGE_ROWS)
+    """The labelled rows themselves: (page_id, url, table_ord, row_ord, label,
+    value)."""
+    return scan_detail_pages(pages).select("page_id", "url", F.inline("rows"))
 
 
 def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
@@ -90,17 +90,17 @@ def links_only(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col("link_ord") >= 0).drop("empty_page")
 
 
-def assign_properties(rows: DataFrame) -> DataFrame:
-    """(page_id, url, empty_page, one raw string column per property)."""
-    # lower-cased label and row order once per row, not once per property
-    rows = rows.select("page_id", "url", "value", "empty_page",
-                       F.lower(F.col("label")).alias("_label"),
-                       F.struct(F.col("table_ord"), F.col("row_ord")).alias("_ord"))
-    aggs = [F.max_by(F.col("value"),
-                     F.when(F.contains(F.col("_label"), F.lit(term)), F.col("_ord"))).alias(name)
-            for name, term, _, _ in schemas.PROPERTIES]
-    return rows.groupBy("page_id", "url").agg(
-        F.coalesce(F.max("empty_page"), F.lit(False)).alias("empty_page"), *aggs)
+def assign_properties(pages: DataFrame) -> DataFrame:
+    """(page_id, url, fetched_at, empty_page, one raw string column per
+    property), row-local."""
+    lowered = pages.select("page_id", "url", "fetched_at", "empty_page", F.transform(
+        "rows", lambda r: F.struct(F.lower(r["label"]).alias("label"), r["value"].alias("value"))).alias("rows"))
+
+    def last_match(term: str) -> Column:
+        hits = F.filter("rows", lambda r: F.contains(r["label"], F.lit(term)))
+        return F.try_element_at(hits, F.lit(-1))["value"]
+    return lowered.select("page_id", "url", "fetched_at", "empty_page",
+                          *[last_match(term).alias(name) for name, term, _, _ in schemas.PROPERTIES])
 
 
 def typed_wide(raw: DataFrame, keep: tuple = ("isin",)) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 RETRY_STATUSES = (429, 502, 503, 504, 500)
 MAX_ATTEMPTS = 8              # 1 try + 7 retries
 FETCH_BUDGET_S = 256          # overall timeout per URL
+SHARE_BUDGET_S = 300          # overall timeout of a share, around its fetch
 
 
 def attempt_class(status: Column, net_error: Column) -> Column:
@@ -35,9 +36,25 @@ def attempt_class(status: Column, net_error: Column) -> Column:
             .otherwise(F.lit("exit")))
 
 
-def resolve(log: DataFrame, budget_s: int = FETCH_BUDGET_S) -> DataFrame:
-    """One row per URL: outcome, error kind, decisive attempt, elapsed ms."""
-    a = log.where(F.col("attempt_no").between(1, MAX_ATTEMPTS)) \
+def _numbered() -> Column:
+    return F.coalesce(F.col("attempt_no").between(1, MAX_ATTEMPTS), F.lit(False))
+
+
+def rejected(log: DataFrame) -> DataFrame:
+    """Attempts that the retry rules can't place, as rejects (isin, table,
+    reason): their number is NULL or not within 1 and ``MAX_ATTEMPTS``."""
+    return log.where(~_numbered()).select(
+        F.lit(None).cast("string").alias("isin"), F.lit("attempts").alias("table"),
+        F.concat(F.lit("attempt_no_"), F.coalesce(F.col("attempt_no").cast("string"), F.lit("null")),
+                 F.lit(" "), F.coalesce("url", F.lit(""))).alias("reason"))
+
+
+def resolve(log: DataFrame, budget_s: int = FETCH_BUDGET_S,
+            share_budget_s: int = SHARE_BUDGET_S) -> DataFrame:
+    """One row per URL: outcome, error kind, decisive attempt, elapsed ms. A
+    decision past the fetch budget or the share's own is a timeout, whichever
+    is shorter. ``rejected`` has the attempts that this leaves out."""
+    a = log.where(_numbered()) \
         .withColumn("cls", attempt_class(F.col("status"), F.col("net_error")))
     decisive = F.struct(F.col("attempt_no").alias("n"), F.col("cls").alias("cls"),
                         F.col("ended_at").alias("end"), F.col("status").alias("status"),
@@ -53,7 +70,7 @@ def resolve(log: DataFrame, budget_s: int = FETCH_BUDGET_S) -> DataFrame:
     end = (F.when(F.col("d").isNotNull(), F.col("d.end"))
            .when(exhausted, F.col("end_last"))
            .otherwise(F.col("end_seen")))
-    late = end > F.timestamp_add("SECOND", F.lit(budget_s), F.col("start"))
+    late = end > F.timestamp_add("SECOND", F.lit(min(budget_s, share_budget_s)), F.col("start"))
     outcome = (F.when(late, F.lit("timeout"))
                .when(F.col("d").isNotNull(), F.col("d.cls"))
                .when(exhausted, F.lit("max_retries"))
@@ -75,18 +92,21 @@ def fetch_metrics(resolved: DataFrame) -> DataFrame:
                                       F.col("error").isNull().alias("ok"), "error"))
 
 
-def fetched_pages(log: DataFrame, resolved: DataFrame, broadcast_ok: bool = False) -> DataFrame:
-    """Pages of URLs whose fetch succeeded: the body of the deciding attempt.
-    ``page_id`` is a hash of the URL.
+def fetched_pages(log: DataFrame, resolved: DataFrame, broadcast_ok: bool = False,
+                  empty: bool = False) -> DataFrame:
+    """Pages of URLs whose fetch succeeded: the body of the deciding attempt,
+    with the time it was read. ``page_id`` is a hash of the URL. ``empty``: with
+    the returned pages that have no body.
 
     Only HTTP-200 attempts can carry a page, so the log is cut to those
     before it meets the (url, attempt) keys; with ``broadcast_ok`` (the
     caller checked the resolved set is small) the log is never shuffled.
     """
-    ok = resolved.where(F.col("error").isNull() & (F.col("outcome") == "return")) \
+    ok = resolved.where((F.lit(empty) | F.col("error").isNull()) & (F.col("outcome") == "return")) \
         .select("url", F.col("decisive_attempt").alias("attempt_no"))
     if broadcast_ok:
         ok = F.broadcast(ok)
     answered = log.where((F.col("status") == 200) & ~F.coalesce(F.col("net_error"), F.lit(False)))
     return (answered.join(ok, ["url", "attempt_no"], "left_semi")
-            .select(F.xxhash64("url").alias("page_id"), "url", F.col("body").alias("html")))
+            .select(F.xxhash64("url").alias("page_id"), "url", F.col("body").alias("html"),
+                    F.col("ended_at").alias("fetched_at")))

@@ -1,46 +1,44 @@
 """Per-page HTML scanning for ``mapInArrow`` (the batch path's only Python step).
 
-A page is tokenised once (one compiled regular expression) into a
-flat, document-ordered list of elements (tag, attributes, parent, and the
-span of sequence numbers its subtree covers) plus text nodes. HTML5's
-usual leniency is applied where the pages need it: void elements have no
-children, an open ``td``/``th``/``tr``/``li``/``p`` is closed by the start
-of a sibling, end tags close back to their open element, and script/style
-content is not text. Adjacent character data forms one text node; a tag
-or comment ends it.
-
-Two outputs, both small per page:
-
-* detail rows: for every table (document order) and every ``tr`` inside
-  it (nested tables included), the text of the row's first ``strong`` and
-  the first text node of its first ``span.t-text.-right``. Rows without a
-  ``strong`` are skipped.
-* links: elements matching a descendant selector chain, with their
-  ``href`` and the first text node of a name element.
+One pass over a page's tags, made for the two page shapes that the jobs read.
+HTML's leniency is applied where those need it: void elements have no content,
+an open ``td``/``th``/``tr``/``li``/``p`` ends at the start of a sibling, an end
+tag closes back to its open element but never across a table, comments and the
+raw text of ``script`` and ``style`` are no markup. Character data between two
+tags is one text node.
+
+* detail rows: for every table (document order) and every ``tr`` inside it
+  (nested tables included), the text of the row's first ``strong`` and the first
+  text node of its first ``span.t-text.-right``. Rows without a ``strong`` are
+  skipped.
+* links: elements that match a chain of nested elements, with their ``href`` and
+  the first text node of a name element.
+
+The cost is linear in the page times the depth of its nesting.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# start tags that close an open sibling first: tag -> (closes, search stops at)
-_CLOSES = {"td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
-           "tr": (("tr",), ("table",)),
-           "tbody": (("tbody", "thead", "tfoot"), ("table",)),
-           "thead": (("tbody", "thead", "tfoot"), ("table",)),
-           "tfoot": (("tbody", "thead", "tfoot"), ("table",)),
-           "li": (("li",), ("ul", "ol", "table"))}
-CLOSES_P = frozenset(("address article aside blockquote div dl fieldset footer form h1 h2 h3 "
-                      "h4 h5 h6 header hr main nav ol p pre section table ul").split())
+# start tag -> (open elements that it ends, where the search for them stops)
+_ENDS = {"td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+         "tr": (("tr",), ("table",)), "li": (("li",), ("ul", "ol", "table")),
+         **{t: (("tbody", "thead", "tfoot"), ("table",)) for t in ("tbody", "thead", "tfoot")}}
+_ENDS_P = frozenset(("address article aside blockquote div dl fieldset footer form h1 h2 h3 "
+                     "h4 h5 h6 header hr main nav ol p pre section table ul").split())
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style")}
 
 
 @dataclass(frozen=True)
 class Compound:
-    """One simple-selector compound: tag, required classes, attribute values."""
+    """What an element must be: tag, classes it has, attributes it has."""
     tag: str
     classes: tuple = ()
     attrs: tuple = ()  # ((name, value), ...)
@@ -51,206 +49,162 @@ LISTING_LINKS = (Compound("div", (), (("data-bb-view", "list-aZ-stream"),)),
                  Compound("table", ("m-table", "-firstlevel")),
                  Compound("a", ("u-hidden", "-xs")))
 LISTING_NAME = Compound("span", ("t-text",))
+DETAIL_LABEL = Compound("strong")
 DETAIL_VALUE = Compound("span", ("t-text", "-right"))
 NAV_LINKS = (Compound("nav"), Compound("a"))
 
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)"                                  # comment
-    r"|<[!?][^>]*>?"                                     # doctype / processing
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # tag
-    r"|<|[^<]+", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-# script/style bodies are raw text up to their end tag: blanked before
-# tokenising, so markup-like text inside them is never read as tags
-_RAW_BODY = re.compile(r"(<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>).*?(</\2\s*>)",
-                       re.S | re.I)
-
-
-class Document:
-    def __init__(self, html: str):
-        self.tag, self._attr_src, self.parent, self.start, self.end = [], [], [], [], []
-        self._attrs: dict[int, dict] = {}
-        self.text_seq, self.texts = [], []
-        self._stack: list[int] = []
-        self._open_p = 0
-        self._seq = 0
-        self._buf: list[str] = []
-        self._tokenize(html)
-        self._flush()
-        while self._stack:
-            self._pop()
-        self._by_tag: dict[str, list[int]] = {}
-        for i, t in enumerate(self.tag):
-            self._by_tag.setdefault(t, []).append(i)
-
-    def _tokenize(self, html: str):
-        if "<s" in html or "<S" in html:
-            html = _RAW_BODY.sub(r"\1\3", html)
-        for m in _TOKEN.finditer(html):
-            slash, name, rest = m.groups()
-            if name is None:
-                tok = m.group()
-                if tok.startswith("<!--"):
-                    self._flush()
-                elif tok == "<" or tok[0] != "<":
-                    self._buf.append(unescape(tok) if "&" in tok else tok)
-                continue
-            name = name.lower()
-            if slash:
-                self.handle_endtag(name)
-                continue
-            if rest.endswith("/") or rest.rstrip().endswith("/"):
-                self._open(name, rest, push=name not in VOID)
-            else:
-                self._open(name, rest)
-
-    def attrs(self, i: int) -> dict:
-        """Attributes of element ``i`` (parsed on first use; the first of
-        duplicate names wins, entities decoded)."""
-        a = self._attrs.get(i)
-        if a is None:
-            a = {}
-            for k, v1, v2, v3 in _ATTR.findall(self._attr_src[i]):
-                # findall gives '' for the quote styles not used
-                a.setdefault(k.lower(), unescape(v1 or v2 or v3))
-            self._attrs[i] = a
-        return a
-
-    # ---- tree building
-    def _flush(self):
-        if self._buf:
-            self.text_seq.append(self._seq)
-            self.texts.append("".join(self._buf))
-            self._seq += 1
-            self._buf = []
-
-    def _pop(self):
-        i = self._stack.pop()
-        self.end[i] = self._seq
-        if self.tag[i] == "p":
-            self._open_p -= 1
-
-    def _close_to(self, names, stop=("table",)):
-        for k in range(len(self._stack) - 1, -1, -1):
-            t = self.tag[self._stack[k]]
-            if t in names:
-                while len(self._stack) > k:
-                    self._pop()
-                return
-            if t in stop:
-                return
-
-    def _open(self, tag, attr_src, push=True):
-        self._flush()
-        if tag in _CLOSES:
-            names, stop = _CLOSES[tag]
-            self._close_to(names, stop)
-        if self._open_p and tag in CLOSES_P:
-            self._close_to(("p",), stop=("table", "td", "th", "button"))
-        i = len(self.tag)
-        self.tag.append(tag)
-        self._attr_src.append(attr_src)
-        self.parent.append(self._stack[-1] if self._stack else -1)
-        self.start.append(self._seq)
-        self.end.append(self._seq + 1)
-        self._seq += 1
-        if push and tag not in VOID:
-            self._stack.append(i)
-            if tag == "p":
-                self._open_p += 1
-
-    def handle_endtag(self, tag):
-        self._flush()
-        st = self._stack
-        if st and self.tag[st[-1]] == tag:  # well-formed: closes the top
-            self._pop()
-            return
-        # an end tag closes back to its open element, never across a table
-        self._close_to((tag,), stop=() if tag == "table" else ("table",))
+@dataclass
+class Element:
+    """An element while it is open."""
+    tag: str
+    source: str  # its attributes as written
+    taps: list = field(default_factory=list)  # texts that its content goes to
+    data: object = None  # what a scan keeps with it
+
+    def attributes(self) -> dict:
+        """The first of duplicate names wins; entities are decoded."""
+        out: dict = {}
+        for name, double, single, bare in _ATTR.findall(self.source):
+            out.setdefault(name.lower(), unescape(double or single or bare))
+        return out
 
-    # ---- queries
-    def matches(self, i: int, c: Compound) -> bool:
-        if self.tag[i] != c.tag:
+    def matches(self, c: Compound) -> bool:
+        if self.tag != c.tag:
             return False
         if not c.classes and not c.attrs:
             return True
-        a = self.attrs(i)
-        if c.classes:
-            have = set(a.get("class", "").split())
-            if not all(x in have for x in c.classes):
-                return False
-        return all(a.get(k) == v for k, v in c.attrs)
-
-    def descendants(self, i: int, tag: str) -> list[int]:
-        idx = self._by_tag.get(tag, [])
-        lo = bisect_right(idx, i)
-        out = []
-        for j in idx[lo:]:
-            if self.start[j] >= self.end[i]:
-                break
-            out.append(j)
-        return out
-
-    def first_descendant(self, i: int, c: Compound) -> int | None:
-        for j in self.descendants(i, c.tag):
-            if self.matches(j, c):
-                return j
-        return None
-
-    def first_text(self, i: int) -> str | None:
-        k = bisect_left(self.text_seq, self.start[i])
-        if k < len(self.text_seq) and self.text_seq[k] < self.end[i]:
-            return self.texts[k]
-        return None
-
-    def all_text(self, i: int) -> str:
-        lo = bisect_left(self.text_seq, self.start[i])
-        hi = bisect_left(self.text_seq, self.end[i])
-        return "".join(self.texts[lo:hi])
-
-    def select(self, chain: tuple) -> list[int]:
-        """Elements matching a descendant-combinator chain, document order."""
-        last, rest = chain[-1], chain[:-1]
-        out = []
-        for i in self._by_tag.get(last.tag, []):
-            if not self.matches(i, last):
-                continue
-            k, p = len(rest) - 1, self.parent[i]
-            while k >= 0 and p >= 0:
-                if self.matches(p, rest[k]):
-                    k -= 1
-                p = self.parent[p]
-            if k < 0:
-                out.append(i)
-        return out
-
+        a = self.attributes()
+        return set(c.classes) <= set(a.get("class", "").split()) and all(a.get(k) == v for k, v in c.attrs)
+
+
+def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): kinds ``text``, ``open``, ``close`` and
+    ``cut`` (a comment, which ends a text node)."""
+    at, size = 0, len(html)
+    while at < size:
+        lt = html.find("<", at)
+        if lt != at:
+            text = html[at:lt if lt >= 0 else size]
+            yield "text", unescape(text) if "&" in text else text, ""
+            if lt < 0:
+                return
+            at = lt
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            yield "cut", "", ""
+            at = size if end < 0 else end + 3
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            at = size if end < 0 else end + 1
+        elif m := _TAG.match(html, at):
+            slash, name, rest = m.groups()
+            name, at = name.lower(), m.end()
+            yield "close" if slash else "open", name, rest
+            if not slash and name in _RAW_END:  # raw text up to its end tag
+                end = _RAW_END[name].search(html, at)
+                at = end.start() if end else size
+        else:
+            yield "text", "<", ""
+            at += 1
+
+
+def _walk(html: str, start: Callable[[Element, list], None]) -> None:
+    """Call ``start(element, open elements around it)`` at every start tag. An
+    element's ``taps`` get the text nodes of its content as they end."""
+    stack: list[Element] = []
+    text: list[str] = []
+
+    def flush() -> None:
+        if text:
+            node = "".join(text)
+            text.clear()
+            for e in stack:
+                for tap in e.taps:
+                    tap.append(node)
+
+    def close(names: tuple, stop: tuple) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].tag in names:
+                del stack[k:]
+                return
+            if stack[k].tag in stop:
+                return
 
-def detail_rows(html: str):
+    for kind, name, rest in _tokens(html):
+        if kind == "text":
+            text.append(name)
+            continue
+        flush()
+        if kind == "close":
+            close((name,), () if name == "table" else ("table",))
+        elif kind == "open":
+            if name in _ENDS:
+                close(*_ENDS[name])
+            if name in _ENDS_P:
+                close(("p",), ("table", "td", "th", "button"))
+            element = Element(name, rest)
+            start(element, stack)
+            if name not in VOID:
+                stack.append(element)
+    flush()
+
+
+def detail_rows(html: str) -> list[tuple[int, int, str, str | None]]:
     """(table_ord, row_ord, label, value) for every labelled table row."""
-    d = Document(html)
-    out = []
-    for t_ord, t in enumerate(d._by_tag.get("table", [])):
-        for r_ord, r in enumerate(d.descendants(t, "tr")):
-            s = d.first_descendant(r, Compound("strong"))
-            if s is None:
-                continue
-            v = d.first_descendant(r, DETAIL_VALUE)
-            out.append((t_ord, r_ord, d.all_text(s), d.first_text(v) if v is not None else None))
-    return out
-
-
-def links(html: str, chain: tuple = LISTING_LINKS, name: Compound | None = LISTING_NAME):
-    """(link_ord, href, name) for every element matching ``chain``; the name
-    is the first text node of the first ``name`` descendant (or of the
-    link itself when ``name`` is None)."""
-    d = Document(html)
-    out = []
-    for k, i in enumerate(d.select(chain)):
-        if name is None:
-            nm = d.first_text(i)
-        else:
-            j = d.first_descendant(i, name)
-            nm = d.first_text(j) if j is not None else None
-        out.append((k, d.attrs(i).get("href"), nm))
-    return out
+    tables = 0
+    rows: list[tuple[list, list]] = []  # (places in the tables around, [label texts, value texts])
+
+    def start(e: Element, stack: list) -> None:
+        nonlocal tables
+        if e.tag == "table":
+            e.data = [tables, 0]
+            tables += 1
+        elif e.tag == "tr":
+            around = [x.data for x in stack if x.tag == "table"]
+            e.data = [None, None]
+            rows.append(([tuple(t) for t in around], e.data))
+            for t in around:
+                t[1] += 1
+        elif e.tag in (DETAIL_LABEL.tag, DETAIL_VALUE.tag):
+            for k, c in enumerate((DETAIL_LABEL, DETAIL_VALUE)):
+                wanting = [x.data for x in stack if x.tag == "tr" and x.data[k] is None]
+                if wanting and e.matches(c):
+                    e.taps.append([])
+                    for data in wanting:
+                        data[k] = e.taps[-1]
+
+    _walk(html, start)
+    out = [(t, r, "".join(label), value[0] if value else None)
+           for places, (label, value) in rows if label is not None for t, r in places]
+    return sorted(out, key=lambda x: x[:2])
+
+
+def links(html: str, chain: tuple = LISTING_LINKS,
+          name: Compound | None = LISTING_NAME) -> list[tuple[int, str | None, str | None]]:
+    """(link_ord, href, name) for every element matching ``chain``; the name is
+    the first text node of the first ``name`` element inside (or of the link
+    itself when ``name`` is None)."""
+    found: list[list] = []  # [href, texts of the name]
+
+    def start(e: Element, stack: list) -> None:
+        if name is not None:
+            wanting = [x.data for x in stack if x.data is not None and x.data[1] is None]
+            if wanting and e.matches(name):
+                e.taps.append([])
+                for link in wanting:
+                    link[1] = e.taps[-1]
+        if e.matches(chain[-1]):
+            want = len(chain) - 2
+            for x in reversed(stack):
+                if want >= 0 and x.matches(chain[want]):
+                    want -= 1
+            if want < 0:
+                e.data = [e.attributes().get("href"), None]
+                if name is None:
+                    e.taps.append([])
+                    e.data[1] = e.taps[-1]
+                found.append(e.data)
+
+    _walk(html, start)
+    return [(k, href, texts[0] if texts else None) for k, (href, texts) in enumerate(found)]

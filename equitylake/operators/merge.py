@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 BROADCAST_MAX_BYTES = 256 << 20
-_WIDTH = {"string": 48, "binary": 48, "boolean": 1, "byte": 1, "short": 2, "integer": 4,
+_WIDTH = {"string": 160, "binary": 160, "boolean": 1, "byte": 1, "short": 2, "integer": 4,
           "date": 4, "float": 4}
 
 
@@ -43,24 +43,26 @@ def approx_row_bytes(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """Bounded size check before a broadcast: counts at most one row past
-    the budget's row cap (``max_bytes`` / estimated row width). Run it on
-    staged (materialised) data, where it is a cheap scan."""
+    """Size check of the very frame that is broadcast: its row count (one
+    partially aggregated count) against the budget's row cap (``max_bytes`` /
+    estimated row width). Run it on staged data, where it is a cheap scan."""
     cap = max(1, max_bytes // approx_row_bytes(df))
-    return df.limit(cap + 1).count() <= cap
+    return df.count() <= cap
 
 
 def _order(df: DataFrame, cols: list[str]) -> Column:
-    # tie-break for equal stamps: a content hash, so the choice does not
-    # depend on arrival order
-    return F.struct(F.col("updated_at").alias("u"),
+    # records of one run share a stamp: the page fetched last is the newest
+    # (an unknown fetch time is the oldest); then a content hash, so that the
+    # choice never depends on arrival order
+    fetched = F.col("fetched_at") if "fetched_at" in df.columns else F.lit(None).cast("timestamp_ntz")
+    return F.struct(F.col("updated_at").alias("u"), fetched.alias("f"),
                     F.xxhash64(*[F.col(c) for c in cols]).alias("h"))
 
 
 def collapse_records(batch: DataFrame, cols: list[str], flags: tuple = ()) -> DataFrame:
     """(isin, cols..., updated_at, flags...): per column the last non-NULL
-    value in (updated_at, content hash) order; ``flags`` (booleans) are
-    OR-ed."""
+    value in (updated_at, fetch time, content hash) order; ``flags`` (booleans)
+    are OR-ed."""
     b = batch.withColumn("_ord", _order(batch, cols))
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_ord"))).alias(c)
             for c in cols]
@@ -95,14 +97,20 @@ def merge_satellite(stored: DataFrame, batch: DataFrame, table: str,
     return updated.unionByName(inserted).select(*out_cols)
 
 
-def _payload_violations(df: DataFrame, table: str) -> DataFrame:
-    """(isin, table, reason) for every NOT NULL / VARCHAR / INT-range breach."""
+def _checks(df: DataFrame, table: str) -> list[tuple[Column, str]]:
+    """(condition, reason) of every NOT NULL / VARCHAR / INT-range breach."""
     checks = [(F.col("isin").isNull(), "isin_null"),
-              (F.col("updated_at").isNull(), "updated_at_null")]
+              (F.col("updated_at").isNull() if "updated_at" in df.columns else F.lit(False), "updated_at_null")]
     for c, n in schemas.VARCHAR_LIMITS[table].items():
         checks.append((F.char_length(F.col(c)) > n, f"{c}_too_long"))
-    if "_numero_contratti_overflow" in df.columns:
+    if table == "price_data" and "_numero_contratti_overflow" in df.columns:
         checks.append((F.col("_numero_contratti_overflow"), "numero_contratti_out_of_int_range"))
+    return checks
+
+
+def _payload_violations(df: DataFrame, table: str) -> DataFrame:
+    """(isin, table, reason) for every breach of a payload."""
+    checks = _checks(df, table)
     reasons = F.array_compact(F.array(*[F.when(cond, F.lit(r)) for cond, r in checks]))
     return (df.select("isin", F.explode(reasons).alias("reason"))
             .withColumn("table", F.lit(table)))
@@ -143,6 +151,52 @@ def validate_shares(payloads: dict[str, DataFrame], hub: DataFrame,
     return accepted, rejects
 
 
+def collapse_shares(batch: DataFrame) -> DataFrame:
+    """One row per ISIN of a batch that mixes the payloads: the columns of all
+    four satellites, and per satellite ``_at_<table>``, the newest stamp of its
+    records (NULL: the batch has none; a record of satellite t has ``_has_<t>``)."""
+    cols = [c for t in schemas.SATELLITES for c in schemas.non_key_columns(t)]
+    ordered = batch.withColumn("_ord", _order(batch, cols))
+    return ordered.groupBy("isin").agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_ord"))).alias(c) for c in cols],
+        *[F.max(F.when(F.col(f"_has_{t}"), F.col("updated_at"))).alias(f"_at_{t}") for t in schemas.SATELLITES])
+
+
+def payload(collapsed: DataFrame, table: str) -> DataFrame:
+    """The rows of one satellite in ``collapse_shares``' result."""
+    return collapsed.where(F.col(f"_at_{table}").isNotNull()).select(
+        "isin", *schemas.non_key_columns(table), F.col(f"_at_{table}").alias("updated_at"))
+
+
+def judge_shares(wide: DataFrame, hub: DataFrame, broadcast_keys: bool = False) -> DataFrame:
+    """``validate_shares`` for one collapsed record per ISIN: the record plus
+    ``_why``, an array of (table, reason), empty if it is accepted. Breaches are
+    row-local and the hub is joined once. A satellite that the record doesn't
+    have (NULL ``_at_<table>``, where there is such a column) breaks nothing."""
+    checks = []
+    for t in schemas.SATELLITES:
+        has = F.col(f"_at_{t}").isNotNull() if f"_at_{t}" in wide.columns else F.lit(True)
+        for cond, reason in _checks(wide, t):
+            checks.append(F.when(has & cond, F.struct(F.lit(t).alias("table"), F.lit(reason).alias("reason"))))
+    if broadcast_keys:  # the hub is only scanned; a subset of the checked keys comes back
+        known = F.broadcast(known_keys(hub, wide.where(F.col("isin").isNotNull()), True))
+    else:  # the hub's key is unique: the record meets it directly, and is computed once
+        known = hub.select("isin")
+    known = known.withColumn("_known", F.lit(True))
+    checks.append(F.when(F.col("isin").isNotNull() & F.col("_known").isNull(),
+                         F.struct(F.lit("share_isins").alias("table"), F.lit("unknown_isin").alias("reason"))))
+    return wide.join(known, "isin", "left").withColumn("_why", F.array_compact(F.array(*checks))).drop("_known")
+
+
+def accepted_shares(judged: DataFrame) -> DataFrame:
+    return judged.where((F.size("_why") == 0) & F.col("isin").isNotNull())
+
+
+def rejects_of(judged: DataFrame) -> DataFrame:
+    """(isin, table, reason)"""
+    return judged.select("isin", F.inline("_why"))
+
+
 def accepted_only(df: DataFrame, accepted: DataFrame, table: str) -> DataFrame:
     out = [f.name for f in schemas.TABLES[table].fields]
     return df.join(accepted, "isin", "left_semi").select(*out)

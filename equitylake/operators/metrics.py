@@ -28,6 +28,11 @@ def scrape_metrics(outcomes: DataFrame, counted: str = "counted", ok: str = "ok"
         *[F.count_if(F.col(error) == k).cast("int").alias(k) for k in schemas.ERROR_KINDS])
 
 
+def zero_metrics(spark: SparkSession) -> DataFrame:
+    """The zero row of the scrape metrics."""
+    return spark.createDataFrame([(0,) * len(schemas.METRICS)], schemas.METRICS)
+
+
 def add_metrics(*metrics: DataFrame) -> DataFrame:
     """Field-wise sum of metric rows (the zero row is the identity)."""
     u = reduce(DataFrame.unionByName, metrics)

@@ -122,29 +122,34 @@ mi AS ({MARKET}),
 pd AS ({PRICE}),
 pm AS ({PERF})"""
 
-_ALIAS = {"share_details": "sd", "market_information": "mi",
-          "price_data": "pd", "performance_metrics": "pm"}
+_CTE = {"share_isins": "si", "share_details": "sd", "market_information": "mi",
+        "price_data": "pd", "performance_metrics": "pm"}
+
+
+def _stamps(tables) -> str:
+    """(isin, stamp): every stamp of the given tables."""
+    return " UNION ALL ".join(f"SELECT isin, updated_at AS stamp FROM {_CTE[t]}" for t in tables)
 
 
 def view_sql(where: str = "", ctes: str = STORE_CTES) -> str:
-    cols = ["si.isin", "si.share_name"]
-    for t, a in _ALIAS.items():
-        cols += [f"{a}.{c}" for c in schemas.non_key_columns(t)]
-    cols.append("GREATEST(si.updated_at, sd.updated_at, mi.updated_at, pd.updated_at, "
-                "pm.updated_at) AS updated_at")
-    return (f"WITH {ctes} SELECT {', '.join(cols)} FROM si "
-            + " ".join(f"LEFT JOIN {a} ON si.isin = {a}.isin" for a in _ALIAS.values())
-            + (f" WHERE {where}" if where else ""))
+    """Every instrument with what each table knows of it and its newest stamp."""
+    satellites = [t for t in schemas.TABLES if t != "share_isins"]
+    cols = ", ".join(c for t in satellites for c in schemas.non_key_columns(t))
+    parts = " ".join(f"LEFT JOIN (SELECT isin, {', '.join(schemas.non_key_columns(t))} FROM {_CTE[t]}) USING (isin)"
+                     for t in satellites)
+    return (f"WITH {ctes}, newest AS (SELECT isin, max(stamp) AS updated_at FROM ({_stamps(schemas.TABLES)}) GROUP BY isin), "
+            f"listed AS (SELECT isin, share_name FROM si {'WHERE ' + where if where else ''}) "
+            f"SELECT isin, share_name, {cols}, updated_at FROM listed JOIN newest USING (isin) {parts}")
 
 
 def stale_sql(as_of: dt.datetime, min_age: dt.timedelta) -> str:
-    coalesced = ", ".join(f"COALESCE({a}.updated_at, TIMESTAMP '1970-01-01 00:00:00')"
-                          for a in _ALIAS.values())
+    """Instruments whose newest satellite stamp, 1970 if there is none, is old."""
+    satellites = [t for t in schemas.TABLES if t != "share_isins"]
     us = int(min_age.total_seconds() * 1_000_000)
-    return (f"WITH {STORE_CTES}, lu AS (SELECT si.isin, GREATEST({coalesced}) AS last_update FROM si "
-            + " ".join(f"LEFT JOIN {a} ON si.isin = {a}.isin" for a in _ALIAS.values())
-            + f") SELECT si.isin, si.share_name, lu.last_update AS updated_at FROM si "
-            f"JOIN lu ON si.isin = lu.isin WHERE lu.last_update <= {ts(as_of)} - to_microseconds({us})")
+    return (f"WITH {STORE_CTES}, newest AS (SELECT isin, max(stamp) AS stamp FROM ("
+            f"SELECT isin, TIMESTAMP '1970-01-01 00:00:00' AS stamp FROM si UNION ALL {_stamps(satellites)}) GROUP BY isin) "
+            "SELECT isin, share_name, stamp AS updated_at FROM si JOIN newest USING (isin) "
+            f"WHERE stamp <= {ts(as_of)} - to_microseconds({us})")
 
 
 def collapse_sql(table: str, batch_sql: str) -> str:
@@ -280,6 +285,7 @@ def oracle_sql() -> dict[str, str]:
         **_extraction_sql(C),
         **refresh_sql(C),
         **discovery_sql(C),
+        **added_sql(C),
         "fetch_outcome": FETCH_RESOLVED,
         "fetch_outcome_stream": FETCH_RESOLVED,
         "isins_json": (f"SELECT share_name, substr(isin, 1, 2) AS country, substr(isin, 3, 9) AS nna, "
@@ -300,12 +306,14 @@ def oracle_sql() -> dict[str, str]:
                         "l_extendedprice AS price_us, -l_extendedprice AS price_neg, "
                         "CAST(NULL AS DOUBLE) AS junk FROM lineitem",
         "int_parse": "SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS parsed, "
-                     "CAST(NULL AS INTEGER) AS negative FROM orders",
+                     "CAST(NULL AS INTEGER) AS negative, o_orderkey * 1000000 > 2147483647 AS past_int FROM orders",
         "datetime_parse": "SELECT event_id, date_trunc('second', ts) AS dt1, "
-                          "date_trunc('second', ts) AS dt2, CAST(NULL AS TIMESTAMP) AS trailing FROM events",
-        "date_parse": "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS ship_date FROM lineitem",
+                          "date_trunc('second', ts) AS dt2, CAST(NULL AS TIMESTAMP) AS trailing, "
+                          "CAST(NULL AS TIMESTAMP) AS newline FROM events",
+        "date_parse": "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS ship_date, "
+                      "CAST(NULL AS DATE) AS newline FROM lineitem",
         "price_date_split": "SELECT o_orderkey, o_totalprice AS price, CAST(o_orderdate AS DATE) AS date, "
-                            "TRUE AS no_separator_is_null FROM orders",
+                            "CAST(NULL AS DATE) AS newline, TRUE AS no_separator_is_null FROM orders",
         "price_datetime_split": "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS price, "
                                 "CASE WHEN event_type = 'error' THEN NULL ELSE date_trunc('second', ts) END AS datetime, "
                                 "TRUE AS present FROM events",
@@ -394,15 +402,67 @@ def _refreshed_sql(C) -> str:
 
 def stream_refresh_sql(C) -> str:
     """Every instrument with a fetched, non-empty page is refreshed."""
-    cols = ["isin", "share_name"] + [c for t in _ALIAS for c in schemas.non_key_columns(t)]
+    cols = ["isin", "share_name"] + [c for t in schemas.SATELLITES for c in schemas.non_key_columns(t)]
     ok = (f"SELECT isin FROM ({view_sql()}) WHERE (mercato_segmento IS NULL OR "
           "mercato_segmento <> 'AUTOMOBILE') AND id_strumento IS NOT NULL")
     return (f"SELECT {', '.join(cols)}, CASE WHEN isin IN ({ok}) THEN {ts(C.RUN_AS_OF)} "
             f"ELSE updated_at END AS updated_at FROM ({view_sql()})")
 
 
+def _validation_sql() -> str:
+    key = "CAST(substr(isin, 3, 9) AS BIGINT)"
+    batch = {t: f"({q})" for t, q in PAYLOADS.items()}
+    keys = f"SELECT isin, {key} AS k FROM ({_keys_sql()})"
+    parts = [f"SELECT isin, 'market_information' AS \"table\", 'super_sector_too_long' AS reason "
+             f"FROM ({keys}) WHERE k % 3 = 0 AND isin IN (SELECT isin FROM {batch['market_information']})",
+             f"SELECT isin, 'price_data', 'numero_contratti_out_of_int_range' FROM ("
+             f"SELECT isin, numero_contratti, {key} AS k FROM {batch['price_data']}) "
+             "WHERE CAST(numero_contratti AS HUGEINT) * k * 1000000 > 2147483647"]
+    parts += [f"SELECT isin, '{t}', 'updated_at_null' FROM ({keys}) WHERE k % 9 = 1 "
+              f"AND isin IN (SELECT isin FROM {q})" for t, q in batch.items()]
+    return " UNION ALL ".join(parts)
+
+
+def _metrics_total_sql(C) -> str:
+    runs = [discovery_sql(C)["discovery_metrics"], _extraction_sql(C)["scrape_metrics"]]
+    cols = ["total", "successful", *schemas.ERROR_KINDS]
+    return (f"SELECT {', '.join(f'CAST(sum({c}) AS INTEGER) AS {c}' for c in cols)} FROM ("
+            + " UNION ALL ".join(f"SELECT {', '.join(cols)} FROM ({r})" for r in runs) + ")")
+
+
+def added_sql(C) -> dict[str, str]:
+    price_null = ", ".join(f"NULL AS {c}" for c in schemas.non_key_columns("price_data"))
+    fetched = ("(mercato_segmento IS NULL OR mercato_segmento <> 'AUTOMOBILE') AND id_strumento IS NOT NULL")
+    kinds = ", ".join(f"CAST(count(*) FILTER (WHERE error = '{k}') AS INTEGER) AS {k}" for k in schemas.ERROR_KINDS)
+    return {
+        "write_validation": _validation_sql(),
+        "empty_records": f"SELECT isin, {price_null}, {ts(C.RUN_AS_OF)} AS updated_at FROM ({HUB})",
+        "price_flatten": ("SELECT isin, max_anno, max_anno_date, min_anno, min_anno_date, prezzo_riferimento, "
+                          f"data_ora_prezzo_rifermento, prezzo_ufficiale, data_prezzo_ufficiale FROM ({PRICE})"),
+        "share_count": (f"SELECT 'all' AS lookup, count(*) AS n, count(*) = 0 AS empty FROM ({HUB}) UNION ALL "
+                        f"SELECT '0', count(*), count(*) = 0 FROM ({HUB}) WHERE starts_with(isin, '0')"),
+        "metrics_total": _metrics_total_sql(C),
+        "parse_defaults": ("SELECT o_orderkey, o_totalprice AS price, 0.0::DOUBLE AS float_default, 0 AS int_default, "
+                           "coalesce(nullif(o_orderstatus, 'O'), 'N/A') AS text_default, "
+                           "TIMESTAMP '1970-01-01 00:00:00' AS datetime_default, TRUE AS pair_default FROM orders"),
+        "view_prefix_backslash": view_sql("starts_with(lower(si.isin), 'ma%')"),
+        "refresh_all_view": stream_refresh_sql(C),
+        "page_copies_newest": f"SELECT isin, 1.0::DOUBLE AS prezzo_ultimo_contratto FROM ({view_sql()}) WHERE {fetched}",
+        "fetch_outcome_share_budget": FETCH_RESOLVED.replace("INTERVAL 256 SECOND", "INTERVAL 100 SECOND"),
+        "fetch_rejects": (FETCH_LOG + " SELECT CAST(NULL AS VARCHAR) AS isin, 'attempts' AS \"table\", "
+                          "'attempt_no_' || CASE WHEN status = 429 THEN 'null' ELSE '0' END || ' ' || url AS reason "
+                          "FROM log WHERE status = 429 OR attempt_no = 1"),
+        "listing_fetch_metrics": (
+            "SELECT CAST(count(*) FILTER (WHERE outcome = 'return' AND error IS NULL) AS INTEGER) AS total, "
+            "CAST(count(*) FILTER (WHERE outcome = 'return' AND error IS NULL) AS INTEGER) AS successful, "
+            f"{kinds} FROM ({FETCH_RESOLVED})"),
+        "discovery_run": ("SELECT isin, share_name FROM ("
+                          f"{discovery_sql(C)['discovery_instruments']})"),
+    }
+
+
 def refresh_sql(C) -> dict[str, str]:
-    cols = ["isin", "share_name"] + [c for t in _ALIAS for c in schemas.non_key_columns(t)]
+    cols = ["isin", "share_name"] + [c for t in schemas.SATELLITES for c in schemas.non_key_columns(t)]
     view_after = (f"SELECT {', '.join(cols)}, CASE WHEN isin IN ({_refreshed_sql(C)}) "
                   f"THEN {ts(C.RUN_AS_OF)} ELSE updated_at END AS updated_at FROM ({view_sql()})")
     due = (f"SELECT v.* FROM ({view_sql()}) v JOIN ({stale_sql(C.RUN_AS_OF, C.REFRESH_MIN_AGE)}) s "

@@ -46,11 +46,13 @@ def run_scrape_and_insert(store: Store, pages: DataFrame | None = None,
     return jobs.refresh(store, pages, all_shares=True, attempts=attempts)
 
 
-def run_scrape_and_insert_isins(store: Store, listing_pages: DataFrame,
-                                grid_only: bool = True) -> DataFrame:
-    """Discover instruments from the listing grid's pages (A-Z x 1-9) and
-    insert the new ones."""
-    return jobs.discover(store, listing_pages, grid_only=grid_only)
+def run_scrape_and_insert_isins(store: Store, listing_pages: DataFrame | None = None,
+                                pages_per_letter: int | None = None,
+                                attempts: DataFrame | None = None) -> DataFrame:
+    """Discover instruments from the listing pages (or a crawler's attempt log)
+    and insert the new ones. Every page is read unless ``pages_per_letter``
+    limits the run to a grid; pages outside it are recorded as rejects."""
+    return jobs.discover(store, listing_pages, pages_per_letter=pages_per_letter, attempts=attempts)
 
 
 def export_shares(store: Store, path: str) -> None:

@@ -80,6 +80,12 @@ def view_isin_wins(spark, sf_dir):
     return views.query_shares(_store(spark, sf_dir), q)
 
 
+def view_prefix_backslash(spark, sf_dir):
+    """A prefix that ends in a backslash: it escapes the wildcard that follows,
+    so only instruments with a percent sign there would match."""
+    return views.query_shares(_store(spark, sf_dir), views.ShareQuery(lang="ma\\"))
+
+
 def view_request_empty_params(spark, sf_dir):
     """Request parameters that are empty strings mean 'absent': the lang
     prefix alone filters."""
@@ -162,7 +168,23 @@ def int_parse(spark, sf_dir):
     dotted = F.translate(F.format_number(F.col("o_orderkey"), 0), ",", ".")
     return o.select("o_orderkey",
                     P.parse_int(dotted).alias("parsed"),
-                    P.parse_int(F.concat(F.lit("-"), dotted)).alias("negative"))
+                    P.parse_int(F.concat(F.lit("-"), dotted)).alias("negative"),
+                    P.int_overflow(F.format_number(F.col("o_orderkey") * 1000000, 0)).alias("past_int"))
+
+
+def parse_defaults(spark, sf_dir):
+    """The default flavour of every parser, on order prices as they are and on
+    status letters that are no value of any kind."""
+    o = read_input(spark, sf_dir, "orders")
+    junk = F.col("o_orderstatus")
+    pair = P.parse_or_default("price_date", junk)
+    return o.select("o_orderkey",
+                    P.parse_or_default("float", it_number(F.col("o_totalprice"))).alias("price"),
+                    P.parse_or_default("float", junk).alias("float_default"),
+                    P.parse_or_default("int", junk).alias("int_default"),
+                    P.parse_or_default("text", F.nullif(junk, F.lit("O"))).alias("text_default"),
+                    P.parse_or_default("datetime", junk).alias("datetime_default"),
+                    (pair.isNotNull() & pair["price"].isNull() & pair["date"].isNull()).alias("pair_default"))
 
 
 def datetime_parse(spark, sf_dir):
@@ -174,7 +196,8 @@ def datetime_parse(spark, sf_dir):
     return e.select("event_id",
                     P.parse_datetime(f1).alias("dt1"),
                     P.parse_datetime(f2).alias("dt2"),
-                    P.parse_datetime(F.concat(f1, F.lit(" x"))).alias("trailing"))
+                    P.parse_datetime(F.concat(f1, F.lit(" x"))).alias("trailing"),
+                    P.parse_datetime(F.concat(f1, F.lit("\n"))).alias("newline"))
 
 
 def date_parse(spark, sf_dir):
@@ -182,7 +205,8 @@ def date_parse(spark, sf_dir):
     two-digit-year pivot) and parsed back."""
     li = read_input(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber",
-                     P.parse_date(F.date_format("l_shipdate", "d/M/yy")).alias("ship_date"))
+                     P.parse_date(F.date_format("l_shipdate", "d/M/yy")).alias("ship_date"),
+                     P.parse_date(F.concat(F.date_format("l_shipdate", "d/M/yy"), F.lit("\n"))).alias("newline"))
 
 
 def price_date_split(spark, sf_dir):
@@ -192,7 +216,10 @@ def price_date_split(spark, sf_dir):
     s = P.price_date(F.concat(it_number(F.col("o_totalprice")), F.lit(" - "),
                               F.date_format("o_orderdate", "dd/MM/yy")))
     nosep = P.price_date(it_number(F.col("o_totalprice")))
+    newline = P.price_date(F.concat(it_number(F.col("o_totalprice")), F.lit(" - "),
+                                    F.date_format("o_orderdate", "dd/MM/yy"), F.lit("\n")))
     return o.select("o_orderkey", s["price"].alias("price"), s["date"].alias("date"),
+                    newline["date"].alias("newline"),
                     nosep.isNull().alias("no_separator_is_null"))
 
 
@@ -253,41 +280,64 @@ def _listed_hub(spark, sf_dir):
     return adapter.listed_hub(spark, sf_dir)
 
 
-def _share_payloads(spark, sf_dir):
-    return {
-        "share_details": M.collapse_batch(adapter.details_batch(spark, sf_dir), "share_details"),
-        "market_information": M.collapse_batch(adapter.market_batch(spark, sf_dir), "market_information"),
-        "price_data": M.collapse_batch(adapter.price_batch(spark, sf_dir), "price_data"),
-        "performance_metrics": M.collapse_batch(adapter.performance_batch(spark, sf_dir),
-                                                "performance_metrics"),
-    }
+def _judged_batch(spark, sf_dir):
+    return M.judge_shares(M.collapse_shares(adapter.share_batch(spark, sf_dir)), _listed_hub(spark, sf_dir))
 
 
 def fk_rejects(spark, sf_dir):
     """Share payloads whose ISIN is not in the hub (all four tables refused)."""
-    _, rejects = M.validate_shares(_share_payloads(spark, sf_dir), _listed_hub(spark, sf_dir))
-    return rejects
+    return M.rejects_of(_judged_batch(spark, sf_dir))
 
 
 def share_write_accepted(spark, sf_dir):
     """All-or-nothing per share: the accepted ISINs' merged price rows."""
-    payloads = _share_payloads(spark, sf_dir)
-    accepted, _ = M.validate_shares(payloads, _listed_hub(spark, sf_dir))
-    batch = M.accepted_only(payloads["price_data"], accepted, "price_data")
+    batch = M.payload(M.accepted_shares(_judged_batch(spark, sf_dir)), "price_data")
     return M.merge_satellite(adapter.price(spark, sf_dir, adapter.CUT), batch, "price_data")
 
 
 def write_metrics(spark, sf_dir):
     """Insertion metrics of a share batch: total ISINs, committed ISINs."""
-    payloads = _share_payloads(spark, sf_dir)
-    accepted, _ = M.validate_shares(payloads, _listed_hub(spark, sf_dir))
-    keys = payloads["price_data"].select("isin").unionByName(
-        payloads["share_details"].select("isin")).unionByName(
-        payloads["market_information"].select("isin")).unionByName(
-        payloads["performance_metrics"].select("isin")).distinct()
-    outcome = keys.join(accepted.withColumn("inserted", F.lit(True)), "isin", "left") \
-        .select(F.coalesce("inserted", F.lit(False)).alias("inserted"))
-    return MT.insertion_metrics(outcome)
+    return MT.insertion_metrics(_judged_batch(spark, sf_dir).where(F.col("isin").isNotNull())
+                                .select((F.size("_why") == 0).alias("inserted")))
+
+
+def write_validation(spark, sf_dir):
+    """Rejects of a batch in which every third instrument breaks a limit: a
+    market segment over 50 characters, a record without a stamp, or a contract
+    count past the INT range."""
+    key = F.substring("isin", 3, 9).cast("long")
+    wide = M.collapse_shares(adapter.share_batch(spark, sf_dir))
+    wide = (wide.withColumn("super_sector", F.when(key % 3 == 0, F.repeat("isin", 5)).otherwise(F.col("super_sector")))
+            .withColumn("updated_at", F.when(key % 9 != 1, F.greatest(*[f"_at_{t}" for t in M.schemas.SATELLITES])))
+            .withColumn("_numero_contratti_overflow",
+                        P.int_overflow(F.format_number(F.col("numero_contratti").cast("long") * key * 1000000, 0))))
+    return M.rejects_of(M.judge_shares(wide, adapter.hub(spark, sf_dir)))
+
+
+def empty_records(spark, sf_dir):
+    """The all-NULL price record of every instrument: key and stamp only."""
+    return M.empty_records(adapter.hub(spark, sf_dir), "price_data", P.ntz_lit(RUN_AS_OF))
+
+
+def price_flatten(spark, sf_dir):
+    """The nested price records of the shares flattened to the store's columns."""
+    nested = views.nested_prices(adapter.price(spark, sf_dir))
+    return M.flatten_price(nested).select("isin", "max_anno", "max_anno_date", "min_anno", "min_anno_date",
+                                          "prezzo_riferimento", "data_ora_prezzo_rifermento",
+                                          "prezzo_ufficiale", "data_prezzo_ufficiale")
+
+
+def share_count(spark, sf_dir):
+    """Size of two lookups: all shares, and those of a prefix that none has."""
+    every = views.count_shares(views.current_view(_store(spark, sf_dir)))
+    none = views.count_shares(views.query_shares(_store(spark, sf_dir), views.ShareQuery(lang="0")))
+    return every.withColumn("lookup", F.lit("all")).unionByName(none.withColumn("lookup", F.lit("0")))
+
+
+def metrics_total(spark, sf_dir):
+    """Field-wise sum of the listing and the detail run's metrics and the zero
+    row."""
+    return MT.add_metrics(discovery_metrics(spark, sf_dir), scrape_metrics(spark, sf_dir), MT.zero_metrics(spark))
 
 
 def insert_absent(spark, sf_dir):
@@ -316,7 +366,7 @@ def detail_extract(spark, sf_dir):
     the 27 properties (last match wins), values parsed into the four
     satellite records (flat store columns)."""
     wide, _, _ = _detail_run(spark, sf_dir)
-    return wide.drop("page_id", "updated_at", "_numero_contratti_overflow")
+    return wide.drop("page_id", "updated_at", "fetched_at", "_numero_contratti_overflow")
 
 
 def scrape_metrics(spark, sf_dir):
@@ -350,20 +400,46 @@ def refresh_metrics(spark, sf_dir):
                       *[F.col(f"insert.{c}").alias(f"insert_{c}") for c in insert.columns])
 
 
+def refresh_all_view(spark, sf_dir):
+    """Full refresh: every instrument is looked up on its detail page; the
+    current view after it."""
+    store = _store(spark, sf_dir)
+    pages = adapter.render_detail_pages(views.current_view(store))
+    new, _, _ = jobs.refresh_frames(store, pages, REFRESH_MIN_AGE, RUN_AS_OF, all_shares=True,
+                                    stage=jobs._stage, check=M.fits_broadcast)
+    return views.current_view({"share_isins": store["share_isins"], **new})
+
+
+def page_copies_newest(spark, sf_dir):
+    """Two copies of every detail page in one run, the one fetched last with an
+    official price of 1: it wins wherever the page has a price row."""
+    store = _store(spark, sf_dir)
+    view = views.current_view(store)
+    at = lambda x: P.ntz_lit(RUN_AS_OF + dt.timedelta(minutes=x))
+    old = adapter.render_detail_pages(view).withColumn("fetched_at", at(0))
+    new = (adapter.render_detail_pages(view.withColumn("prezzo_ultimo_contratto", F.lit(1.0)))
+           .withColumn("fetched_at", at(1)))
+    wide, _, _ = jobs.extract_shares(store["share_isins"], new.unionByName(old), RUN_AS_OF)
+    cols = [c for t in M.schemas.SATELLITES for c in M.schemas.non_key_columns(t)]
+    return M.collapse_records(wide, cols).select("isin", "prezzo_ultimo_contratto")
+
+
 def stream_refresh_view(spark, sf_dir):
-    """Detail pages arriving as files refresh a stored, bucketed store
-    through the streaming ingest (scan, validate, merge, commit per
-    micro-batch); the current view afterwards."""
+    """Detail pages arriving as files refresh a stored, bucketed store through
+    two streaming ingests, each with a fresh checkpoint and a file a
+    micro-batch (scan, validate, merge, commit): the first brings every page
+    with a price of 1, the second the true pages. The current view afterwards."""
     from ..session import staging_path
     from ..sources.store import Store
     from ..streaming import ingest
     st = Store(spark, staging_path(spark, "stream-store"), buckets=8)
     st.write(_store(spark, sf_dir))
-    pages_dir = staging_path(spark, "stream-pages")
-    adapter.render_detail_pages(views.current_view(_store(spark, sf_dir))).write.parquet(pages_dir)
-    q = ingest.start_page_ingest(st, pages_dir, staging_path(spark, "stream-ckpt"),
-                                 available_now=True, as_of=RUN_AS_OF)
-    q.awaitTermination()
+    view = views.current_view(_store(spark, sf_dir))
+    for files, pages in ((1, view.withColumn("prezzo_ultimo_contratto", F.lit(1.0))), (2, view)):
+        pages_dir = staging_path(spark, "stream-pages")
+        adapter.render_detail_pages(pages).repartition(files, "page_id").write.parquet(pages_dir)
+        ingest.start_page_ingest(st, pages_dir, staging_path(spark, "stream-ckpt"), available_now=True,
+                                 as_of=RUN_AS_OF, max_files_per_trigger=1).awaitTermination()
     return views.current_view(st.tables())
 
 
@@ -410,8 +486,19 @@ def discovery_metrics(spark, sf_dir):
     return metrics
 
 
+def discovery_run(spark, sf_dir):
+    """A whole discovery run with the API's defaults into an empty store: every
+    instrument of every listing page."""
+    from ..session import staging_path
+    from ..sources.store import Store
+    from . import api
+    st = Store(spark, staging_path(spark, "discovered"), buckets=8)
+    api.run_scrape_and_insert_isins(st, adapter.render_listing_pages(spark, sf_dir))
+    return st.tables()["share_isins"].select("isin", "share_name")
+
+
 def discovery_grid_metrics(spark, sf_dir):
-    """Discovery metrics of a run that reads only the listing grid's pages
+    """Discovery metrics of a run that asks for the site's listing grid alone
     (initials A-Z, pages 1-9)."""
     pages = jobs.grid_pages(adapter.render_listing_pages(spark, sf_dir))
     _, _, metrics = jobs.extract_instruments(pages, RUN_AS_OF)
@@ -431,20 +518,44 @@ def fetch_outcome(spark, sf_dir):
 
 
 def fetch_outcome_stream(spark, sf_dir):
-    """The attempt log replayed as a stream (file source) through the
-    stateful streaming resolver into a Parquet sink under
-    spark.checkpoint.dir, read back: one row per decided URL."""
+    """The attempt log replayed as a stream, a file of each attempt number a
+    micro-batch (eight), through the streaming aggregation into a folder under
+    spark.checkpoint.dir: the newest row of every URL."""
     from ..session import staging_path
-    from ..streaming.fetch_stream import OUTPUT, resolve_stream
+    from ..streaming import fetch_stream
     log_path = staging_path(spark, "attempt-log")
     log = adapter.fetch_attempts(spark, sf_dir)
-    log.write.parquet(log_path)
-    out, ck = staging_path(spark, "resolved-stream"), staging_path(spark, "resolved-ckpt")
-    q = (resolve_stream(spark.readStream.schema(log.schema).parquet(log_path))
-         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(out)
+    log.repartition(8, "attempt_no").write.parquet(log_path)
+    out = staging_path(spark, "resolved-stream")
+    attempts = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(log_path)
+    fetch_stream.start_resolver(attempts, out, staging_path(spark, "resolved-ckpt"),
+                                available_now=True).awaitTermination()
+    return fetch_stream.resolved(spark, out)
+
+
+def fetch_outcome_share_budget(spark, sf_dir):
+    """The attempt log under a share budget of 100 s, shorter than the fetch's."""
+    return FL.resolve(adapter.fetch_attempts(spark, sf_dir), share_budget_s=100)
+
+
+def fetch_rejects(spark, sf_dir):
+    """Attempts that the retry rules can't place: the log numbered from 0, and
+    those of status 429 without a number."""
+    n = F.when(F.col("status").isNull() | (F.col("status") != 429), F.col("attempt_no") - 1)
+    return FL.rejected(adapter.fetch_attempts(spark, sf_dir).withColumn("attempt_no", n))
+
+
+def listing_fetch_metrics(spark, sf_dir):
+    """Discovery metrics from an attempt log: every URL's answered page is a
+    page of links, and its failed fetches count by error kind."""
+    log = adapter.fetch_attempts(spark, sf_dir)
+    page = F.concat(F.lit("<nav><a href='/x/"), F.lit("IT0001233417"), F.lit(".html'>"), F.col("url"), F.lit("</a></nav>"))
+    log = log.withColumn("body", F.when(F.col("body") != "", page).otherwise(F.col("body")))
+    resolved = FL.resolve(log)
+    _, _, metrics = jobs.extract_instruments(
+        FL.fetched_pages(log, resolved, empty=True), RUN_AS_OF, html_scan.NAV_LINKS, None,
+        fetch_errors=resolved.where(F.col("error").isNotNull()).select("url", "error"))
+    return metrics
 
 
 def fetch_metrics(spark, sf_dir):
@@ -495,4 +606,17 @@ QUERIES = {
     "fetch_outcome": fetch_outcome,
     "fetch_outcome_stream": fetch_outcome_stream,
     "fetch_metrics": fetch_metrics,
+    "write_validation": write_validation,
+    "empty_records": empty_records,
+    "price_flatten": price_flatten,
+    "share_count": share_count,
+    "metrics_total": metrics_total,
+    "parse_defaults": parse_defaults,
+    "view_prefix_backslash": view_prefix_backslash,
+    "refresh_all_view": refresh_all_view,
+    "page_copies_newest": page_copies_newest,
+    "fetch_outcome_share_budget": fetch_outcome_share_budget,
+    "fetch_rejects": fetch_rejects,
+    "listing_fetch_metrics": listing_fetch_metrics,
+    "discovery_run": discovery_run,
 }

@@ -22,7 +22,7 @@ from ..operators import html_scan
 from ..operators import merge as M
 from ..operators import metrics as MT
 from ..session import staging_path, utc_now
-from ..sources.pages import detail_url
+from ..sources.pages import PAGES_PER_LETTER, detail_url, listing_grid
 from ..sources.store import Store
 from . import views
 
@@ -36,23 +36,23 @@ def _as_of(as_of: dt.datetime | None) -> Column:
 
 # ---- listing pages ----------------------------------------------------------
 
-def grid_pages(pages: DataFrame) -> DataFrame:
-    """The pages of a discovery run: those at the A-Z x 1-9 listing URLs
-    (a fixed 234-row set, broadcast)."""
-    from ..sources.pages import listing_grid
-    grid = listing_grid(pages.sparkSession).select("url")
+def grid_pages(pages: DataFrame, pages_per_letter: int = PAGES_PER_LETTER) -> DataFrame:
+    """The pages at the listing URLs of the letters A-Z and the page numbers 1
+    to ``pages_per_letter`` (a set of that fixed size, broadcast)."""
+    grid = listing_grid(pages.sparkSession, pages_per_letter).select("url")
     return pages.join(F.broadcast(grid), "url", "left_semi")
 
 
 def extract_instruments(pages: DataFrame, as_of: dt.datetime | None = None,
                         chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME,
-                        scanned: DataFrame | None = None):
+                        scanned: DataFrame | None = None, fetch_errors: DataFrame | None = None):
     """Listing pages -> (instrument set, link outcomes, metrics row).
 
     ``total`` and ``successful`` count link elements before the set
     de-duplication (the same link on two pages counts twice); a page that
-    could not be fetched adds an ``invalid_page`` error but nothing to
-    ``total``. Pages are scanned once (pass ``scanned`` to reuse a staged
+    could not be fetched adds an error but nothing to ``total``: an empty body
+    ``invalid_page``, a failed fetch the kind that ``fetch_errors`` (url, error
+    of ``fetchlog.resolve``) gives it. Pages are scanned once (pass ``scanned`` to reuse a staged
     scan).
     """
     if scanned is None:
@@ -63,8 +63,12 @@ def extract_instruments(pages: DataFrame, as_of: dt.datetime | None = None,
     is_link = F.col("link_ord") >= 0
     err = F.when(is_link, X.link_error(F.col("href"), F.col("name"))) \
         .when(F.col("empty_page"), F.lit("invalid_page"))
-    metrics = MT.scrape_metrics(scanned.select(
-        is_link.alias("counted"), (is_link & err.isNull()).alias("ok"), err.alias("error")))
+    counts = scanned.select(is_link.alias("counted"), (is_link & err.isNull()).alias("ok"), err.alias("error"))
+    if fetch_errors is not None:
+        # an empty body is in the scan already
+        counts = counts.unionByName(fetch_errors.where("error <> 'invalid_page'").select(
+            F.lit(False).alias("counted"), F.lit(False).alias("ok"), "error"))
+    metrics = MT.scrape_metrics(counts)
     return instruments, outcome, metrics
 
 
@@ -81,6 +85,22 @@ def scan_requested(instruments: DataFrame, pages: DataFrame,
     otherwise every page is scanned and unrequested ones drop out at the
     join of the small property rows.
     """
+    found, req = _found(instruments, pages, broadcast_requests)
+    # requested ISINs without any page; one narrow row per URL
+    seen = found.select("url").distinct()
+    if broadcast_requests:  # a subset of the checked request URLs
+        seen = F.broadcast(seen)
+    missing = req.join(seen, "url", "left_anti")
+    return found.unionByName(missing, allowMissingColumns=True)
+
+
+def scan_found(instruments: DataFrame, pages: DataFrame, broadcast_requests: bool = False) -> DataFrame:
+    """The rows of ``scan_requested`` that have a page."""
+    return _found(instruments, pages, broadcast_requests)[0]
+
+
+def _found(instruments: DataFrame, pages: DataFrame, broadcast_requests: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows of the requested pages, requests with their URLs)."""
     req = instruments.select("isin", detail_url(F.col("isin")).alias("url"))
     if broadcast_requests:
         # map-side filter before the scan: only requested pages are parsed
@@ -90,23 +110,16 @@ def scan_requested(instruments: DataFrame, pages: DataFrame,
         # a request set this large covers most pages: parse them all where
         # they are rather than shuffle HTML; the join below drops the rest
         wanted = pages
-    props = X.assign_properties(X.scan_detail_rows(wanted))
+    props = X.assign_properties(X.scan_detail_pages(wanted))
     # inner join: AQE may split a URL with very many page copies on either
     # side (a left outer join could only split the request side)
-    found = props.join(req, "url")
-    # requested ISINs without any page; the URLs come from the same
-    # aggregation (its shuffle is reused), not from a second page read
-    seen = props.select("url").distinct()
-    if broadcast_requests:  # a subset of the checked request URLs
-        seen = F.broadcast(seen)
-    missing = req.join(seen, "url", "left_anti")
-    return found.unionByName(missing, allowMissingColumns=True)
+    return props.join(F.broadcast(req) if broadcast_requests else req, "url"), req
 
 
 def records_of(scanned: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
     """Typed wide records of every fetched (non-empty) page."""
     ok = scanned.where(F.col("page_id").isNotNull() & ~F.col("empty_page"))
-    return X.typed_wide(ok.withColumn("updated_at", _as_of(as_of)), keep=("isin", "page_id"))
+    return X.typed_wide(ok.withColumn("updated_at", _as_of(as_of)), keep=("isin", "page_id", "fetched_at"))
 
 
 def outcomes_of(scanned: DataFrame, fetch_errors: DataFrame | None = None) -> DataFrame:
@@ -186,9 +199,11 @@ def merge_shares(wide: DataFrame, hub: DataFrame, current: dict[str, DataFrame],
     collapsed = stage(M.collapse_records(wide, cols, flags=("_numero_contratti_overflow",)),
                       "payloads")
     staged = split_records(collapsed)
-    accepted, rejects = M.validate_shares(staged, hub, broadcast_keys=check(collapsed))
-    accepted = stage(accepted, "accepted")
-    small = check(accepted)
+    # what a merge broadcasts is a payload, at most the collapsed record: check that
+    small = check(collapsed)
+    judged = M.judge_shares(collapsed, hub, broadcast_keys=small)
+    rejects = M.rejects_of(judged)
+    accepted = stage(M.accepted_shares(judged).select("isin"), "accepted")
     new = {t: M.merge_satellite(current[t], M.accepted_only(staged[t], accepted, t), t,
                                 broadcast_batch=small)
            for t in schemas.SATELLITES}
@@ -198,11 +213,12 @@ def merge_shares(wide: DataFrame, hub: DataFrame, current: dict[str, DataFrame],
     return new, outcome, rejects
 
 
-def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[str, DataFrame]):
-    """Validate, merge and commit one version. Returns (version, insert
-    metrics, rejects)."""
+def write_shares(store: Store, wide: DataFrame, hub: DataFrame, current: dict[str, DataFrame],
+                 batch: tuple[str, int] | None = None):
+    """Validate, merge and commit one version (with the mark of a stream's
+    ``batch``). Returns (version, insert metrics, rejects)."""
     new, outcome, rejects = merge_shares(wide, hub, current, stage=_stage, check=M.fits_broadcast)
-    version = store.write(new, shuffle=False)
+    version = store.write(new, shuffle=False, batch=batch)
     return version, MT.insertion_metrics(outcome), rejects
 
 
@@ -246,6 +262,7 @@ def refresh(store: Store, pages: DataFrame | None = None,
         resolved = _stage(FL.resolve(attempts), "fetch-resolved")
         pages = FL.fetched_pages(attempts, resolved, broadcast_ok=M.fits_broadcast(resolved))
         fetch_errors = resolved.where(F.col("error").isNotNull())
+        store.append_rejects(FL.rejected(attempts), "refresh", start)
     current = store.tables()
     job = "refresh_all" if all_shares else "refresh"
     rejected: list = []
@@ -264,19 +281,33 @@ def refresh_all(store: Store, pages: DataFrame | None = None, as_of: dt.datetime
     return refresh(store, pages, as_of=as_of, all_shares=True, attempts=attempts)
 
 
-def discover(store: Store, listing_pages: DataFrame, as_of: dt.datetime | None = None,
+def discover(store: Store, listing_pages: DataFrame | None = None, as_of: dt.datetime | None = None,
              chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME,
-             grid_only: bool = False) -> DataFrame:
-    """Listing pages -> new hub rows (known ISINs untouched). With
-    ``grid_only`` only the pages at the listing grid's URLs are read.
+             pages_per_letter: int | None = None, attempts: DataFrame | None = None) -> DataFrame:
+    """Listing pages -> new hub rows (known ISINs untouched). The pages come as
+    a table or, with ``attempts``, from a crawler's attempt log, whose failed
+    fetches count by error kind. All pages are read; with ``pages_per_letter``
+    only those of that grid, and the others are recorded as rejects.
     Returns the run record."""
+    from ..operators import fetchlog as FL
     spark = store.spark
     start = utc_now()
-    if grid_only:
-        listing_pages = grid_pages(listing_pages)
+    fetch_errors = None
+    if attempts is not None:
+        resolved = _stage(FL.resolve(attempts), "listing-resolved")
+        listing_pages = FL.fetched_pages(attempts, resolved, broadcast_ok=M.fits_broadcast(resolved), empty=True)
+        fetch_errors = resolved.where(F.col("error").isNotNull()).select("url", "error")
+        store.append_rejects(FL.rejected(attempts), "discover", start)
+    if pages_per_letter is not None:
+        grid = listing_grid(spark, pages_per_letter).select("url")
+        left_out = listing_pages.select("url").join(F.broadcast(grid), "url", "left_anti")
+        store.append_rejects(left_out.select(
+            F.lit(None).cast("string").alias("isin"), F.lit("listing_pages").alias("table"),
+            F.concat(F.lit("outside_grid "), "url").alias("reason")), "discover", start)
+        listing_pages = grid_pages(listing_pages, pages_per_letter)
     scanned = _stage(X.scan_links(listing_pages, chain, name), "listing-links")
     instruments, _, scrape = extract_instruments(listing_pages, as_of or start, chain, name,
-                                                 scanned=scanned)
+                                                 scanned=scanned, fetch_errors=fetch_errors)
     instruments = _stage(instruments, "instruments")
     scrape = _stage(scrape, "scrape-metrics")
     current = store.tables()

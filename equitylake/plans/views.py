@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.parsers import format_isin, iso_ntz, like_literal_py, nan_to_null, parse_isin
+from ..functions.parsers import format_isin, iso_ntz, like_pattern, nan_to_null, parse_isin
 from ..functions.parsers import ntz_lit
 
 EPOCH = dt.datetime(1970, 1, 1)
@@ -77,9 +77,9 @@ class ShareQuery:
         isin, name, lang = self.isin, self.name, self.lang
         if isin is not None:
             return F.col("isin") == F.lit(isin)
-        by_lang = (F.col("isin").ilike(like_literal_py(lang) + "%")
+        by_lang = (F.col("isin").ilike(like_pattern(lang, after="%"))
                    if lang is not None else None)
-        by_name = (F.col("share_name").ilike("%" + like_literal_py(name) + "%")
+        by_name = (F.col("share_name").ilike(like_pattern(name, "%", "%"))
                    if name is not None else None)
         if by_lang is not None and by_name is not None:
             return by_lang & by_name
@@ -202,11 +202,21 @@ def isins_json(hub: DataFrame) -> DataFrame:
                               {"ignoreNullFields": "false"}).alias("json"))
 
 
+def nested_prices(price: DataFrame) -> DataFrame:
+    """Price records with their price pairs as structs, as in the documents."""
+    return price.select("isin", *_price_struct_cols())
+
+
+def count_shares(df: DataFrame) -> DataFrame:
+    """One row: the number of a lookup's shares, and whether there are none."""
+    return df.agg(F.count("*").alias("n"), (F.count("*") == 0).alias("empty"))
+
+
 def result_summary(df: DataFrame) -> int:
     """Row count of a lookup, logged; a warning when nothing matched."""
     import logging
     log = logging.getLogger("equitylake")
-    n = df.count()
+    n = count_shares(df).first()["n"]
     if n == 0:
         log.warning("found no share")
     else:

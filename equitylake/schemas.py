@@ -126,13 +126,11 @@ METRICS = T.StructType([
     _f("total", I, False), _f("successful", I, False),
     *[_f(k, I, False) for k in ERROR_KINDS],
 ])
-INSERT_METRICS = T.StructType([_f("total", I, False), _f("successful", I, False)])
 
-# Raw detail-page rows produced by the page scanner: one marker row per
-# page (table_ord -1, ``empty_page`` set) plus one row per labelled row.
-PAGE_ROWS = T.StructType([
-    _f("page_id", T.LongType(), False), _f("url", S), _f("table_ord", I, False),
-    _f("row_ord", I, False), _f("label", S), _f("value", S), _f("empty_page", T.BooleanType()),
+# Scanned detail pages: one row per page with its labelled table rows.
+DETAIL_PAGES = T.StructType([
+    _f("page_id", T.LongType()), _f("url", S), _f("fetched_at", TS), _f("empty_page", T.BooleanType()),
+    _f("rows", T.ArrayType(T.StructType([_f("table_ord", I), _f("row_ord", I), _f("label", S), _f("value", S)]))),
 ])
 # Raw listing links produced by the page scanner: one marker row per page
 # (link_ord -1, ``empty_page`` set) plus one row per matching link.

@@ -81,12 +81,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback=None) -> str:
-    """Set the checkpoint dir only when the session has none (tests, bench,
-    a bare local session). ``fallback``: a path, or None for a fresh
-    scratch folder."""
+    """Set the checkpoint dir only when a local session has none (tests, bench).
+    ``fallback``: a path, or None for a fresh scratch folder. On a cluster a
+    missing setting is an error: a scratch folder there would be each
+    machine's own."""
     d = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            return checkpoint_root(spark)  # raises
         if fallback is None:
             import tempfile
             fallback = tempfile.mkdtemp(prefix="equitylake-ckpt-")

@@ -161,6 +161,13 @@ def _with_isin(spark, sf_dir, per_cust: DataFrame) -> DataFrame:
         .withColumn("isin", isin_of(F.col("c_mktsegment"), F.col("c_custkey")))
 
 
+def _trades_of(spark, sf_dir, agg: DataFrame) -> dict[str, DataFrame]:
+    """The price and performance tables of one frame of trade snapshots."""
+    snapshot = _with_isin(spark, sf_dir, agg)
+    return {"price_data": snapshot.select("isin", *_price_cols()),
+            "performance_metrics": snapshot.where(F.col("n_y") > 0).select("isin", *_perf_cols())}
+
+
 def _orders_snapshot(spark, sf_dir, as_of: dt.datetime) -> DataFrame:
     o = read_input(spark, sf_dir, "orders").where(F.col("o_orderdate") <= _ts(as_of))
     agg = o.groupBy("o_custkey").agg(
@@ -197,6 +204,18 @@ def performance_batch(spark: SparkSession, sf_dir: str, after: dt.datetime = CUT
     return _yearly_orders(spark, sf_dir, after).select("isin", *_perf_cols())
 
 
+def share_batch(spark: SparkSession, sf_dir: str, after: dt.datetime = CUT) -> DataFrame:
+    """All records of a write batch in one frame, each marked with the
+    satellites it has (``_has_<table>``): the orders are read once for both
+    trade tables."""
+    no_stamp = lambda cols: cols[:-1]  # noqa: E731  the stamp comes last, the same in both
+    trades = _yearly_orders(spark, sf_dir, after).select("isin", *no_stamp(_price_cols()), *_perf_cols())
+    mark = lambda df, *ts: df.withColumns({f"_has_{t}": F.lit(True) for t in ts})
+    return (mark(trades, "price_data", "performance_metrics")
+            .unionByName(mark(details_batch(spark, sf_dir), "share_details"), allowMissingColumns=True)
+            .unionByName(mark(market_batch(spark, sf_dir), "market_information"), allowMissingColumns=True))
+
+
 def details_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New detail records for customers with a balance below 1000 (some
     known, some not yet in ``details``); building-segment codes are absent."""
@@ -300,13 +319,10 @@ def render_detail_pages(view: DataFrame) -> DataFrame:
               '<tr><td colspan="2"><table class="m-table -nested">'),
         *perf,
         F.lit("</table></td></tr></table></div></body></html>"))
-    parts = int(view.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (view.where(F.col("mercato_segmento").isNull() | (F.col("mercato_segmento") != "AUTOMOBILE"))
             .select(F.substring("isin", 3, 9).cast("bigint").alias("page_id"),
                     detail_url(F.col("isin")).alias("url"),
-                    F.when(F.col("id_strumento").isNull(), F.lit("")).otherwise(html).alias("html"))
-            # a stored page table arrives in many file splits; so does this one
-            .repartition(parts, "page_id"))
+                    F.when(F.col("id_strumento").isNull(), F.lit("")).otherwise(html).alias("html")))
 
 
 # ---- stand-in fetch log ------------------------------------------------------

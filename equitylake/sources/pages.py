@@ -18,20 +18,12 @@ LETTERS = 26
 PAGES_PER_LETTER = 9
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("page_id BIGINT, url STRING, html STRING").parquet(path)
-
-
-def page_error(html: Column) -> Column:
-    """NULL for a usable body, 'invalid_page' for an empty one."""
-    return F.when(html.isNull() | (html == ""), F.lit("invalid_page"))
-
-
-def listing_grid(spark: SparkSession) -> DataFrame:
-    """The 26 x 9 listing URLs of a discovery run (letter A-Z, page 1-9)."""
-    g = spark.range(LETTERS * PAGES_PER_LETTER)
-    letter = F.char(F.lit(65) + (F.col("id") / PAGES_PER_LETTER).cast("int"))
-    page = (F.col("id") % PAGES_PER_LETTER + 1).cast("int")
+def listing_grid(spark: SparkSession, pages_per_letter: int = PAGES_PER_LETTER) -> DataFrame:
+    """The listing URLs that tell a crawler what to fetch: letters A-Z, pages
+    1 to ``pages_per_letter`` (the site's grid has 9)."""
+    g = spark.range(LETTERS * pages_per_letter)
+    letter = F.char(F.lit(65) + (F.col("id") / pages_per_letter).cast("int"))
+    page = (F.col("id") % pages_per_letter + 1).cast("int")
     return g.select(letter.alias("letter"), page.alias("page"),
                     F.format_string(LISTING_URL, letter, page).alias("url"))
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ from .. import schemas
 from ..functions.parsers import ntz_lit
 from ..session import utc_now
 
-_COMMIT_COLS = ["version", "committed_at", "buckets", *schemas.TABLES]
+_COMMIT_COLS = ["version", "committed_at", "buckets", *schemas.TABLES, "stream_id", "batch_id"]
+_COMMIT_SCHEMA = ("version BIGINT, committed_at TIMESTAMP_NTZ, buckets INT, "
+                  + ", ".join(f"{t} STRING" for t in schemas.TABLES) + ", stream_id STRING, batch_id BIGINT")
 DEFAULT_BUCKETS = 16
 
 
@@ -58,10 +61,15 @@ class Store:
         self.buckets = buckets
 
     def _commits(self) -> DataFrame | None:
+        """The commit rows, or None when the store was never written. Only a
+        missing path means that: any other read failure is raised, as a store
+        taken for empty would be overwritten."""
         try:
-            return self.spark.read.parquet(f"{self.root}/_commits")
-        except Exception:  # no commit yet
-            return None
+            return self.spark.read.schema(_COMMIT_SCHEMA).parquet(f"{self.root}/_commits")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def head(self) -> dict | None:
         """The newest commit row (one small row of metadata)."""
@@ -71,6 +79,12 @@ class Store:
         rows = c.orderBy(F.col("version").desc(), F.col("committed_at").desc()).limit(1).collect()
         return rows[0].asDict() if rows else None
 
+    def has_batch(self, stream_id: str, batch_id: int) -> bool:
+        """Whether a commit carries this micro-batch of this stream."""
+        c = self._commits()
+        return c is not None and not c.where(
+            (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)).isEmpty()
+
     def _bucketed(self, path: str, table: str, buckets: int) -> DataFrame:
         name = _catalog_name(path)
         self.spark.sql(
@@ -89,8 +103,11 @@ class Store:
                       else self.spark.createDataFrame([], schema))
         return out
 
-    def write(self, new: dict[str, DataFrame], shuffle: bool = True) -> int:
-        """Write the given tables as a new version and commit it.
+    def write(self, new: dict[str, DataFrame], shuffle: bool = True,
+              batch: tuple[str, int] | None = None) -> int:
+        """Write the given tables as a new version and commit it. ``batch``: the
+        (stream id, micro-batch id) that the commit row records, so that data
+        and mark become visible together.
 
         ``shuffle``: hash the rows into their buckets first (one file per
         bucket). Without it each task writes the bucket files of the rows
@@ -116,10 +133,9 @@ class Store:
             (out.write.bucketBy(buckets, "isin").sortBy("isin").option("path", path)
              .mode("errorifexists").saveAsTable(_catalog_name(path)))
             paths[t] = path
-        row = {"version": version, "committed_at": utc_now(), "buckets": buckets, **paths}
-        schema = ("version BIGINT, committed_at TIMESTAMP_NTZ, buckets INT, "
-                  + ", ".join(f"{t} STRING" for t in schemas.TABLES))
-        (self.spark.createDataFrame([tuple(row[c] for c in _COMMIT_COLS)], schema)
+        row = {"version": version, "committed_at": utc_now(), "buckets": buckets, **paths,
+               "stream_id": batch[0] if batch else None, "batch_id": batch[1] if batch else None}
+        (self.spark.createDataFrame([tuple(row[c] for c in _COMMIT_COLS)], _COMMIT_SCHEMA)
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_commits"))
         return version
 

@@ -1,119 +1,55 @@
-"""Streaming fetch-log resolution: the crawler's retry rules applied to
-attempts as they arrive.
-
-Per URL the state holds the attempts seen so far -- at most eight small
-rows (attempt number, class, start, end, status, empty-body flag), so the
-state is bounded whatever the log's size. A URL's outcome is emitted once,
-as soon as it is decided:
-
-* attempt n returns or exits and attempts 1..n-1 (all retries) are
-  present -> that outcome (``timeout`` when it ends past the budget);
-* eight retried attempts are present -> ``max_retries`` (or ``timeout``);
-* otherwise, when the event-time watermark passes the first start plus the
-  budget plus ``late_s``, the attempts seen are resolved as the batch
-  operator would resolve them (``timeout`` if any ended past the budget,
-  else ``pending``).
-
-Decisions use only attempts 1..n, so on a complete log the emitted rows
-equal ``fetchlog.resolve`` (``attempts`` counts the attempts seen up to
-the decision).
+"""Streaming fetch-log resolution: the crawler's retry rules over attempts as
+they arrive.
+
+The rules are one aggregation per URL (``fetchlog.resolve``), so the stream is
+that very aggregation in update mode: Spark keeps one small row of partial
+aggregates per URL, whatever the number of its attempts, and each micro-batch
+emits the new outcome of the URLs it touched. Nothing is late: an attempt that
+arrives after a decision is aggregated like any other, and the newest row of a
+URL always equals what the batch operator gives for the attempts seen so far.
+
+``start_resolver`` writes each micro-batch's rows to a folder of its own, which
+a replay overwrites; ``resolved`` reads the newest row per URL.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fetchlog import FETCH_BUDGET_S, MAX_ATTEMPTS, attempt_class
+from ..operators.fetchlog import FETCH_BUDGET_S, resolve
 
 OUTPUT = ("url STRING, attempts INT, outcome STRING, error STRING, decisive_attempt INT, "
           "status INT, elapsed_ms BIGINT")
-STATE = ("n ARRAY<INT>, cls ARRAY<STRING>, started ARRAY<TIMESTAMP_LTZ>, "
-         "ended ARRAY<TIMESTAMP_LTZ>, status ARRAY<INT>, empty ARRAY<BOOLEAN>")
-
-
-def _decide(att: dict, final: bool, budget_s: int):
-    """att: attempt_no -> (cls, started, ended, status, empty)."""
-    start = min(a[1] for a in att.values())
-    deadline = start + dt.timedelta(seconds=budget_s)
-    terminal = sorted(n for n, a in att.items() if a[0] != "retry")
-    decisive = None
-    if terminal and all(k in att for k in range(1, terminal[0])):
-        decisive = terminal[0]
-    exhausted = decisive is None and sum(1 for a in att.values() if a[0] == "retry") >= MAX_ATTEMPTS
-    if decisive is None and not exhausted and not final:
-        return None
-    if final and decisive is None and terminal:
-        decisive = terminal[0]          # as the batch operator: first terminal seen
-        exhausted = False
-    if decisive is not None:
-        end = att[decisive][2]
-    elif exhausted:
-        end = att[MAX_ATTEMPTS][2]
-    else:
-        end = max(a[2] for a in att.values())
-    late = end > deadline
-    outcome = ("timeout" if late else att[decisive][0] if decisive is not None
-               else "max_retries" if exhausted else "pending")
-    error = ("network_error" if outcome == "exit" else outcome
-             if outcome in ("timeout", "max_retries")
-             else "invalid_page" if outcome == "return" and att[decisive][4] else None)
-    return {"attempts": len(att), "outcome": outcome, "error": error,
-            "decisive_attempt": decisive,
-            "status": att[decisive][3] if decisive is not None else None,
-            "elapsed_ms": int((end - start) / dt.timedelta(milliseconds=1))}
-
-
-def _resolver(budget_s: int, late_s: int):
-    def step(key, batches, state):
-        url = key[0]
-        att: dict = {}
-        if state.exists:
-            n, cls, st, en, sta, emp = state.get
-            att = {int(a): (c, s, e, x, m) for a, c, s, e, x, m in zip(n, cls, st, en, sta, emp)}
-        final = state.hasTimedOut
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                att.setdefault(int(r.attempt_no), (r.cls, r.started_at.to_pydatetime(),
-                                                   r.ended_at.to_pydatetime(),
-                                                   None if pd.isna(r.status) else int(r.status),
-                                                   bool(r.empty)))
-        if not att:
-            return
-        out = _decide(att, final, budget_s)
-        if out is None:
-            keys = sorted(att)
-            state.update(([int(k) for k in keys], [att[k][0] for k in keys],
-                          [att[k][1] for k in keys], [att[k][2] for k in keys],
-                          [att[k][3] for k in keys], [att[k][4] for k in keys]))
-            first = min(a[1] for a in att.values())
-            deadline = first + dt.timedelta(seconds=budget_s + late_s)
-            state.setTimeoutTimestamp(int(deadline.replace(tzinfo=dt.UTC).timestamp() * 1000))
-            return
-        state.remove()
-        row = pd.DataFrame([{"url": url, **out}])
-        for c in ("attempts", "decisive_attempt", "status"):
-            row[c] = pd.array(row[c].tolist(), dtype="Int32")
-        row["elapsed_ms"] = pd.array(row["elapsed_ms"].tolist(), dtype="Int64")
-        yield row
-    return step
 
 
-def resolve_stream(attempts: DataFrame, budget_s: int = FETCH_BUDGET_S,
-                   late_s: int = 600) -> DataFrame:
-    """Resolve a streaming attempt log (columns of ``fetchlog.resolve``'s
-    input). ``late_s``: how long after a URL's budget its late attempts
-    are still awaited (the watermark delay)."""
-    a = (attempts.where(F.col("attempt_no").between(1, MAX_ATTEMPTS))
-         .select("url", "attempt_no",
-                 attempt_class(F.col("status"), F.col("net_error")).alias("cls"),
-                 F.col("started_at").cast("timestamp_ltz").alias("started_at"),
-                 F.col("ended_at").cast("timestamp_ltz").alias("ended_at"), "status",
-                 (F.col("body").isNull() | (F.col("body") == "")).alias("empty"))
-         .withWatermark("started_at", f"{late_s} seconds"))
-    return a.groupBy("url").applyInPandasWithState(
-        _resolver(budget_s, late_s), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def resolve_stream(attempts: DataFrame, budget_s: int = FETCH_BUDGET_S) -> DataFrame:
+    """The streaming twin of ``fetchlog.resolve`` (use output mode update)."""
+    return resolve(attempts, budget_s)
+
+
+def start_resolver(attempts: DataFrame, out: str, checkpoint_location: str,
+                   available_now: bool = False, processing_time: str = "1 minute") -> StreamingQuery:
+    """Resolve a streaming attempt log into ``out``. Both paths must be on the
+    cluster's shared storage."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    w = (resolve_stream(attempts).writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", checkpoint_location))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
+    return w.start()
+
+
+def resolved(spark: SparkSession, out: str) -> DataFrame:
+    """One row per URL: its newest outcome."""
+    try:
+        rows = spark.read.schema(OUTPUT + ", batch BIGINT").parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], OUTPUT)
+    columns = [c.split()[0] for c in OUTPUT.split(", ")]
+    newest = rows.groupBy("url").agg(F.max_by(F.struct(*columns), "batch").alias("r"))
+    return newest.select("r.*")

@@ -6,9 +6,11 @@ micro-batch, runs the same set-based refresh as the batch job: scan the
 batch's pages of known instruments, validate per ISIN across the four
 payloads, merge null-preservingly, commit one store version.
 
-Replays are safe: a micro-batch id is recorded in ``<root>/_stream_batches``
-after its commit and skipped if seen again, and the merge itself is
-idempotent (merging the same records twice equals merging them once).
+Replays are safe: the commit row of a micro-batch records the stream (the id
+that Spark keeps in the checkpoint) and the batch id, so data and mark become
+visible together; a batch that has a commit is skipped. Another stream, or a
+fresh checkpoint, has an id of its own and starts at batch 0 without a clash.
+The merge itself is idempotent.
 The parsers are row-local Column expressions, so ``parse_stream`` can also
 type a page stream directly (e.g. into a memory or Parquet sink).
 """
@@ -35,46 +37,48 @@ def page_stream(spark: SparkSession, pages_dir: str, max_files_per_trigger: int
             .option("maxFilesPerTrigger", max_files_per_trigger).parquet(pages_dir))
 
 
-def _seen(store: Store, batch_id: int) -> bool:
-    try:
-        seen = store.spark.read.parquet(f"{store.root}/_stream_batches")
-    except Exception:  # nothing recorded yet
-        return False
-    return not seen.where(F.col("batch_id") == batch_id).isEmpty()
+def stream_id(spark: SparkSession, checkpoint_location: str) -> str:
+    """The id that Spark keeps in a checkpoint: the same after a restart, a new
+    one for a fresh checkpoint."""
+    row = spark.read.json(f"{checkpoint_location.rstrip('/')}/metadata").first()
+    return row["id"]
 
 
-def refresh_batch(store: Store, pages: DataFrame, batch_id: int,
+def refresh_batch(store: Store, pages: DataFrame, stream: str, batch_id: int,
                   as_of: dt.datetime | None = None) -> None:
-    """Apply one micro-batch of pages to the store (skipped on replay)."""
+    """Apply one micro-batch of pages to the store (skipped when the store has
+    a commit of this batch of this stream)."""
     spark = store.spark
-    if _seen(store, batch_id):
+    if store.has_batch(stream, batch_id):
         return
     start = utc_now()
     current = store.tables()
     hub = current["share_isins"].select("isin", "share_name")
-    scanned = jobs._stage(jobs.scan_requested(hub, pages, broadcast_requests=M.fits_broadcast(hub)),
-                          f"stream-{batch_id}-scanned")
     # only instruments that have a page in this batch are refreshed
-    scanned = scanned.where(F.col("page_id").isNotNull())
+    scanned = jobs._stage(jobs.scan_found(hub, pages, broadcast_requests=M.fits_broadcast(hub)),
+                          f"stream-{batch_id}-scanned")
     wide = jobs._stage(jobs.records_of(scanned, as_of or start), f"stream-{batch_id}-extracted")
     scrape = MT.scrape_metrics(jobs.outcomes_of(scanned))
-    _, insert, rejects = jobs.write_shares(store, wide, current["share_isins"], current)
+    _, insert, rejects = jobs.write_shares(store, wide, current["share_isins"], current,
+                                           batch=(stream, batch_id))
     store.append_rejects(rejects, "stream_refresh", start)
     store.append_run(MT.run_record(spark, "stream_refresh", scrape, insert, start, utc_now()))
-    (spark.createDataFrame([(batch_id, utc_now())], "batch_id BIGINT, committed_at TIMESTAMP_NTZ")
-     .coalesce(1).write.mode("append").parquet(f"{store.root}/_stream_batches"))
 
 
 def start_page_ingest(store: Store, pages_dir: str, checkpoint_location: str,
                       available_now: bool = False,
                       processing_time: str = "1 minute",
-                      as_of: dt.datetime | None = None) -> StreamingQuery:
+                      as_of: dt.datetime | None = None,
+                      max_files_per_trigger: int = 64) -> StreamingQuery:
     """Start the streaming refresh. ``checkpoint_location`` must be on the
     cluster's shared storage (the query restarts from it after a failure).
     ``as_of``: stamp for the refreshed records (default: each batch's
     start time)."""
-    w = (page_stream(store.spark, pages_dir).writeStream
-         .foreachBatch(lambda df, bid: refresh_batch(store, df, bid, as_of))
+    def apply(df: DataFrame, batch_id: int) -> None:
+        # the checkpoint has its id before the first batch
+        refresh_batch(store, df, stream_id(store.spark, checkpoint_location), batch_id, as_of)
+    w = (page_stream(store.spark, pages_dir, max_files_per_trigger).writeStream
+         .foreachBatch(apply)
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
@@ -86,7 +90,7 @@ def parse_stream(pages: DataFrame) -> DataFrame:
     date-time -- row-local, no state."""
     from ..functions import parsers as P
     from ..operators import extract as X
-    rows = X.scan_detail_rows(pages).where(F.col("table_ord") >= 0)
+    rows = X.scan_detail_rows(pages)
     return rows.select("page_id", "url", "table_ord", "row_ord", F.lower("label").alias("label"),
                        "value", P.parse_float(F.col("value")).alias("as_number"),
                        P.parse_datetime(F.col("value")).alias("as_datetime"))

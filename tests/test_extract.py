@@ -44,6 +44,26 @@ def test_unclosed_tags_and_entities():
     assert rows[1][2:] == ("Lotto minimo", " 7 ")
 
 
+def test_script_inside_a_comment_and_raw_text():
+    table = "<table>" + row("Max Oggi", "7") + "</table>"
+    assert len(H.detail_rows("<!-- <script> -->" + table + "<script>x</script>")) == 1
+    assert H.detail_rows("<script>" + table + "</script>") == []
+    assert H.detail_rows("<script>" + table) == []  # unclosed: all of the rest is raw text
+    assert len(H.detail_rows("<style>td{}</style >" + table + "<!-- open")) == 1
+
+
+def test_scan_is_linear_in_the_page():
+    import time
+
+    def took(n):
+        html = "<table>" + row("Max Oggi", "7") * n + "</table>"
+        start = time.process_time()
+        assert len(H.detail_rows(html)) == n
+        return time.process_time() - start
+    small = took(10_000)
+    assert took(100_000) < 30 * small + 1
+
+
 def _pages(spark, *htmls):
     return spark.createDataFrame([(i + 1, f"u{i}", h) for i, h in enumerate(htmls)],
                                  "page_id bigint, url string, html string")
@@ -51,10 +71,9 @@ def _pages(spark, *htmls):
 
 def test_assign_and_type(spark):
     pages = _pages(spark, PAGE, "<p>no tables</p>", "")
-    rows = X.scan_detail_rows(pages)
-    props = X.assign_properties(rows)
+    props = X.assign_properties(X.scan_detail_pages(pages))
     empties = {r.page_id: r.empty_page for r in props.collect()}
-    assert empties == {1: False, 2: False, 3: True}  # every page has a marker row
+    assert empties == {1: False, 2: False, 3: True}  # every page has a row
     raw = (props.drop("url")
            .withColumn("updated_at", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
            .withColumn("isin", F.lit("IT0001233417")))
@@ -77,7 +96,7 @@ def test_assign_and_type(spark):
 def test_one_row_two_properties(spark):
     # a label containing two terms feeds both properties
     pages = _pages(spark, "<table>" + row("Max Oggi / Min Oggi", "7") + "</table>")
-    p = X.assign_properties(X.scan_detail_rows(pages)).collect()[0]
+    p = X.assign_properties(X.scan_detail_pages(pages)).collect()[0]
     assert p.max_oggi == "7" and p.min_oggi == "7"
 
 

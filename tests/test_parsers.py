@@ -103,11 +103,12 @@ def test_isin_from_href(spark):
 
 
 def test_like_literal():
-    assert P.like_literal_py(r"a\bc") == "abc"
-    assert P.like_literal_py(r"50\%") == r"50\%"
-    assert P.like_literal_py("a\\\\b") == "a\\\\b"
-    assert P.like_literal_py("end\\") == "end"
-    assert P.like_literal_py("x_y%") == "x_y%"
+    assert P.like_pattern(r"a\bc") == "abc"
+    assert P.like_pattern(r"50\%") == r"50\%"
+    assert P.like_pattern("a\\\\b") == "a\\\\b"
+    assert P.like_pattern("end\\") == "end"
+    assert P.like_pattern("IT\\", after="%") == "IT\\%"
+    assert P.like_pattern("x_y%") == "x_y%"
 
 
 def test_default_parses(spark):

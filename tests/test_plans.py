@@ -77,8 +77,8 @@ def test_keyed_aggregations_combine_map_side(spark):
         F.lit(1.0).alias("id_strumento"), F.lit("c").alias("codice_alfanumerico"),
         F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("updated_at"))
     assert _partial_before_exchange(plan(spark, M.collapse_batch(hot, "share_details")))
-    rows = spark.createDataFrame([(1, "u", 0, 0, "Max Anno", "1", None)], schemas.PAGE_ROWS)
-    assert _partial_before_exchange(plan(spark, X.assign_properties(rows)))
+    page = spark.createDataFrame([(1, "u", None, False, [(0, 0, "Max Anno", "1")])], schemas.DETAIL_PAGES)
+    assert not re.search("Exchange|Sort|Aggregate", plan(spark, X.assign_properties(page)))  # row-local
     log = spark.createDataFrame(
         [("u", 1, 200, False, "b", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1))],
         "url string, attempt_no int, status int, net_error boolean, body string, "
@@ -90,6 +90,13 @@ def test_keyed_aggregations_combine_map_side(spark):
     assert len(r) == 1
 
 
+def test_share_write_reads_orders_at_most_twice(spark):
+    from equitylake.plans.catalog import QUERIES
+    for name in ("write_metrics", "share_write_accepted", "fk_rejects"):
+        text = plan(spark, QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert text.count("o_orderkey") and len(re.findall(r"FileScan parquet [^\n]*o_orderdate", text)) <= 2
+
+
 def _ancestors(plan_text: str, marker: str) -> list[str]:
     """Operators above the first plan line containing ``marker``."""
     lines = plan_text.splitlines()

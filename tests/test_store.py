@@ -39,3 +39,26 @@ def test_path_with_quote(spark, tmp_dir):
     hub = spark.createDataFrame([("IT0001233417", "A2A", T0)], schemas.HUB)
     store.write({"share_isins": hub})
     assert store.tables()["share_isins"].count() == 1
+
+
+def test_unreadable_commits_are_an_error(spark, tmp_dir):
+    import os
+
+    import pytest
+    store = Store(spark, f"{tmp_dir}/broken")
+    hub = spark.createDataFrame([("IT0001233417", "A2A", T0)], schemas.HUB)
+    store.write({"share_isins": hub})
+    with open(f"{tmp_dir}/broken/_commits/part-x.parquet", "wb") as f:
+        f.write(b"half-written")
+    assert os.path.exists(f"{tmp_dir}/broken/_commits/part-x.parquet")
+    with pytest.raises(Exception):
+        store.tables()
+    with pytest.raises(Exception):
+        store.write({"share_isins": hub})
+
+
+def test_commit_carries_the_batch(spark, tmp_dir):
+    store = Store(spark, f"{tmp_dir}/b")
+    hub = spark.createDataFrame([("IT0001233417", "A2A", T0)], schemas.HUB)
+    store.write({"share_isins": hub}, batch=("s1", 0))
+    assert store.has_batch("s1", 0) and not store.has_batch("s2", 0) and not store.has_batch("s1", 1)

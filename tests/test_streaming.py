@@ -36,8 +36,15 @@ def test_stream_refresh(spark, tmp_dir):
     assert store.tables()["price_data"].collect()[0].prezzo_ultimo_contratto == 2.0
     v = store.head()["version"]
     # replaying a recorded batch id changes nothing
-    ingest.refresh_batch(store, spark.read.parquet(pages_dir), 0)
+    stream = ingest.stream_id(spark, f"{tmp_dir}/ckpt")
+    ingest.refresh_batch(store, spark.read.parquet(pages_dir), stream, 0)
     assert store.head()["version"] == v
+    # another stream (or a fresh checkpoint) starts at batch 0 and is not skipped
+    other = f"{tmp_dir}/other"
+    write_pages(spark, other, [("IT0001233417", page("3,00"))])
+    ingest.start_page_ingest(store, other, f"{tmp_dir}/ckpt2", available_now=True).awaitTermination(120)
+    assert store.tables()["price_data"].collect()[0].prezzo_ultimo_contratto == 3.0
+    assert store.head()["version"] == v + 1
 
 
 def test_parse_stream_memory_sink(spark, tmp_dir):
