@@ -148,6 +148,9 @@ def _read(row: dict) -> tuple[Words, pa.Array]:
 SYMBOLS = 1 << 20  # words that one symbol tells apart; a shard with more takes two a word
 
 
+PASSAGES = 64  # of an automaton, about
+
+
 def _symbols(words: np.ndarray) -> tuple[np.ndarray, int]:
     """Word hashes as code points (surrogates skipped), one or two a word. The
     two come from disjoint ranges, so a match can't start between them."""
@@ -161,45 +164,93 @@ def _symbols(words: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def locate(words: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray,
-           width: int = WIDTH) -> np.ndarray:
+           width: int = WIDTH, k: int = 6) -> np.ndarray:
     """For every window of the segments (``size`` words each, one after the
     other), the smallest id of a document that holds its word sequence, or NO_ID
-    if only one does. The recurring sequences are confirmed, compiled into an
-    automaton and located by streaming the segments through it."""
+    if only one does. ``low`` and ``high`` are the least and greatest id that a
+    segment occurs with.
+
+    Equal segments are looked at once. The passages, runs of windows that recur
+    with the same smallest id, are compiled into automata, and the segments that
+    hold any are streamed through them to locate every occurrence. Segments that
+    may share a passage have the same minimiser, so a shard is split further by
+    minimiser into automata of about ``PASSAGES`` passages: small ones have few
+    branches at the root, where an automaton is slowest."""
+    if not len(size):
+        return np.zeros(0, np.int64)
+    first = np.cumsum(size) - size
+    _, one, same = np.unique(span_hash(words, first, first + size), return_index=True, return_inverse=True)
+    grams = run_hash(words, k)
+    key = np.min([grams[first[one] + o] for o in range(width - k + 1)], axis=0)
+    order = np.argsort(key, kind="stable")
+    place = np.empty(len(one), np.int64)
+    place[order] = np.arange(len(one))
+    one, same, key = one[order], place[same], key[order]
+    least, most = np.full(len(one), NO_ID), np.full(len(one), -NO_ID)
+    np.minimum.at(least, same, low)
+    np.maximum.at(most, same, high)
+    found = _located(words[spread(first[one], size[one])], size[one], least, most, key, width)
+    windows = size[one] - width + 1
+    return found[spread((np.cumsum(windows) - windows)[same], windows[same])]
+
+
+def _located(words: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray,
+             key: np.ndarray, width: int) -> np.ndarray:
     import ahocorasick
     windows = size - width + 1
     first = np.cumsum(size) - size
     at = spread(first, windows)  # word where each window starts
+    owner = np.repeat(np.arange(len(size)), windows)
     found = np.full(len(at), NO_ID)
-    if not len(at):
+    # confirm: the least id of each distinct window, and whether another has it too
+    _, own = np.unique(run_hash(words, width)[at], return_inverse=True)
+    least, most = np.full(own.max() + 1, NO_ID), np.full(own.max() + 1, -NO_ID)
+    np.minimum.at(least, own, low[owner])
+    np.maximum.at(most, own, high[owner])
+    recurs = (least < most)[own]
+    if not recurs.any():
         return found
-    h = run_hash(words, width)[at]
-    owner = np.repeat(np.arange(len(size)), windows)
-    order = np.argsort(h, kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
+    # passages: consecutive recurring windows of a segment with the same least id
+    value = least[own]
+    r = np.flatnonzero(recurs)
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1] + 1) | (owner[r][1:] != owner[r][:-1]) | (value[r][1:] != value[r][:-1])
     head = np.flatnonzero(new)
-    least = np.minimum.reduceat(low[owner][order], head)
-    most = np.maximum.reduceat(high[owner][order], head)
-    recurring = np.flatnonzero(least < most)
-    if not len(recurring):
-        return found
+    length = np.diff(np.append(head, len(r))) + width - 1
+    start = at[r[head]]
+    _, distinct = np.unique(span_hash(words, start, start + length), return_index=True)
+    distinct.sort()
+    start, length, holder, value = (x[distinct] for x in (start, length, owner[r[head]], value[r[head]]))
+    # the segments that hold a passage, with a character between them that none has
+    streamed = np.unique(owner[r])
     codes, per = _symbols(words)
     text = codes.astype("<u4").tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton()
-    for p, value in zip((at[order[head[recurring]]] * per).tolist(), least[recurring].tolist()):
-        automaton.add_word(text[p:p + width * per], value)
-    automaton.make_automaton()
-    # one stream: a character between segments that no sequence has
-    gap = np.zeros(len(codes) + len(size), "<u4")
-    gap[spread(first * per + np.arange(len(size)), size * per)] = codes
-    hits = list(automaton.iter(gap.tobytes().decode("utf-32-le")))
-    if hits:
-        ends = np.fromiter((e for e, _ in hits), np.int64, len(hits))
-        values = np.fromiter((v for _, v in hits), np.int64, len(hits))
-        window = np.empty(len(gap), np.int64)
-        window[at * per + owner] = np.arange(len(at))
-        found[window[ends - width * per + 1]] = values
+    part = size[streamed] * per
+    gap = np.zeros(int(part.sum()) + len(part), "<u4")
+    begin = np.cumsum(part + 1) - part - 1
+    gap[spread(begin, part)] = codes[spread(first[streamed] * per, part)]
+    window = np.full(len(gap), -1)
+    mine = windows[streamed]
+    window[spread(begin, mine * per)[::per] if per > 1 else spread(begin, mine)] = spread(
+        (np.cumsum(windows) - windows)[streamed], mine)
+    stream = gap.tobytes().decode("utf-32-le")
+    # batches: whole minimisers, about PASSAGES passages each
+    cuts = np.flatnonzero(np.concatenate([[True], key[holder][1:] != key[holder][:-1]]))
+    cuts = cuts[np.concatenate([[True], np.diff(cuts // PASSAGES) > 0])]
+    to = np.append(np.searchsorted(key[streamed], key[holder[cuts]]), len(streamed))
+    edge = np.append(begin, len(gap))[to].tolist()
+    cuts = np.append(cuts, len(start)).tolist()
+    froms, ends = (start * per).tolist(), ((start + length) * per).tolist()
+    for a, b, x, y in zip(cuts[:-1], cuts[1:], edge[:-1], edge[1:]):
+        automaton = ahocorasick.Automaton()
+        for i in range(a, b):
+            automaton.add_word(text[froms[i]:ends[i]], i)
+        automaton.make_automaton()
+        hits = list(automaton.iter(stream[x:y]))
+        which = np.array([i for _, i in hits], np.int64)
+        end = np.array([e for e, _ in hits], np.int64) + x
+        covered = length[which] - width + 1
+        found[spread(window[end - length[which] * per + 1], covered)] = np.repeat(value[which], covered)
     return found
 
 
@@ -245,7 +296,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, k: int = 6, shards: int | None =
         size, off = joined(t, "size", np.uint32)
         size = size.astype(np.int64)
         found = locate(joined(t, "words", np.uint64)[0], size, joined(t, "low", np.int64)[0],
-                       joined(t, "high", np.int64)[0], width)
+                       joined(t, "high", np.int64)[0], width, k)
         ends = np.concatenate([[0], np.cumsum(size - width + 1)])[off]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"),
                          "least": pa.array([found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
