@@ -151,14 +151,18 @@ def pair_counts(docs: DataFrame) -> DataFrame:
             .groupBy("model", "pair").agg(F.sum("n").alias("n")))
 
 
-def train(docs: DataFrame, smooth: float = 1.0) -> np.ndarray:
+def train(docs: DataFrame, prior: float = 500.0) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of every class pair; at most
-    2 * 68**2 counts reach the driver. Pairs with the edge class are neutral."""
-    counts = np.full((2, N_CLASS ** 2), float(smooth))
+    2 * 68**2 counts reach the driver. A transition is smoothed towards the
+    character's own frequency, worth ``prior`` observations. Pairs with the edge
+    class are neutral."""
+    counts = np.zeros((2, N_CLASS ** 2))
     for r in pair_counts(docs).collect():
         counts[r["model"], r["pair"]] += r["n"]
     counts = counts.reshape(2, N_CLASS, N_CLASS)[:, 1:, 1:]
-    log = np.log(counts / counts.sum(axis=2, keepdims=True))
+    single = counts.sum(axis=1) + 0.5
+    single /= single.sum(axis=1, keepdims=True)
+    log = np.log((counts + prior * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + prior))
     ratio = np.zeros((N_CLASS, N_CLASS))
     ratio[1:, 1:] = log[1] - log[0]
     return ratio.ravel()
