@@ -18,16 +18,15 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "current_view",        # 5-table left-join chain + newest stamp
-    "stale_set",           # refresh candidates
     "upsert_price",        # in-batch collapse + null-preserving merge
     "number_parse",        # Italian-locale number parsing over all of lineitem
     "detail_extract",      # HTML scan + property assignment + typed parse
     "link_extract",        # HTML scan of the raw pages
     "fetch_outcome",       # retry-rule resolution of the attempt log
-    "nested_share_json",   # nested records -> JSON
 ]
-# plus, over a stored bucketed store: stored_view, stored_isin_lookup
+# plus, over a stored, bucketed store, as in production: current_view (five-table
+# left-join chain + newest stamp), stale_set (refresh candidates),
+# nested_share_json (nested records -> JSON), stored_isin_lookup
 
 
 def main() -> None:
@@ -57,13 +56,12 @@ def main() -> None:
     for name in HEADLINE:
         times[name] = round(statistics.median(run(name) for _ in range(repeat)), 3)
 
-    # the production read path: the view and a lookup over a stored,
-    # bucketed store (written once, untimed)
-    from equitylake.plans import views
+    # the production read path: a stored, bucketed store (written once, untimed)
+    from equitylake.plans import catalog, views
     from equitylake.session import staging_path
     from equitylake.sources import adapter
     from equitylake.sources.store import Store
-    store = Store(spark, staging_path(spark, "bench-store"), buckets=2 * cpus)
+    store = Store(spark, staging_path(spark, "bench-store"), buckets=cpus)
     store.write(adapter.store(spark, sf_dir))
     tables = store.tables()
 
@@ -73,7 +71,10 @@ def main() -> None:
             make().write.format("noop").mode("overwrite").save()
             return time.perf_counter() - t
         return round(statistics.median(once() for _ in range(repeat)), 3)
-    times["stored_view"] = timed(lambda: views.current_view(tables))
+    timed(lambda: views.current_view(tables))  # not reported: registers the tables
+    times["current_view"] = timed(lambda: views.current_view(tables))
+    times["stale_set"] = timed(lambda: views.stale_set(tables, catalog.STALE_MIN_AGE, catalog.STALE_AS_OF))
+    times["nested_share_json"] = timed(lambda: catalog.json_read_back(tables))
     isin = tables["share_isins"].select("isin").first()[0]
     times["stored_isin_lookup"] = timed(
         lambda: views.query_shares(tables, views.ShareQuery(isin=isin)))

@@ -48,7 +48,7 @@ def stored_view(spark, sf_dir):
     view -- the five joins run without a shuffle."""
     from ..session import staging_path
     from ..sources.store import Store
-    st = Store(spark, staging_path(spark, "store"), buckets=8)
+    st = Store(spark, staging_path(spark, "store"))
     st.write(_store(spark, sf_dir))
     return views.current_view(st.tables())
 
@@ -108,7 +108,11 @@ _JSON_BACK = ("share_id STRUCT<share_name STRING, isin STRUCT<country STRING, nn
 
 def nested_share_json(spark, sf_dir):
     """Nested JSON of every share (null fields written), read back."""
-    j = views.shares_json(views.current_view(_store(spark, sf_dir)))
+    return json_read_back(_store(spark, sf_dir))
+
+
+def json_read_back(tables: dict[str, DataFrame]) -> DataFrame:
+    j = views.shares_json(views.current_view(tables))
     r = j.select(F.from_json("json", _JSON_BACK).alias("r"), "json")
     return r.select(
         F.col("r.share_id.isin.country").alias("country"),
@@ -432,7 +436,7 @@ def stream_refresh_view(spark, sf_dir):
     from ..session import staging_path
     from ..sources.store import Store
     from ..streaming import ingest
-    st = Store(spark, staging_path(spark, "stream-store"), buckets=8)
+    st = Store(spark, staging_path(spark, "stream-store"))
     st.write(_store(spark, sf_dir))
     view = views.current_view(_store(spark, sf_dir))
     for files, pages in ((1, view.withColumn("prezzo_ultimo_contratto", F.lit(1.0))), (2, view)):
@@ -492,7 +496,7 @@ def discovery_run(spark, sf_dir):
     from ..session import staging_path
     from ..sources.store import Store
     from . import api
-    st = Store(spark, staging_path(spark, "discovered"), buckets=8)
+    st = Store(spark, staging_path(spark, "discovered"))
     api.run_scrape_and_insert_isins(st, adapter.render_listing_pages(spark, sf_dir))
     return st.tables()["share_isins"].select("isin", "share_name")
 

@@ -19,9 +19,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # raw pages are wide: keep Arrow batches small so one batch of HTML
-    # never dominates a Python worker's memory
+    # raw pages are wide: Arrow batches are bounded by rows and by bytes, so
+    # one batch of HTML never dominates a Python worker's memory
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
 }
@@ -37,6 +38,7 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "128",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.autoBroadcastJoinThreshold": "64m",
 }
 
@@ -57,7 +59,8 @@ def get_spark(master: str | None = None, app: str = "equitylake",
     spark = b.getOrCreate()
     for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
               "spark.sql.timestampType",
-              "spark.sql.execution.arrow.maxRecordsPerBatch"):
+              "spark.sql.execution.arrow.maxRecordsPerBatch",
+              "spark.sql.execution.arrow.maxBytesPerBatch"):
         spark.conf.set(k, conf[k])
     ship_package(spark)
     return spark

@@ -34,7 +34,8 @@ from ..session import utc_now
 _COMMIT_COLS = ["version", "committed_at", "buckets", *schemas.TABLES, "stream_id", "batch_id"]
 _COMMIT_SCHEMA = ("version BIGINT, committed_at TIMESTAMP_NTZ, buckets INT, "
                   + ", ".join(f"{t} STRING" for t in schemas.TABLES) + ", stream_id STRING, batch_id BIGINT")
-DEFAULT_BUCKETS = 16
+MIN_BUCKETS = 8
+BUCKET_BYTES = 128 << 20  # of the largest table, about
 
 
 def _ddl(table: str) -> str:
@@ -52,10 +53,10 @@ def _catalog_name(path: str) -> str:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS):
-        """``buckets``: bucket count of a new store (an existing store keeps
-        the count of its commits). Size it so a bucket of the largest
-        table stays around a few hundred MB."""
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        """``buckets``: bucket count of a new store; by default it follows from
+        the size of the first write, about ``BUCKET_BYTES`` a bucket. A store
+        keeps the count of its commits until ``rebucket``."""
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
@@ -117,7 +118,24 @@ class Store:
         """
         head = self.head() or {}
         version = int(head.get("version") or 0) + 1
-        buckets = int(head.get("buckets") or self.buckets)
+        buckets = int(head.get("buckets") or self.buckets or self._buckets_for(new))
+        return self._write(new, head, version, buckets, shuffle, batch)
+
+    def _buckets_for(self, new: dict[str, DataFrame]) -> int:
+        from ..operators.merge import approx_row_bytes
+        size = max((df.count() * approx_row_bytes(df) for df in new.values()), default=0)
+        return max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
+
+    def rebucket(self, buckets: int | None = None) -> int:
+        """Rewrite all tables with another bucket count (default: what their
+        present size asks for), as a new version."""
+        head, tables = self.head() or {}, self.tables()
+        written = {t: df for t, df in tables.items() if head.get(t)}
+        return self._write(written, {}, int(head.get("version") or 0) + 1,
+                           buckets or self._buckets_for(written), True, None)
+
+    def _write(self, new: dict[str, DataFrame], head: dict, version: int, buckets: int,
+               shuffle: bool, batch: tuple[str, int] | None) -> int:
         paths = {t: head.get(t) for t in schemas.TABLES}
         attempt = uuid.uuid4().hex[:12]
         for t, df in new.items():

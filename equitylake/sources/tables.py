@@ -1,17 +1,11 @@
-"""Table sources: typed Parquet scans of the store and of input tables."""
+"""Table sources: Parquet scans of input tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .. import schemas
-
 
 def read_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table (``{sf_dir}/{name}.parquet``)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def read_store_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A store table with its declared schema (no inference)."""
-    return spark.read.schema(schemas.TABLES[table]).parquet(path)

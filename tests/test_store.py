@@ -62,3 +62,12 @@ def test_commit_carries_the_batch(spark, tmp_dir):
     hub = spark.createDataFrame([("IT0001233417", "A2A", T0)], schemas.HUB)
     store.write({"share_isins": hub}, batch=("s1", 0))
     assert store.has_batch("s1", 0) and not store.has_batch("s2", 0) and not store.has_batch("s1", 1)
+
+
+def test_rebucket(spark, tmp_dir):
+    store = Store(spark, f"{tmp_dir}/r")
+    hub = spark.createDataFrame([(f"IT{i:010d}", "A", T0) for i in range(50)], schemas.HUB)
+    store.write({"share_isins": hub})
+    assert store.head()["buckets"] == 8  # the least, for so few rows
+    assert store.rebucket(3) == 2 and store.head()["buckets"] == 3
+    assert store.tables()["share_isins"].count() == 50 and store.head()["share_details"] is None
