@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product, over one-bit codes.
 
 Vectors are assigned to the nearest of some centroids (fitted on a bounded
-sample, their number grows with the root of the table). A vector's residual to
+sample, their number grows with the root of the table); how many lists a query
+probes follows from the recall that the sample shows. A vector's residual to
 its centroid is rotated at random and keeps one sign bit a dimension, packed,
 with two correction scalars: its length, and the inner product of the unit
 residual with its code. From these a query estimates its inner product with the
@@ -56,17 +57,14 @@ class Index:
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :self.probe]
 
 
-def lists_for(n: int) -> tuple[int, int]:
-    """(lists, probes) for n vectors: all lists are probed up to 4096 vectors."""
-    lists = max(1, int(math.sqrt(n) / 4))
-    return lists, lists if n <= 4096 else max(16, math.ceil(lists * 0.3))
-
-
-def fit(sample: np.ndarray, n: int, seed: int = 3, steps: int = 10) -> Index:
-    """k-means centroids and a random rotation."""
+def fit(sample: np.ndarray, n: int, seed: int = 3, steps: int = 10, recall: float = 0.97,
+        top: int = 20, trials: int = 256) -> Index:
+    """k-means centroids, as many as a quarter of the root of n, and a random
+    rotation. The number of probes is the least with which ``trials`` vectors of
+    the sample find ``recall`` of their ``top`` nearest in it; a table of up to
+    4096 vectors is probed whole."""
     rng = np.random.default_rng(seed)
-    lists, probe = lists_for(n)
-    lists = min(lists, len(sample))
+    lists = min(max(1, int(math.sqrt(n) / 4)), len(sample))
     c = sample[rng.choice(len(sample), lists, replace=False)]
     for _ in range(steps):
         own = ((c ** 2).sum(axis=1)[None, :] - 2 * sample @ c.T).argmin(axis=1)
@@ -75,7 +73,16 @@ def fit(sample: np.ndarray, n: int, seed: int = 3, steps: int = 10) -> Index:
         size = np.bincount(own, minlength=lists)
         c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
     rotation, _ = np.linalg.qr(rng.standard_normal((sample.shape[1],) * 2))
-    return Index(c, rotation, min(probe, lists))
+    index = Index(c, rotation, lists)
+    if n > 4096:
+        q = rng.choice(len(sample), min(trials, len(sample)), replace=False)
+        score = sample[q] @ sample.T
+        score[np.arange(len(q)), q] = -np.inf
+        near = np.argpartition(-score, min(top, score.shape[1] - 1), axis=1)[:, :top]
+        rank = np.argsort(index.probed(sample[q]), axis=1)  # of each list in each query's order
+        need = np.sort(np.take_along_axis(rank, index.nearest(sample)[near], axis=1).ravel())
+        index.probe = int(need[min(len(need) - 1, math.ceil(recall * len(need)) - 1)]) + 1
+    return index
 
 
 def encode(x: np.ndarray, centroid: np.ndarray, rotation: np.ndarray):
