@@ -32,7 +32,7 @@ from ..schemas import ISIN_STRUCT
 # Unicode-aware trim (Spark's trim only strips ASCII blanks).
 _WS = r"(?U)^\s+|\s+$"
 # FIXED VALUE: thousands-separator form of an Italian number.
-_IT_NUMBER = r"^([0-9]{1,3})(\.?[0-9]{3})*(,[0-9]+)?$"
+_IT_NUMBER = r"^(\d{1,3})(\.?\d{3})*(,\d+)?$"
 # Literals a strict float parser accepts (try_cast alone also takes '1d', ' 5 ', hex).
 _FLOAT_LITERAL = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
 # d/m/yy with optional blanks before each numeric field
@@ -52,16 +52,20 @@ def utrim(c) -> Column:
     return F.regexp_replace(_c(c), _WS, "")
 
 
-# trim, leading '+' run, trim, trailing '%' run, trim -- in one pass
-_FLOAT_CLEAN = r"(?sU)^\s*\+*\s*(.*?)\s*%*\s*$"
+# the white space that the patterns above call \s (Unicode), for the trim functions
+_BLANKS = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+           "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def parse_float(c) -> Column:
-    s = F.regexp_extract(_c(c), _FLOAT_CLEAN, 1)
+    blanks = F.lit(_BLANKS)
+    # trim, leading '+' run, trim; trailing '%' run, trim
+    s = F.ltrim(F.ltrim(F.ltrim(_c(c), blanks), F.lit("+")), blanks)
+    s = F.rtrim(F.rtrim(F.rtrim(s, blanks), F.lit("%")), blanks)
     sign = F.when(s.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     body = F.ltrim(s, F.lit("-"))
-    norm = F.when(body.rlike(_IT_NUMBER), F.translate(body, ",.", ".")) \
-        .otherwise(F.translate(body, ",", ""))
+    italian = body.rlike(_IT_NUMBER)
+    norm = F.when(italian, F.translate(body, ",.", ".")).otherwise(F.translate(body, ",", ""))
     val = F.when(norm.rlike(_FLOAT_LITERAL), norm).try_cast("double")
     return val * sign
 

@@ -79,17 +79,18 @@ def scan_requested(instruments: DataFrame, pages: DataFrame,
     """One row per (requested ISIN, page of its detail URL) with the raw
     property strings; a requested ISIN without a page has a NULL page_id.
 
-    Pages are read exactly once and their HTML is never shuffled: with
+    Pages are scanned exactly once and their HTML is never shuffled: with
     ``broadcast_requests`` (the caller checked the request set is small)
     they are filtered to the requested URLs map-side before the scan;
     otherwise every page is scanned and unrequested ones drop out at the
     join of the small property rows.
     """
     found, req = _found(instruments, pages, broadcast_requests)
-    # requested ISINs without any page; one narrow row per URL
-    seen = found.select("url").distinct()
-    if broadcast_requests:  # a subset of the checked request URLs
-        seen = F.broadcast(seen)
+    # requested ISINs without any page: only the pages' URLs are read again
+    # (a column of their own), their HTML and its scan are not
+    seen = pages.select("url")
+    if broadcast_requests:  # what is left is a subset of the checked request URLs
+        seen = F.broadcast(seen.join(F.broadcast(req.select("url")), "url", "left_semi").distinct())
     missing = req.join(seen, "url", "left_anti")
     return found.unionByName(missing, allowMissingColumns=True)
 

@@ -80,7 +80,8 @@ def test_refresh_from_attempt_log(spark, tmp_dir):
     store.write({"share_isins": hub})
     t0 = dt.datetime(2024, 1, 2)
     sec = lambda s: t0 + dt.timedelta(seconds=s)
-    url = lambda i: (f"https://www.borsaitaliana.it/borsa/azioni/dati-completi.html?isin={i}&lang=it")
+    from equitylake.sources.pages import DETAIL_URL
+    url = lambda i: DETAIL_URL % i
     rows = [
         (url(isins[0]), 1, 503, False, None, sec(0), sec(1)),
         (url(isins[0]), 2, 200, False, detail("1,50", "10", "2"), sec(3), sec(4)),

@@ -90,6 +90,15 @@ def test_keyed_aggregations_combine_map_side(spark):
     assert len(r) == 1
 
 
+def test_pages_are_scanned_once(spark):
+    from pyspark.sql import functions as F
+    from equitylake.plans import jobs
+    pages = spark.createDataFrame([(1, "u", "<table></table>")], "page_id long, url string, html string")
+    inst = spark.range(3).select(F.format_string("IT%010d", F.col("id")).alias("isin"))
+    for bc in (True, False):
+        assert plan(spark, jobs.scan_requested(inst, pages, broadcast_requests=bc)).count("MapInArrow") == 1
+
+
 def test_share_write_reads_orders_at_most_twice(spark):
     from equitylake.plans.catalog import QUERIES
     for name in ("write_metrics", "share_write_accepted", "fk_rejects"):

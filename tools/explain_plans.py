@@ -76,13 +76,16 @@ def main():
                                      broadcast_requests=True)
     section("Detail-page extraction (size-checked request set)",
             "Stored pages filtered map-side (broadcast semi join), one Arrow scan (no exchange "
-            "between the page scan and `MapInArrow`), one partial aggregation for the 27 "
-            "properties, typed projection in whole-stage codegen.", wide)
+            "between the page scan and `MapInArrow`), the 27 properties assigned in the page's "
+            "row, typed projection.", wide)
     wide2, _, _ = jobs.extract_shares(adapter.hub(spark, sf), pages, dt.datetime(2002, 1, 15),
                                       broadcast_requests=False)
     section("Detail-page extraction (large request set)",
             "Every stored page scanned where it lies; unrequested pages drop out when the small "
             "property rows meet the requests.", wide2)
+    section("Share write: one judged record per ISIN",
+            "One scan of the orders, one aggregation, one join to the hub.",
+            M.judge_shares(M.collapse_shares(adapter.share_batch(spark, sf)), adapter.listed_hub(spark, sf)))
     section("Fetch-log resolution", "One partial aggregation per URL (min over structs, "
             "conditional counts).", FL.resolve(adapter.fetch_attempts(spark, sf)))
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
