@@ -169,11 +169,12 @@ def int_parse(spark, sf_dir):
     """Every order key rendered with dot thousands separators and parsed
     back, plus the same with a minus sign (unsigned: NULL)."""
     o = read_input(spark, sf_dir, "orders")
-    dotted = F.translate(F.format_number(F.col("o_orderkey"), 0), ",", ".")
+    dots = lambda n: F.translate(F.format_number(n, 0), ",", ".")
+    dotted = dots(F.col("o_orderkey"))
     return o.select("o_orderkey",
                     P.parse_int(dotted).alias("parsed"),
                     P.parse_int(F.concat(F.lit("-"), dotted)).alias("negative"),
-                    P.int_overflow(F.format_number(F.col("o_orderkey") * 1000000, 0)).alias("past_int"))
+                    P.int_overflow(dots(F.col("o_orderkey") * 1000000)).alias("past_int"))
 
 
 def parse_defaults(spark, sf_dir):
@@ -314,7 +315,8 @@ def write_validation(spark, sf_dir):
     wide = (wide.withColumn("super_sector", F.when(key % 3 == 0, F.repeat("isin", 5)).otherwise(F.col("super_sector")))
             .withColumn("updated_at", F.when(key % 9 != 1, F.greatest(*[f"_at_{t}" for t in M.schemas.SATELLITES])))
             .withColumn("_numero_contratti_overflow",
-                        P.int_overflow(F.format_number(F.col("numero_contratti").cast("long") * key * 1000000, 0))))
+                        P.int_overflow(F.translate(F.format_number(
+                            F.col("numero_contratti").cast("long") * key * 1000000, 0), ",", "."))))
     return M.rejects_of(M.judge_shares(wide, adapter.hub(spark, sf_dir)))
 
 
