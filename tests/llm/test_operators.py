@@ -530,3 +530,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(r.length for r in pieces.collect() if r.start == 0) > 0
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in mixed.collect()}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_nodes_sort_by_id(spark):
+    ids = [-(1 << 63), -5, 0, 7, (1 << 63) - 2, None]
+    df = spark.createDataFrame([(i, bytes([k])) for k, i in enumerate(reversed(ids))], "i long, k binary")
+    rows = df.select("i", components.node_of(F.col("i"), F.col("k")).alias("n")).withColumn(
+        "back", components.id_of(F.col("n"))).orderBy("n").collect()
+    assert [r.i for r in rows] == ids and [r.back for r in rows] == ids
