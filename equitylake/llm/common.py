@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equitylake.session import staging_path
+from equitylake.session import ship_package, staging_path
 
-#: UTF-8 bytes of text that a task holds as one chunk (a longer text is a chunk of its own)
+#: UTF-8 bytes of text that a task works on at once (a longer text is a chunk of its own):
+#: where chunks ask for what they need, and larger ones ask less, and elsewhere
 CHUNK_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,10 +84,11 @@ def _cut(b: pa.RecordBatch, text: str, limit: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def per_chunk(fn: Callable[[int, pa.Table], pa.Table | None], text: str = "text"):
+def per_chunk(fn: Callable[[int, pa.Table], pa.Table | None], text: str = "text",
+              limit: int = BATCH_BYTES):
     """A function for ``mapInArrow`` that applies ``fn`` chunk by chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, t in chunks(batches, text):
+        for chunk, t in chunks(batches, text, limit):
             out = fn(chunk, t)
             if out is not None and out.num_rows:
                 yield from out.to_batches()
@@ -93,8 +96,10 @@ def per_chunk(fn: Callable[[int, pa.Table], pa.Table | None], text: str = "text"
 
 
 def long_texts_ok(df: DataFrame) -> DataFrame:
-    """Bound the Arrow batches of the text scans by bytes as well as rows."""
+    """Ready the session for the Python of the corpus operators: workers can
+    import the package, and Arrow batches are bounded by bytes as well as rows."""
+    ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df

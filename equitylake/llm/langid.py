@@ -9,7 +9,7 @@ the number of words, is highest among the nested sets of the largest
 proportions. The prediction is the largest proportion of that set.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; ties
-go to the smaller language name; null or empty languages teach nothing, and if
+go to the smaller language name; a null language teaches nothing, and if
 nothing is learned all is ``und``; an empty table gives no rows. Counts cover
 whole texts; model size is ``TABLE`` counts a language.
 """

@@ -124,7 +124,7 @@ def score(docs: DataFrame, add: float = 0.1, prior: float = 20.0) -> DataFrame:
     spark = docs.sparkSession
     train_docs = docs.where(fold(docs["doc_id"], FOLDS) != 0).count()
     held = chunked(docs, "lm")
-    n = max(n_partitions(spark), 16, held.count() // 4)
+    n = max(n_partitions(spark), 16, held.count() // 2)
 
     def ask_words(row: dict) -> pa.Table:
         t = Tokens(row)

@@ -25,12 +25,15 @@ _BYTE_LOWER[0x41:0x5B] = _BYTE[0x61:0x7B]
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+BLOCK = 1 << 19  # bytes
+
+
 def _power(which: str, n: int) -> np.ndarray:
     """The first n powers of the multiplier (``up``) or its inverse (``down``)."""
     have = _powers[which]
     if len(have) < n:
         base = _ODD if which == "up" else _ODD_INV
-        size = max(n, 2 * len(have))
+        size = -(-n // BLOCK) * BLOCK
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
@@ -94,13 +97,20 @@ class Words:
         after[-1] = False
         after[:-1] = inside[1:]
         end = np.flatnonzero(inside & (~after | head[1:])) + 1
-        sums = np.empty(len(raw) + 1, np.uint64)
-        sums[0] = 0
-        part = (_BYTE_LOWER if lower else _BYTE)[raw]
-        part *= _power("up", len(raw))
-        np.cumsum(part, out=sums[1:])
-        h = (sums[end] - sums[start]) * _power("down", len(raw))[start]
-        self.hash = mix(h ^ (end - start).astype(np.uint64))
+        self.hash = np.empty(len(start), np.uint64)
+        table = _BYTE_LOWER if lower else _BYTE
+        # words of about BLOCK bytes at a time: the sums need 24 bytes a byte
+        block = start // BLOCK
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(start) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            low, high = start[a], end[b - 1]
+            sums = np.empty(high - low + 1, np.uint64)
+            sums[0] = 0
+            part = table[raw[low:high]]
+            part *= _power("up", len(part))
+            np.cumsum(part, out=sums[1:])
+            s, e = start[a:b] - low, end[a:b] - low
+            self.hash[a:b] = mix((sums[e] - sums[s]) * _power("down", len(part))[s] ^ (e - s).astype(np.uint64))
         self.start, self.end = start, end
         self.first = np.searchsorted(start, off)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
