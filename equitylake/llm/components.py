@@ -10,17 +10,35 @@ end when a round changes no edge.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
 
+_SIGN = -(1 << 63)
+
+
+def node_of(doc_id: Column, key: Column) -> Column:
+    """A node (binary) that sorts by the id, nulls last, and then by the key: the
+    smallest node of a component then names it."""
+    last = F.coalesce(doc_id, F.lit((1 << 63) - 1))
+    return F.concat(F.unhex(F.lpad(F.hex(last.bitwiseXOR(F.lit(_SIGN))), 16, "0")), key)
+
+
+def id_of(node: Column) -> Column:
+    """The id in a node of ``node_of``."""
+    raw = F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    return F.nullif(raw, F.lit((1 << 63) - 1))
+
+
 def _step(edges: DataFrame, large: bool) -> DataFrame:
     """One star step. ``edges``: (a, b) with b < a, distinct."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
+    # written down, so that the join reads both its sides through a shuffle of
+    # their own and can split a node that has very many neighbours
+    least = staged(least.select("a", F.least("a", "least").alias("least")), "components_least")
     linked = both.join(least, "a")
     if large:  # neighbours larger than the node point at the least of them all
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))

@@ -22,6 +22,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_texts_ok, staged
-from .components import components, forest
+from .components import components, forest, id_of, node_of
 from .exchange import with_answers
 from .substring import chunked, each_chunk, spread
 from .words import Words, mix, run_hash, run_starts, span_hash
@@ -37,6 +38,7 @@ from .words import Words, mix, run_hash, run_starts, span_hash
 N = 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction, compared without rounding
 UNIT_DOCS, UNIT_GRAMS = 1024, 1 << 20
+SENT = 512  # sets that a chunk sends at once
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -198,37 +200,40 @@ def join(docs: DataFrame, n: int = N, recall: float = 0.9999, rows: int = 4,
          held: DataFrame | None = None) -> DataFrame:
     """Per document: chunk, row (its place), doc_id, class_id (smallest id with
     the same words), n_links (documents linked directly, copies included),
-    n_class_links (classes linked), component (key), component_id (smallest id
+    n_class_links (classes linked), component (node), component_id (smallest id
     reachable over links)."""
     spark = docs.sparkSession
     long_texts_ok(docs)
     held = chunked(docs, "jaccard") if held is None else held
     found = staged(sketches(held, bands_for(THRESHOLD[0] / THRESHOLD[1], rows, recall), rows, n), "jaccard_sketch")
-    classes = staged(found.where("key is not null").groupBy("key").agg(
+    classes = found.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("copies"),
-        F.min(F.struct("chunk", "row", "grams", "bands")).alias("at")), "jaccard_class")
-    banded = classes.select("key", F.explode("at.bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = banded.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+        F.min(F.struct("chunk", "row", "grams", "bands")).alias("at"))
+    classes = staged(classes.withColumn("node", node_of(F.col("class_id"), F.col("key"))), "jaccard_class")
+    banded = classes.select("node", F.explode("at.bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = banded.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters = components(stars)
     clusters = clusters.select("node", F.col("root").alias("cluster")).unionByName(
         clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
-    members = clusters.join(classes, clusters.node == classes.key).select(
-        "key", "cluster", "copies", F.col("at.chunk").alias("chunk"), F.col("at.row").alias("row"),
+    members = clusters.join(classes, "node").select(
+        F.col("node").alias("key"), "cluster", "copies", F.col("at.chunk").alias("chunk"), F.col("at.row").alias("row"),
         F.col("at.grams").alias("grams"))
     # the chunks send the sets of the texts that a unit wants
     wanted = _units(staged(members, "jaccard_member")).groupBy("chunk").agg(
         F.collect_list(F.struct("row", "key", "copies", "unit", "i", "j", "side")).alias("want"))
 
-    def send(r: dict) -> pa.Table | None:
+    def send(r: dict) -> Iterator[pa.Table]:
         want = r["want"].values if r["want"].is_valid else None
         if want is None:
-            return None
+            return
         want = pa.table({f: want.field(f) for f in ("row", "key", "copies", "unit", "i", "j", "side")})
         texts, at = np.unique(want.column("row").to_numpy(), return_inverse=True)
         g = Grams(Words(r["texts"].values.take(pa.array(texts))), n)
         sets = pa.array([g.of(i).tobytes() for i in range(len(texts))], pa.binary())
-        return want.drop_columns(["row"]).append_column("grams", sets.take(pa.array(at)))
+        want = want.drop_columns(["row"])
+        for a in range(0, len(at), SENT):  # a text of a large cluster goes to many units
+            yield want.slice(a, SENT).append_column("grams", sets.take(pa.array(at[a:a + SENT])))
 
     def unit(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by([("side", "ascending"), ("key", "ascending")])
@@ -243,11 +248,11 @@ def join(docs: DataFrame, n: int = N, recall: float = 0.9999, rows: int = 4,
     counts = links.where("other is null").groupBy("key").agg(
         F.sum("classes").alias("n_class_links"), F.sum("docs").alias("linked"))
     roots = components(links.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    named = classes.join(roots, classes.key == roots.node, "left").join(counts, "key", "left").select(
-        "key", "class_id", "copies", F.coalesce("root", "key").alias("component"),
+    named = classes.select("key", "node", "class_id", "copies").join(roots, "node", "left").join(
+        counts.withColumnRenamed("key", "node"), "node", "left").select(
+        "key", "class_id", "copies", F.coalesce("root", "node").alias("component"),
         F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"), F.coalesce("linked", F.lit(0)).alias("linked"))
-    names = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(names, "component")
+    named = named.withColumn("component_id", id_of(F.col("component")))
     return found.select("chunk", "row", "doc_id", "key").join(named, "key", "left").select(
         "chunk", "row", "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).alias("n_links"),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .components import components, forest
+from .components import components, forest, id_of, node_of
 from .words import mix
 
 BLOCK = 1024  # classes of a block of a large bucket
@@ -141,9 +141,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
                     seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per vector."""
     found = staged(classes_of(vectors), "neardup")
-    classes = staged(found.where("key is not null").groupBy("key").agg(
-        F.count("*").alias("copies"), F.min("vec_id").alias("first_id"),
-        F.min(F.struct("label", "vec")).alias("of")).select("key", "copies", "first_id", "of.*"), "neardup_class")
+    classes = found.where("key is not null").groupBy("key").agg(
+        F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.min(F.struct("label", "vec")).alias("of"))
+    # from here on a class goes by its node, which sorts by its smallest id
+    classes = staged(classes.select(F.col("key").alias("class"), node_of(F.col("first_id"), F.col("key")).alias("key"),
+                                    "copies", "of.*"), "neardup_class")
     bits = max(8, math.ceil(math.log2(max(classes.count(), 2))))
     signed = staged(signs(classes, bits, tables_for(threshold, bits, recall), seed), "neardup_sign")
     placed = signed.select("key", F.posexplode("buckets").alias("nth", "bucket"))
@@ -166,10 +168,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     links = staged(units.groupBy("unit", "i", "j").applyInArrow(unit, "key binary, other binary, docs long"), "neardup_link")
     counts = links.where("other is null").groupBy("key").agg(F.sum("docs").alias("linked"))
     roots = components(links.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    named = classes.select("key", "copies", "first_id").join(roots, F.col("key") == F.col("node"), "left").join(
-        counts, "key", "left").select("key", "copies", "first_id", "linked", F.coalesce("root", "key").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(
-        "key", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = classes.select("key", "class", "copies").join(roots, F.col("key") == F.col("node"), "left").join(
+        counts, "key", "left").select(
+        F.col("class").alias("key"), id_of(F.coalesce("root", "key")).alias("component_id"),
+        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return found.select("vec_id", "key").join(named, "key", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),

@@ -60,13 +60,14 @@ def chunked(docs: DataFrame, name: str, rest: Sequence[str] = ()) -> DataFrame:
 
 
 def each_chunk(fn):
-    """A function for ``mapInArrow`` over chunk rows: fn(row) -> table or None."""
+    """A function for ``mapInArrow`` over chunk rows: fn(row) gives a table, an
+    iterator of tables, or None."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 out = fn({c: b.column(c)[i] for c in b.schema.names})
-                if out is not None and out.num_rows:
-                    yield from out.to_batches()
+                for t in () if out is None else (out,) if isinstance(out, pa.Table) else out:
+                    yield from t.to_batches()
     return run
 
 
