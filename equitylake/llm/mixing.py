@@ -75,8 +75,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: float
     rows = docs.select(
         F.struct(*[docs[c] for c in keep]).alias("doc") if keep else F.lit(None).cast("struct<none:int>").alias("doc"),
         docs["doc_id"].alias("doc_id"), docs["source"].isNull().alias("no_src"),
-        F.coalesce(docs["source"], F.lit("")).alias("src"), word_count(docs["text"]).alias("size"))
-    order = ["no_src", "src", "size", "doc_id"]
+        F.coalesce(docs["source"], F.lit("")).alias("src"), word_count(docs["text"]).alias("size"),
+        # after them, rows that are alike in all of source, size and id: so that
+        # no range holds more of them than its share
+        F.xxhash64(docs["text"]).alias("like"), F.monotonically_increasing_id().alias("nth"))
+    order = ["no_src", "src", "size", "doc_id", "like", "nth"]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # task number and place of each row: fixed by writing them down
