@@ -524,14 +524,15 @@ def fetch_outcome(spark, sf_dir):
 
 
 def fetch_outcome_stream(spark, sf_dir):
-    """The attempt log replayed as a stream, a file of each attempt number a
-    micro-batch (eight), through the streaming aggregation into a folder under
-    spark.checkpoint.dir: the newest row of every URL."""
+    """The attempt log replayed as a stream, dealt over eight files, a micro-batch
+    each, so that the attempts of a URL arrive apart and in any order; through
+    the streaming aggregation into a folder under spark.checkpoint.dir: the
+    newest row of every URL."""
     from ..session import staging_path
     from ..streaming import fetch_stream
     log_path = staging_path(spark, "attempt-log")
     log = adapter.fetch_attempts(spark, sf_dir)
-    log.repartition(8, "attempt_no").write.parquet(log_path)
+    log.repartition(8).write.parquet(log_path)
     out = staging_path(spark, "resolved-stream")
     attempts = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(log_path)
     fetch_stream.start_resolver(attempts, out, staging_path(spark, "resolved-ckpt"),
