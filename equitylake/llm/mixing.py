@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+BROADCAST_RUNS = 200_000  # rows of some 100 bytes
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,6 +94,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: float
                        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("from_place")).alias("shift"))
     plan = runs.join(targets(sizes.drop("docs"), weights, cap), ["no_src", "src"]).join(
         sizes.select("no_src", "src", "docs"), ["no_src", "src"])
+    # a row per run, so at most tasks plus sources: broadcast if that is small, so
+    # that the documents stay where they are; else joined by shuffle
+    plan = staged(plan, "mix_plan")
+    if plan.count() <= BROADCAST_RUNS:
+        plan = F.broadcast(plan)
     copies = F.coalesce(F.least(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(float(cap))), F.lit(0.0))
     by_size = F.col("place") + F.col("shift")
     rank = F.when(by_size % 2 == 0, F.floor(by_size / 2)).otherwise(F.col("docs") - 1 - F.floor(by_size / 2))

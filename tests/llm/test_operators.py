@@ -429,6 +429,12 @@ def test_mixing_targets(spark, docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_is_the_same_without_broadcast(docs, monkeypatch):
+    wide = mixing.mix_sources(docs).collect()
+    monkeypatch.setattr(mixing, "BROADCAST_RUNS", 0)
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == sorted(map(str, wide))
+
+
 def test_mixing_comes_near_targets(spark):
     rng = np.random.default_rng(9)
     rows = [(i, "w " * int(rng.integers(1, 400)), None, f"s{i % 7}") for i in range(4000)]
