@@ -319,7 +319,11 @@ def render_detail_pages(view: DataFrame) -> DataFrame:
               '<tr><td colspan="2"><table class="m-table -nested">'),
         *perf,
         F.lit("</table></td></tr></table></div></body></html>"))
+    # a stored page table arrives in many file splits: deal out the instruments'
+    # rows (not their HTML) likewise before they are rendered
+    parts = int(view.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (view.where(F.col("mercato_segmento").isNull() | (F.col("mercato_segmento") != "AUTOMOBILE"))
+            .repartition(parts, F.substring("isin", 3, 9))
             .select(F.substring("isin", 3, 9).cast("bigint").alias("page_id"),
                     detail_url(F.col("isin")).alias("url"),
                     F.when(F.col("id_strumento").isNull(), F.lit("")).otherwise(html).alias("html")))
