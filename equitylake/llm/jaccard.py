@@ -146,16 +146,18 @@ def overlaps(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, tile:
     return out
 
 
-def verify(key: list[bytes], copies: np.ndarray, side: np.ndarray, grams: list[np.ndarray],
+def verify(key: list[bytes], copies: np.ndarray, side: np.ndarray, grams: list[np.ndarray], cross: bool,
            threshold: tuple[int, int] = THRESHOLD) -> pa.Table:
     """Links of a unit: (key, other, classes, docs). Rows without ``other`` count
     the classes and documents that a class links with; rows with it are edges of
-    a spanning forest. Sides 0 and 1 are compared with each other; if all are on
-    side 0, with each other."""
+    a spanning forest. If ``cross`` holds, sides 0 and 1 are compared with each
+    other (either may be empty: a block without classes), else side 0 with itself."""
     size = np.array([len(g) for g in grams], np.int64)
     left = np.flatnonzero(side == 0)
-    cross = bool((side == 1).any())
     right = np.flatnonzero(side == 1) if cross else left
+    if not len(left) or not len(right):
+        return pa.table({"key": pa.array([], pa.binary()), "other": pa.array([], pa.binary()),
+                         "classes": np.zeros(0, np.int64), "docs": np.zeros(0, np.int64)})
     common = overlaps(grams, left, right)
     top, bottom = threshold
     union = size[left][:, None] + size[right][None, :] - common
@@ -238,7 +240,8 @@ def join(docs: DataFrame, n: int = N, recall: float = 0.9999, rows: int = 4,
     def unit(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by([("side", "ascending"), ("key", "ascending")])
         return verify(t.column("key").to_pylist(), t.column("copies").to_numpy(), t.column("side").to_numpy(),
-                      [np.frombuffer(b, np.uint64) for b in t.column("grams").to_pylist()])
+                      [np.frombuffer(b, np.uint64) for b in t.column("grams").to_pylist()],
+                      key[1].as_py() != key[2].as_py())
 
     long_texts_ok(docs)
     sent = with_answers(held, wanted).mapInArrow(

@@ -116,6 +116,18 @@ def test_jaccard_join(spark, monkeypatch, unit_docs):
     assert sorted(map(sorted, comp.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_jaccard_blocks_by_grams(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT_GRAMS", 500)  # few documents in many blocks: some are empty
+    rows = near_copies(24, words_=400)
+    link, root = jaccard_plain(rows)
+    got = {r.doc_id: r for r in jaccard.join(spark.createDataFrame(rows, DOCS)).collect()}
+    key = [r[1] for r in rows]
+    for i, (r, x) in enumerate(zip(rows, link)):
+        assert got[r[0]].n_links == sum(x)
+        assert got[r[0]].n_class_links == len({key[j] for j, y in enumerate(x) if y} - {key[i]})
+        assert got[r[0]].component_id == rows[root[i]][0]
+
+
 def test_jaccard_keep_one(spark, docs, empty):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
