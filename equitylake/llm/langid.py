@@ -6,7 +6,7 @@ its words comes from one of the languages, with the likelihood of its trigrams.
 Expectation-maximisation estimates the proportions; the set of languages is the
 one whose likelihood, less a penalty per language that grows with the log of
 the number of words, is highest among the nested sets of the largest
-proportions. The prediction is the largest proportion of that set.
+proportions, from one language to all that were learned. The prediction is the largest proportion of that set.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; ties
 go to the smaller language name; a null language teaches nothing, and if
@@ -111,34 +111,57 @@ def mixtures(word_ll: np.ndarray, first: np.ndarray, steps: int) -> tuple[np.nda
     return theta, np.add.reduceat(ll, first[:-1], dtype=np.float64)
 
 
+def ceiling(word_ll: np.ndarray, first: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Per text, a log-likelihood that no mixture of any set of languages exceeds:
+    the words' own maxima, or the likelihood of ``theta`` with what its gradient
+    can add at most (the likelihood is concave in the proportions)."""
+    top = word_ll.max(axis=1, keepdims=True)
+    rel = np.exp(word_ll - top)
+    mixed = (rel * np.maximum(theta, 1e-20)[np.repeat(np.arange(len(theta)), np.diff(first))]).sum(axis=1)
+    most = np.add.reduceat(top[:, 0], first[:-1], dtype=np.float64)
+    slope = np.add.reduceat(rel / mixed[:, None], first[:-1], axis=0, dtype=np.float64).max(axis=1)
+    by_slope = np.add.reduceat(np.log(mixed), first[:-1], dtype=np.float64) + most + slope - np.diff(first)
+    return np.minimum(most, by_slope + 1e-3 + 1e-5 * np.diff(first))  # what single precision may lose
+
+
 def select(word_ll: np.ndarray, first: np.ndarray, theta: np.ndarray, steps: int,
-           most: int, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+           penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text the predicted language, its proportion and the size of the set
-    that penalised likelihood selects among the ``most`` first nested sets."""
+    that penalised likelihood selects among all nested sets. A text is left alone
+    once no larger set can be worth its penalty."""
     docs, k = theta.shape
     order = np.argsort(-theta, axis=1, kind="stable")
-    doc = np.repeat(np.arange(docs), np.diff(first))
     words = np.diff(first)
+    cost = penalty * np.log(words + 1.0)
     best = np.full(docs, -np.inf)
     pred, share, size = order[:, 0].copy(), np.ones(docs), np.ones(docs, np.int64)
-    for s in range(1, min(most, k) + 1):
-        sub = np.take_along_axis(word_ll, order[doc, :s], axis=1)
+    bound = ceiling(word_ll, first, theta) if k > 1 else best
+    left = np.arange(docs)  # texts that a set of s languages may still suit best
+    for s in range(1, k + 1):
+        if s > 1:
+            left = left[bound[left] - s * cost[left] > best[left]]
+        if not len(left):
+            break
+        count = words[left]
+        off = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(first[left] - off[:-1], count) + np.arange(off[-1])
+        sub = word_ll[at[:, None], order[np.repeat(left, count), :s]]
         if s == 1:
-            part, ll = np.ones((docs, 1)), np.add.reduceat(sub[:, 0], first[:-1], dtype=np.float64)
+            part, ll = np.ones((len(left), 1)), np.add.reduceat(sub[:, 0], off[:-1], dtype=np.float64)
         else:
-            part, ll = mixtures(sub, first, steps)
-        value = ll - penalty * s * np.log(words + 1.0)
-        better = value > best
-        best[better] = value[better]
-        lead = part.argmax(axis=1)
-        pred[better] = order[np.arange(docs), lead][better]
-        share[better] = part.max(axis=1)[better]
-        size[better] = s
+            part, ll = mixtures(sub, off, steps)
+        value = ll - s * cost[left]
+        better = value > best[left]
+        won = left[better]
+        best[won] = value[better]
+        pred[won] = order[won, part.argmax(axis=1)[better]]
+        share[won] = part.max(axis=1)[better]
+        size[won] = s
     return pred, share, size
 
 
 def infer(ids: pa.Array, texts: pa.Array, langs: Sequence[str], table: np.ndarray, steps: int = 6,
-          most: int = 3, penalty: float = 2.0) -> pa.Table:
+          penalty: float = 2.0) -> pa.Table:
     """doc_id, lang_pred, score, n_langs (size of the selected set) of a batch."""
     raw, off = utf8(texts)
     n = len(off) - 1
@@ -155,7 +178,7 @@ def infer(ids: pa.Array, texts: pa.Array, langs: Sequence[str], table: np.ndarra
             own, first = np.unique(owner, return_index=True)
             first = np.append(first, len(begin))
             theta, _ = mixtures(word_ll, first, steps)
-            pred[own], score[own], size[own] = select(word_ll, first, theta, steps, most, penalty)
+            pred[own], score[own], size[own] = select(word_ll, first, theta, steps, penalty)
     pred[~lettered], score[~lettered], size[~lettered] = -1, 0.0, 0
     return pa.table({"doc_id": ids, "lang_pred": pa.array([langs[p] if p >= 0 else UNKNOWN for p in pred], pa.string()),
                      "score": pa.array(np.clip(score, 0.0, 1.0)), "n_langs": pa.array(size)})

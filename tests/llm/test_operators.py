@@ -521,6 +521,20 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
+def test_language_id_of_many_languages():
+    own = [" ".join(f"{a}{b}{c}{a}" for b in "aeiou" for c in "lmnr") for a in "bdfgk"]  # five of 20 words each
+    tables = []
+    for text in own:
+        codes, _ = langid.trigrams(*words.utf8(pa.array([text])))
+        c = np.bincount(codes, minlength=langid.TABLE) + 0.5
+        tables.append(np.log(c / c.sum()))
+    texts = [" ".join(own[:n] * 3) for n in range(1, 6)] + [" ".join([own[4]] * 9 + own[:4] * 2)]
+    got = langid.infer(pa.array(range(6)), pa.array(texts), list("bdfgk"), np.stack(tables, axis=1).astype(np.float32))
+    assert got.column("n_langs").to_pylist() == [1, 2, 3, 4, 5, 5]
+    assert np.allclose(got.column("score").to_numpy(), [1, 1 / 2, 1 / 3, 1 / 4, 1 / 5, 9 / 17], atol=0.02)
+    assert got.column("lang_pred")[5].as_py() == "k"
+
+
 # --- the pipeline
 
 def test_pipeline_stages(spark, tmp_path):
