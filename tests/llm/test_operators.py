@@ -327,6 +327,23 @@ def test_toxicity_learns_and_ignores_identity(spark, empty):
     assert [r.score for r in toxicity.score(docs.limit(3), none).collect()] == [0.5] * 3
 
 
+def test_toxicity_sees_whole_texts_and_all_words(spark):
+    rng = np.random.default_rng(12)
+    filler = [f"{a}{b}{c}x" for a in "abcdefghijklmno" for b in "abcdefghijklmno" for c in "abcdefghijklmno"]
+    order = np.argsort(toxicity.word_hashes(filler))
+    filler, last = [filler[i] for i in order[:-1]], filler[order[-1]]  # last: the largest hash of all words
+    bad = [f"{a}{b}y" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"]  # 520 toxic words
+    rows = [(i, " ".join(filler[:2500] + [last] * (i % 4 == 0))) for i in range(400)]
+    rows += [(400 + i, " ".join(rng.choice(bad, 60, replace=False)) if i % 2 else " ".join(rng.choice(filler[2600:], 60)))
+             for i in range(1600)]
+    labels = [(i, int(i % 4 == 0 if i < 400 else i % 2)) for i, _ in rows]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"),
+                           spark.createDataFrame(labels, "doc_id long, toxic int"))
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    assert weight[int(toxicity.word_hashes([last])[0])] > 0.5  # beyond the 2000th word of every text it is in
+    assert sum(weight.get(int(h), 0) > 0 for h in toxicity.word_hashes(bad)) == len(bad)
+
+
 # --- 6: nearest neighbours
 
 def test_nearest_neighbours(spark):
