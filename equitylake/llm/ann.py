@@ -1,8 +1,7 @@
 """Approximate nearest neighbours by inner product, over one-bit codes.
 
 Vectors are assigned to the nearest of some centroids (fitted on a bounded
-sample, their number grows with the root of the table); how many lists a query
-probes follows from the recall that the sample shows. A vector's residual to
+sample, their number grows with the root of the table). A vector's residual to
 its centroid is rotated at random and keeps one sign bit a dimension, packed,
 with two correction scalars: its length, and the inner product of the unit
 residual with its code. From these a query estimates its inner product with the
@@ -11,6 +10,12 @@ a query probes, the estimates' lower bounds set the bar that the n-th best
 passes for sure; only vectors whose upper bound reaches it are reranked, by the
 exact inner product in double precision.
 
+A query first probes the nearest lists that hold n other vectors; the n-th best
+of these is its bar. Then it probes every other list that can hold a vector above
+the bar: its inner product with the centroid and the greatest residual of the
+list bound those of the list's vectors. So no list is left out that matters,
+whatever the size of the table, and only the codes' error bounds are approximate.
+
 A list is cut into blocks of bounded size and the queries that probe it into
 batches; a task compares a batch with a block and keeps the n best of each
 query, so one list may hold any share of the rows. All rows are indexed.
@@ -18,9 +23,8 @@ query, so one list may hold any share of the rows. All rows are indexed.
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and null ids, take no part; rows that repeat an id count once, by
 the smallest vector; vectors are compared within their dimension; fewer
-candidates than asked for are all returned if all lists are probed (the default
-probes every list of a small table); ties go to the smaller id; an empty table
-gives no rows.
+candidates than asked for are all returned; ties go to the smaller id; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,26 +47,35 @@ BATCH = 1024  # queries of a batch, about
 
 @dataclass
 class Index:
-    """Centroids and rotation of one dimension; ``probe`` lists a query sees."""
+    """Centroids and rotation of one dimension."""
     centroids: np.ndarray
     rotation: np.ndarray
-    probe: int
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         d = (self.centroids ** 2).sum(axis=1)[None, :] - 2 * x @ self.centroids.T
         return d.argmin(axis=1)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        """Lists of each query: those whose centroids have the largest inner product."""
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :self.probe]
-
-
-def fit(sample: np.ndarray, n: int, seed: int = 3, steps: int = 10, recall: float = 0.97,
-        top: int = 20, trials: int = 256) -> Index:
+    def first(self, q: np.ndarray, size: np.ndarray, top: int) -> list[np.ndarray]:
+        """Lists of each query: by the inner product with their centroids, until
+        they hold ``top`` vectors besides the query."""
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+        need = (np.cumsum(size[order], axis=1) < top + 1).sum(axis=1) + 1
+        return [o[:n][size[o[:n]] > 0] for o, n in zip(order, need)]
+
+    def rest(self, q: np.ndarray, bar: np.ndarray, size: np.ndarray, radius: np.ndarray, top: int) -> list[np.ndarray]:
+        """The other lists of each query that may hold a score of at least its bar."""
+        norm = np.sqrt((q ** 2).sum(axis=1))[:, None]
+        most = q @ self.centroids.T + norm * radius[None, :]
+        slack = 1e-9 * norm * (radius + np.sqrt((self.centroids ** 2).sum(axis=1)))[None, :]  # rounding
+        may = (most + slack >= bar[:, None]) & (size > 0)[None, :]
+        for i, done in enumerate(self.first(q, size, top)):
+            may[i, done] = False
+        return [np.flatnonzero(m) for m in may]
+
+
+def fit(sample: np.ndarray, n: int, seed: int = 3, steps: int = 10) -> Index:
     """k-means centroids, as many as a quarter of the root of n, and a random
-    rotation. The number of probes is the least with which ``trials`` vectors of
-    the sample find ``recall`` of their ``top`` nearest in it; a table of up to
-    4096 vectors is probed whole."""
+    rotation."""
     rng = np.random.default_rng(seed)
     lists = min(max(1, int(math.sqrt(n) / 4)), len(sample))
     c = sample[rng.choice(len(sample), lists, replace=False)]
@@ -73,16 +86,7 @@ def fit(sample: np.ndarray, n: int, seed: int = 3, steps: int = 10, recall: floa
         size = np.bincount(own, minlength=lists)
         c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c)
     rotation, _ = np.linalg.qr(rng.standard_normal((sample.shape[1],) * 2))
-    index = Index(c, rotation, lists)
-    if n > 4096:
-        q = rng.choice(len(sample), min(trials, len(sample)), replace=False)
-        score = sample[q] @ sample.T
-        score[np.arange(len(q)), q] = -np.inf
-        near = np.argpartition(-score, min(top, score.shape[1] - 1), axis=1)[:, :top]
-        rank = np.argsort(index.probed(sample[q]), axis=1)  # of each list in each query's order
-        need = np.sort(np.take_along_axis(rank, index.nearest(sample)[near], axis=1).ravel())
-        index.probe = int(need[min(len(need) - 1, math.ceil(recall * len(need)) - 1)]) + 1
-    return index
+    return Index(c, rotation)
 
 
 def encode(x: np.ndarray, centroid: np.ndarray, rotation: np.ndarray):
@@ -108,14 +112,14 @@ def estimate(codes: np.ndarray, length: np.ndarray, dot: np.ndarray, centroid: n
     return about, norm[:, None] * spread[None, :] + 1e-5 * norm[:, None] * (1 + length)[None, :]
 
 
-def best(q_ids, q, ids, vecs, codes, length, dot, centroid, rotation, top: int, eps: float):
-    """(query, id, score) of the ``top`` best of a block for each query. All
-    queries share the block's codes; reranking is exact."""
+def best(q_ids, q, bars, ids, vecs, codes, length, dot, centroid, rotation, top: int, eps: float):
+    """(query, id, score) of the ``top`` best of a block for each query, of those
+    that reach its bar. All queries share the block's codes; reranking is exact."""
     about, error = estimate(codes, length, dot, centroid, rotation, q, eps)
     own = q_ids[:, None] == ids[None, :]
     low = np.where(own, -np.inf, about - error)
     k = min(top, len(ids))
-    bar = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
+    bar = np.maximum(np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k], bars)
     out = []
     for i in range(len(q_ids)):
         at = np.flatnonzero((about[i] + error[i] >= bar[i]) & ~own[i])
@@ -148,23 +152,41 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, eps: float = 2.5
         for b in batches:
             dims = b.column("dim").to_numpy()
             vecs = b.column("vec").to_pylist()
-            own, probes = np.zeros(len(dims), np.int32), [[]] * len(dims)
+            own, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.stack([np.frombuffer(vecs[i], np.float64) for i in at])
                 own[at] = index[int(dim)].nearest(x)
-                ask = np.array(b.column("query").to_pylist(), bool)[at]
-                for i, p in zip(at[ask], index[int(dim)].probed(x[ask]) if ask.any() else ()):
-                    probes[i] = p.tolist()
+                far[at] = np.sqrt(((x - index[int(dim)].centroids[own[at]]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), b.column("dim"), pa.array(own, pa.int32()),
-                                              pa.array(probes, pa.list_(pa.int32()))],
-                                             names=["vec_id", "vec", "dim", "list", "probes"])
+                                              pa.array(far), b.column("query")],
+                                             names=["vec_id", "vec", "dim", "list", "far", "query"])
     placed = staged(rows.select("*", F.coalesce(is_query, F.lit(False)).alias("query")).mapInArrow(
-        assign, "vec_id long, vec binary, dim int, list int, probes array<int>"), "ann_list")
+        assign, "vec_id long, vec binary, dim int, list int, far double, query boolean"), "ann_list")
     cut = lambda n, size: F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.ceil(n / size))).cast("int")
-    sizes = placed.groupBy("dim", "list").agg(F.count("*").alias("n"))
-    asked = placed.where(F.size("probes") > 0).select("vec_id", "vec", "dim", F.explode("probes").alias("list"))
-    asks = asked.groupBy("dim", "list").agg(F.count("*").alias("m"))
+    sizes = placed.groupBy("dim", "list").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    held = {dim: (np.zeros(len(i.centroids), np.int64), np.zeros(len(i.centroids))) for dim, i in index.items()}
+    for r in sizes.collect():  # bounded: a row for each list
+        held[r["dim"]][0][r["list"]], held[r["dim"]][1][r["list"]] = r["n"], r["radius"]
+    sizes = sizes.drop("radius")
+
+    def probes(batches):
+        for b in batches:
+            dims, vecs = b.column("dim").to_numpy(), b.column("vec").to_pylist()
+            bar, lists = b.column("bar").to_numpy(zero_copy_only=False), [[]] * len(dims)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                q = np.stack([np.frombuffer(vecs[i], np.float64) for i in at])
+                size, radius = held[int(dim)]
+                # without a bar yet: the first lists; then all others that may reach it
+                begin = np.isnan(bar[at])
+                for new, found in ((True, index[int(dim)].first(q[begin], size, top)),
+                                   (False, index[int(dim)].rest(q[~begin], bar[at][~begin], size, radius, top))):
+                    for i, p in zip(at[begin == new], found):
+                        lists[i] = p.tolist()
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), b.column("dim"), b.column("bar"),
+                                              pa.array(lists, pa.list_(pa.int32()))],
+                                             names=["vec_id", "vec", "dim", "bar", "lists"])
 
     def block(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by("vec_id")
@@ -180,13 +202,13 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, eps: float = 2.5
         t = t.sort_by("vec_id")
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "list": pa.array([key[1].as_py()], pa.int32()),
                          "q_ids": pa.array([t.column("vec_id").to_numpy().tobytes()], pa.binary()),
-                         "q": pa.array([b"".join(t.column("vec").to_pylist())], pa.binary())})
+                         "q": pa.array([b"".join(t.column("vec").to_pylist())], pa.binary()),
+                         "bars": pa.array([np.nan_to_num(t.column("bar").to_numpy(), nan=-np.inf, neginf=-np.inf).tobytes()],
+                                          pa.binary())})
 
     blocks = (placed.select("vec_id", "vec", "dim", "list").join(sizes, ["dim", "list"])
               .withColumn("block", cut(F.col("n"), BLOCK)).drop("n").groupBy("dim", "list", "block")
               .applyInArrow(block, "dim int, list int, ids binary, vecs binary, codes binary, length binary, dot binary"))
-    batches_ = (asked.join(asks, ["dim", "list"]).withColumn("batch", cut(F.col("m"), BATCH)).drop("m")
-                .groupBy("dim", "list", "batch").applyInArrow(batch, "dim int, list int, q_ids binary, q binary"))
 
     def compare(batches):
         for b in batches:
@@ -194,15 +216,36 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, eps: float = 2.5
                 at = index[r["dim"]]
                 get = lambda c, d=np.float64: np.frombuffer(r[c], d)  # noqa: B023, E731
                 ids = get("ids", np.int64)
-                q, d, s = best(get("q_ids", np.int64), get("q").reshape(-1, r["dim"]), ids, get("vecs").reshape(-1, r["dim"]),
+                q, d, s = best(get("q_ids", np.int64), get("q").reshape(-1, r["dim"]), get("bars"), ids, get("vecs").reshape(-1, r["dim"]),
                                get("codes", np.uint8).reshape(len(ids), -1), get("length"), get("dot"),
                                at.centroids[r["list"]], at.rotation, top, eps)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(s)], names=["query_id", "vec_id", "score"])
 
+    def near(queries: DataFrame) -> DataFrame:
+        """query_id, vec_id, score from the lists that (vec_id, vec, dim, bar) probe."""
+        asked = queries.mapInArrow(probes, "vec_id long, vec binary, dim int, bar double, lists array<int>").select(
+            "vec_id", "vec", "dim", "bar", F.explode("lists").alias("list"))
+        asked = staged(asked, "ann_ask")
+        asks = asked.groupBy("dim", "list").agg(F.count("*").alias("m"))
+        batches_ = (asked.join(asks, ["dim", "list"]).withColumn("batch", cut(F.col("m"), BATCH)).drop("m")
+                    .groupBy("dim", "list", "batch")
+                    .applyInArrow(batch, "dim int, list int, q_ids binary, q binary, bars binary"))
+        # the batches of a list meet its blocks; both sides are bounded packed rows
+        return batches_.join(blocks, ["dim", "list"]).mapInArrow(compare, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        packed = found.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")).alias("all"))
+        return packed.select("query_id", F.slice(F.array_sort("all"), 1, top).alias("all"))
+
     long_texts_ok(vectors)
-    # the batches of a list meet its blocks; both sides are bounded packed rows
-    near = batches_.join(blocks, ["dim", "list"]).mapInArrow(compare, "query_id long, vec_id long, score double")
-    packed = near.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")).alias("all"))
-    ranked = packed.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, top)).alias("place", "r"))
-    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"),
-                         F.col("r.vec_id").alias("vec_id"), (-F.col("r.far")).alias("score"))
+    queries = placed.where("query").select("vec_id", "vec", "dim")
+    begun = staged(ranked(near(queries.withColumn("bar", F.lit(float("nan"))))), "ann_near")
+    # a query that found fewer than asked for has nothing to pass
+    bars = begun.select(F.col("query_id").alias("vec_id"), F.when(
+        F.size("all") >= top, -F.element_at("all", -1).getField("far")).otherwise(F.lit(float("-inf"))).alias("bar"))
+    others = near(queries.join(bars, "vec_id"))
+    found = begun.select("query_id", F.explode("all").alias("r")).select(
+        "query_id", "r.vec_id", (-F.col("r.far")).alias("score")).unionByName(others)
+    return ranked(found).select("query_id", F.posexplode("all").alias("place", "r")).select(
+        "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"),
+        (-F.col("r.far")).alias("score"))

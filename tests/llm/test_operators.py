@@ -373,6 +373,22 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_are_whole_at_any_size(spark):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((6000, 16))
+    x[:3000] = 8 * x[rng.integers(0, 6, 3000)] + 0.1 * x[:3000]  # clusters, and vectors without any
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 60 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 60):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 2000 >= 0.995
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(6)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal((50, 64))
