@@ -220,7 +220,9 @@ def identify(docs: DataFrame, learn: Column | None = None, **options) -> DataFra
 
 def keep_identified(docs: DataFrame, learn: Column | None = None, **options) -> DataFrame:
     """The documents that are in some language, with all their columns; those
-    predicted ``und`` go. Rows stay where they are: nothing is joined."""
+    predicted ``und`` go, which are the ones without a letter. If no language is
+    learned, the documents with a letter stay too. Rows stay where they are:
+    nothing is joined."""
     learn = fold(docs["doc_id"], 5) != 0 if learn is None else learn
     langs, table = train(docs, learn)
     columns = docs.columns
@@ -228,6 +230,8 @@ def keep_identified(docs: DataFrame, learn: Column | None = None, **options) ->
     text, doc_id = (f"c{columns.index(c)}" for c in ("text", "doc_id"))
 
     def keep(_: int, t: pa.Table) -> pa.Table:
+        if not langs:
+            return t.filter(pa.array(has_letter(*utf8(t.column(text)))))
         got = infer(t.column(doc_id), t.column(text), langs, table, **options)
         return t.filter(pc.not_equal(got.column("lang_pred"), UNKNOWN))
 

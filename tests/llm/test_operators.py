@@ -554,6 +554,11 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
+def test_language_stage_without_languages_keeps_letters(spark):
+    rows = [(1, "some text", None, "a"), (2, "12 --", None, "a"), (3, None, None, "a"), (4, "漢字", None, "a"), (5, "", None, "a")]
+    assert sorted(r.doc_id for r in langid.keep_identified(spark.createDataFrame(rows, DOCS)).collect()) == [1, 4]
+
+
 def test_language_id_of_many_languages():
     own = [" ".join(f"{a}{b}{c}{a}" for b in "aeiou" for c in "lmnr") for a in "bdfgk"]  # five of 20 words each
     tables = []
