@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, lm, mixing, neardup, packing, secrets, substring, toxicity
+from . import (ann, jaccard, langid, lines, lm, mixing, neardup, packing, ranked, repair, secrets, substring,
+               toxicity)
 from .common import fold, table
 
 
@@ -60,11 +61,29 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "n_langs"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (lines.dedup(table(spark, sf_dir, "documents"), carry=[])
+            .select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard, op2_secrets, op3_lm, op4_substring, op5_toxicity, op6_ann, op7_packing, op8_mixing,
-                                op9_neardup, op10_langid)
+                                op9_neardup, op10_langid, op11_lines, op12_ranked, op13_repair)
 }
 
+#: crc32 of the ASCII string k, a bit at a time
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda v, nil: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_jaccard": r"""
 WITH RECURSIVE d AS (
@@ -151,4 +170,103 @@ r AS (SELECT d.*, t.source_size, t.target,
 c AS (SELECT *, least(floor(start + per_doc * (k + 1)) - floor(start + per_doc * k), 3)::BIGINT AS copies FROM r)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM c
 """,
+    "op11_lines": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM d),
+k AS (SELECT r, doc_id, nth, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+g AS (SELECT r, list(nth) AS gone FROM k JOIN f USING (key)
+      WHERE first IS NOT NULL AND (doc_id IS NULL OR doc_id > first) GROUP BY r)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+       sha256(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10)))
+         AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+""",
+    "op12_ranked": r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r, list_transform(
+           regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+           lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms
+  FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM t WHERE len(terms) > 0),
+p AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n
+      FROM (SELECT r, doc_id, unnest(terms) AS term, len(terms) AS n FROM t) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM p, c GROUP BY term),
+q AS (SELECT item_id, i, term, count(*)::BIGINT AS times FROM (
+        SELECT item_id, row_number() OVER () AS i, unnest(list_transform(
+           regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+           lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+        FROM benchmark) GROUP BY ALL),
+s AS (SELECT i, any_value(q.item_id) AS item_id, any_value(p.doc_id) AS doc_id, sum(q.times * w.w * (
+               (1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * c.n_docs) // c.n_terms))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY i, p.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+""",
+    "op13_repair": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, [CRC] % 20 AS draw FROM c),
+e AS (SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE draw WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM h WHERE draw <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(role || ':' || text), copy) AS k,
+             regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM e),
+f AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS prior,
+             CASE WHEN final = '' THEN 'blank'
+                  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                  WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM o),
+-- states of the output: 0 nothing, 1 after s, 2 after u, 3 after a; the ways of one row from state to state
+w AS (SELECT * FROM (VALUES (0, 0, 0, 0), (0, 1, 2, 1), (0, 2, 3, 2), (1, 0, 1, 0), (1, 1, 2, 1), (1, 2, 3, 2),
+                            (2, 0, 2, 0), (2, 1, 3, 1), (2, 2, 2, 2), (3, 0, 3, 0), (3, 1, 2, 1), (3, 2, 3, 2))
+             AS t(i, ins, mid, _)),
+x AS (SELECT * FROM (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) AS t(out, mid, j)),
+ways AS (
+  SELECT y.sym, w.i, w.mid AS j, 5 * w.ins + 2 AS cost, repeat('I', w.ins) || 'D' AS audit
+  FROM w, (VALUES ('sn'), ('un'), ('an'), ('xn'), ('st'), ('ut'), ('at'), ('xt'), ('d')) AS y(sym)
+  UNION ALL
+  SELECT x.out || y.t, w.i, x.j, 5 * w.ins + y.more, repeat('I', w.ins) || 'K'
+  FROM w JOIN x USING (mid), (VALUES ('n', 0), ('t', 5)) AS y(t, more)
+  UNION ALL
+  SELECT z.r || y.t, w.i, x.j, 5 * w.ins + 1 + y.more, repeat('I', w.ins) || 'R'
+  FROM w JOIN x USING (mid), (VALUES ('n', 0), ('t', 5)) AS y(t, more), (VALUES ('s'), ('u'), ('a'), ('x')) AS z(r)
+  WHERE x.out <> 's'),
+cells AS (SELECT s.sym, a.i AS i, b.j AS j FROM (SELECT DISTINCT sym FROM ways) s, range(4) a(i), range(4) b(j)),
+best AS (SELECT sym, i, j, min({'c': cost, 'a': audit}) AS b FROM ways GROUP BY ALL),
+matrix AS (SELECT sym, list(coalesce(b, {'c': 1000000000, 'a': ''}) ORDER BY i, j) AS m
+           FROM cells LEFT JOIN best USING (sym, i, j) GROUP BY sym),
+g AS (SELECT f.*, m FROM f JOIN matrix ON sym = CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' ELSE
+        CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END || CASE fault WHEN 'truncated' THEN 't' ELSE 'n' END END),
+r AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+             count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+             count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+             count(*) FILTER (WHERE prior || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+             list({'role': role, 'text': text} ORDER BY k) AS rows,
+             list_reduce(list(m ORDER BY k), lambda p, q: list_transform(range(16), lambda ij: list_min(
+               list_transform(range(4), lambda v: {
+                 'c': p[(ij // 4) * 4 + v + 1].c + q[v * 4 + ij % 4 + 1].c,
+                 'a': p[(ij // 4) * 4 + v + 1].a || q[v * 4 + ij % 4 + 1].a})))) AS m
+      FROM g GROUP BY conv_id),
+z AS (SELECT *, list_min([{'c': m[1].c, 'a': m[1].a}, {'c': m[2].c + 10, 'a': m[2].a || 'II'},
+                          {'c': m[3].c + 5, 'a': m[3].a || 'I'}, {'c': m[4].c, 'a': m[4].a}]) AS b FROM r),
+-- each letter of the audit with its row and, for letters that write, its place in the output
+a AS (SELECT *, list_transform(range(1, length(b.a) + 1), lambda i: {
+        'op': b.a[i], 'row': rows[length(replace(b.a[:i], 'I', ''))],
+        'nth': length(replace(b.a[:i - 1], 'D', ''))}) AS steps FROM z),
+u AS (SELECT *, list_filter(steps, lambda s: s.op <> 'D') AS outs FROM a),
+v AS (SELECT *, CASE WHEN outs[1].op = 'K' AND outs[1].row.role[1] = 's' THEN 1 ELSE 0 END AS sys FROM u),
+n AS (SELECT *, array_to_string(list_transform(outs, lambda s: CASE s.op WHEN 'K' THEN s.row.role
+             ELSE CASE WHEN (s.nth - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' ||
+             CASE s.op WHEN 'I' THEN '' ELSE s.row.text END), chr(10)) AS repaired FROM v)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit,
+       sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM i.conv_id
+""".replace("[CRC]", _CRC32),
 }
