@@ -35,4 +35,4 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_one_query_per_operator():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))

@@ -33,6 +33,10 @@ def test_columns(spark):
         "op8_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
         "op9_neardup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
         "op10_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
+        "op11_lines": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+        "op12_ranked": "item_id bigint, rank int, doc_id bigint, score bigint",
+        "op13_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, "
+                       "cost bigint, audit string, repaired_sha256 string",
     }
     for name, columns in expected.items():
         types = dict(QUERIES[name](spark, SF).dtypes)
