@@ -2,14 +2,13 @@
 
 Detail pages -> typed share records:
 
-1. ``scan_detail_pages``: ``mapInArrow`` over (page_id, url, html) emits one
-   row per page, with its labelled rows as an array in document order. The
-   wide ``html`` column goes no further; nothing else runs in Python.
-2. ``assign_properties``: row-local. For each of the 27 properties, the value
-   of the LAST row whose lower-cased label contains the property's term --
-   even when that row has no value (then the property is NULL). No shuffle
-   and no sort: a page's rows never leave its row.
-3. ``typed_wide``: the property parsers (Column expressions) turn the
+1. ``scan_properties``: ``mapInArrow`` over (page_id, url, html) emits one row per
+   page with the raw string of each of the 27 properties: the value of the LAST
+   row whose lower-cased label contains the property's term -- even when that row
+   has no value (then the property is NULL). Each label is read once. The wide
+   ``html`` column goes no further; nothing else runs in Python, and a page's
+   rows never leave its row: no shuffle, no sort.
+2. ``typed_wide``: the property parsers (Column expressions) turn the
    raw strings into the four satellite records.
 
 Listing pages -> instruments: ``scan_links`` + ``classify_links``.
@@ -18,6 +17,7 @@ Listing pages -> instruments: ``scan_links`` + ``classify_links``.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +25,14 @@ from .. import schemas
 from ..functions import parsers as P
 from . import html_scan
 
-_LABELLED = pa.list_(pa.struct([("table_ord", pa.int32()), ("row_ord", pa.int32()),
-                                ("label", pa.string()), ("value", pa.string())]))
-_PAGES_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("fetched_at", pa.timestamp("us")),
-                          ("empty_page", pa.bool_()), ("rows", _LABELLED)])
+_PAGE = [("page_id", pa.int64()), ("url", pa.string()), ("fetched_at", pa.timestamp("us")), ("empty_page", pa.bool_())]
+_PROPERTIES_ARROW = pa.schema([*_PAGE, *[(name, pa.string()) for name in schemas.PROPERTY_NAMES]])
+_ROWS_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("table_ord", pa.int32()),
+                         ("row_ord", pa.int32()), ("label", pa.string()), ("value", pa.string())])
 _LINKS_ARROW = pa.schema([("page_id", pa.int64(), False), ("link_ord", pa.int32(), False),
                           ("href", pa.string()), ("name", pa.string()),
                           ("empty_page", pa.bool_())])
+_TERMS = tuple(term for _, term, _, _ in schemas.PROPERTIES)
 
 
 def _with_fetch_time(pages: DataFrame) -> DataFrame:
@@ -40,27 +41,42 @@ def _with_fetch_time(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", at.cast("timestamp_ntz").alias("fetched_at"))
 
 
-def _detail_iter(batches):
+def _empty(html: pa.Array) -> pa.Array:
+    return pc.equal(pc.fill_null(pc.binary_length(html), 0), 0)
+
+
+def _properties_iter(batches):
     for batch in batches:
-        htmls = [h.as_py() for h in batch.column("html")]
-        rows = [html_scan.detail_rows(h) if h else [] for h in htmls]
+        html = batch.column("html")
+        values = list(zip(*html_scan.properties_of(html_scan.Pages(html), _TERMS))) or [()] * len(_TERMS)
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url").cast(pa.string()),
-             batch.column("fetched_at").cast(pa.timestamp("us")), pa.array([not h for h in htmls], pa.bool_()),
-             pa.array([[dict(zip(("table_ord", "row_ord", "label", "value"), r)) for r in page] for page in rows],
-                      _LABELLED)], schema=_PAGES_ARROW)
+             batch.column("fetched_at").cast(pa.timestamp("us")), _empty(html),
+             *[pa.array(v, pa.string()) for v in values]], schema=_PROPERTIES_ARROW)
 
 
-def scan_detail_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, fetched_at, empty_page, rows): one row per page, its
-    labelled table rows in (table, row) order. Pages are read once."""
-    return _with_fetch_time(pages).mapInArrow(_detail_iter, schemas.DETAIL_PAGES)
+def scan_properties(pages: DataFrame) -> DataFrame:
+    """(page_id, url, fetched_at, empty_page, one raw string column per
+    property): one row per page. Pages are read once."""
+    return _with_fetch_time(pages).mapInArrow(_properties_iter, schemas.PAGE_PROPERTIES)
+
+
+def _rows_iter(batches):
+    for batch in batches:
+        out = {f.name: [] for f in _ROWS_ARROW}
+        ids, urls = batch.column("page_id").to_pylist(), batch.column("url").to_pylist()
+        for page_id, url, rows in zip(ids, urls, html_scan.detail_rows_of(html_scan.Pages(batch.column("html")))):
+            for row in rows:
+                for c, v in zip(out, (page_id, url, *row)):
+                    out[c].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=_ROWS_ARROW)
 
 
 def scan_detail_rows(pages: DataFrame) -> DataFrame:
-    """The labelled rows themselves: (page_id, url, table_ord, row_ord, label,
-    value)."""
-    return scan_detail_pages(pages).select("page_id", "url", F.inline("rows"))
+    """The labelled rows themselves, in document order of their tables: (page_id,
+    url, table_ord, row_ord, label, value). A row of a nested table counts in
+    every table around it."""
+    return pages.select("page_id", "url", "html").mapInArrow(_rows_iter, schemas.DETAIL_ROWS)
 
 
 def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
@@ -72,10 +88,9 @@ def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
     def run(batches):
         for batch in batches:
             out = {c: [] for c in cols}
-            pids, htmls = (batch.column(c).to_pylist() for c in ("page_id", "html"))
-            for pid, html in zip(pids, htmls):
-                empty = html is None or html == ""
-                found = [] if empty else html_scan.links(html, chain, name)
+            html = batch.column("html")
+            scanned = html_scan.links_of(html_scan.Pages(html), chain, name)
+            for pid, empty, found in zip(batch.column("page_id").to_pylist(), _empty(html).to_pylist(), scanned):
                 for k, href, nm in [(-1, None, None)] + found:
                     out["page_id"].append(pid)
                     out["link_ord"].append(k)
@@ -90,19 +105,6 @@ def links_only(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col("link_ord") >= 0).drop("empty_page")
 
 
-def assign_properties(pages: DataFrame) -> DataFrame:
-    """(page_id, url, fetched_at, empty_page, one raw string column per
-    property), row-local."""
-    lowered = pages.select("page_id", "url", "fetched_at", "empty_page", F.transform(
-        "rows", lambda r: F.struct(F.lower(r["label"]).alias("label"), r["value"].alias("value"))).alias("rows"))
-
-    def last_match(term: str) -> Column:
-        hits = F.filter("rows", lambda r: F.contains(r["label"], F.lit(term)))
-        return F.try_element_at(hits, F.lit(-1))["value"]
-    return lowered.select("page_id", "url", "fetched_at", "empty_page",
-                          *[last_match(term).alias(name) for name, term, _, _ in schemas.PROPERTIES])
-
-
 def typed_wide(raw: DataFrame, keep: tuple = ("isin",)) -> DataFrame:
     """Raw property strings -> one typed row per page with the flat store
     columns of all four satellites (``updated_at`` must be on ``raw``),

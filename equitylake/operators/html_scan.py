@@ -1,39 +1,73 @@
-"""Per-page HTML scanning for ``mapInArrow`` (the batch path's only Python step).
+"""Page scanning for ``mapInArrow`` (the batch path's only Python step).
 
-One pass over a page's tags, made for the two page shapes that the jobs read.
-HTML's leniency is applied where those need it: void elements have no content,
-an open ``td``/``th``/``tr``/``li``/``p`` ends at the start of a sibling, an end
-tag closes back to its open element but never across a table, comments and the
-raw text of ``script`` and ``style`` are no markup. Character data between two
-tags is one text node.
+``Pages`` looks at the bytes of a whole Arrow batch at once: numpy finds every
+``<`` and the ``>`` that ends its tag, wherever all quotes up to there plainly
+delimit attribute values. The few other tags are matched one by one, by a pattern
+that never backtracks. What is found follows the HTML5 tokeniser: a quote
+delimits a value only after ``=``; ``-->`` and ``--!>`` end a comment, ``<!-->`` and
+``<!--->`` are whole ones; ``script``, ``style`` and their like hold text without
+entities, ``title`` and ``textarea`` text with them; a tag, comment or value that
+is never ended takes the rest of the page. Only tags cost Python steps, and text
+is decoded only where a selector listens.
+
+Nesting is made for the page shapes that the jobs read: void elements have no
+content, an open ``td``/``th``/``tr``/``li``/``p`` ends at the start of a sibling, an
+end tag closes back to its open element but never across a table. The places of
+open elements are kept per tag name, so an end tag without one costs nothing and
+what is searched is closed: the scan is linear in the page.
 
 * detail rows: for every table (document order) and every ``tr`` inside it
   (nested tables included), the text of the row's first ``strong`` and the first
   text node of its first ``span.t-text.-right``. Rows without a ``strong`` are
   skipped.
+* properties: for each term, the value of the last row whose lower-cased label
+  holds it. A row lies in all tables around it, and the last of these is the
+  innermost, so each row is looked at once; its label goes through one
+  Aho-Corasick automaton of all terms.
 * links: elements that match a chain of nested elements, with their ``href`` and
   the first text node of a name element.
-
-The cost is linear in the page times the depth of its nesting.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
+import numpy as np
+import pyarrow as pa
+
+# FIXED VALUES of HTML: elements without content, elements whose content is text,
+# start tags that end open elements (and where the search for those stops).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# start tag -> (open elements that it ends, where the search for them stops)
+RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
+RAW_ENTITIES = frozenset("title textarea".split())
 _ENDS = {"td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
          "tr": (("tr",), ("table",)), "li": (("li",), ("ul", "ol", "table")),
          **{t: (("tbody", "thead", "tfoot"), ("table",)) for t in ("tbody", "thead", "tfoot")}}
 _ENDS_P = frozenset(("address article aside blockquote div dl fieldset footer form h1 h2 h3 "
                      "h4 h5 h6 header hr main nav ol p pre section table ul").split())
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-_RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style")}
+_STOP_P = ("table", "td", "th", "button")
+
+_NAME = re.compile(rb"[A-Za-z][^ \t\n\f\r/>]*+")
+# the rest of a tag; an unended quoted value runs to the page's end, where no > follows
+_REST = re.compile(rb"""(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"""
+                   rb"""(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)"""
+                   rb"""|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|(?=>)))?+)*+>""")
+_ATTR = re.compile(r"""([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)"""
+                   r"""(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"([^"]*)"|'([^']*)'|([^ \t\n\f\r>"'][^ \t\n\f\r>]*+)|))?""")
+_COMMENT_END = re.compile(rb"--!?>")
+_RAW_END = {t: re.compile(rb"</" + t.encode() + rb"(?=[ \t\n\f\r/>])", re.I) for t in RAW | RAW_ENTITIES}
+# a script may hold a commented script, whose end tag is not its own
+_SCRIPT = re.compile(rb"<!--|-->|<(/?)script(?=[ \t\n\f\r/>])", re.I)
+_BLANKS = re.compile(r"[ \t\n\f\r]+")
+
+_DELIMITS = np.zeros(256, bool)  # no part of an attribute's name
+_DELIMITS[[0x20, 0x09, 0x0A, 0x0C, 0x0D, 0x2F, 0x3C, 0x3E, 0x22, 0x27, 0x3D]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
 
 @dataclass(frozen=True)
@@ -54,18 +88,107 @@ DETAIL_VALUE = Compound("span", ("t-text", "-right"))
 NAV_LINKS = (Compound("nav"), Compound("a"))
 
 
-@dataclass
+# --- tags of a batch of pages
+
+class Pages:
+    """The pages of an Arrow batch. ``page(i)``: the bytes of a page, where its
+    ``<`` lie, and for each the place after its tag if that is plain, else -1."""
+
+    def __init__(self, html: pa.Array | pa.ChunkedArray):
+        if isinstance(html, pa.ChunkedArray):
+            html = html.combine_chunks()
+        html = html.cast(pa.large_binary())
+        _, offsets, data = html.buffers()
+        self.off = np.frombuffer(offsets, np.int64)[html.offset:html.offset + len(html) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.raw = raw[self.off[0]:self.off[-1]]
+        self.off = self.off - self.off[0]
+        self.starts = np.flatnonzero(self.raw == 0x3C)
+        self.cut = np.searchsorted(self.starts, self.off)
+        self.ends = self._plain_ends()
+
+    def _plain_ends(self) -> np.ndarray:
+        raw, lt = self.raw, self.starts
+        if not len(lt):
+            return np.zeros(0, np.int64)
+        page_end = np.repeat(self.off[1:], np.diff(self.cut))
+        gt = np.flatnonzero(raw == 0x3E)
+        at = np.searchsorted(gt, lt)
+        close = np.where(at < len(gt), gt[np.minimum(at, len(gt) - 1)] if len(gt) else 0, len(raw))
+        plain = close < page_end
+        # the quotes before that > come in pairs, each opened by a name and =, and
+        # there are no other values: then none of them is open at the >
+        quote = np.flatnonzero((raw == 0x22) | (raw == 0x27))
+        if len(quote):
+            equal = np.flatnonzero(raw == 0x3D)
+            named = (raw[np.maximum(quote - 1, 0)] == 0x3D) & (quote > 1) & ~_DELIMITS[raw[np.maximum(quote - 2, 0)]]
+            single = raw[quote] == 0x27
+            before = np.searchsorted(equal, quote)
+            a, b = np.searchsorted(quote, lt), np.searchsorted(quote, np.minimum(close, len(raw)))
+
+            def sums(x: np.ndarray, parity: int) -> np.ndarray:
+                """Prefix sums over the quotes of one parity."""
+                y = np.zeros(len(quote) + 1, np.int64)
+                y[1 + parity::2] = x[parity::2]
+                return np.cumsum(y)
+            inside = np.append(before[1:], len(equal)) - before  # = up to the next quote
+            odd = a % 2 == 1
+            unnamed = [sums(~named, p) for p in (0, 1)]
+            held = [sums(inside, p) for p in (0, 1)]
+            singles = np.concatenate([[0], np.cumsum(single)])
+
+            def between(s: list) -> np.ndarray:
+                return np.where(odd, s[1][b] - s[1][a], s[0][b] - s[0][a])
+            equals = np.searchsorted(equal, np.minimum(close, len(raw))) - np.searchsorted(equal, lt)
+            plain &= ((b == a) | (((b - a) % 2 == 0) & (singles[b] == singles[a]) & (between(unnamed) == 0)
+                                  & (equals - between(held) == (b - a) // 2)))
+        return np.where(plain, close + 1 - np.repeat(self.off[:-1], np.diff(self.cut)), -1)
+
+    def __len__(self) -> int:
+        return len(self.off) - 1
+
+    def page(self, i: int) -> tuple[bytes, list[int], list[int]]:
+        a, b = self.cut[i], self.cut[i + 1]
+        return (self.raw[self.off[i]:self.off[i + 1]].tobytes(),
+                (self.starts[a:b] - self.off[i]).tolist(), self.ends[a:b].tolist())
+
+
+def _raw_end(name: str, html: bytes, at: int) -> int:
+    """Where the text content of a raw element ends."""
+    if name != "script":
+        m = _RAW_END[name].search(html, at)
+        return m.start() if m else len(html)
+    state = 0  # 1: in a comment, 2: in a script in it
+    for m in _SCRIPT.finditer(html, at):
+        what = m[0][:3]
+        if what == b"<!-":
+            state = state or 1
+        elif what == b"-->":
+            state = 0
+        elif m[1]:
+            if state < 2:
+                return m.start()
+            state = 1
+        elif state == 1:
+            state = 2
+    return len(html)
+
+
+# --- elements
+
 class Element:
-    """An element while it is open."""
-    tag: str
-    source: str  # its attributes as written
-    taps: list = field(default_factory=list)  # texts that its content goes to
-    data: object = None  # what a scan keeps with it
+    """An element while it is open: what a scan keeps with it."""
+    __slots__ = ("tag", "html", "at", "end", "place", "data", "text")
+
+    def __init__(self, tag: str, html: bytes, at: int, end: int):
+        self.tag, self.html, self.at, self.end = tag, html, at, end
+        self.data = self.text = None
 
     def attributes(self) -> dict:
         """The first of duplicate names wins; entities are decoded."""
         out: dict = {}
-        for name, double, single, bare in _ATTR.findall(self.source):
+        source = self.html[self.at:self.end].decode("utf-8", "replace")
+        for name, double, single, bare in _ATTR.findall(source):
             out.setdefault(name.lower(), unescape(double or single or bare))
         return out
 
@@ -75,136 +198,332 @@ class Element:
         if not c.classes and not c.attrs:
             return True
         a = self.attributes()
-        return set(c.classes) <= set(a.get("class", "").split()) and all(a.get(k) == v for k, v in c.attrs)
-
-
-def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes): kinds ``text``, ``open``, ``close`` and
-    ``cut`` (a comment, which ends a text node)."""
-    at, size = 0, len(html)
-    while at < size:
-        lt = html.find("<", at)
-        if lt != at:
-            text = html[at:lt if lt >= 0 else size]
-            yield "text", unescape(text) if "&" in text else text, ""
-            if lt < 0:
-                return
-            at = lt
-        if html.startswith("<!--", at):
-            end = html.find("-->", at + 4)
-            yield "cut", "", ""
-            at = size if end < 0 else end + 3
-        elif html.startswith(("<!", "<?"), at):
-            end = html.find(">", at)
-            at = size if end < 0 else end + 1
-        elif m := _TAG.match(html, at):
-            slash, name, rest = m.groups()
-            name, at = name.lower(), m.end()
-            yield "close" if slash else "open", name, rest
-            if not slash and name in _RAW_END:  # raw text up to its end tag
-                end = _RAW_END[name].search(html, at)
-                at = end.start() if end else size
-        else:
-            yield "text", "<", ""
-            at += 1
-
-
-def _walk(html: str, start: Callable[[Element, list], None]) -> None:
-    """Call ``start(element, open elements around it)`` at every start tag. An
-    element's ``taps`` get the text nodes of its content as they end."""
-    stack: list[Element] = []
-    text: list[str] = []
-
-    def flush() -> None:
+        return set(c.classes) <= set(_BLANKS.split(a.get("class", ""))) and all(a.get(k) == v for k, v in c.attrs)
+
+
+class Text:
+    """The text nodes inside an element, by their numbers."""
+    __slots__ = ("nodes", "first", "end")
+
+    def __init__(self, nodes: list[str]):
+        self.nodes, self.first, self.end = nodes, len(nodes), None
+
+    def all(self) -> str:
+        return "".join(self.nodes[self.first:self.end])
+
+    def node(self) -> str | None:
+        """The first text node."""
+        return self.nodes[self.first] if self.first < (len(self.nodes) if self.end is None else self.end) else None
+
+
+_names: dict[bytes, str] = {}
+
+
+def _name(raw: bytes) -> str:
+    if raw not in _names:
+        if len(_names) > 4096:
+            _names.clear()
+        _names[raw] = raw.lower().decode("utf-8", "replace")
+    return _names[raw]
+
+
+class Scan:
+    """One page: ``run`` calls ``opened`` and ``closed`` for every element."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.where: dict[str, list[int]] = {}  # places of the open elements of a name
+        self.nodes: list[str] = []
+        self.listening = 0
+
+    def opened(self, e: Element) -> None:
+        """``e`` starts (it is not yet on the stack)."""
+
+    def closed(self, e: Element) -> None:
+        """``e`` ends."""
+
+    def listen(self, e: Element) -> Text:
+        """Keep the text nodes of ``e``, which starts."""
+        if e.text is None:
+            e.text = Text(self.nodes)
+            self.listening += e.tag not in VOID
+        return e.text
+
+    def _top(self, names: tuple) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((p[-1] for n in names if (p := self.where.get(n))), default=-1)
+
+    def _close(self, names: tuple, stop: tuple) -> None:
+        at = self._top(names)
+        if at >= 0 and at > self._top(stop):
+            self._cut(at)
+
+    def _cut(self, to: int) -> None:
+        """End all open elements down to this place."""
+        while len(self.stack) > to:
+            e = self.stack.pop()
+            self.where[e.tag].pop()
+            if e.text is not None:
+                e.text.end = len(self.nodes)
+                self.listening -= 1
+            self.closed(e)
+
+    def _say(self, pieces: list[bytes], entities: bool = True) -> None:
+        text = b"".join(pieces).decode("utf-8", "replace")
         if text:
-            node = "".join(text)
-            text.clear()
-            for e in stack:
-                for tap in e.taps:
-                    tap.append(node)
-
-    def close(names: tuple, stop: tuple) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in stop:
-                return
-
-    for kind, name, rest in _tokens(html):
-        if kind == "text":
-            text.append(name)
-            continue
-        flush()
-        if kind == "close":
-            close((name,), () if name == "table" else ("table",))
-        elif kind == "open":
-            if name in _ENDS:
-                close(*_ENDS[name])
-            if name in _ENDS_P:
-                close(("p",), ("table", "td", "th", "button"))
-            element = Element(name, rest)
-            start(element, stack)
-            if name not in VOID:
-                stack.append(element)
-    flush()
+            if "\r" in text:
+                text = text.replace("\r\n", "\n").replace("\r", "\n")
+            self.nodes.append(unescape(text) if entities and "&" in text else text)
+
+    def run(self, html: bytes, starts: list[int], ends: list[int]) -> None:
+        at = 0  # all before is done; text since then is pending
+        size = len(html)
+        pieces: list[bytes] = []  # of the pending text node
+        for lt, end in zip(starts, ends):
+            if lt < at:  # inside a comment, a value or raw text
+                continue
+            c = html[lt + 1:lt + 2]
+            closing = c == b"/"
+            name_at = lt + 1 + closing
+            m = _NAME.match(html, name_at)
+            if m is None:
+                if closing and html.startswith(b">", name_at):  # </> is nothing
+                    if self.listening:
+                        pieces.append(html[at:lt])
+                    at = lt + 3
+                elif c in (b"!", b"?") or (closing and name_at < size):
+                    if self.listening:
+                        self._say([*pieces, html[at:lt]])
+                    pieces.clear()
+                    if html.startswith(b"!--", lt + 1):
+                        if html.startswith((b">", b"->"), lt + 4):
+                            at = html.index(b">", lt + 4) + 1
+                        else:
+                            done = _COMMENT_END.search(html, lt + 4)
+                            at = done.end() if done else size
+                    else:
+                        done = html.find(b">", lt + 1)
+                        at = size if done < 0 else done + 1
+                continue  # else: < is text
+            if self.listening:
+                self._say([*pieces, html[at:lt]])
+            pieces.clear()
+            if end < 0:
+                rest = _REST.match(html, m.end())
+                if rest is None:  # never ended: the rest of the page is the tag
+                    at = size
+                    break
+                end = rest.end()
+            at = end
+            tag = _name(m[0])
+            if closing:
+                if self.where.get(tag):
+                    self._close((tag,), () if tag == "table" else ("table",))
+                continue
+            if tag in _ENDS:
+                self._close(*_ENDS[tag])
+            if tag in _ENDS_P and self.where.get("p"):
+                self._close(("p",), _STOP_P)
+            e = Element(tag, html, m.end(), end - 1)
+            self.opened(e)
+            if tag in VOID:
+                if e.text is not None:
+                    e.text.end = len(self.nodes)
+                self.closed(e)
+                continue
+            self.where.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(e)
+            if tag in RAW or tag in RAW_ENTITIES:
+                at = _raw_end(tag, html, end)
+                if self.listening:
+                    text = html[end:at]
+                    if tag == "textarea" and text[:1] == b"\n":
+                        text = text[1:]
+                    self._say([text], tag in RAW_ENTITIES)
+                if at == size:
+                    break
+            elif tag == "plaintext":
+                if self.listening:
+                    self._say([html[end:]], False)
+                at = size
+                break
+        if self.listening and at < size:
+            self._say([*pieces, html[at:]])
+        self._cut(0)
+
+
+class Row:
+    """A table row: its label, its value and the innermost table around it."""
+    __slots__ = ("around", "label", "value", "number")
+
+
+class DetailScan(Scan):
+    """The labelled rows of a detail page. ``places``: remember for each row its
+    (table, row) in every table around it."""
+
+    def __init__(self, places: bool = False):
+        super().__init__()
+        self.tables: list[list[int]] = []  # open: [number, rows so far]
+        self.n_tables = 0
+        self.rows: list[Row] = []
+        self.wanting: tuple[list[Row], list[Row]] = ([], [])  # open rows without label, without value
+        self.places = places
+
+    def opened(self, e: Element) -> None:
+        tag = e.tag
+        if tag == "tr":
+            if self.tables:
+                row = Row()
+                row.label = row.value = None
+                row.number = len(self.rows)
+                row.around = [tuple(t) for t in self.tables] if self.places else self.tables[-1][0]
+                if self.places:
+                    for t in self.tables:
+                        t[1] += 1
+                self.rows.append(row)
+                for w in self.wanting:
+                    w.append(row)
+                e.data = row
+        elif tag == "table":
+            self.tables.append([self.n_tables, 0])
+            self.n_tables += 1
+        elif tag == DETAIL_LABEL.tag:
+            if self.wanting[0] and e.matches(DETAIL_LABEL):
+                text = self.listen(e)
+                for row in self.wanting[0]:
+                    row.label = text
+                self.wanting[0].clear()
+        elif tag == DETAIL_VALUE.tag and self.wanting[1] and e.matches(DETAIL_VALUE):
+            text = self.listen(e)
+            for row in self.wanting[1]:
+                row.value = text
+            self.wanting[1].clear()
+
+    def closed(self, e: Element) -> None:
+        if e.tag == "tr":
+            for w in self.wanting:  # rows end innermost first
+                if w and w[-1] is e.data:
+                    w.pop()
+        elif e.tag == "table":
+            self.tables.pop()
+
+
+class LinkScan(Scan):
+    """Elements at the end of a chain of nested elements."""
+
+    def __init__(self, chain: tuple, name: Compound | None):
+        super().__init__()
+        self.chain, self.name = chain, name
+        self.steps = [0]  # of the chain, met by the open elements up to each
+        self.found: list[list] = []  # [href, text of the name]
+        self.wanting: list[list] = []  # open links without a name
+
+    def opened(self, e: Element) -> None:
+        step = self.steps[-1]
+        last = len(self.chain) - 1
+        if self.name is not None and self.wanting and e.matches(self.name):
+            text = self.listen(e)
+            for link in self.wanting:
+                link[1] = text
+            self.wanting.clear()
+        if step == last and e.matches(self.chain[last]):
+            e.data = [e.attributes().get("href"), None if self.name is not None else self.listen(e)]
+            self.found.append(e.data)
+            if self.name is not None:
+                self.wanting.append(e.data)
+        elif step < last and e.matches(self.chain[step]):
+            step += 1
+        self.steps.append(step)
+
+    def closed(self, e: Element) -> None:
+        self.steps.pop()
+        if e.data is not None and self.wanting and self.wanting[-1] is e.data:
+            self.wanting.pop()
+
+
+# --- scans of batches
+
+def _one(html: str) -> Pages:
+    return Pages(pa.array([html], pa.large_string()))
+
+
+def detail_rows_of(pages: Pages) -> Iterator[list[tuple[int, int, str, str | None]]]:
+    """Per page, (table_ord, row_ord, label, value) for every labelled table row;
+    a row counts in every table around it."""
+    for i in range(len(pages)):
+        scan = DetailScan(places=True)
+        scan.run(*pages.page(i))
+        out = [(t, r, row.label.all(), row.value.node() if row.value else None)
+               for row in scan.rows if row.label is not None for t, r in row.around]
+        yield sorted(out, key=lambda x: x[:2])
+
+
+class Terms:
+    """Which of some terms a label holds, lower-cased: an automaton of all terms,
+    and what it said of the labels seen (bounded)."""
+
+    def __init__(self, terms: tuple[str, ...]):
+        import ahocorasick
+        self.automaton = ahocorasick.Automaton()
+        same: dict[str, list[int]] = {}
+        for k, term in enumerate(terms):
+            same.setdefault(term, []).append(k)
+        for term, numbers in same.items():
+            self.automaton.add_word(term, numbers)
+        self.automaton.make_automaton()
+        self.known: dict[str, list[int]] = {}
+
+    def of(self, label: str) -> list[int]:
+        got = self.known.get(label)
+        if got is None:
+            got = sorted({k for _, numbers in self.automaton.iter(label.lower()) for k in numbers})
+            if len(label) <= 256:
+                if len(self.known) > 4096:
+                    self.known.clear()
+                self.known[label] = got
+        return got
+
+
+@lru_cache(maxsize=8)
+def _terms(terms: tuple[str, ...]) -> Terms:
+    """One automaton per worker."""
+    return Terms(terms)
+
+
+def properties_of(pages: Pages, terms: tuple[str, ...]) -> Iterator[list[str | None]]:
+    """Per page and term, the value of the last row whose label holds the term, by
+    (table, row); None if that row has no value."""
+    automaton = _terms(terms)
+    for i in range(len(pages)):
+        scan = DetailScan()
+        scan.run(*pages.page(i))
+        best: list = [None] * len(terms)
+        for row in scan.rows:
+            if row.label is not None:
+                for k in automaton.of(row.label.all()):
+                    # rows come in document order, so only an inner table's row can be later
+                    if best[k] is None or row.around >= best[k].around:
+                        best[k] = row
+        yield [row.value.node() if row is not None and row.value is not None else None for row in best]
+
+
+def links_of(pages: Pages, chain: tuple = LISTING_LINKS, name: Compound | None = LISTING_NAME
+             ) -> Iterator[list[tuple[int, str | None, str | None]]]:
+    """Per page, (link_ord, href, name) for every element matching ``chain``; the
+    name is the first text node of the first ``name`` element inside (or of the
+    link itself when ``name`` is None)."""
+    for i in range(len(pages)):
+        scan = LinkScan(chain, name)
+        scan.run(*pages.page(i))
+        yield [(k, href, text.node() if text is not None else None) for k, (href, text) in enumerate(scan.found)]
 
 
 def detail_rows(html: str) -> list[tuple[int, int, str, str | None]]:
-    """(table_ord, row_ord, label, value) for every labelled table row."""
-    tables = 0
-    rows: list[tuple[list, list]] = []  # (places in the tables around, [label texts, value texts])
-
-    def start(e: Element, stack: list) -> None:
-        nonlocal tables
-        if e.tag == "table":
-            e.data = [tables, 0]
-            tables += 1
-        elif e.tag == "tr":
-            around = [x.data for x in stack if x.tag == "table"]
-            e.data = [None, None]
-            rows.append(([tuple(t) for t in around], e.data))
-            for t in around:
-                t[1] += 1
-        elif e.tag in (DETAIL_LABEL.tag, DETAIL_VALUE.tag):
-            for k, c in enumerate((DETAIL_LABEL, DETAIL_VALUE)):
-                wanting = [x.data for x in stack if x.tag == "tr" and x.data[k] is None]
-                if wanting and e.matches(c):
-                    e.taps.append([])
-                    for data in wanting:
-                        data[k] = e.taps[-1]
-
-    _walk(html, start)
-    out = [(t, r, "".join(label), value[0] if value else None)
-           for places, (label, value) in rows if label is not None for t, r in places]
-    return sorted(out, key=lambda x: x[:2])
+    """``detail_rows_of`` one page."""
+    return next(detail_rows_of(_one(html)))
 
 
 def links(html: str, chain: tuple = LISTING_LINKS,
           name: Compound | None = LISTING_NAME) -> list[tuple[int, str | None, str | None]]:
-    """(link_ord, href, name) for every element matching ``chain``; the name is
-    the first text node of the first ``name`` element inside (or of the link
-    itself when ``name`` is None)."""
-    found: list[list] = []  # [href, texts of the name]
-
-    def start(e: Element, stack: list) -> None:
-        if name is not None:
-            wanting = [x.data for x in stack if x.data is not None and x.data[1] is None]
-            if wanting and e.matches(name):
-                e.taps.append([])
-                for link in wanting:
-                    link[1] = e.taps[-1]
-        if e.matches(chain[-1]):
-            want = len(chain) - 2
-            for x in reversed(stack):
-                if want >= 0 and x.matches(chain[want]):
-                    want -= 1
-            if want < 0:
-                e.data = [e.attributes().get("href"), None]
-                if name is None:
-                    e.taps.append([])
-                    e.data[1] = e.taps[-1]
-                found.append(e.data)
-
-    _walk(html, start)
-    return [(k, href, texts[0] if texts else None) for k, (href, texts) in enumerate(found)]
+    """``links_of`` one page."""
+    return next(links_of(_one(html), chain, name))

@@ -111,7 +111,7 @@ def _found(instruments: DataFrame, pages: DataFrame, broadcast_requests: bool) -
         # a request set this large covers most pages: parse them all where
         # they are rather than shuffle HTML; the join below drops the rest
         wanted = pages
-    props = X.assign_properties(X.scan_detail_pages(wanted))
+    props = X.scan_properties(wanted)
     # inner join: AQE may split a URL with very many page copies on either
     # side (a left outer join could only split the request side)
     return props.join(F.broadcast(req) if broadcast_requests else req, "url"), req

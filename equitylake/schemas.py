@@ -127,10 +127,14 @@ METRICS = T.StructType([
     *[_f(k, I, False) for k in ERROR_KINDS],
 ])
 
-# Scanned detail pages: one row per page with its labelled table rows.
-DETAIL_PAGES = T.StructType([
+# Scanned detail pages: one row per page with the raw strings of its properties.
+PAGE_PROPERTIES = T.StructType([
     _f("page_id", T.LongType()), _f("url", S), _f("fetched_at", TS), _f("empty_page", T.BooleanType()),
-    _f("rows", T.ArrayType(T.StructType([_f("table_ord", I), _f("row_ord", I), _f("label", S), _f("value", S)]))),
+    *[_f(name, S) for name in PROPERTY_NAMES],
+])
+# The labelled table rows of detail pages, one row each.
+DETAIL_ROWS = T.StructType([
+    _f("page_id", T.LongType()), _f("url", S), _f("table_ord", I), _f("row_ord", I), _f("label", S), _f("value", S),
 ])
 # Raw listing links produced by the page scanner: one marker row per page
 # (link_ord -1, ``empty_page`` set) plus one row per matching link.

@@ -52,6 +52,96 @@ def test_script_inside_a_comment_and_raw_text():
     assert len(H.detail_rows("<style>td{}</style >" + table + "<!-- open")) == 1
 
 
+def labels(html):
+    return [(r[2], r[3]) for r in H.detail_rows(html)]
+
+
+def test_quotes_delimit_values_only_after_an_equals_sign():
+    two = row("Max Oggi", "7") + "</table>"
+    for tag in ("<tr data-x=don't>", '<tr ">', "<tr a=b'c d=\"e\">", '<tr ="x">', "<tr 'a=\"b\">", '<tr a = "x>y" b=\'"\'>',
+                '<tr a=x"y>', '<tr/>', '<tr a="b"c="d">', "<tr\ta='\"'\n>"):
+        html = f"<table>{tag}<td><strong>Min Oggi</strong><td><span class='t-text -right'>5</span></tr>" + two
+        assert labels(html) == [("Min Oggi", "5"), ("Max Oggi", "7")], tag
+    # a value that is never ended takes the rest of the page
+    assert labels("<table>" + row("Max Oggi", "7") + '<tr a="b>' + row("Min Oggi", "5").replace('"', "'")) == [("Max Oggi", "7")]
+    # two quotes that are not a pair: x has the value q=", k's holds the next tags
+    html = '<table><tr x=q="  k="><td><strong>Min Oggi</strong>">' + row("Max Oggi", "7")[4:] + "</table>"
+    assert labels(html) == [("Max Oggi", "7")]
+
+
+def test_comments_end_as_in_html5():
+    table = "<table>" + row("Max Oggi", "7") + "</table>"
+    for comment in ("<!-- a --!>", "<!-->", "<!--->", "<!-- a -- b -->", "<!---->", "<!a>", "<?x>", "</ x>", "<!doctype html>"):
+        assert labels(comment + table) == [("Max Oggi", "7")], comment
+    assert labels("<table><tr><td><strong>Max </>Oggi<!-- c --> x</strong></table>") == [("Max Oggi x", None)]
+    assert labels("<!-- " + table) == []
+
+
+def test_text_elements():
+    inner = "<strong>no</strong>"
+    for tag in ("textarea", "title", "style", "script", "noscript", "iframe", "xmp"):
+        assert labels(f"<table><tr><td><{tag}>{inner}</{tag} ><strong>Max Oggi</strong></table>") == [("Max Oggi", None)]
+    assert labels("<table><tr><td><strong>a<textarea>\n&lt;b>&amp;</textarea></strong></table>") == [("a<b>&", None)]
+    assert labels("<table><tr><td><script><!-- <script>x</script> --></script><strong>a</strong></table>") == [("a", None)]
+    assert labels("<table><tr><td><plaintext>" + inner) == []
+    assert labels("<table><tr><td><strong>a &lt; b < c\r\nd</strong></table>") == [("a < b < c\nd", None)]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+    for html in ('<a "' * 250_000, "<a b='" * 150_000, '<a b="' * 150_000 + ">", "<div>" * 8000 + "</div>" * 8000,
+                 "<div>" * 8000 + "</b>" * 8000, "<div><table>" + "<span>" * 20_000 + "</div>" * 20_000,
+                 "<table><p><tr><td>" + "<b>" * 20_000 + "<div></div>" * 10_000, "<!--" * 250_000, "<script>" * 100_000,
+                 "</" * 300_000, "<title>" * 100_000, "<table><tr><td><span class='t-text -right'>" * 5000):
+        start = time.process_time()
+        assert len(list(H.properties_of(H._one(html), ("x",)))) == 1 and H.links(html) == []
+        assert time.process_time() - start < 3, html[:40]
+
+
+def test_batches_of_pages_equal_single_pages():
+    import random
+
+    import pyarrow as pa
+    rng = random.Random(4)
+    bits = ["<table>", "<tr>", "<td>", "</td>", "</tr>", "</table>", "<strong>", "</strong>", "<span class='t-text -right'>",
+            '<span class="t-text -right" x=1>', "</span>", "a", "&amp;", "<", ">", '"', "'", "=", "<!--", "-->", "<p ", "/>",
+            "<script>", "</script>", " x=y", ' a="', "è", "<div>", "</div>", "<a class='u-hidden -xs' href=h>"]
+    pages = ["".join(rng.choices(bits, k=rng.randint(0, 60))) for _ in range(400)] + [None, "", PAGE, LISTING]
+    both = pa.array(["skipped", *pages]).slice(1)
+    every = H.Pages(both)
+    for fast, html in zip(H.detail_rows_of(every), pages):
+        assert fast == H.detail_rows(html or "")
+    # plain tag ends are the ends that the tag pattern finds
+    for i, html in enumerate(pages):
+        data, starts, ends = every.page(i)
+        assert data == (html or "").encode()
+        for lt, end in zip(starts, ends):
+            m = H._NAME.match(data, lt + 1 + data.startswith(b"/", lt + 1))
+            if end >= 0 and m:
+                assert H._REST.match(data, m.end()).end() == end, data[lt:lt + 80]
+    assert list(H.links_of(every)) == [H.links(html or "") for html in pages]
+
+
+def test_properties_are_the_last_matches():
+    import random
+    rng = random.Random(9)
+    terms = ("max anno", "min", "anno", "oggi")
+    for _ in range(200):
+        def table(depth):
+            return "<table>" + "".join(
+                "<tr><td><strong>" + rng.choice(["Max Anno", "MIN oggi", "Anno", "x", "oggi min"]) + "</strong>"
+                + (f"<span class='t-text -right'>{rng.randint(0, 99)}</span>" if rng.random() < 0.7 else "")
+                + (table(depth + 1) if rng.random() < 0.3 and depth < 3 else "") + "</td></tr>"
+                for _ in range(rng.randint(1, 4))) + "</table>"
+        html = table(0) + table(0)
+        expected = [None] * len(terms)
+        for _, _, label, value in H.detail_rows(html):
+            for k, t in enumerate(terms):
+                if t in label.lower():
+                    expected[k] = value
+        assert next(H.properties_of(H._one(html), terms)) == expected
+
+
 def test_scan_is_linear_in_the_page():
     import time
 
@@ -71,7 +161,7 @@ def _pages(spark, *htmls):
 
 def test_assign_and_type(spark):
     pages = _pages(spark, PAGE, "<p>no tables</p>", "")
-    props = X.assign_properties(X.scan_detail_pages(pages))
+    props = X.scan_properties(pages)
     empties = {r.page_id: r.empty_page for r in props.collect()}
     assert empties == {1: False, 2: False, 3: True}  # every page has a row
     raw = (props.drop("url")
@@ -96,7 +186,7 @@ def test_assign_and_type(spark):
 def test_one_row_two_properties(spark):
     # a label containing two terms feeds both properties
     pages = _pages(spark, "<table>" + row("Max Oggi / Min Oggi", "7") + "</table>")
-    p = X.assign_properties(X.scan_detail_pages(pages)).collect()[0]
+    p = X.scan_properties(pages).collect()[0]
     assert p.max_oggi == "7" and p.min_oggi == "7"
 
 

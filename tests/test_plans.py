@@ -71,14 +71,13 @@ def test_keyed_aggregations_combine_map_side(spark):
     from equitylake.operators import extract as X
     from equitylake.operators import fetchlog as FL
     from equitylake.operators import merge as M
-    from equitylake import schemas
     hot = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("K"), F.col("id").cast("string"))).alias("isin"),
         F.lit(1.0).alias("id_strumento"), F.lit("c").alias("codice_alfanumerico"),
         F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("updated_at"))
     assert _partial_before_exchange(plan(spark, M.collapse_batch(hot, "share_details")))
-    page = spark.createDataFrame([(1, "u", None, False, [(0, 0, "Max Anno", "1")])], schemas.DETAIL_PAGES)
-    assert not re.search("Exchange|Sort|Aggregate", plan(spark, X.assign_properties(page)))  # row-local
+    page = spark.createDataFrame([(1, "u", "<table></table>")], "page_id long, url string, html string")
+    assert not re.search("Exchange|Sort|Aggregate", plan(spark, X.scan_properties(page)))  # row-local
     log = spark.createDataFrame(
         [("u", 1, 200, False, "b", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1))],
         "url string, attempt_no int, status int, net_error boolean, body string, "
