@@ -36,14 +36,15 @@ def attempt_class(status: Column, net_error: Column) -> Column:
             .otherwise(F.lit("exit")))
 
 
-def _numbered() -> Column:
+def numbered() -> Column:
+    """Whether the retry rules can place an attempt."""
     return F.coalesce(F.col("attempt_no").between(1, MAX_ATTEMPTS), F.lit(False))
 
 
 def rejected(log: DataFrame) -> DataFrame:
     """Attempts that the retry rules can't place, as rejects (isin, table,
     reason): their number is NULL or not within 1 and ``MAX_ATTEMPTS``."""
-    return log.where(~_numbered()).select(
+    return log.where(~numbered()).select(
         F.lit(None).cast("string").alias("isin"), F.lit("attempts").alias("table"),
         F.concat(F.lit("attempt_no_"), F.coalesce(F.col("attempt_no").cast("string"), F.lit("null")),
                  F.lit(" "), F.coalesce("url", F.lit(""))).alias("reason"))
@@ -54,7 +55,7 @@ def resolve(log: DataFrame, budget_s: int = FETCH_BUDGET_S,
     """One row per URL: outcome, error kind, decisive attempt, elapsed ms. A
     decision past the fetch budget or the share's own is a timeout, whichever
     is shorter. ``rejected`` has the attempts that this leaves out."""
-    a = log.where(_numbered()) \
+    a = log.where(numbered()) \
         .withColumn("cls", attempt_class(F.col("status"), F.col("net_error")))
     decisive = F.struct(F.col("attempt_no").alias("n"), F.col("cls").alias("cls"),
                         F.col("ended_at").alias("end"), F.col("status").alias("status"),

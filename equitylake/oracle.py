@@ -288,6 +288,7 @@ def oracle_sql() -> dict[str, str]:
         **added_sql(C),
         "fetch_outcome": FETCH_RESOLVED,
         "fetch_outcome_stream": FETCH_RESOLVED,
+        "fetch_timeout_stream": fetch_timeout_sql(C),
         "isins_json": (f"SELECT share_name, substr(isin, 1, 2) AS country, substr(isin, 3, 9) AS nna, "
                        f"CAST(substr(isin, 12, 1) AS INTEGER) AS check_digit, updated_at FROM ({HUB})"),
         "fetch_metrics": FETCH_METRICS,
@@ -385,6 +386,28 @@ SELECT url, CAST(attempts AS INTEGER) AS attempts, outcome,
        d.n AS decisive_attempt, d.status AS status,
        date_diff('millisecond', start, fin) AS elapsed_ms FROM o"""
 
+def fetch_timeout_sql(C) -> str:
+    return FETCH_LOG + f""",
+a AS (SELECT *, CASE WHEN net_error THEN 'exit' WHEN status = 200 THEN 'return'
+         WHEN status IN (429, 502, 503, 504, 500) THEN 'retry' ELSE 'exit' END AS cls
+      FROM log WHERE attempt_no <= {C.SILENT_AFTER}),
+s AS (SELECT *, min(started_at) OVER (PARTITION BY url) AS start FROM a),
+g AS (SELECT url, start, start + INTERVAL 256 SECOND AS latest,
+         min(struct_pack(n := attempt_no, cls := cls, e := ended_at, status := status,
+                         empty := (body IS NULL OR body = ''))) FILTER (WHERE cls <> 'retry') AS d,
+         count(*) FILTER (WHERE ended_at <= start + INTERVAL 256 SECOND) AS in_time
+      FROM s GROUP BY url, start),
+h AS (SELECT *, d IS NOT NULL AND d.e <= latest AS decided FROM g),
+w AS (SELECT max(ended_at) - INTERVAL {C.LATENESS_MINUTES} MINUTE AS passed FROM a)
+SELECT url, start AS started_at, CAST(CASE WHEN decided THEN d.n ELSE in_time END AS INTEGER) AS attempts,
+       CASE WHEN decided THEN d.cls ELSE 'timeout' END AS outcome,
+       CASE WHEN NOT decided THEN 'timeout' WHEN d.cls = 'exit' THEN 'network_error'
+            WHEN d.empty THEN 'invalid_page' END AS error,
+       CASE WHEN decided THEN d.n END AS decisive_attempt, CASE WHEN decided THEN d.status END AS status,
+       CASE WHEN decided THEN date_diff('millisecond', start, d.e) ELSE 256000 END AS elapsed_ms
+FROM h, w WHERE d IS NOT NULL OR latest < passed"""
+
+
 FETCH_METRICS = ("SELECT CAST(count(*) AS INTEGER) AS total, "
                  "CAST(count(*) FILTER (WHERE error IS NULL) AS INTEGER) AS successful, "
                  + ", ".join(f"CAST(count(*) FILTER (WHERE error = '{k}') AS INTEGER) AS {k}"

@@ -540,6 +540,32 @@ def fetch_outcome_stream(spark, sf_dir):
     return fetch_stream.resolved(spark, out)
 
 
+#: of the log that goes silent: attempts after this one never arrive
+SILENT_AFTER = 3
+LATENESS_MINUTES = 10
+
+
+def fetch_timeout_stream(spark, sf_dir):
+    """A log whose URLs go silent after their third attempt, replayed in order of
+    time in eight micro-batches with event-time timers: the final outcome of every
+    fetch that is decided or whose budget the watermark has passed, undecided
+    ones as timeouts."""
+    from ..session import staging_path
+    from ..streaming import fetch_timers
+    log = jobs._stage(adapter.fetch_attempts(spark, sf_dir).where(F.col("attempt_no") <= SILENT_AFTER), "silent-log")
+    ended = F.unix_micros(F.col("ended_at").cast("timestamp_ltz"))
+    cuts = log.agg(F.percentile_approx(ended, [k / 8 for k in range(1, 8)])).first()[0] or []
+    path = staging_path(spark, "silent-files")
+    part = sum((F.when(ended > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    for k in range(len(set(cuts)) + 1):  # a file source takes older files first
+        log.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    out = staging_path(spark, "timed-outcomes")
+    attempts = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    fetch_timers.start_timed_resolver(attempts, out, staging_path(spark, "timed-ckpt"), available_now=True,
+                                      lateness=f"{LATENESS_MINUTES} minutes").awaitTermination()
+    return fetch_timers.outcomes(spark, out)
+
+
 def fetch_outcome_share_budget(spark, sf_dir):
     """The attempt log under a share budget of 100 s, shorter than the fetch's."""
     return FL.resolve(adapter.fetch_attempts(spark, sf_dir), share_budget_s=100)
@@ -612,6 +638,7 @@ QUERIES = {
     "discovery_grid_metrics": discovery_grid_metrics,
     "fetch_outcome": fetch_outcome,
     "fetch_outcome_stream": fetch_outcome_stream,
+    "fetch_timeout_stream": fetch_timeout_stream,
     "fetch_metrics": fetch_metrics,
     "write_validation": write_validation,
     "empty_records": empty_records,
