@@ -51,7 +51,7 @@ _ENDS_P = frozenset(("address article aside blockquote div dl fieldset footer fo
                      "h4 h5 h6 header hr main nav ol p pre section table ul").split())
 _STOP_P = ("table", "td", "th", "button")
 
-_NAME = re.compile(rb"[A-Za-z][^ \t\n\f\r/>]*+")
+_NAME = re.compile(rb"[A-Za-z][^ \t\n\f\r/>]*+")  # longer ones than numpy compares
 # the rest of a tag; an unended quoted value runs to the page's end, where no > follows
 _REST = re.compile(rb"""(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"""
                    rb"""(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)"""
@@ -66,6 +66,10 @@ _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 _DELIMITS = np.zeros(256, bool)  # no part of an attribute's name
 _DELIMITS[[0x20, 0x09, 0x0A, 0x0C, 0x0D, 0x2F, 0x3C, 0x3E, 0x22, 0x27, 0x3D]] = True
+_ENDS_NAME = np.zeros(256, bool)
+_ENDS_NAME[[0x20, 0x09, 0x0A, 0x0C, 0x0D, 0x2F, 0x3E, 0x00]] = True
+_UPPER = np.zeros(256, bool)
+_UPPER[0x41:0x5B] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
@@ -92,7 +96,8 @@ NAV_LINKS = (Compound("nav"), Compound("a"))
 
 class Pages:
     """The pages of an Arrow batch. ``page(i)``: the bytes of a page, where its
-    ``<`` lie, and for each the place after its tag if that is plain, else -1."""
+    ``<`` lie, for each the place after its tag if that is plain, else -1, and the
+    tags with their names."""
 
     def __init__(self, html: pa.Array | pa.ChunkedArray):
         if isinstance(html, pa.ChunkedArray):
@@ -106,6 +111,28 @@ class Pages:
         self.starts = np.flatnonzero(self.raw == 0x3C)
         self.cut = np.searchsorted(self.starts, self.off)
         self.ends = self._plain_ends()
+        self.tags, self.names = self._tags()
+
+    def _tags(self) -> tuple[np.ndarray, list[str]]:
+        """For every ``<`` its tag: twice the name's number in the list, one more for
+        an end tag; -1 if no name of up to eight bytes follows."""
+        lt, size = self.starts, len(self.raw)
+        if not len(lt):
+            return np.zeros(0, np.int64), []
+        raw = np.concatenate([self.raw, np.zeros(10, np.uint8)])
+        closing = raw[lt + 1] == 0x2F
+        at = lt + 1 + closing
+        # up to eight bytes and what follows; a page's end ends them, too
+        name = raw[at[:, None] + np.arange(9)]
+        page_end = np.repeat(self.off[1:], np.diff(self.cut))
+        over = _ENDS_NAME[name] | (at[:, None] + np.arange(9) >= page_end[:, None])
+        length = np.where(over.any(axis=1), over.argmax(axis=1), 9)
+        name = np.where(_UPPER[name], name | 0x20, name)
+        name[np.arange(9) >= length[:, None]] = 0
+        known, number = np.unique(np.ascontiguousarray(name[:, :8]).view(np.uint64).ravel(), return_inverse=True)
+        names = [k.tobytes().rstrip(b"\0").decode("utf-8", "replace") for k in known]
+        is_tag = _LETTER[raw[at]] & (at < np.minimum(page_end, size)) & (length < 9)
+        return np.where(is_tag, 2 * number + closing, -1), names
 
     def _plain_ends(self) -> np.ndarray:
         raw, lt = self.raw, self.starts
@@ -147,10 +174,10 @@ class Pages:
     def __len__(self) -> int:
         return len(self.off) - 1
 
-    def page(self, i: int) -> tuple[bytes, list[int], list[int]]:
+    def page(self, i: int) -> tuple[bytes, list[int], list[int], list[int], list[str]]:
         a, b = self.cut[i], self.cut[i + 1]
-        return (self.raw[self.off[i]:self.off[i + 1]].tobytes(),
-                (self.starts[a:b] - self.off[i]).tolist(), self.ends[a:b].tolist())
+        return (self.raw[self.off[i]:self.off[i + 1]].tobytes(), (self.starts[a:b] - self.off[i]).tolist(),
+                self.ends[a:b].tolist(), self.tags[a:b].tolist(), self.names)
 
 
 def _raw_end(name: str, html: bytes, at: int) -> int:
@@ -178,7 +205,7 @@ def _raw_end(name: str, html: bytes, at: int) -> int:
 
 class Element:
     """An element while it is open: what a scan keeps with it."""
-    __slots__ = ("tag", "html", "at", "end", "place", "data", "text")
+    __slots__ = ("tag", "html", "at", "end", "data", "text")
 
     def __init__(self, tag: str, html: bytes, at: int, end: int):
         self.tag, self.html, self.at, self.end = tag, html, at, end
@@ -216,28 +243,20 @@ class Text:
         return self.nodes[self.first] if self.first < (len(self.nodes) if self.end is None else self.end) else None
 
 
-_names: dict[bytes, str] = {}
-
-
-def _name(raw: bytes) -> str:
-    if raw not in _names:
-        if len(_names) > 4096:
-            _names.clear()
-        _names[raw] = raw.lower().decode("utf-8", "replace")
-    return _names[raw]
-
-
 class Scan:
-    """One page: ``run`` calls ``opened`` and ``closed`` for every element."""
+    """One page: ``run`` calls ``opened`` and ``closed`` for every element whose tag
+    is in ``watched``."""
+    watched: frozenset = frozenset()
 
     def __init__(self):
-        self.stack: list[Element] = []
-        self.where: dict[str, list[int]] = {}  # places of the open elements of a name
+        self.stack: list[str] = []  # tags of the open elements
+        self.open: list[Element] = []  # the watched ones
+        self.where: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
         self.nodes: list[str] = []
         self.listening = 0
 
     def opened(self, e: Element) -> None:
-        """``e`` starts (it is not yet on the stack)."""
+        """``e`` starts."""
 
     def closed(self, e: Element) -> None:
         """``e`` ends."""
@@ -246,27 +265,37 @@ class Scan:
         """Keep the text nodes of ``e``, which starts."""
         if e.text is None:
             e.text = Text(self.nodes)
-            self.listening += e.tag not in VOID
+            self.listening += 1
         return e.text
 
-    def _top(self, names: tuple) -> int:
-        """Place of the innermost open element of these names, or -1."""
-        return max((p[-1] for n in names if (p := self.where.get(n))), default=-1)
-
-    def _close(self, names: tuple, stop: tuple) -> None:
-        at = self._top(names)
+    def _top(self, tags: tuple) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        at = -1
+        for t in tags:
+            places = self.where.get(t)
+            if places and places[-1] > at:
+                at = places[-1]
+        return at
+
+    def _close(self, tags: tuple, stop: tuple) -> None:
+        at = self._top(tags)
         if at >= 0 and at > self._top(stop):
             self._cut(at)
 
     def _cut(self, to: int) -> None:
         """End all open elements down to this place."""
-        while len(self.stack) > to:
-            e = self.stack.pop()
-            self.where[e.tag].pop()
-            if e.text is not None:
-                e.text.end = len(self.nodes)
-                self.listening -= 1
-            self.closed(e)
+        stack, where = self.stack, self.where
+        while len(stack) > to:
+            tag = stack.pop()
+            where[tag].pop()
+            if tag in self.watched:
+                self._end(self.open.pop())
+
+    def _end(self, e: Element) -> None:
+        if e.text is not None:
+            e.text.end = len(self.nodes)
+            self.listening -= 1
+        self.closed(e)
 
     def _say(self, pieces: list[bytes], entities: bool = True) -> None:
         text = b"".join(pieces).decode("utf-8", "replace")
@@ -275,64 +304,64 @@ class Scan:
                 text = text.replace("\r\n", "\n").replace("\r", "\n")
             self.nodes.append(unescape(text) if entities and "&" in text else text)
 
-    def run(self, html: bytes, starts: list[int], ends: list[int]) -> None:
+    def run(self, html: bytes, starts: list[int], ends: list[int], tags: list[int], names: list[str]) -> None:
         at = 0  # all before is done; text since then is pending
         size = len(html)
         pieces: list[bytes] = []  # of the pending text node
-        for lt, end in zip(starts, ends):
+        stack, where, watched, unnested = self.stack, self.where, self.watched, _ENDS.keys() | _ENDS_P
+        for lt, end, tag in zip(starts, ends, tags):
             if lt < at:  # inside a comment, a value or raw text
                 continue
-            c = html[lt + 1:lt + 2]
-            closing = c == b"/"
-            name_at = lt + 1 + closing
-            m = _NAME.match(html, name_at)
-            if m is None:
-                if closing and html.startswith(b">", name_at):  # </> is nothing
-                    if self.listening:
-                        pieces.append(html[at:lt])
-                    at = lt + 3
-                elif c in (b"!", b"?") or (closing and name_at < size):
-                    if self.listening:
-                        self._say([*pieces, html[at:lt]])
-                    pieces.clear()
-                    if html.startswith(b"!--", lt + 1):
-                        if html.startswith((b">", b"->"), lt + 4):
-                            at = html.index(b">", lt + 4) + 1
-                        else:
-                            done = _COMMENT_END.search(html, lt + 4)
-                            at = done.end() if done else size
-                    else:
-                        done = html.find(b">", lt + 1)
-                        at = size if done < 0 else done + 1
-                continue  # else: < is text
+            if tag >= 0:
+                closing = tag & 1
+                tag = names[tag >> 1]
+                name_end = lt + 1 + closing + len(tag)
+            else:
+                closing = html.startswith(b"/", lt + 1)
+                m = _NAME.match(html, lt + 1 + closing)
+                if m is None:
+                    at = self._no_tag(html, lt, at, pieces)
+                    continue
+                tag, name_end = m[0].lower().decode("utf-8", "replace"), m.end()
             if self.listening:
                 self._say([*pieces, html[at:lt]])
-            pieces.clear()
+            if pieces:
+                pieces.clear()
             if end < 0:
-                rest = _REST.match(html, m.end())
+                rest = _REST.match(html, name_end)
                 if rest is None:  # never ended: the rest of the page is the tag
                     at = size
                     break
                 end = rest.end()
             at = end
-            tag = _name(m[0])
             if closing:
-                if self.where.get(tag):
+                if stack and stack[-1] == tag:
+                    stack.pop()
+                    where[tag].pop()
+                    if tag in watched:
+                        self._end(self.open.pop())
+                elif where.get(tag):
                     self._close((tag,), () if tag == "table" else ("table",))
                 continue
-            if tag in _ENDS:
-                self._close(*_ENDS[tag])
-            if tag in _ENDS_P and self.where.get("p"):
-                self._close(("p",), _STOP_P)
-            e = Element(tag, html, m.end(), end - 1)
-            self.opened(e)
-            if tag in VOID:
-                if e.text is not None:
-                    e.text.end = len(self.nodes)
-                self.closed(e)
+            if tag in unnested:
+                if tag in _ENDS:
+                    self._close(*_ENDS[tag])
+                if tag in _ENDS_P and where.get("p"):
+                    self._close(("p",), _STOP_P)
+            if tag in watched:
+                e = Element(tag, html, name_end, end - 1)
+                self.opened(e)
+                if tag in VOID:
+                    self._end(e)
+                    continue
+                self.open.append(e)
+            elif tag in VOID:
                 continue
-            self.where.setdefault(tag, []).append(len(self.stack))
-            self.stack.append(e)
+            if tag in where:
+                where[tag].append(len(stack))
+            else:
+                where[tag] = [len(stack)]
+            stack.append(tag)
             if tag in RAW or tag in RAW_ENTITIES:
                 at = _raw_end(tag, html, end)
                 if self.listening:
@@ -351,6 +380,27 @@ class Scan:
             self._say([*pieces, html[at:]])
         self._cut(0)
 
+    def _no_tag(self, html: bytes, lt: int, at: int, pieces: list[bytes]) -> int:
+        """What a ``<`` without a tag name is: a comment, nothing, or text. Returns the
+        place after what is done."""
+        c = html[lt + 1:lt + 2]
+        if html.startswith(b"/>", lt + 1):  # </> is nothing
+            if self.listening:
+                pieces.append(html[at:lt])
+            return lt + 3
+        if not (c in (b"!", b"?") or (c == b"/" and lt + 2 < len(html))):
+            return at
+        if self.listening:
+            self._say([*pieces, html[at:lt]])
+        pieces.clear()
+        if not html.startswith(b"!--", lt + 1):
+            done = html.find(b">", lt + 1)
+            return len(html) if done < 0 else done + 1
+        if html.startswith((b">", b"->"), lt + 4):
+            return html.index(b">", lt + 4) + 1
+        found = _COMMENT_END.search(html, lt + 4)
+        return found.end() if found else len(html)
+
 
 class Row:
     """A table row: its label, its value and the innermost table around it."""
@@ -360,6 +410,7 @@ class Row:
 class DetailScan(Scan):
     """The labelled rows of a detail page. ``places``: remember for each row its
     (table, row) in every table around it."""
+    watched = frozenset(("table", "tr", DETAIL_LABEL.tag, DETAIL_VALUE.tag))
 
     def __init__(self, places: bool = False):
         super().__init__()
@@ -414,6 +465,7 @@ class LinkScan(Scan):
     def __init__(self, chain: tuple, name: Compound | None):
         super().__init__()
         self.chain, self.name = chain, name
+        self.watched = frozenset(c.tag for c in (*chain, *([name] if name else [])))
         self.steps = [0]  # of the chain, met by the open elements up to each
         self.found: list[list] = []  # [href, text of the name]
         self.wanting: list[list] = []  # open links without a name

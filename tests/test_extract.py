@@ -105,7 +105,7 @@ def test_batches_of_pages_equal_single_pages():
     rng = random.Random(4)
     bits = ["<table>", "<tr>", "<td>", "</td>", "</tr>", "</table>", "<strong>", "</strong>", "<span class='t-text -right'>",
             '<span class="t-text -right" x=1>', "</span>", "a", "&amp;", "<", ">", '"', "'", "=", "<!--", "-->", "<p ", "/>",
-            "<script>", "</script>", " x=y", ' a="', "è", "<div>", "</div>", "<a class='u-hidden -xs' href=h>"]
+            "<script>", "</script>", "<blockquote>", "</fieldset>", "<Section/", "<B", " x=y", ' a="', "è", "<div>", "</div>", "<a class='u-hidden -xs' href=h>"]
     pages = ["".join(rng.choices(bits, k=rng.randint(0, 60))) for _ in range(400)] + [None, "", PAGE, LISTING]
     both = pa.array(["skipped", *pages]).slice(1)
     every = H.Pages(both)
@@ -113,10 +113,13 @@ def test_batches_of_pages_equal_single_pages():
         assert fast == H.detail_rows(html or "")
     # plain tag ends are the ends that the tag pattern finds
     for i, html in enumerate(pages):
-        data, starts, ends = every.page(i)
+        data, starts, ends, tags, names = every.page(i)
         assert data == (html or "").encode()
-        for lt, end in zip(starts, ends):
+        for lt, end, tag in zip(starts, ends, tags):
             m = H._NAME.match(data, lt + 1 + data.startswith(b"/", lt + 1))
+            name = m and m[0].lower().decode()
+            assert (tag >= 0) == (m is not None and len(name) <= 8)
+            assert tag < 0 or (names[tag >> 1], tag & 1) == (name, data[lt + 1:lt + 2] == b"/")
             if end >= 0 and m:
                 assert H._REST.match(data, m.end()).end() == end, data[lt:lt + 80]
     assert list(H.links_of(every)) == [H.links(html or "") for html in pages]
