@@ -242,6 +242,8 @@ def _detail_expected() -> str:
 def _extraction_sql(C) -> dict[str, str]:
     return {
         "detail_extract": _detail_expected(),
+        "requested_extract": (f"SELECT * FROM ({_detail_expected()}) WHERE isin IN "
+                              f"(SELECT isin FROM ({stale_sql(C.RUN_AS_OF, C.REFRESH_MIN_AGE)}))"),
         "scrape_metrics": (
             "SELECT CAST(count(*) AS INTEGER) AS total, "
             "CAST(count(*) FILTER (WHERE NOT auto AND has_details) AS INTEGER) AS successful, "
@@ -299,6 +301,9 @@ def oracle_sql() -> dict[str, str]:
         "view_by_name": view_sql(f"si.share_name ILIKE ('%' || {_q(C.LOOKUP_NAME)} || '%')"),
         "view_by_prefix_and_name": view_sql(
             f"si.isin ILIKE ('Ho' || '%') AND si.share_name ILIKE ('%' || {_q(C.LOOKUP_NAME)} || '%')"),
+        "view_by_name_indexed": view_sql(f"si.share_name ILIKE ('%' || {_q(C.LOOKUP_NAME)} || '%')"),
+        "view_by_prefix_and_name_indexed": view_sql(
+            f"si.isin ILIKE ('Ho' || '%') AND si.share_name ILIKE ('%' || {_q(C.LOOKUP_NAME)} || '%')"),
         "view_isin_wins": view_sql(f"si.isin = {_q(C.LOOKUP_ISIN)}"),
         "view_request_empty_params": view_sql("si.isin ILIKE ('ma' || '%')"),
         "stale_set": stale_sql(C.STALE_AS_OF, C.STALE_MIN_AGE),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..sources.store import Store
 from . import jobs, views
+from .names import NameIndex
 
 
 def all_isins(store: Store) -> DataFrame:
@@ -25,11 +26,12 @@ def all_shares(store: Store) -> DataFrame:
 
 
 def share(store: Store, name: str | None = None, isin: str | None = None,
-          lang: str | None = None) -> DataFrame:
+          lang: str | None = None, names: NameIndex | None = None) -> DataFrame:
     """Shares matching request parameters (empty string = absent; isin wins,
-    then lang prefix and/or name substring)."""
+    then lang prefix and/or name substring, looked up in the index of ``names``
+    when given)."""
     q = views.ShareQuery.from_request(name=name, isin=isin, lang=lang)
-    return views.shares_json(views.query_shares(store.tables(), q))
+    return views.shares_json(views.query_shares(store.tables(), q, names))
 
 
 def run_share_refresh(store: Store, pages: DataFrame | None = None,
@@ -48,11 +50,12 @@ def run_scrape_and_insert(store: Store, pages: DataFrame | None = None,
 
 def run_scrape_and_insert_isins(store: Store, listing_pages: DataFrame | None = None,
                                 pages_per_letter: int | None = None,
-                                attempts: DataFrame | None = None) -> DataFrame:
+                                attempts: DataFrame | None = None,
+                                names: NameIndex | None = None) -> DataFrame:
     """Discover instruments from the listing pages (or a crawler's attempt log)
-    and insert the new ones. Every page is read unless ``pages_per_letter``
+    and insert the new ones (posted in the index of ``names`` when given). Every page is read unless ``pages_per_letter``
     limits the run to a grid; pages outside it are recorded as rejects."""
-    return jobs.discover(store, listing_pages, pages_per_letter=pages_per_letter, attempts=attempts)
+    return jobs.discover(store, listing_pages, pages_per_letter=pages_per_letter, attempts=attempts, names=names)
 
 
 def export_shares(store: Store, path: str) -> None:

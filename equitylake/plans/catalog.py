@@ -53,6 +53,27 @@ def stored_view(spark, sf_dir):
     return views.current_view(st.tables())
 
 
+def _name_index(spark, hub):
+    from ..session import staging_path
+    from .names import NameIndex
+    names = NameIndex(spark, staging_path(spark, "names"), parts=16)
+    names.add(hub)
+    return names
+
+
+def view_by_name_indexed(spark, sf_dir):
+    """Lookup by a part of the name in a stored trigram index: the hub is not read."""
+    store = _store(spark, sf_dir)
+    return views.query_shares(store, views.ShareQuery(name=LOOKUP_NAME), _name_index(spark, store["share_isins"]))
+
+
+def view_by_prefix_and_name_indexed(spark, sf_dir):
+    """Prefix and part of the name, by the index."""
+    store = _store(spark, sf_dir)
+    return views.query_shares(store, views.ShareQuery(lang="Ho", name=LOOKUP_NAME),
+                              _name_index(spark, store["share_isins"]))
+
+
 def view_by_isin(spark, sf_dir):
     """Lookup by exact ISIN."""
     return views.query_shares(_store(spark, sf_dir), views.ShareQuery(isin=LOOKUP_ISIN))
@@ -375,6 +396,17 @@ def detail_extract(spark, sf_dir):
     return wide.drop("page_id", "updated_at", "fetched_at", "_numero_contratti_overflow")
 
 
+def requested_extract(spark, sf_dir):
+    """The instruments due for refresh and their detail pages, found among the
+    pages of all instruments by the Bloom filter of the requested URLs (the way of
+    request sets too large to broadcast)."""
+    store = _store(spark, sf_dir)
+    pages = adapter.render_detail_pages(views.current_view(store))
+    due = jobs._stage(views.stale_set(store, REFRESH_MIN_AGE, RUN_AS_OF), "due")
+    wide, _, _ = jobs.extract_shares(due, pages, RUN_AS_OF, broadcast_requests=False)
+    return wide.drop("page_id", "updated_at", "fetched_at", "_numero_contratti_overflow")
+
+
 def scrape_metrics(spark, sf_dir):
     """Metrics of the detail run: requested, fetched, error kinds."""
     _, _, metrics = _detail_run(spark, sf_dir)
@@ -639,6 +671,9 @@ QUERIES = {
     "fetch_outcome": fetch_outcome,
     "fetch_outcome_stream": fetch_outcome_stream,
     "fetch_timeout_stream": fetch_timeout_stream,
+    "requested_extract": requested_extract,
+    "view_by_name_indexed": view_by_name_indexed,
+    "view_by_prefix_and_name_indexed": view_by_prefix_and_name_indexed,
     "fetch_metrics": fetch_metrics,
     "write_validation": write_validation,
     "empty_records": empty_records,

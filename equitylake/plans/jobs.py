@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import parsers as P
+from ..operators import bloom
 from ..operators import extract as X
 from ..operators import html_scan
 from ..operators import merge as M
@@ -25,6 +26,7 @@ from ..session import staging_path, utc_now
 from ..sources.pages import PAGES_PER_LETTER, detail_url, listing_grid
 from ..sources.store import Store
 from . import views
+from .names import NameIndex
 
 DEFAULT_REFRESH_AGE = dt.timedelta(minutes=15)
 
@@ -82,8 +84,9 @@ def scan_requested(instruments: DataFrame, pages: DataFrame,
     Pages are scanned exactly once and their HTML is never shuffled: with
     ``broadcast_requests`` (the caller checked the request set is small)
     they are filtered to the requested URLs map-side before the scan;
-    otherwise every page is scanned and unrequested ones drop out at the
-    join of the small property rows.
+    otherwise by a Bloom filter of those URLs, of bounded size at any number of
+    requests, and the few others that it lets pass drop out at the join of the
+    small property rows.
     """
     found, req = _found(instruments, pages, broadcast_requests)
     # requested ISINs without any page: only the pages' URLs are read again
@@ -108,9 +111,8 @@ def _found(instruments: DataFrame, pages: DataFrame, broadcast_requests: bool) -
         urls = F.broadcast(req.select("url").distinct())
         wanted = pages.join(urls, "url", "left_semi")
     else:
-        # a request set this large covers most pages: parse them all where
-        # they are rather than shuffle HTML; the join below drops the rest
-        wanted = pages
+        # too many URLs to broadcast: their Bloom filter is not, and no HTML moves
+        wanted = bloom.prefilter(pages, "url", req, "url")
     props = X.scan_properties(wanted)
     # inner join: AQE may split a URL with very many page copies on either
     # side (a left outer join could only split the request side)
@@ -284,8 +286,10 @@ def refresh_all(store: Store, pages: DataFrame | None = None, as_of: dt.datetime
 
 def discover(store: Store, listing_pages: DataFrame | None = None, as_of: dt.datetime | None = None,
              chain=html_scan.LISTING_LINKS, name=html_scan.LISTING_NAME,
-             pages_per_letter: int | None = None, attempts: DataFrame | None = None) -> DataFrame:
-    """Listing pages -> new hub rows (known ISINs untouched). The pages come as
+             pages_per_letter: int | None = None, attempts: DataFrame | None = None,
+             names: NameIndex | None = None) -> DataFrame:
+    """Listing pages -> new hub rows (known ISINs untouched), posted in the index of
+    ``names`` when given. The pages come as
     a table or, with ``attempts``, from a crawler's attempt log, whose failed
     fetches count by error kind. All pages are read; with ``pages_per_letter``
     only those of that grid, and the others are recorded as rejects.
@@ -315,8 +319,10 @@ def discover(store: Store, listing_pages: DataFrame | None = None, as_of: dt.dat
     new_rows, outcome = M.insert_absent(current["share_isins"], instruments,
                                         broadcast_candidates=M.fits_broadcast(instruments))
     outcome = _stage(outcome, "insert-outcome")
-    hub = current["share_isins"].unionByName(outcome.where("inserted").select(
-        "isin", "share_name", "updated_at"))
+    inserted = outcome.where("inserted").select("isin", "share_name", "updated_at")
+    hub = current["share_isins"].unionByName(inserted)
+    if names is not None:  # before the commit, so that no committed row is missing; a lookup reads the hub, too
+        names.add(inserted)
     # stored hub (bucketed scan) plus the few new rows: no shuffle needed
     store.write({"share_isins": hub}, shuffle=False)
     store.append_rejects(outcome.where(~F.col("inserted")).withColumn("table", F.lit("share_isins")),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.parsers import format_isin, iso_ntz, like_pattern, nan_to_null, parse_isin
 from ..functions.parsers import ntz_lit
+from .names import NameIndex, narrowed
 
 EPOCH = dt.datetime(1970, 1, 1)
 I64_MAX = 2 ** 63 - 1
@@ -86,9 +87,16 @@ class ShareQuery:
         return by_lang if by_lang is not None else by_name
 
 
-def query_shares(tables: dict[str, DataFrame], query: ShareQuery | None = None) -> DataFrame:
-    """Current view restricted by ``query`` (all shares when empty)."""
-    pred = (query or ShareQuery()).predicate()
+def query_shares(tables: dict[str, DataFrame], query: ShareQuery | None = None,
+                 names: NameIndex | None = None) -> DataFrame:
+    """Current view restricted by ``query`` (all shares when empty). With an index
+    of the hub's ``names``, a substring is looked up there instead of in the hub."""
+    query = query or ShareQuery()
+    pred = query.predicate()
+    if names is not None and query.isin is None and query.name is not None:
+        matches = names.matches(query.name)
+        if matches is not None:
+            return current_view(narrowed(tables, matches, pred))
     return current_view(tables, pred)
 
 
