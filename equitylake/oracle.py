@@ -484,8 +484,8 @@ def added_sql(C) -> dict[str, str]:
             "SELECT CAST(count(*) FILTER (WHERE outcome = 'return' AND error IS NULL) AS INTEGER) AS total, "
             "CAST(count(*) FILTER (WHERE outcome = 'return' AND error IS NULL) AS INTEGER) AS successful, "
             f"{kinds} FROM ({FETCH_RESOLVED})"),
-        "discovery_run": ("SELECT isin, share_name FROM ("
-                          f"{discovery_sql(C)['discovery_instruments']})"),
+        **dict.fromkeys(("discovery_run", "stream_discovery"), "SELECT isin, share_name FROM ("
+                        f"{discovery_sql(C)['discovery_instruments']})"),
     }
 
 

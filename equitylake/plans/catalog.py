@@ -535,6 +535,20 @@ def discovery_run(spark, sf_dir):
     return st.tables()["share_isins"].select("isin", "share_name")
 
 
+def stream_discovery(spark, sf_dir):
+    """The listing pages in three files, a micro-batch each, discovered into an
+    empty store: the same hub as of the batch run."""
+    from ..session import staging_path
+    from ..sources.store import Store
+    from ..streaming import discovery
+    st = Store(spark, staging_path(spark, "stream-discovered"))
+    pages_dir = staging_path(spark, "listing-files")
+    adapter.render_listing_pages(spark, sf_dir).repartition(3, "page_id").write.parquet(pages_dir)
+    discovery.start_discovery(st, pages_dir, staging_path(spark, "discovery-ckpt"), available_now=True,
+                              as_of=RUN_AS_OF, max_files_per_trigger=1).awaitTermination()
+    return st.tables()["share_isins"].select("isin", "share_name")
+
+
 def discovery_grid_metrics(spark, sf_dir):
     """Discovery metrics of a run that asks for the site's listing grid alone
     (initials A-Z, pages 1-9)."""
@@ -688,4 +702,5 @@ QUERIES = {
     "fetch_rejects": fetch_rejects,
     "listing_fetch_metrics": listing_fetch_metrics,
     "discovery_run": discovery_run,
+    "stream_discovery": stream_discovery,
 }

@@ -313,21 +313,30 @@ def discover(store: Store, listing_pages: DataFrame | None = None, as_of: dt.dat
     scanned = _stage(X.scan_links(listing_pages, chain, name), "listing-links")
     instruments, _, scrape = extract_instruments(listing_pages, as_of or start, chain, name,
                                                  scanned=scanned, fetch_errors=fetch_errors)
+    run = insert_instruments(store, instruments, scrape, "discover", start, names=names)
+    store.append_run(run)
+    return run
+
+
+def insert_instruments(store: Store, instruments: DataFrame, scrape: DataFrame, job: str, start: dt.datetime,
+                       batch: tuple[str, int] | None = None, names: NameIndex | None = None) -> DataFrame:
+    """Insert the instruments that the hub doesn't have and commit (with the mark of
+    a stream's ``batch``); nothing is rewritten if all are known. Returns the run
+    record, which is not yet appended."""
+    spark = store.spark
     instruments = _stage(instruments, "instruments")
     scrape = _stage(scrape, "scrape-metrics")
     current = store.tables()
-    new_rows, outcome = M.insert_absent(current["share_isins"], instruments,
-                                        broadcast_candidates=M.fits_broadcast(instruments))
+    _, outcome = M.insert_absent(current["share_isins"], instruments,
+                                 broadcast_candidates=M.fits_broadcast(instruments))
     outcome = _stage(outcome, "insert-outcome")
     inserted = outcome.where("inserted").select("isin", "share_name", "updated_at")
-    hub = current["share_isins"].unionByName(inserted)
-    if names is not None:  # before the commit, so that no committed row is missing; a lookup reads the hub, too
-        names.add(inserted)
-    # stored hub (bucketed scan) plus the few new rows: no shuffle needed
-    store.write({"share_isins": hub}, shuffle=False)
-    store.append_rejects(outcome.where(~F.col("inserted")).withColumn("table", F.lit("share_isins")),
-                         "discover", start)
-    run = MT.run_record(spark, "discover", scrape, MT.insertion_metrics(outcome),
-                        start, utc_now())
-    store.append_run(run)
-    return run
+    new = {}
+    if batch is None or not inserted.isEmpty():
+        if names is not None:  # before the commit, so that no committed row is missing; a lookup reads the hub, too
+            names.add(inserted)
+        # stored hub (bucketed scan) plus the few new rows: no shuffle needed
+        new = {"share_isins": current["share_isins"].unionByName(inserted)}
+    store.write(new, shuffle=False, batch=batch)
+    store.append_rejects(outcome.where(~F.col("inserted")).withColumn("table", F.lit("share_isins")), job, start)
+    return MT.run_record(spark, job, scrape, MT.insertion_metrics(outcome), start, utc_now())
