@@ -48,7 +48,7 @@ def _empty(html: pa.Array) -> pa.Array:
 def _properties_iter(batches):
     for batch in batches:
         html = batch.column("html")
-        values = list(zip(*html_scan.properties_of(html_scan.Pages(html), _TERMS))) or [()] * len(_TERMS)
+        values = list(zip(*html_scan.properties_of(html, _TERMS))) or [()] * len(_TERMS)
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url").cast(pa.string()),
              batch.column("fetched_at").cast(pa.timestamp("us")), _empty(html),
@@ -89,7 +89,7 @@ def scan_links(pages: DataFrame, chain=html_scan.LISTING_LINKS,
         for batch in batches:
             out = {c: [] for c in cols}
             html = batch.column("html")
-            scanned = html_scan.links_of(html_scan.Pages(html), chain, name)
+            scanned = html_scan.links_of(html, chain, name)
             for pid, empty, found in zip(batch.column("page_id").to_pylist(), _empty(html).to_pylist(), scanned):
                 for k, href, nm in [(-1, None, None)] + found:
                     out["page_id"].append(pid)

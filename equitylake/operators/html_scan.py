@@ -23,7 +23,8 @@ what is searched is closed: the scan is linear in the page.
 * properties: for each term, the value of the last row whose lower-cased label
   holds it. A row lies in all tables around it, and the last of these is the
   innermost, so each row is looked at once; its label goes through one
-  Aho-Corasick automaton of all terms.
+  Aho-Corasick automaton of all terms. Of pages with the same body, a worker
+  scans one (``Repeated``), here and for links.
 * links: elements that match a chain of nested elements, with their ``href`` and
   the first text node of a name element.
 """
@@ -31,9 +32,11 @@ what is searched is closed: the scan is linear in the page.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -94,20 +97,26 @@ NAV_LINKS = (Compound("nav"), Compound("a"))
 
 # --- tags of a batch of pages
 
+def _bytes(html: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a batch (nulls as empty) and its n+1 offsets."""
+    html = html.cast(pa.large_binary())
+    if not len(html):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if html.null_count:
+        html = html.fill_null(b"")
+    _, offsets, data = html.buffers()
+    off = np.frombuffer(offsets, np.int64)[html.offset:html.offset + len(html) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[off[0]:off[-1]], off - off[0]
+
+
 class Pages:
     """The pages of an Arrow batch. ``page(i)``: the bytes of a page, where its
     ``<`` lie, for each the place after its tag if that is plain, else -1, and the
     tags with their names."""
 
-    def __init__(self, html: pa.Array | pa.ChunkedArray):
-        if isinstance(html, pa.ChunkedArray):
-            html = html.combine_chunks()
-        html = html.cast(pa.large_binary())
-        _, offsets, data = html.buffers()
-        self.off = np.frombuffer(offsets, np.int64)[html.offset:html.offset + len(html) + 1]
-        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        self.raw = raw[self.off[0]:self.off[-1]]
-        self.off = self.off - self.off[0]
+    def __init__(self, html: pa.Array):
+        self.raw, self.off = _bytes(html)
         self.starts = np.flatnonzero(self.raw == 0x3C)
         self.cut = np.searchsorted(self.starts, self.off)
         self.ends = self._plain_ends()
@@ -495,8 +504,41 @@ class LinkScan(Scan):
 
 # --- scans of batches
 
-def _one(html: str) -> Pages:
-    return Pages(pa.array([html], pa.large_string()))
+class Repeated:
+    """What scans said of the bodies they saw last, by a 16-byte digest: a site serves
+    the same body at many URLs (its last page for all later numbers), and a
+    crawler stores those side by side. Kept in a worker, for ``most`` bodies and
+    ``most_values`` values in all."""
+
+    def __init__(self, most: int = 4096, most_values: int = 1 << 18):
+        self.most, self.most_values = most, most_values
+        self.held: OrderedDict[tuple, list] = OrderedDict()
+        self.values = self.scanned = 0
+
+    def each(self, html: pa.Array, how: Hashable, scan: Callable[[Pages], Iterable[list]]) -> list[list]:
+        """The result of every body of a batch; ``scan`` sees each new one once."""
+        raw, off = _bytes(html)
+        at = off.tolist()
+        keys = [(how, blake2b(raw[x:y], digest_size=16).digest()) for x, y in zip(at[:-1], at[1:])]
+        new = {k: i for i, k in enumerate(keys) if k not in self.held}
+        got = dict(zip(new, scan(Pages(html.take(pa.array(list(new.values()), pa.int64())))))) if new else {}
+        self.scanned += len(new)
+        out = [got[k] if k in got else self.held[k] for k in keys]
+        for k, values in got.items():
+            self.held[k] = values
+            self.values += len(values) + 1
+        for k in dict.fromkeys(keys):
+            self.held.move_to_end(k)
+        while len(self.held) > self.most or self.values > self.most_values:
+            self.values -= len(self.held.popitem(last=False)[1]) + 1
+        return out
+
+
+_repeated = Repeated()
+
+
+def _one(html: str) -> pa.Array:
+    return pa.array([html], pa.large_string())
 
 
 def detail_rows_of(pages: Pages) -> Iterator[list[tuple[int, int, str, str | None]]]:
@@ -542,40 +584,45 @@ def _terms(terms: tuple[str, ...]) -> Terms:
     return Terms(terms)
 
 
-def properties_of(pages: Pages, terms: tuple[str, ...]) -> Iterator[list[str | None]]:
+def properties_of(html: pa.Array, terms: tuple[str, ...]) -> list[list[str | None]]:
     """Per page and term, the value of the last row whose label holds the term, by
     (table, row); None if that row has no value."""
     automaton = _terms(terms)
-    for i in range(len(pages)):
-        scan = DetailScan()
-        scan.run(*pages.page(i))
-        best: list = [None] * len(terms)
-        for row in scan.rows:
-            if row.label is not None:
-                for k in automaton.of(row.label.all()):
-                    # rows come in document order, so only an inner table's row can be later
-                    if best[k] is None or row.around >= best[k].around:
-                        best[k] = row
-        yield [row.value.node() if row is not None and row.value is not None else None for row in best]
-
-
-def links_of(pages: Pages, chain: tuple = LISTING_LINKS, name: Compound | None = LISTING_NAME
-             ) -> Iterator[list[tuple[int, str | None, str | None]]]:
+
+    def scan(pages: Pages) -> Iterator[list[str | None]]:
+        for i in range(len(pages)):
+            page = DetailScan()
+            page.run(*pages.page(i))
+            best: list = [None] * len(terms)
+            for row in page.rows:
+                if row.label is not None:
+                    for k in automaton.of(row.label.all()):
+                        # rows come in document order, so only an inner table's row can be later
+                        if best[k] is None or row.around >= best[k].around:
+                            best[k] = row
+            yield [row.value.node() if row is not None and row.value is not None else None for row in best]
+    return _repeated.each(html, terms, scan)
+
+
+def links_of(html: pa.Array, chain: tuple = LISTING_LINKS, name: Compound | None = LISTING_NAME
+             ) -> list[list[tuple[int, str | None, str | None]]]:
     """Per page, (link_ord, href, name) for every element matching ``chain``; the
     name is the first text node of the first ``name`` element inside (or of the
     link itself when ``name`` is None)."""
-    for i in range(len(pages)):
-        scan = LinkScan(chain, name)
-        scan.run(*pages.page(i))
-        yield [(k, href, text.node() if text is not None else None) for k, (href, text) in enumerate(scan.found)]
+    def scan(pages: Pages) -> Iterator[list[tuple[int, str | None, str | None]]]:
+        for i in range(len(pages)):
+            page = LinkScan(chain, name)
+            page.run(*pages.page(i))
+            yield [(k, href, text.node() if text is not None else None) for k, (href, text) in enumerate(page.found)]
+    return _repeated.each(html, (chain, name), scan)
 
 
 def detail_rows(html: str) -> list[tuple[int, int, str, str | None]]:
     """``detail_rows_of`` one page."""
-    return next(detail_rows_of(_one(html)))
+    return next(detail_rows_of(Pages(_one(html))))
 
 
 def links(html: str, chain: tuple = LISTING_LINKS,
           name: Compound | None = LISTING_NAME) -> list[tuple[int, str | None, str | None]]:
     """``links_of`` one page."""
-    return next(links_of(_one(html), chain, name))
+    return links_of(_one(html), chain, name)[0]
