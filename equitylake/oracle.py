@@ -306,7 +306,8 @@ def oracle_sql() -> dict[str, str]:
             f"si.isin ILIKE ('Ho' || '%') AND si.share_name ILIKE ('%' || {_q(C.LOOKUP_NAME)} || '%')"),
         "view_isin_wins": view_sql(f"si.isin = {_q(C.LOOKUP_ISIN)}"),
         "view_request_empty_params": view_sql("si.isin ILIKE ('ma' || '%')"),
-        "stale_set": stale_sql(C.STALE_AS_OF, C.STALE_MIN_AGE),
+        **dict.fromkeys(("stale_set", "stale_set_layout"), stale_sql(C.STALE_AS_OF, C.STALE_MIN_AGE)),
+        "view_by_prefix_layout": view_sql(f"si.isin ILIKE ({_q(C.LOOKUP_LANG)} || '%')"),
         "nested_share_json": nested,
         "number_parse": "SELECT l_orderkey, l_linenumber, l_extendedprice AS price_it, "
                         "l_extendedprice AS price_us, -l_extendedprice AS price_neg, "

@@ -74,6 +74,28 @@ def view_by_prefix_and_name_indexed(spark, sf_dir):
                               _name_index(spark, store["share_isins"]))
 
 
+def _laid_out(spark, sf_dir):
+    from ..session import staging_path
+    from ..sources.store import Store
+    from .layout import Layout
+    st = Store(spark, staging_path(spark, "laid-out"))
+    st.write(_store(spark, sf_dir))
+    Layout.write(st)
+    return st, Layout.of(st)
+
+
+def stale_set_layout(spark, sf_dir):
+    """The due set from a stored layout by day of the newest stamp."""
+    _, layout = _laid_out(spark, sf_dir)
+    return layout.due(STALE_MIN_AGE, STALE_AS_OF)
+
+
+def view_by_prefix_layout(spark, sf_dir):
+    """Lookup by ISIN prefix in a stored layout by country."""
+    st, layout = _laid_out(spark, sf_dir)
+    return views.query_shares(st.tables(), views.ShareQuery(lang=LOOKUP_LANG), layout=layout)
+
+
 def view_by_isin(spark, sf_dir):
     """Lookup by exact ISIN."""
     return views.query_shares(_store(spark, sf_dir), views.ShareQuery(isin=LOOKUP_ISIN))
@@ -686,6 +708,8 @@ QUERIES = {
     "fetch_outcome_stream": fetch_outcome_stream,
     "fetch_timeout_stream": fetch_timeout_stream,
     "requested_extract": requested_extract,
+    "stale_set_layout": stale_set_layout,
+    "view_by_prefix_layout": view_by_prefix_layout,
     "view_by_name_indexed": view_by_name_indexed,
     "view_by_prefix_and_name_indexed": view_by_prefix_and_name_indexed,
     "fetch_metrics": fetch_metrics,

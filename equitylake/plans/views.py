@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ from ..functions.parsers import format_isin, iso_ntz, like_pattern, nan_to_null,
 from ..functions.parsers import ntz_lit
 from .names import NameIndex, narrowed
 
+if TYPE_CHECKING:
+    from .layout import Layout
+
 EPOCH = dt.datetime(1970, 1, 1)
 I64_MAX = 2 ** 63 - 1
 
@@ -88,15 +92,20 @@ class ShareQuery:
 
 
 def query_shares(tables: dict[str, DataFrame], query: ShareQuery | None = None,
-                 names: NameIndex | None = None) -> DataFrame:
+                 names: NameIndex | None = None, layout: Layout | None = None) -> DataFrame:
     """Current view restricted by ``query`` (all shares when empty). With an index
-    of the hub's ``names``, a substring is looked up there instead of in the hub."""
+    of the hub's ``names``, a substring is looked up there instead of in the hub, and
+    a prefix in the store's ``layout`` when given."""
     query = query or ShareQuery()
     pred = query.predicate()
     if names is not None and query.isin is None and query.name is not None:
         matches = names.matches(query.name)
         if matches is not None:
             return current_view(narrowed(tables, matches, pred))
+    if layout is not None and query.isin is None and query.lang is not None:
+        matches = layout.with_prefix(query.lang)
+        if matches is not None:
+            tables = narrowed(tables, matches, F.col("isin").ilike(like_pattern(query.lang, after="%")))
     return current_view(tables, pred)
 
 
@@ -110,16 +119,25 @@ def stale_set(tables: dict[str, DataFrame], min_age: dt.timedelta,
     """Instruments whose newest satellite stamp (missing = 1970-01-01) is
     at least ``min_age`` before ``as_of`` (inclusive). ``as_of`` defaults
     to the current UTC time."""
+    return last_updates(tables).where(F.col("updated_at") <= cutoff(min_age, as_of))
+
+
+def cutoff(min_age: dt.timedelta, as_of: dt.datetime | None = None) -> Column:
+    """``min_age`` before ``as_of`` (default: the current UTC time)."""
     now = (ntz_lit(as_of) if as_of is not None
            else F.current_timestamp().cast("timestamp_ntz"))
-    cutoff = F.timestamp_add("MICROSECOND", F.lit(-_min_age_micros(min_age)), now)
+    return F.timestamp_add("MICROSECOND", F.lit(-_min_age_micros(min_age)), now)
+
+
+def last_updates(tables: dict[str, DataFrame]) -> DataFrame:
+    """(isin, share_name, updated_at): every instrument with its newest satellite
+    stamp, 1970-01-01 if it has none."""
     out = tables["share_isins"].select("isin", "share_name")
     for t in schemas.SATELLITES:
         out = out.join(_satellite(tables[t], t, []), "isin", "left")
     epoch = ntz_lit(EPOCH)
     last = F.greatest(*[F.coalesce(F.col(_stamp(t)), epoch) for t in schemas.SATELLITES])
-    return (out.select("isin", "share_name", last.alias("updated_at"))
-            .where(F.col("updated_at") <= cutoff))
+    return out.select("isin", "share_name", last.alias("updated_at"))
 
 
 # ---- nested records -----------------------------------------------------
