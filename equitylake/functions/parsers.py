@@ -64,10 +64,11 @@ def parse_float(c) -> Column:
     s = F.rtrim(F.rtrim(F.rtrim(s, blanks), F.lit("%")), blanks)
     sign = F.when(s.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     body = F.ltrim(s, F.lit("-"))
-    italian = body.rlike(_IT_NUMBER)
-    norm = F.when(italian, F.translate(body, ",.", ".")).otherwise(F.translate(body, ",", ""))
-    val = F.when(norm.rlike(_FLOAT_LITERAL), norm).try_cast("double")
-    return val * sign
+    # a number of the Italian form is a plain decimal once its dots are gone
+    other = F.translate(body, ",", "")
+    norm = F.when(body.rlike(_IT_NUMBER), F.translate(body, ",.", ".")).otherwise(
+        F.when(other.rlike(_FLOAT_LITERAL), other))
+    return norm.try_cast("double") * sign
 
 
 def parse_uint(c) -> Column:
