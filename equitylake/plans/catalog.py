@@ -85,7 +85,7 @@ def _laid_out(spark, sf_dir):
 
 
 def stale_set_layout(spark, sf_dir):
-    """The due set from a stored layout by day of the newest stamp."""
+    """The due set from a stored layout by month of the newest stamp."""
     _, layout = _laid_out(spark, sf_dir)
     return layout.due(STALE_MIN_AGE, STALE_AS_OF)
 

@@ -2,11 +2,11 @@
 the files that can match and no others.
 
 ``write`` derives two tables from one version of the store: the instruments by the
-day of their newest satellite stamp, and by the first two characters of their
+month of their newest satellite stamp, and by the first two characters of their
 lower-cased ISIN (the country), each in a directory per value. Conditions on the
-stamp or the prefix become conditions on directories; inside, rows are sorted, so
-that Parquet's statistics skip row groups. A day or country with many
-instruments is many files.
+stamp or the prefix become conditions on directories; inside, rows are dealt to
+files by range and sorted, so that Parquet's statistics skip the rest of the
+last month. A month or country with many instruments is many files.
 
 The layout belongs to the version it was written from (``Layout.write`` after a
 refresh or discovery, ``Layout.of`` for reading): of another version there is none,
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..sources.store import Store
 from . import views
 
-_DUE = "isin STRING, share_name STRING, updated_at TIMESTAMP_NTZ, day DATE"
+_DUE = "isin STRING, share_name STRING, updated_at TIMESTAMP_NTZ, month DATE"
 _COUNTRY = "isin STRING, country STRING"
 ROWS_PER_FILE = 5_000_000
 
@@ -48,9 +48,9 @@ class Layout:
         """Derive the layout of the store's newest version."""
         tables = store.tables()
         path = cls._path(store, int((store.head() or {}).get("version") or 0))
-        due = views.last_updates(tables).withColumn("day", F.to_date("updated_at"))
+        due = views.last_updates(tables).withColumn("month", F.trunc("updated_at", "month"))
         by_country = tables["share_isins"].select("isin", _country(F.col("isin")).alias("country"))
-        for df, order, name in ((due, ["day", "updated_at", "isin"], "due"), (by_country, ["country", "isin"], "isins")):
+        for df, order, name in ((due, ["month", "updated_at", "isin"], "due"), (by_country, ["country", "isin"], "isins")):
             (df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
                .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(order[0]).parquet(f"{path}/{name}"))
         store.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/done")  # written last
@@ -70,10 +70,10 @@ class Layout:
         return layout
 
     def due(self, min_age: dt.timedelta, as_of: dt.datetime | None = None) -> DataFrame:
-        """``views.stale_set``: only the days up to the cut-off are read."""
+        """``views.stale_set``: only the months up to the cut-off are read."""
         cutoff = views.cutoff(min_age, as_of)
         rows = self.spark.read.schema(_DUE).parquet(f"{self.path}/due")
-        return (rows.where((F.col("day") <= F.to_date(cutoff)) & (F.col("updated_at") <= cutoff))
+        return (rows.where((F.col("month") <= F.trunc(cutoff, "month")) & (F.col("updated_at") <= cutoff))
                 .select("isin", "share_name", "updated_at"))
 
     def with_prefix(self, prefix: str) -> DataFrame | None:

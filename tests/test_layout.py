@@ -20,19 +20,19 @@ def test_due_set_and_prefix_read_matching_directories(spark, tmp_dir):
     assert Layout.of(store) is None
     countries = ["IT", "it", "FR", "FI", "DE"]
     hub = [(f"{countries[k % 5]}{k:010d}", f"N{k}", T0) for k in range(60)]
-    stamps = [(i, 1.0, "c", T0 + DAY * (k % 20) + dt.timedelta(hours=k % 3)) for k, (i, _, _) in enumerate(hub) if k % 7]
+    stamps = [(i, 1.0, "c", T0 + DAY * (k % 20 * 5 - 20) + dt.timedelta(hours=k % 3)) for k, (i, _, _) in enumerate(hub) if k % 7]
     store.write({"share_isins": spark.createDataFrame(hub, schemas.HUB),
                  "share_details": spark.createDataFrame(stamps, schemas.DETAILS)})
     assert Layout.write(store).path == Layout.of(store).path
     layout, tables = Layout.of(store), store.tables()
-    for days, hours in ((0, 0), (3, 2), (5, 1), (19, 23), (-20_000, 0), (400, 0)):
+    for days, hours in ((0, 0), (3, 2), (31, 1), (60, 23), (-20_000, 0), (400, 0)):
         as_of = T0 + DAY * days + dt.timedelta(hours=hours)
         want = views.stale_set(tables, DAY, as_of).collect()
         assert sorted(map(tuple, layout.due(DAY, as_of).collect())) == sorted(map(tuple, want))
     due = layout.due(DAY, T0 + DAY * 3)
-    assert "PartitionFilters: [isnotnull(day" in plan(due)
-    read = {f.split("day=")[1].split("/")[0] for f in due.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
-    assert read <= {"1970-01-01", "2024-01-01", "2024-01-02", "2024-01-03"}
+    assert "PartitionFilters: [isnotnull(month" in plan(due) and "PushedFilters: [IsNotNull(updated_at), LessThan" in plan(due)
+    read = {f.split("month=")[1].split("/")[0] for f in due.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert read == {"1970-01-01", "2023-12-01", "2024-01-01"}
     for lang in ("IT", "it0", "f", "FI", "xx", "%", "_T", "it00000000"):
         q = views.ShareQuery(lang=lang)
         got = views.query_shares(tables, q, layout=layout).select("isin", "updated_at").collect()

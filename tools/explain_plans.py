@@ -22,7 +22,7 @@ def tree(df) -> str:
     text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     blocks = text.split("\n\n")
     lines = [line.rstrip() for line in blocks[0].splitlines() if line.strip()]
-    keep = ("Bucketed:", "PushedFilters:", "ReadSchema:", "SelectedBucketsCount:")
+    keep = ("Bucketed:", "PartitionFilters:", "PushedFilters:", "ReadSchema:", "SelectedBucketsCount:")
     for b in blocks[1:]:
         head = b.strip().splitlines()[0] if b.strip() else ""
         if re.match(r"\(\d+\) Scan parquet", head):
@@ -39,6 +39,8 @@ def main():
     from equitylake.operators import fetchlog as FL
     from equitylake.operators import merge as M
     from equitylake.plans import jobs, views
+    from equitylake.plans.layout import Layout
+    from equitylake.plans.names import NameIndex
     from equitylake.sources import adapter
     from equitylake.sources.store import Store
 
@@ -76,13 +78,22 @@ def main():
                                      broadcast_requests=True)
     section("Detail-page extraction (size-checked request set)",
             "Stored pages filtered map-side (broadcast semi join), one Arrow scan (no exchange "
-            "between the page scan and `MapInArrow`), the 27 properties assigned in the page's "
-            "row, typed projection.", wide)
+            "between the page scan and `MapInArrow`), the 27 properties assigned by the scan, "
+            "typed projection.", wide)
     wide2, _, _ = jobs.extract_shares(adapter.hub(spark, sf), pages, dt.datetime(2002, 1, 15),
                                       broadcast_requests=False)
     section("Detail-page extraction (large request set)",
-            "Every stored page scanned where it lies; unrequested pages drop out when the small "
-            "property rows meet the requests.", wide2)
+            "Stored pages filtered by the Bloom filter of the requested URLs (one partial "
+            "aggregation, a broadcast of bounded size) below `MapInArrow`; what passes by chance "
+            "drops out when the small property rows meet the requests.", wide2)
+    index = NameIndex(spark, tempfile.mkdtemp(prefix="plans-") + "/names", parts=16)
+    index.add(t["share_isins"])
+    section("Name lookup in the trigram index", "Only the partitions of the pattern's trigrams "
+            "are read.", index.matches("r#00000001"))
+    layout = Layout.write(st)
+    section("Due set in the layout by month", "Only the months up to the cut-off are read.",
+            layout.due(dt.timedelta(days=120), dt.datetime(2001, 9, 1)))
+    section("ISIN prefix in the layout by country", "One country's directory is read.", layout.with_prefix("ma"))
     section("Share write: one judged record per ISIN",
             "One scan of the orders, one aggregation, one join to the hub.",
             M.judge_shares(M.collapse_shares(adapter.share_batch(spark, sf)), adapter.listed_hub(spark, sf)))
