@@ -16,28 +16,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounds(keys: np.ndarray, n: int) -> np.ndarray:
-    """n+1 offsets that cut sorted uint64 ``keys`` into n even hash ranges."""
-    edges = np.array([(b << 64) // n for b in range(1, n)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each uint64 key: n even ranges of hashes, in their order."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of each key (the same ranges as ``bounds``)."""
-    edges = np.array([(b << 64) // n for b in range(1, n)], dtype=np.uint64)
-    return np.searchsorted(edges, keys, side="right")
-
-
-def requests(chunk: int, n: int, cuts: np.ndarray, **arrays: np.ndarray) -> pa.Table:
-    """A row (bucket, chunk, one binary column per array) for every bucket with
-    entries; ``cuts`` are the bucket's offsets in every array, or a tuple maps
-    an array's own offsets by its name."""
-    at = cuts if isinstance(cuts, dict) else {c: cuts for c in arrays}
-    first = next(iter(at.values()))
-    full = [b for b in range(n) if first[b + 1] > first[b]]
-    cols = {"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64())}
+def cuts(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted ``buckets`` and the offsets between them: what
+    a chunk sends depends on its own entries only, however many buckets there are."""
+    head = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+    return buckets[head], np.append(head, len(buckets))
+
+
+def requests(chunk: int, full: np.ndarray, off: np.ndarray | dict, **arrays: np.ndarray) -> pa.Table:
+    """A row (bucket, chunk, one binary column per array) for every bucket in
+    ``full``; ``off`` are their offsets in every array, or a dict has each array's
+    own."""
+    cols = {"bucket": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), chunk), pa.int64())}
     for name, a in arrays.items():
-        cols[name] = pa.array([a[at[name][b]:at[name][b + 1]].tobytes() for b in full], pa.binary())
+        at = (off[name] if isinstance(off, dict) else off).tolist()
+        cols[name] = pa.array([a[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())
     return pa.table(cols)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, long_texts_ok, n_partitions, staged_by
-from .exchange import answers, bounds, joined, requests, whole, with_answers
+from .exchange import answers, bucket_of, cuts, joined, requests, whole, with_answers
 from .substring import chunked, each_chunk
 from .words import Words, mix
 
@@ -130,7 +130,7 @@ def score(docs: DataFrame, add: float = 0.1, prior: float = 20.0) -> DataFrame:
         t = Tokens(row)
         keys, index = np.unique(t.token, return_inverse=True)
         counts = np.bincount(index[t.train], minlength=len(keys)).astype(np.uint32)
-        return requests(row["chunk"].as_py(), n, bounds(keys, n), keys=keys, counts=counts)
+        return requests(row["chunk"].as_py(), *cuts(bucket_of(keys, n)), keys=keys, counts=counts)
 
     def total(t: pa.Table):
         """Summed counts in request order, requesting chunks, offsets, and of
@@ -163,7 +163,7 @@ def score(docs: DataFrame, add: float = 0.1, prior: float = 20.0) -> DataFrame:
 
     def ask_bigrams(row: dict) -> pa.Table:
         b = bigrams(row)[1]
-        return requests(row["chunk"].as_py(), n, bounds(b.keys, n), keys=b.keys,
+        return requests(row["chunk"].as_py(), *cuts(bucket_of(b.keys, n)), keys=b.keys,
                         counts=b.local[b.far].astype(np.uint32))
 
     def answer_bigrams(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
