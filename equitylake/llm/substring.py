@@ -9,9 +9,12 @@ a window whose word sequence also starts in a document with a smaller id goes.
    theirs, so a quarter as many keys tell which places may recur.
 3. Segments (the consecutive windows of one minimiser) whose minimiser occurs in
    several documents are dealt to shards by that minimiser, distinct ones once a
-   chunk. A shard confirms the recurring windows, compiles them into an
-   Aho-Corasick automaton, one symbol a word, and streams all its segments
-   through it. Every occurrence found carries the smallest id of its window.
+   chunk. A minimiser with more than ``HOT`` distinct segments a chunk is a phrase
+   among ever different words: its windows are dealt one by one, by their own
+   hashes, so that no shard grows with one phrase. A shard confirms the
+   recurring windows, compiles them into an Aho-Corasick automaton, one symbol a
+   word, and streams all its segments through it. Every occurrence found carries
+   the smallest id of its window.
 4. The answers return to the chunks, which mark the covered words.
 
 Words are compared by 64-bit hashes, 13 of them in a row for a match.
@@ -33,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, long_texts_ok, n_partitions, staged_by
-from .exchange import answers, bounds, bucket_of, joined, requests, whole, with_answers
-from .words import Words, run_hash, run_starts, span_hash
+from .exchange import answers, bucket_of, cuts, joined, requests, whole, with_answers
+from .words import Words, mix, run_hash, run_starts, span_hash
 
 WIDTH = 13
+HOT = 2  # distinct segments of a minimiser, a chunk, above which its windows are dealt singly
+HOT_LEAST = 64  # and in all
 NO_ID = np.iinfo(np.int64).max
 CHUNK = "chunk long, ids array<long>, texts array<string>"
 
@@ -97,31 +102,44 @@ class Segments:
         first = np.flatnonzero(new)
         self.start = valid[first]
         self.windows = np.diff(np.append(first, len(valid)))
-        self.key = least[self.start]
+        self.key = mix(least[self.start])  # least hashes are small ones: mixed, keys spread evenly
         self.doc = words.doc[self.start]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct minimisers, whether several ids of the chunk hold each, and
-        the index of every segment's own."""
-        keys, own = np.unique(self.key, return_inverse=True)
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct minimisers, and the index of every segment's own."""
+        return np.unique(self.key, return_inverse=True)
+
+    def held(self, n_keys: int, own: np.ndarray) -> np.ndarray:
+        """Per minimiser, the number of its distinct segments in the chunk (127: or
+        more), plus 128 if several ids of the chunk hold it."""
         owner = self.ids[self.doc]
-        low, high = np.full(len(keys), NO_ID), np.full(len(keys), -NO_ID)
+        low, high = np.full(n_keys, NO_ID), np.full(n_keys, -NO_ID)
         np.minimum.at(low, own, owner)
         np.maximum.at(high, own, owner)
-        return keys, low != high, own
+        end = self.start + self.windows + self.width - 1
+        pair = np.unique(span_hash(self.words.hash, self.start, end) ^ mix(self.key), return_index=True)[1]
+        count = np.minimum(np.bincount(own[pair], minlength=n_keys), 127)
+        return (count + 128 * (low != high)).astype(np.uint8)
 
     def distinct(self, which: np.ndarray, shards: int) -> "Distinct":
-        return Distinct(self, np.flatnonzero(which), shards)
+        """The segments dealt: ``which`` is 0 for those of minimisers that don't
+        recur, 2 for those whose windows are dealt singly."""
+        return Distinct(self, which, shards)
 
 
 class Distinct:
-    """The distinct segments among those picked, by shard and then by hash."""
-
-    def __init__(self, s: Segments, picked: np.ndarray, shards: int):
-        self.all, self.picked = s, picked
-        start, size = s.start[picked], s.windows[picked] + s.width - 1
+    """The distinct segments among those picked, by shard and then by hash. ``at``,
+    ``windows`` and ``doc``: first word, windows and document of every one picked."""
+
+    def __init__(self, s: Segments, which: np.ndarray, shards: int):
+        plain, hot = np.flatnonzero(which == 1), np.flatnonzero(which == 2)
+        single = spread(s.start[hot], s.windows[hot])
+        self.at = start = np.concatenate([s.start[plain], single])
+        self.windows = np.concatenate([s.windows[plain], np.ones(len(single), np.int64)])
+        self.doc = np.concatenate([s.doc[plain], np.repeat(s.doc[hot], s.windows[hot])])
+        size = self.windows + s.width - 1
         h = span_hash(s.words.hash, start, start + size)
-        shard = bucket_of(s.key[picked], shards)
+        shard = bucket_of(np.concatenate([s.key[plain], mix(h[len(plain):])]), shards)
         order = np.lexsort((h, shard))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (shard[order][1:] != shard[order][:-1])
@@ -129,8 +147,8 @@ class Distinct:
         self.own[order] = np.cumsum(new) - 1
         first = order[new]
         self.start, self.size = start[first], size[first]
-        self.cuts = np.searchsorted(shard[first], np.arange(shards + 1))
-        ids = s.ids[s.doc[picked]][order]
+        self.shards, self.cuts = cuts(shard[first])
+        ids = s.ids[self.doc][order]
         at = np.flatnonzero(new)
         self.low = np.minimum.reduceat(ids, at) if len(at) else ids
         self.high = np.maximum.reduceat(ids, at) if len(at) else ids
@@ -236,13 +254,13 @@ def _located(words: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndar
         (np.cumsum(windows) - windows)[streamed], mine)
     stream = gap.tobytes().decode("utf-32-le")
     # batches: whole minimisers, about PASSAGES passages each
-    cuts = np.flatnonzero(np.concatenate([[True], key[holder][1:] != key[holder][:-1]]))
-    cuts = cuts[np.concatenate([[True], np.diff(cuts // PASSAGES) > 0])]
-    to = np.append(np.searchsorted(key[streamed], key[holder[cuts]]), len(streamed))
-    edge = np.append(begin, len(gap))[to].tolist()
-    cuts = np.append(cuts, len(start)).tolist()
+    edges = np.flatnonzero(np.concatenate([[True], key[holder][1:] != key[holder][:-1]]))
+    edges = edges[np.concatenate([[True], np.diff(edges // PASSAGES) > 0])]
+    to = np.append(np.searchsorted(key[streamed], key[holder[edges]]), len(streamed))
+    borders = np.append(begin, len(gap))[to].tolist()
+    edges = np.append(edges, len(start)).tolist()
     froms, ends = (start * per).tolist(), ((start + length) * per).tolist()
-    for a, b, x, y in zip(cuts[:-1], cuts[1:], edge[:-1], edge[1:]):
+    for a, b, x, y in zip(edges[:-1], edges[1:], borders[:-1], borders[1:]):
         automaton = ahocorasick.Automaton()
         for i in range(a, b):
             automaton.add_word(text[froms[i]:ends[i]], i)
@@ -263,33 +281,36 @@ def dedup(docs: DataFrame, width: int = WIDTH, k: int = 6, shards: int | None =
     n_chunks = held.count()
     n = max(n_partitions(spark), 16, n_chunks // 4)
     shards = shards or max(4 * n, n_chunks)
+    hot = max(HOT * n_chunks, HOT_LEAST)
 
     def ask(row: dict) -> pa.Table:
         words, ids = _read(row)
-        keys, several, _ = Segments(words, ids, width, k).keys()
-        return requests(row["chunk"].as_py(), n, bounds(keys, n), keys=keys, several=several)
+        s = Segments(words, ids, width, k)
+        keys, own = s.keys()
+        return requests(row["chunk"].as_py(), *cuts(bucket_of(keys, n)), keys=keys, held=s.held(len(keys), own))
 
     def recur(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
         keys, off = joined(t, "keys", np.uint64)
-        several, _ = joined(t, "several", np.bool_)
+        held, _ = joined(t, "held", np.uint8)
         order = np.argsort(keys, kind="stable")
         new = np.ones(len(order), bool)
         new[1:] = keys[order][1:] != keys[order][:-1]
         head = np.flatnonzero(new)
-        many = np.logical_or.reduceat(several[order], head) | (np.diff(np.append(head, len(order))) > 1)
-        bits = np.empty(len(order), bool)
-        bits[order] = many[np.cumsum(new) - 1]
+        many = np.logical_or.reduceat(held[order] >= 128, head) | (np.diff(np.append(head, len(order))) > 1)
+        segments = np.add.reduceat(held[order].astype(np.int64) & 127, head)
+        bits = np.empty(len(order), np.uint8)
+        bits[order] = (many * np.where(segments > hot, 2, 1))[np.cumsum(new) - 1]
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"),
                          "bits": pa.array([bits[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())})
 
     def deal(row: dict) -> pa.Table:
         words, ids = _read(row)
         s = Segments(words, ids, width, k)
-        d = s.distinct(whole(row["bits"].as_py(), np.bool_)[s.keys()[2]], shards)
+        d = s.distinct(whole(row["bits"].as_py(), np.uint8)[s.keys()[1]], shards)
         ends = np.concatenate([[0], np.cumsum(d.size)])
-        cuts = {c: d.cuts for c in ("size", "low", "high")} | {"words": ends[d.cuts]}
-        return requests(row["chunk"].as_py(), shards, cuts, size=d.size.astype(np.uint32), low=d.low, high=d.high,
+        off = {c: d.cuts for c in ("size", "low", "high")} | {"words": ends[d.cuts]}
+        return requests(row["chunk"].as_py(), d.shards, off, size=d.size.astype(np.uint32), low=d.low, high=d.high,
                         words=words.hash[spread(d.start, d.size)])
 
     def confirm(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -305,20 +326,19 @@ def dedup(docs: DataFrame, width: int = WIDTH, k: int = 6, shards: int | None =
     def cut(row: dict) -> pa.Table:
         words, ids = _read(row)
         s = Segments(words, ids, width, k)
-        d = s.distinct(whole(row["bits"].as_py(), np.bool_)[s.keys()[2]], shards)
+        d = s.distinct(whole(row["bits"].as_py(), np.uint8)[s.keys()[1]], shards)
         least = whole(row["least"].as_py(), np.int64)
-        windows = s.windows[d.picked]
         per = d.size - width + 1
-        value = least[spread((np.cumsum(per) - per)[d.own], windows)]
-        start = spread(s.start[d.picked], windows)
-        start = start[value < np.repeat(s.ids[s.doc[d.picked]], windows)]
+        value = least[spread((np.cumsum(per) - per)[d.own], d.windows)]
+        start = spread(d.at, d.windows)
+        start = start[value < np.repeat(s.ids[d.doc], d.windows)]
         cover = np.zeros(len(words.hash) + 1, np.int64)
         np.add.at(cover, start, 1)
         np.add.at(cover, start + width, -1)
         gone = np.cumsum(cover[:-1]) > 0
         return _result(words, ids, gone)
 
-    ask_schema = "bucket int, chunk long, keys binary, several binary"
+    ask_schema = "bucket int, chunk long, keys binary, held binary"
     long_texts_ok(docs)
     bits = (held.mapInArrow(each_chunk(ask), ask_schema)
             .groupBy("bucket").applyInArrow(recur, "chunk long, bucket int, bits binary"))
