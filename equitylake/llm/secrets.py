@@ -4,16 +4,18 @@ Patterns find assigned credentials, access keys and long hex runs. The labelled
 samples of the models come from them: the values the patterns found are random
 strings, every other run of word characters is ordinary text. Both give counts
 of character pairs over the whole corpus, two smoothed transition tables, and a
-log-likelihood ratio for any run. A long run of word characters with a digit
-that no pattern touches is a secret if its ratio a character and in total is
-high enough.
+log-likelihood ratio for any stretch of characters. In a long run of word
+characters that no pattern touches, the stretch with the highest ratio (a maximum
+subarray over its transitions) is a secret if that is high enough in total and a
+character; it is reported up to the separators or edges around it.
 
 Spans are ``kind:start:end`` in code points, end exclusive. Overlaps of
 different kinds stay, as the patterns are applied one by one.
 
 Edge cases: null or empty text has no spans; without any labelled value the
 random model is the smoothed uniform one; an empty table gives no rows; other
-columns are not read. The tables have a fixed size, whatever the input.
+columns are not read. The tables have a fixed size, whatever the input. A text costs in
+proportion to its length, however many spans it has.
 """
 
 from __future__ import annotations
@@ -46,8 +48,8 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(RUN)] = np.arange(1, N_CLASS)
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(b"0123456789")] = True
+_JOINS = np.zeros(256, bool)  # characters of a run that join words
+_JOINS[list(b"+/_=-")] = True
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -107,10 +109,21 @@ class Scan:
             spans, values = base_spans(text)
             if spans:
                 self.base[i] = spans
-                plain = len(text) == len(data)
-                to = (lambda p: p) if plain else (lambda p, t=text: len(t[:p].encode()))
-                self.values += [(int(off[i]) + to(a), int(off[i]) + to(b)) for a, b in values]
-                self.taken += [(int(off[i]) + to(a), int(off[i]) + to(b)) for a, _, b in spans]
+                at = self.bytes_of(i, len(text))
+                self.values += [(at(a), at(b)) for a, b in values]
+                self.taken += [(at(a), at(b)) for a, _, b in spans]
+
+    def bytes_of(self, i: int, length: int):
+        """From code points of text i (``length`` of them) to bytes of the batch."""
+        low, high = int(self.off[i]), int(self.off[i + 1])
+        if length == high - low:
+            return lambda p: low + p
+        place = np.append(np.flatnonzero((self.raw[low:high] & 0xC0) != 0x80), high - low) + low
+        return lambda p: int(place[p])
+
+    def code_points(self) -> np.ndarray:
+        """Code points of the batch before each byte."""
+        return np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
 
     def classes(self) -> np.ndarray:
         return _CLASS[self.raw]
@@ -228,26 +241,52 @@ def spans_of(texts: pa.Array, ratio: np.ndarray, min_length: int = 16, per_char:
 
 def _markov(s: Scan, ratio: np.ndarray, min_length: int, per_char: float,
             total: float) -> dict[int, list[tuple[int, int, int]]]:
-    """Spans by text that the models add: runs clear of every base span."""
+    """Spans by text that the models add: of each run clear of every base span, the
+    best-scoring stretch of at least ``min_length`` characters."""
     raw, off = s.raw, s.off
     classes = s.classes()
     a, b = runs_of(classes > 0, off, min_length)
-    if not len(a):
-        return {}
-    llr = np.concatenate([[0.0], np.cumsum(ratio[_pairs(classes, off)[:-1]])])
-    score = llr[b] - llr[a + 1]  # the pair that enters the run has the edge class
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     taken = np.zeros(len(raw) + 1, np.int64)
     for x, y in s.taken:
         taken[x] += 1
         taken[y] -= 1
     busy = np.concatenate([[0], np.cumsum(np.cumsum(taken[:-1]) > 0)])
-    ok = (score >= total) & (score >= per_char * (b - a)) & (digits[b] > digits[a]) & (busy[b] == busy[a])
+    clear = busy[b] == busy[a]
+    a, b = a[clear], b[clear]
+    if not len(a):
+        return {}
+    # a stretch x..y scores llr[y] - llr[x + 1]: the pair that enters it doesn't count
+    llr = np.concatenate([[0.0], np.cumsum(ratio[_pairs(classes, off)[:-1]])])
+    n = b - a - min_length + 1  # places where a stretch may start
+    first = np.cumsum(n) - n
+    x = np.repeat(a - first, n) + np.arange(int(n.sum()))
+    origin = np.repeat(llr[a + 1], n)
+    low = llr[x + 1] - origin
+    # the least start up to each place: one running minimum, each run far below the last
+    level = np.repeat(np.arange(len(a)), n) * (2 * np.abs(low).max() + 1)
+    least = np.minimum.accumulate(low - level) + level
+    gain = llr[x + min_length] - origin - least
+    best = np.maximum.reduceat(gain, first)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for x, y in zip(a[ok].tolist(), b[ok].tolist()):
-        i = int(np.searchsorted(off, x, side="right")) - 1
-        start = len(raw[off[i]:x].tobytes().decode())
-        found.setdefault(i, []).append((start, 3, start + y - x))
+    chosen = np.flatnonzero(best >= total)
+    points = s.code_points() if len(chosen) else None
+    for r in chosen.tolist():
+        mine = slice(first[r], first[r] + n[r])
+        k = int(gain[mine].argmax())
+        start, end = int(a[r] + low[mine][:k + 1].argmin()), int(a[r] + k + min_length)
+        if best[r] < per_char * (end - start):
+            continue
+        while start < end and _JOINS[raw[start]]:  # a join at its edge is not part of it
+            start += 1
+        while end > start and _JOINS[raw[end - 1]]:
+            end -= 1
+        joins = np.flatnonzero(_JOINS[raw[a[r]:b[r]]]) + a[r]
+        before, after = joins[joins < start], joins[joins >= end]
+        if start == end:
+            continue
+        start, end = int(before[-1]) + 1 if len(before) else int(a[r]), int(after[0]) if len(after) else int(b[r])
+        i = int(np.searchsorted(off, start, side="right")) - 1
+        found.setdefault(i, []).append((int(points[start] - points[off[i]]), 3, int(points[end] - points[off[i]])))
     return found
 
 
