@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables, extra columns.""
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from equitylake.llm import (ann, components, jaccard, langid, lm, mixing, neardup, packing, secrets, substring,
+from equitylake.llm import (ann, components, exchange, jaccard, langid, lm, mixing, neardup, packing, secrets, substring,
                             toxicity, words)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,6 +129,16 @@ def test_jaccard_blocks_by_grams(spark, monkeypatch):
         assert got[r[0]].component_id == rows[root[i]][0]
 
 
+def test_blocks_meet_in_pairs():
+    """Members of block b of a cluster go to the units (b, o) of all its blocks, a whole cluster's once."""
+    b, blocks = np.array([-1, 0, 2, 1, -1]), np.array([1, 3, 3, 3, 1])
+    for step in (1, 4, 100):
+        got = [tuple(x) for part in jaccard.expanded(b, blocks, step) for x in zip(*(p.tolist() for p in part))]
+        assert got == [(0, -1, -1, 0), (1, 0, 0, 0), (1, 0, 1, 0), (1, 0, 2, 0), (2, 0, 2, 1), (2, 1, 2, 1), (2, 2, 2, 0),
+                       (3, 0, 1, 1), (3, 1, 1, 0), (3, 1, 2, 0), (4, -1, -1, 0)]
+    assert list(jaccard.expanded(b[:0], blocks[:0], 5)) == []
+
+
 def test_jaccard_keep_one(spark, docs, empty):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
@@ -167,11 +178,46 @@ SECRETS = [
 
 
 def plain_spans(text):
+    """By the contract's wording, character by character: the value's characters are
+    ASCII, letters of the words in either case."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(c.lower() if c.isascii() else c for c in text)
+
+    def assign(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(word, at):
+                p = at + len(word)
+                p += text[p:p + 1] in ("'", '"') and p < len(text)
+                while text[p:p + 1] == " ":
+                    p += 1
+                if text[p:p + 1] not in (":", "="):
+                    continue
+                p += 1
+                while text[p:p + 1] == " ":
+                    p += 1
+                p += text[p:p + 1] in ("'", '"') and p < len(text)
+                end = p
+                while end < len(text) and text[end] in value:
+                    end += 1
+                if end > p:
+                    return end, end - p >= 6
+
+    def run(at, head, chars, least):
+        if not text.startswith(head, at):
+            return None
+        end = at + len(head)
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return (end, end - at >= least) if end > at + len(head) else None
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
     found = []
-    for k, m in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX)):
-        for x in m.finditer(text):
-            if (len(x[2]) >= 6) if k == 0 else len(x[0]) >= (20, 24)[k - 1]:
-                found.append((x.start(), k, x.end()))
+    for k, match in enumerate((assign, lambda at: run(at, "AKIA", upper, 20), lambda at: run(at, "", set("0123456789abcdef"), 24))):
+        at = 0
+        while at < len(text):
+            m = match(at)
+            if m and m[1]:
+                found.append((at, k, m[0]))
+            at = m[0] if m else at + 1
     return sorted(found)
 
 
@@ -204,6 +250,82 @@ def test_secret_models_add_random_strings(spark):
     assert all(got[i].n_assign == 1 and got[i].n_markov == 0 for i in range(60))
 
 
+def stretches_plain(text, base, ratio, min_length, per_char, total):
+    """All stretches of every run tried: the best one, up to the joins around it."""
+    cls = lambda c: secrets.RUN.find(c.encode()) + 1 if c.isascii() else 0
+    joins, out, at = "+/_=-", [], 0
+    while at < len(text):
+        if not cls(text[at]):
+            at += 1
+            continue
+        end = at
+        while end < len(text) and cls(text[end]):
+            end += 1
+        if end - at >= min_length and not any(s < end and at < e for s, _, e in base):
+            t = [ratio[cls(text[j - 1]) * secrets.N_CLASS + cls(text[j])] for j in range(at + 1, end)]
+            best = max((sum(t[x:y - 1]), -y, -x) for x in range(end - at) for y in range(x + min_length, end - at + 1))
+            x, y = -best[2], -best[1]
+            if best[0] >= total and best[0] >= per_char * (y - x):
+                x, y = at + x, at + y
+                while x < y and text[x] in joins:
+                    x += 1
+                while y > x and text[y - 1] in joins:
+                    y -= 1
+                while x > at and text[x - 1] not in joins:
+                    x -= 1
+                while y < end and text[y] not in joins:
+                    y += 1
+                if any(c not in joins for c in text[x:y]):
+                    out.append((x, 3, y))
+        at = end
+    return out
+
+
+def test_secret_stretches_against_all_stretches():
+    rng = np.random.default_rng(8)
+    ratio = rng.normal(-0.2, 1.5, secrets.N_CLASS ** 2).round(3)
+    chars = np.array(list("abcXYZ019abcXYZ+/_=-abcXYZ019é "))
+    texts = ["".join(rng.choice(chars, n)) for n in rng.integers(0, 200, 200)] + ["", "é" * 30, "a" * 40, "token=" + "ab" * 20]
+    found = 0
+    for text, (base, spans) in zip(texts, secrets.spans_of(pa.array(texts), ratio, 6, 0.5, 6.0)):
+        expected = stretches_plain(text, base, ratio, 6, 0.5, 6.0)
+        assert spans == sorted(base + expected), text
+        found += len(expected)
+    assert found > 50
+
+
+def test_secrets_of_letters_and_joined_to_words(spark):
+    rng = np.random.default_rng(4)
+    letters, mixed = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), list("abcdefghijklmnopqrstuvwxyz")
+    key = lambda n: "".join(rng.choice(letters, n))
+    rows = [(i, f"ordinary_identifier_number and the configuration/of/things token = {key(40)} "
+             + " ".join("".join(rng.choice(mixed[:8], 7)) for _ in range(60))) for i in range(80)]
+    alone, joined = key(40), key(40)
+    rows.append((900, f"é see {alone} here"))
+    rows.append((901, f"è https/ordinary/configuration/{joined}/ordinary_identifier_number"))
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[-2][1].index(alone)
+    assert got[900].spans == f"markov:{at}:{at + 40}"
+    at = rows[-1][1].index(joined)
+    assert got[901].spans == f"markov:{at}:{at + 40}"
+    assert all(got[i].n_markov == 0 for i in range(80))
+
+
+def test_secrets_take_linear_time_in_very_long_texts():
+    rng = np.random.default_rng(6)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    text = "é " + " ".join(f"token={''.join(rng.choice(chars, 30))}" for _ in range(8000))
+    start = time.process_time()
+    s = secrets.Scan(pa.array([text]))
+    assert len(s.values) == 8000 and time.process_time() - start < 1
+    ratio = np.full(secrets.N_CLASS ** 2, 1.0)
+    text = "é " + " ".join("".join(rng.choice(chars, 30)) for _ in range(150_000))
+    assert len(text) > 4 << 20
+    start = time.process_time()
+    (_, spans), = secrets.spans_of(pa.array([text]), ratio)
+    assert len(spans) == 150_000 and spans[7] == (2 + 7 * 31, 3, 32 + 7 * 31) and time.process_time() - start < 20
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t, len(t or ""), 5) for i, t in SECRETS],
                                "doc_id long, text string, n_chars int, c0 int")
@@ -276,9 +398,12 @@ def substring_plain(rows, width=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("symbols", [1 << 20, 3])
-def test_substring_dedup(spark, empty, monkeypatch, symbols):
+@pytest.mark.parametrize("symbols,hot", [(1 << 20, None), (3, None), (1 << 20, 0), (1 << 20, 3)])
+def test_substring_dedup(spark, empty, monkeypatch, symbols, hot):
     monkeypatch.setattr(substring, "SYMBOLS", symbols)  # 3: two symbols a word
+    if hot is not None:  # 0: the windows of all minimisers are dealt singly
+        monkeypatch.setattr(substring, "HOT", hot)
+        monkeypatch.setattr(substring, "HOT_LEAST", hot)
     rng = np.random.default_rng(5)
     passage = long_text(7, 55).split()
     rows = [(r[0], r[1]) for r in ROWS]
@@ -291,6 +416,44 @@ def test_substring_dedup(spark, empty, monkeypatch, symbols):
     assert substring.dedup(empty).count() == 0
 
 
+def test_minimisers_spread_evenly():
+    s = substring.Segments(words.Words(pa.array([long_text(i, 400) for i in range(100)])), pa.array(range(100)))
+    sizes = np.bincount(exchange.bucket_of(s.keys()[0], 50), minlength=50)
+    assert sizes.max() < 1.5 * np.median(sizes)
+
+
+def test_no_shard_grows_with_one_phrase():
+    """2,000 documents that share an eight-word phrase (or one of twelve words) among
+    words of their own: no window recurs, and their windows spread evenly."""
+    for size in (8, 12):
+        phrase = long_text(4, size)
+        texts = [f"{long_text(1000 + i, 20)} {phrase} {long_text(5000 + i, 20)}" for i in range(2000)]
+        s = substring.Segments(words.Words(pa.array(texts)), pa.array(range(2000)))
+        keys, own = s.keys()
+        held = s.held(len(keys), own)
+        assert held.max() == 255  # 127 segments or more, of several documents
+        most = np.bincount(own).argmax()
+        plain = s.distinct((own == most).astype(np.int64), 1000)
+        assert np.diff(plain.cuts).max() >= 1000  # as one group
+        split = s.distinct(2 * (own == most).astype(np.int64), 1000)
+        shares = np.diff(split.cuts)
+        assert len(split.shards) > 900 and shares.max() < 5 * np.median(shares)
+
+
+def test_requests_do_not_depend_on_the_number_of_buckets():
+    keys = np.sort(words.mix(np.arange(50_000, dtype=np.uint64)))
+    for n in (1, 16, 1 << 31):
+        own = exchange.bucket_of(keys, n)
+        assert own.min() >= 0 and own.max() < n and (np.diff(own) >= 0).all()
+        t = exchange.requests(7, *exchange.cuts(own), keys=keys)
+        got, off = exchange.joined(t, "keys", np.uint64)
+        assert (got == keys).all() and t.num_rows == len(np.unique(own)) == len(off) - 1
+    start = time.process_time()
+    exchange.cuts(exchange.bucket_of(keys, 1 << 31))
+    assert time.process_time() - start < 0.2
+    assert exchange.requests(7, *exchange.cuts(exchange.bucket_of(keys[:0], 5)), keys=keys[:0]).num_rows == 0
+
+
 # --- 5: toxicity
 
 def test_toxicity_learns_and_ignores_identity(spark, empty):
