@@ -24,7 +24,8 @@ Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and null ids, take no part; rows that repeat an id count once, by
 the smallest vector; vectors are compared within their dimension; fewer
 candidates than asked for are all returned; ties go to the smaller id; an empty
-table gives no rows.
+table gives no rows; other columns are read by the query condition alone. Texts,
+long or not, play no part.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ proportions, from one language to all that were learned. The prediction is the l
 Edge cases: null text, or text without a letter, is ``und`` with score 0; ties
 go to the smaller language name; a null language teaches nothing, and if
 nothing is learned all is ``und``; an empty table gives no rows. Counts cover
-whole texts; model size is ``TABLE`` counts a language.
+whole texts, however long; model size is ``TABLE`` counts a language. Other columns
+are not read, or carried by position, whatever their names.
 """
 
 from __future__ import annotations

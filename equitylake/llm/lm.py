@@ -17,7 +17,8 @@ one chunk holds is counted there and not sent. Words are known by 64-bit hashes.
 Edge cases: null or empty text is the end token alone; null ids fold like ''
 (held out); with no training document every probability is the smoothed one of
 an unseen word; repeated rows count and are scored like others; an empty table
-gives no rows.
+gives no rows. A very long text is a chunk of its own, read whole; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

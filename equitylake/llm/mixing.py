@@ -15,7 +15,8 @@ a table with one row per (task, source) holds the counts before it.
 Edge cases: null text has size 0; null sources form one source, sorted last;
 documents of size 0 are sampled like others and add nothing; identical rows are
 interchangeable; an empty table gives an empty result. All input columns are
-kept in a struct while sampling, so their names can't clash.
+kept in a struct while sampling, so their names can't clash. A very long text is
+counted whole, in proportion to its length, and is one document.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ links.
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and vectors without a label, link with nothing and are kept; rows
 that repeat an id are copies like any equal vectors; null ids name a component
-only if it has no other; an empty table gives no rows.
+only if it has no other; an empty table gives no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ in a text becomes its id, as ``tokenizers`` has it.
 
 Edge cases: null or empty text is the single id 1; null ids and repeated rows
 are packed like others; an empty table gives no pieces; extra columns don't
-matter, as only id and text are read.
+matter, as only id and text are read. A very long text is tokenised whole and cut
+into windows like any other.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ different kinds stay, as the patterns are applied one by one.
 Edge cases: null or empty text has no spans; without any labelled value the
 random model is the smoothed uniform one; an empty table gives no rows; other
 columns are not read. The tables have a fixed size, whatever the input. A text costs in
-proportion to its length, however many spans it has.
+proportion to its length, however many spans it has; ``redacted`` carries other
+columns by position, so no name can clash.
 """
 
 from __future__ import annotations

@@ -22,6 +22,8 @@ Words are compared by 64-bit hashes, 13 of them in a row for a match.
 Edge cases: null or empty text has no words; a document shorter than a window
 keeps all its words; a null id counts as larger than all others, and equal ids
 (repeated rows) are not smaller than each other; an empty table gives no rows.
+A very long text is a chunk of its own, searched whole; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

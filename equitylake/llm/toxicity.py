@@ -13,8 +13,10 @@ is then scored with the whole of its words.
 
 Edge cases: null or empty text has no words and gets the intercept's score; a
 null label teaches nothing; with no labelled row every score is 0.5; several
-labels of an id count as one, the largest; an empty table gives no rows; source,
-lang and ids are not features.
+labels of an id count as one, the largest; rows that repeat an id teach with one
+text only, and each is scored; an empty table gives no rows; source, lang and ids
+are not features, and other columns, whatever their names, are not read. Whole
+texts count, however long.
 """
 
 from __future__ import annotations
