@@ -133,3 +133,20 @@ def test_cluster_conf_is_valid(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_current_time_is_utc(spark):
+    """Without ``as_of`` the current UTC wall-clock time counts, whatever the zone of the machine."""
+    from equitylake.plans import jobs
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    hub = spark.createDataFrame([(f"IT000000000{k}", f"N{k}", now) for k in range(3)], schemas.HUB)
+    tables = {"share_isins": hub, **{t: spark.createDataFrame([], s) for t, s in schemas.SATELLITES.items()}}
+    tables["share_details"] = spark.createDataFrame(
+        [("IT0000000000", 1.0, "c", now - dt.timedelta(minutes=40)), ("IT0000000001", 1.0, "c", now - dt.timedelta(minutes=10))],
+        schemas.DETAILS)
+    due = {r.isin for r in views.stale_set(tables, dt.timedelta(minutes=30)).collect()}
+    assert due == {"IT0000000000", "IT0000000002"}  # the last has no stamp at all
+    pages = spark.createDataFrame([(1, "u", "<table></table>")], "page_id long, url string, html string")
+    scanned = jobs.X.scan_properties(pages).withColumn("isin", jobs.F.lit("IT0000000000"))
+    stamp = jobs.records_of(scanned).first().updated_at
+    assert abs(stamp - dt.datetime.now(dt.UTC).replace(tzinfo=None)) < dt.timedelta(minutes=5)
