@@ -16,7 +16,9 @@ spanning forest of the links, from which the components follow.
 Edge cases: null text, or text without words, links with nothing and is a class
 of its own; repeated rows are copies of each other like any equal texts; null
 ids are ignored when a class or component is named, unless it has no other; an
-empty table gives no rows.
+empty table gives no rows. A very long text is a chunk of its own, compared whole;
+only id and text are read, and ``keep_one`` carries other columns in a struct, so
+no name can clash.
 """
 
 from __future__ import annotations
@@ -179,23 +181,31 @@ def verify(key: list[bytes], copies: np.ndarray, side: np.ndarray, grams: list[n
                      "docs": np.concatenate([docs[count], np.zeros(len(tree), np.int64)])})
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """Deal (key, cluster, grams, ...) to units (unit, i, j, side): a cluster that
-    fits goes whole to a bin of such; a larger one is cut into blocks by a hash of
-    the key, and a unit holds a pair of blocks."""
+def _placed(members: DataFrame) -> DataFrame:
+    """Members (key, cluster, grams, ...) with ``unit``, ``b`` and ``blocks``: a cluster
+    that fits goes whole to a bin of such (block -1 of 1); a larger one is cut into
+    blocks by a hash of the key, to be compared pair by pair."""
     sizes = (members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
              .withColumn("blocks", F.greatest(F.ceil(F.col("n") / UNIT_DOCS), F.ceil(F.col("g") / UNIT_GRAMS)).cast("int")))
     total = sizes.where("blocks <= 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
     bins = max(1, math.ceil(2 * total[0] / UNIT_DOCS), math.ceil(2 * total[1] / UNIT_GRAMS))
-    m = members.join(sizes.select("cluster", "blocks"), "cluster")
-    small = m.where("blocks <= 1").select("*", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("unit"),
-                                          F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
-    large = (m.where("blocks > 1").withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("unit", F.xxhash64("cluster")).withColumn("i", F.least("b", "o"))
-             .withColumn("j", F.greatest("b", "o")).withColumn("side", F.when(F.col("b") <= F.col("o"), 0).otherwise(1))
-             .drop("b", "o"))
-    return small.unionByName(large).drop("blocks")
+    small = F.col("blocks") <= 1
+    return members.join(sizes.select("cluster", F.greatest("blocks", F.lit(1)).alias("blocks")), "cluster").select(
+        "*", F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster")).alias("unit"),
+        F.when(small, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).alias("b"))
+
+
+def expanded(b: np.ndarray, blocks: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(member, i, j, side) of the units that members of block ``b`` go to, ``step``
+    at a time: (b, o) for every block o of their cluster, the lower one first."""
+    ends = np.cumsum(blocks.astype(np.int64))
+    for at in range(0, int(ends[-1]) if len(ends) else 0, step):
+        k = np.arange(at, min(at + step, int(ends[-1])))
+        member = np.searchsorted(ends, k, side="right")
+        own, other = b[member], k - (ends - blocks)[member]
+        whole = own < 0
+        yield (member, np.where(whole, -1, np.minimum(own, other)).astype(np.int32),
+               np.where(whole, -1, np.maximum(own, other)).astype(np.int32), (~whole & (own > other)).astype(np.int32))
 
 
 def join(docs: DataFrame, n: int = N, recall: float = 0.9999, rows: int = 4,
@@ -221,21 +231,23 @@ def join(docs: DataFrame, n: int = N, recall: float = 0.9999, rows: int = 4,
     members = clusters.join(classes, "node").select(
         F.col("node").alias("key"), "cluster", "copies", F.col("at.chunk").alias("chunk"), F.col("at.row").alias("row"),
         F.col("at.grams").alias("grams"))
-    # the chunks send the sets of the texts that a unit wants
-    wanted = _units(staged(members, "jaccard_member")).groupBy("chunk").agg(
-        F.collect_list(F.struct("row", "key", "copies", "unit", "i", "j", "side")).alias("want"))
+    # the chunks send the sets of the texts that units want; each learns of a text once
+    wanted = _placed(staged(members, "jaccard_member")).groupBy("chunk").agg(
+        F.collect_list(F.struct("row", "key", "copies", "unit", "b", "blocks")).alias("want"))
 
     def send(r: dict) -> Iterator[pa.Table]:
         want = r["want"].values if r["want"].is_valid else None
         if want is None:
             return
-        want = pa.table({f: want.field(f) for f in ("row", "key", "copies", "unit", "i", "j", "side")})
+        want = pa.table({f: want.field(f) for f in ("row", "key", "copies", "unit", "b", "blocks")})
         texts, at = np.unique(want.column("row").to_numpy(), return_inverse=True)
         g = Grams(Words(r["texts"].values.take(pa.array(texts))), n)
         sets = pa.array([g.of(i).tobytes() for i in range(len(texts))], pa.binary())
-        want = want.drop_columns(["row"])
-        for a in range(0, len(at), SENT):  # a text of a large cluster goes to many units
-            yield want.slice(a, SENT).append_column("grams", sets.take(pa.array(at[a:a + SENT])))
+        # a text of a large cluster goes to many units
+        for member, i, j, side in expanded(want.column("b").to_numpy(), want.column("blocks").to_numpy(), SENT):
+            out = want.select(["key", "copies", "unit"]).take(pa.array(member))
+            yield pa.table({"key": out.column(0), "copies": out.column(1), "unit": out.column(2),
+                            "i": i, "j": j, "side": side, "grams": sets.take(pa.array(at[member]))})
 
     def unit(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by([("side", "ascending"), ("key", "ascending")])
