@@ -484,22 +484,34 @@ def page_copies_newest(spark, sf_dir):
     return M.collapse_records(wide, cols).select("isin", "prezzo_ultimo_contratto")
 
 
+def _page_files(pages, name, batches):
+    """Pages written as files, one per partition that has rows: (folder, files a
+    trigger takes), so that the folder is read in ``batches`` micro-batches whose
+    pages lie in as many files as there are partitions to scan them (in fewer
+    micro-batches only if there are fewer files)."""
+    from ..session import staging_path
+    spark = pages.sparkSession
+    path = staging_path(spark, name)
+    pages.write.parquet(path)
+    files = len(spark.read.schema(pages.schema).parquet(path).inputFiles())
+    return path, -(-files // batches)
+
+
 def stream_refresh_view(spark, sf_dir):
     """Detail pages arriving as files refresh a stored, bucketed store through
-    two streaming ingests, each with a fresh checkpoint and a file a
-    micro-batch (scan, validate, merge, commit): the first brings every page
-    with a price of 1, the second the true pages. The current view afterwards."""
+    two streaming ingests, each with a fresh checkpoint (scan, validate, merge,
+    commit a micro-batch): the first brings every page with a price of 1 in one
+    micro-batch, the second the true pages in two. The current view afterwards."""
     from ..session import staging_path
     from ..sources.store import Store
     from ..streaming import ingest
     st = Store(spark, staging_path(spark, "stream-store"))
     st.write(_store(spark, sf_dir))
     view = views.current_view(_store(spark, sf_dir))
-    for files, pages in ((1, view.withColumn("prezzo_ultimo_contratto", F.lit(1.0))), (2, view)):
-        pages_dir = staging_path(spark, "stream-pages")
-        adapter.render_detail_pages(pages).repartition(files, "page_id").write.parquet(pages_dir)
+    for batches, pages in ((1, view.withColumn("prezzo_ultimo_contratto", F.lit(1.0))), (2, view)):
+        pages_dir, files = _page_files(adapter.render_detail_pages(pages), "stream-pages", batches)
         ingest.start_page_ingest(st, pages_dir, staging_path(spark, "stream-ckpt"), available_now=True,
-                                 as_of=RUN_AS_OF, max_files_per_trigger=1).awaitTermination()
+                                 as_of=RUN_AS_OF, max_files_per_trigger=files).awaitTermination()
     return views.current_view(st.tables())
 
 
@@ -558,16 +570,17 @@ def discovery_run(spark, sf_dir):
 
 
 def stream_discovery(spark, sf_dir):
-    """The listing pages in three files, a micro-batch each, discovered into an
+    """The listing pages in three micro-batches of files, discovered into an
     empty store: the same hub as of the batch run."""
     from ..session import staging_path
     from ..sources.store import Store
     from ..streaming import discovery
     st = Store(spark, staging_path(spark, "stream-discovered"))
-    pages_dir = staging_path(spark, "listing-files")
-    adapter.render_listing_pages(spark, sf_dir).repartition(3, "page_id").write.parquet(pages_dir)
+    parts = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages_dir, files = _page_files(adapter.render_listing_pages(spark, sf_dir).repartition(parts, "page_id"),
+                                   "listing-files", 3)
     discovery.start_discovery(st, pages_dir, staging_path(spark, "discovery-ckpt"), available_now=True,
-                              as_of=RUN_AS_OF, max_files_per_trigger=1).awaitTermination()
+                              as_of=RUN_AS_OF, max_files_per_trigger=files).awaitTermination()
     return st.tables()["share_isins"].select("isin", "share_name")
 
 

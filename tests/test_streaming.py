@@ -55,3 +55,26 @@ def test_parse_stream_memory_sink(spark, tmp_dir):
     q.awaitTermination(120)
     rows = spark.sql("SELECT label, as_number FROM parsed_rows").collect()
     assert [(r.label, r.as_number) for r in rows] == [("prezzo ultimo contratto", 1234.5)]
+
+
+def test_page_streams_deal_the_pages_of_a_micro_batch_over_files(spark, monkeypatch):
+    """A micro-batch whose pages lie in one small file is scanned by one task."""
+    from types import SimpleNamespace
+
+    from conftest import SF001
+
+    from equitylake.plans import catalog
+    from equitylake.streaming import discovery
+    seen = []
+
+    def start(store, pages_dir, checkpoint, max_files_per_trigger, **how):
+        pages = spark.read.parquet(pages_dir)
+        seen.append((pages.count(), len(pages.inputFiles()), max_files_per_trigger))
+        return SimpleNamespace(awaitTermination=lambda: None)
+    monkeypatch.setattr(ingest, "start_page_ingest", start)
+    monkeypatch.setattr(discovery, "start_discovery", start)
+    catalog.stream_refresh_view(spark, SF001)
+    catalog.stream_discovery(spark, SF001)
+    assert seen[0][0] == seen[1][0] > 0  # every page in either ingest
+    assert [-(-files // trigger) for _, files, trigger in seen[:2]] == [1, 2]
+    assert min(trigger for _, _, trigger in seen[:2]) >= 2 and seen[2][1] > 3
