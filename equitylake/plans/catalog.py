@@ -624,6 +624,7 @@ def fetch_outcome_stream(spark, sf_dir):
 #: of the log that goes silent: attempts after this one never arrive
 SILENT_AFTER = 3
 LATENESS_MINUTES = 10
+LOG_FILE_ROWS = 100_000  # of the files it is replayed from, about
 
 
 def fetch_timeout_stream(spark, sf_dir):
@@ -635,13 +636,19 @@ def fetch_timeout_stream(spark, sf_dir):
     from ..streaming import fetch_timers
     log = jobs._stage(adapter.fetch_attempts(spark, sf_dir).where(F.col("attempt_no") <= SILENT_AFTER), "silent-log")
     ended = F.unix_micros(F.col("ended_at").cast("timestamp_ltz"))
-    cuts = log.agg(F.percentile_approx(ended, [k / 8 for k in range(1, 8)])).first()[0] or []
+    cuts, rows = log.agg(F.percentile_approx(ended, [k / 8 for k in range(1, 8)]), F.count(F.lit(1))).first()
+    cuts = sorted(set(cuts or []))
     path = staging_path(spark, "silent-files")
-    part = sum((F.when(ended > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    for k in range(len(set(cuts)) + 1):  # a file source takes older files first
-        log.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    part = sum((F.when(ended > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    files = -(-rows // (8 * LOG_FILE_ROWS)) or 1
+    for k in range(len(cuts) + 1):  # a file source takes older files first
+        rows_k = log.where(part == k)
+        (rows_k.coalesce(1) if files == 1 else rows_k.repartition(files)).write.parquet(f"{path}/{k}")
+        # a trigger takes the same number of files of every part: empty ones make up for those without rows
+        for _ in range(files - len(spark.read.schema(log.schema).parquet(f"{path}/{k}").inputFiles())):
+            spark.createDataFrame([], log.schema).write.mode("append").parquet(f"{path}/{k}")
     out = staging_path(spark, "timed-outcomes")
-    attempts = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    attempts = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     fetch_timers.start_timed_resolver(attempts, out, staging_path(spark, "timed-ckpt"), available_now=True,
                                       lateness=f"{LATENESS_MINUTES} minutes").awaitTermination()
     return fetch_timers.outcomes(spark, out)

@@ -17,6 +17,12 @@ needs is forgotten when its budget is over:
 So state is bounded by the attempts of the last budget and lateness, and the output
 has one row per fetch, appended by the file sink exactly once. Attempts that
 arrive in any order give the same rows.
+
+A call for a state or a timer costs far more than judging a fetch. So the URLs are
+dealt by hash over ``BUCKETS`` keys: a key's state is one value with the attempts
+of its URLs, and its one timer stands at the earliest budget end among them. A
+micro-batch makes a few calls per key that has attempts or a due timer, however
+many URLs it brings.
 """
 
 from __future__ import annotations
@@ -33,8 +39,11 @@ OUTPUT = ("url STRING, started_at TIMESTAMP_NTZ, attempts INT, outcome STRING, e
           "decisive_attempt INT, status INT, elapsed_ms BIGINT")
 _RAW = ("url string, started bigint, attempts int, outcome string, error string, decisive_attempt int, status int, "
         "elapsed_ms bigint")
-#: an attempt in the state; ``decided`` marks attempt 1 of a fetch whose outcome is written
-_STATE = "n int, kind string, started bigint, ended bigint, status int, empty boolean, decided boolean"
+#: the attempts in the state; ``decided`` marks attempt 1 of a fetch whose outcome is written
+_STATE = ("held array<struct<url: string, n: int, kind: string, started: bigint, ended: bigint, status: int, "
+          "empty: boolean, decided: boolean>>")
+#: keys that the URLs are dealt over; a running stream's checkpoint keeps the count it started with
+BUCKETS = 8192
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -79,14 +88,14 @@ def judge(fetch: list[tuple], budget_us: int, final: bool) -> dict | None:
 
 
 class Fetches(StatefulProcessor):
-    """State of one URL: the attempts of its fetches whose budget is not over."""
+    """State of a bucket of URLs: the attempts of their fetches whose budget is not over."""
 
     def __init__(self, budget_s: int):
         self.budget_us = budget_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("attempts", _STATE)
+        self.seen = handle.getValueState("attempts", _STATE)
 
     def _write(self, url: str, fetch: list[tuple], final: bool) -> tuple[list[tuple], list[Row]]:
         """(what stays in the state, rows to write)."""
@@ -97,60 +106,88 @@ class Fetches(StatefulProcessor):
             return fetch, []
         return [(*fetch[0][:6], True)], [Row(url=url, started=fetch[0][2], **got)]
 
-    def _keep(self, attempts: list[tuple]) -> None:
-        if attempts:
-            self.seen.put(attempts)
-        else:
+    def _held(self) -> dict[str | None, list[tuple]]:
+        """The attempts in the state by URL."""
+        held: dict[str | None, list[tuple]] = {}
+        for url, *a in (self.seen.get() or ([],))[0]:
+            held.setdefault(url, []).append(tuple(a))
+        return held
+
+    def _keep(self, held: dict[str | None, list[tuple]], timer: int | None) -> None:
+        """Store the attempts; ``timer``: the one that stands already."""
+        rows = [(url, *a) for url, attempts in held.items() for a in attempts]
+        if not rows:
             self.seen.clear()
+            return
+        self.seen.update((rows,))
+        first = self._first(held)
+        if first != timer:
+            self.handle.registerTimer(first)
 
     def _expiry(self, started: int) -> int:
         return -(-(started + self.budget_us) // 1000)
 
+    def _first(self, held: dict[str | None, list[tuple]]) -> int | None:
+        """When the earliest budget ends."""
+        started = min((a[2] for attempts in held.values() for a in attempts), default=None)
+        return None if started is None else self._expiry(started)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = [tuple(a) for a in self.seen.get()] if self.seen.exists() else []
-        known = {(a[0], a[2]) for a in held}
-        timers = {self._expiry(a[2]) for a in held}
+        held = self._held()
+        timer = self._first(held)
+        arrived: dict[str | None, list[tuple]] = {}
         for r in rows:
-            a = (r.n, r.kind, r.started, r.ended, r.status, r.empty, False)
-            if (a[0], a[2]) not in known:  # an attempt that is delivered twice counts once
-                known.add((a[0], a[2]))
-                held.append(a)
-                if self._expiry(a[2]) not in timers:
-                    timers.add(self._expiry(a[2]))
-                    self.handle.registerTimer(self._expiry(a[2]))
-        found, keep = fetches(held)
-        for fetch in found:
-            stays, out = self._write(key[0], fetch, final=False)
-            keep += stays
-            yield from out
-        self._keep(keep)
+            arrived.setdefault(r.url, []).append((r.n, r.kind, r.started, r.ended, r.status, r.empty, False))
+        for url, attempts in arrived.items():
+            before = held.get(url, [])
+            known = {(a[0], a[2]) for a in before}
+            for a in attempts:
+                if (a[0], a[2]) not in known:  # an attempt that is delivered twice counts once
+                    known.add((a[0], a[2]))
+                    before.append(a)
+            found, keep = fetches(before)
+            for fetch in found:
+                stays, out = self._write(url, fetch, final=False)
+                keep += stays
+                yield from out
+            held[url] = keep
+        self._keep(held, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(a) for a in self.seen.get()] if self.seen.exists() else []
-        found, lost = fetches(held)
-        keep = [a for a in lost if self._expiry(a[2]) > now]
-        for fetch in found:
-            over = self._expiry(fetch[0][2]) <= now
-            stays, out = self._write(key[0], fetch, final=over)
-            keep += [] if over else stays
-            yield from out
-        self._keep(keep)
+        # one timer for the bucket: all budgets that the watermark has passed end with it
+        end, now = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+
+        def is_over(a: tuple) -> bool:
+            return self._expiry(a[2]) <= now or self._expiry(a[2]) < end
+
+        held = self._held()
+        for url, attempts in held.items():
+            if not any(map(is_over, attempts)):
+                continue
+            found, lost = fetches(attempts)
+            keep = [a for a in lost if not is_over(a)]
+            for fetch in found:
+                over = is_over(fetch[0])
+                stays, out = self._write(url, fetch, final=over)
+                keep += [] if over else stays
+                yield from out
+            held[url] = keep
+        self._keep(held, now)
 
     def close(self) -> None:
         pass
 
 
 def resolve_timed(attempts: DataFrame, budget_s: int = FETCH_BUDGET_S, share_budget_s: int = SHARE_BUDGET_S,
-                  lateness: str = "10 minutes") -> DataFrame:
+                  lateness: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """The final outcome of every fetch in a streaming attempt log (append mode;
     needs the RocksDB state store). The shorter budget counts."""
     a = attempts.where(numbered()).select(
-        "url", F.col("attempt_no").alias("n"), attempt_class(F.col("status"), F.col("net_error")).alias("kind"),
+        F.pmod(F.xxhash64("url"), F.lit(buckets)).alias("bucket"), "url", F.col("attempt_no").alias("n"), attempt_class(F.col("status"), F.col("net_error")).alias("kind"),
         F.unix_micros(F.col("started_at").cast("timestamp_ltz")).alias("started"),
         F.unix_micros(F.col("ended_at").cast("timestamp_ltz")).alias("ended"), "status",
         (F.col("body").isNull() | (F.col("body") == "")).alias("empty"), F.col("ended_at").cast("timestamp_ltz").alias("at"))
-    done = a.withWatermark("at", lateness).groupBy("url").transformWithState(
+    done = a.withWatermark("at", lateness).groupBy("bucket").transformWithState(
         Fetches(min(budget_s, share_budget_s)), outputStructType=_RAW, outputMode="append", timeMode="eventTime")
     return done.select("url", F.timestamp_micros("started").cast("timestamp_ntz").alias("started_at"), "attempts",
                        "outcome", "error", "decisive_attempt", "status", "elapsed_ms")

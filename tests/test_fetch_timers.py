@@ -111,3 +111,35 @@ def test_attempts_in_all_orders():
                 for fetch in found:
                     said = T.judge(fetch, 256 * S, False)
                     assert said is None or said == final
+
+
+def test_state_calls_depend_on_keys_not_on_urls(spark, tmp_dir):
+    """Many URLs share few keys: one state value and one timer a key, and the same
+    outcomes."""
+    first = [(f"u{i}", 1, 200 if i % 3 == 0 else 503, False, "x", at(i / 10), at(i / 10 + 1)) for i in range(300)]
+    later = [(f"u{i}", 2, 404, False, None, at(i / 10 + 3), at(i / 10 + 4)) for i in range(0, 300, 5)]
+    end = [("end", 1, 500, False, None, at(5000), at(5001))]
+    q, got = replay(spark, tmp_dir, [first, later, end], "keys", lateness="10 minutes", buckets=4)
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(rows) <= 4 * 4
+    expected = {f"u{i}": "return" if i % 3 == 0 else "exit" if i % 5 == 0 else "timeout" for i in range(300)}
+    assert {r.url: r.outcome for r in got} == expected and len(got) == 300
+
+
+def test_the_silent_log_is_replayed_from_several_files_a_batch(spark, monkeypatch):
+    from conftest import SF001
+
+    from equitylake.plans import catalog
+    started = []
+
+    def start(*args, **how):
+        started.append(start_timed(*args, **how))
+        return started[-1]
+    start_timed = T.start_timed_resolver
+    monkeypatch.setattr(T, "start_timed_resolver", start)
+    one = sorted(map(tuple, catalog.fetch_timeout_stream(spark, SF001).collect()), key=str)
+    monkeypatch.setattr(catalog, "LOG_FILE_ROWS", 20)
+    several = sorted(map(tuple, catalog.fetch_timeout_stream(spark, SF001).collect()), key=str)
+    assert one == several and len(one) > 0
+    for q in started:  # a micro-batch a part of the log
+        assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 8
